@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, urlrules
+from . import langid, mixing, quality, recordfiles, sentencepieces, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; the package is installed wherever tasks run."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recordfiles.tokenize_to_records(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.filter_urls(_table(spark, sf_dir, "pages"), urlrules.rules_table(spark, urlrules.STANDARD_RULES))
 
@@ -21,13 +32,25 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify_languages(docs, langid.train_language_identifier(docs))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("ids")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_records": op3_token_records,
     "op4_url_filters": op4_url_filters,
     "op5_source_mixing": op5_source_mixing,
+    "op6_language_id": op6_language_id,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
 }
 
