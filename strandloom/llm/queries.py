@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, lmscore, mixing, quality, recordfiles, sentencepieces, suffixdedup, urlrules
+from . import jaccard, langid, lmscore, mediatext, mixing, quality, recordfiles, sentencepieces, suffixdedup, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mediatext.media_features(mediatext.with_media(_table(spark, sf_dir, "documents")))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return lmscore.score_documents(docs, lmscore.train_ngram_model(docs))
@@ -59,6 +63,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_records": op3_token_records,
     "op4_url_filters": op4_url_filters,
