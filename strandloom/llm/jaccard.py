@@ -331,7 +331,11 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
 
 
 def one_of_each(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """The documents, one of each component: the one of smallest doc_id."""
+    """The documents, one of each component: the one of smallest doc_id.
+
+    ``doc_id`` tells documents apart: rows that repeat one stay or go together, and
+    rows without one stay.
+    """
     found = jaccard_components(docs, config).where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept_id"))
     kept = docs.join(found, docs["doc_id"].eqNullSafe(found["_kept_id"]), "left_semi")
     return kept

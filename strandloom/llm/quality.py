@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from . import textkernels as K
 
@@ -169,51 +170,54 @@ def language_references(docs: DataFrame) -> dict[str | None, np.ndarray]:
     return out
 
 
+def verdicts(buf, offs, references: np.ndarray, config: QualityConfig) -> dict[str, np.ndarray]:
+    """All result columns for the documents of a chunk, given their languages' references."""
+    words = K.split_words(buf, offs)
+    out = base_counts(buf, offs, words)
+    classes, common = histograms(buf, offs, words)
+    class_d = js_distance(classes, references[:, :N_CLASSES])
+    common_d = js_distance(common, references[:, N_CLASSES:])
+    failed = (out["n_words"] < config.min_words) | (100 * out["n_repeat_words"] > config.max_repeat_percent * out["n_words"])
+    odd = (classes.sum(axis=1) >= config.min_chars_for_classes) & (class_d > config.max_class_distance)
+    odd |= (out["n_words"] >= config.min_words_for_common) & (common_d > config.max_common_distance)
+    out = {k: v.astype(np.int64) for k, v in out.items()}
+    return out | {"base_failed": failed, "kept": ~failed & ~odd, "class_distance": class_d, "common_distance": common_d}
+
+
+def _judged(batches: Iterator[pa.RecordBatch], lang: int, text: int, by_lang: dict, config: QualityConfig):
+    """(batch rows, verdicts) of the chunks of batches whose columns ``lang`` and ``text`` are given."""
+    for batch in batches:
+        buf, offs = K.utf8_column(batch.column(text))
+        langs = batch.column(lang).to_pylist()
+        for lo, hi in K.chunks(offs):
+            references = np.stack([by_lang[x] if x in by_lang else by_lang[None] for x in langs[lo:hi]])
+            yield batch.slice(lo, hi - lo), verdicts(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], references, config)
+
+
 def score_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """Rule counts, divergences and verdict for every document."""
     references = docs.sparkSession.sparkContext.broadcast(language_references(docs))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_lang = references.value
-        for batch in batches:
-            buf, offs = K.utf8_column(batch.column(2))
-            lang = batch.column(1).to_pylist()
-            for lo, hi in K.chunks(offs):
-                part, at = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                words = K.split_words(part, at)
-                base = base_counts(part, at, words)
-                classes, common = histograms(part, at, words)
-                ref = np.stack([by_lang[x] if x in by_lang else by_lang[None] for x in lang[lo:hi]])
-                class_d = js_distance(classes, ref[:, :N_CLASSES])
-                common_d = js_distance(common, ref[:, N_CLASSES:])
-                failed = (base["n_words"] < config.min_words) | (
-                    100 * base["n_repeat_words"] > config.max_repeat_percent * base["n_words"]
-                )
-                odd = (classes.sum(axis=1) >= config.min_chars_for_classes) & (class_d > config.max_class_distance)
-                odd |= (base["n_words"] >= config.min_words_for_common) & (common_d > config.max_common_distance)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo)]
-                    + [pa.array(v.astype(np.int64)) for v in base.values()]
-                    + [pa.array(failed), pa.array(~failed & ~odd), pa.array(class_d), pa.array(common_d)],
-                    [f.name for f in schema],
-                )
-
-    from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
-
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = StructType(
         [StructField("doc_id", docs.schema["doc_id"].dataType)]
-        + [StructField(c, LongType()) for c in counts]
+        + [StructField(c, LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         + [StructField(c, BooleanType()) for c in ("base_failed", "kept")]
         + [StructField(c, DoubleType()) for c in ("class_distance", "common_distance")]
     )
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, found in _judged(batches, 1, 2, references.value, config):
+            yield pa.RecordBatch.from_arrays([rows.column(0)] + [pa.array(v) for v in found.values()], schema.names)
+
     return docs.select("doc_id", F.col("lang").cast("string"), "text").mapInArrow(judge, schema)
 
 
 def keep_good(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """The documents that the rules keep, with all their columns.
+    """The rows that the rules keep, with all their columns."""
+    references = docs.sparkSession.sparkContext.broadcast(language_references(docs))
+    lang, text = docs.columns.index("lang"), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, found in _judged(batches, lang, text, references.value, config):
+            yield rows.filter(pa.array(found["kept"]))
 
-    The verdict is joined back on ``doc_id``, which must identify rows.
-    """
-    kept = score_quality(docs, config).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    return docs.mapInArrow(keep, docs.schema)

@@ -177,7 +177,7 @@ def front_decode(shared: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray
     own = np.arange(width) >= shared[:, None]
     rows = np.zeros((len(shared), width), np.uint8)
     rows[own] = rest
-    source = np.where(own, np.arange(len(shared))[:, None], 0)
+    source = np.where(own, np.arange(len(shared), dtype=np.int32)[:, None], np.int32(0))
     np.maximum.accumulate(source, axis=0, out=source)
     return np.take_along_axis(rows, source, axis=0)
 
