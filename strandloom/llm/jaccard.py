@@ -48,6 +48,8 @@ class JaccardConfig:
     percent: int = 75
     #: Tokens that more candidates hold are frequent.
     frequent: int = 16
+    #: Unconnected pairs are compared at once where they are at most so many a row of the buckets.
+    pairs_per_row: int = 8
     #: Tables of candidate ids up to this many rows are broadcast, larger ones are joined by shuffle.
     broadcast_rows: int = 500_000
 
@@ -274,42 +276,61 @@ def verified(pairs: DataFrame, shared: DataFrame, config: JaccardConfig) -> Data
     return met.where(100 * overlap >= config.percent * (F.col("n_a") + F.col("n_b") - overlap)).select("a", "b")
 
 
+def _distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """Buckets (combination, node, n, root) that hold several components, one of those with equal members.
+
+    Near copies meet in very many buckets, most of which have the same members.
+    """
+    key = F.xxhash64("node")
+    sets = buckets.groupBy("combination").agg(
+        F.count("*").alias("k"), F.bit_xor(key).alias("x"), F.sum(F.shiftright(key, 16)).alias("s"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    chosen = sets.where("low <> high").groupBy("k", "x", "s").agg(F.min("combination").alias("combination"))
+    return buckets.join(chosen.select("combination"), "combination").select("combination", "node", "n", "root")
+
+
+def _open_pairs(buckets: DataFrame) -> tuple[int, int]:
+    """Pairs of different components in the buckets, and rows."""
+    per_root = buckets.groupBy("combination", "root").agg(F.count("*").alias("k"))
+    per_bucket = per_root.groupBy("combination").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+    pairs, rows = per_bucket.agg(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2), F.sum("k")).first()
+    return int(pairs or 0), int(rows or 0)
+
+
 def link_nodes(index: DataFrame, shared: DataFrame, config: JaccardConfig) -> DataFrame | None:
     """(node, root) of all linked nodes."""
-    links, roots, first = None, None, True
-    buckets = index
-    while True:
-        if roots is not None:
-            named = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            named = buckets.withColumn("root", F.col("node"))
-        # Buckets with one component left need no more comparisons.
-        per_root = named.groupBy("combination", "root").agg(F.count("*").alias("k"))
-        per_bucket = per_root.groupBy("combination").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.count("*").alias("roots"))
-        open_buckets = per_bucket.where("roots > 1")
-        buckets = written(named.join(open_buckets.select("combination"), "combination").select("combination", "node", "n", "root"), "buckets")
-        state = open_buckets.agg(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2), F.sum("k")).first()
-        if not state[0]:
-            break
-        last = not first and state[0] <= 4 * state[1]
+    roots = None
+    buckets = written(_distinct_buckets(index.withColumn("root", F.col("node"))), "buckets")
+    pairs_left, rows = _open_pairs(buckets)
+    while pairs_left:
+        last = pairs_left <= config.pairs_per_row * rows
         if last:
             x = buckets.select("combination", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
             y = buckets.select("combination", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-            pairs = x.join(y, "combination").where("a < b AND r_a <> r_b")
+            pairs = x.join(y, "combination").where("a < b")
         else:
             leader = buckets.groupBy("combination").agg(F.min(F.struct("node", "n", "root")).alias("l"))
-            pairs = buckets.join(leader, "combination").select(
+            led = buckets.join(leader, "combination")
+            pairs = led.where("node <> l.node").select(
                 F.col("l.node").alias("a"), F.col("l.n").alias("n_a"), F.col("l.root").alias("r_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b")
             )
-            pairs = pairs.where("a <> b AND r_a <> r_b")
-            buckets = buckets.join(leader, "combination").where("node <> l.node").select("combination", "node", "n")
-        pairs = pairs.where(_fit(F.col("n_a"), F.col("n_b"), config.percent)).select("a", "b").distinct()
-        found = written(verified(pairs, shared, config), "verified")
-        links = found if links is None else links.unionByName(found)
-        roots = written(connected_components(links), "roots")
-        first = False
+            buckets = led.where("node <> l.node").select("combination", "node", "n")
+        pairs = pairs.where("r_a <> r_b").where(_fit(F.col("n_a"), F.col("n_b"), config.percent))
+        found = written(verified(pairs.select("a", "b").distinct(), shared, config), "verified")
+        if roots is not None:  # links between nodes become links between what they are part of
+            ends = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("r")), "a", "left").select(F.coalesce("r", "a").alias("a"), "b")
+            ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b", "left").select("a", F.coalesce("r", "b").alias("b"))
+            joined = connected_components(ends).select(F.col("node").alias("root"), F.col("root").alias("higher"))
+            fresh = joined.select(F.col("root").alias("node"), F.col("higher").alias("root")).join(roots, "node", "left_anti")
+            roots = roots.join(joined, "root", "left").select("node", F.coalesce("higher", "root").alias("root")).unionByName(fresh)
+        else:
+            roots = connected_components(found)
+        roots = written(roots, "roots")
         if last:
             break
+        named = buckets.join(roots, "node", "left").select("combination", "node", "n", F.coalesce("root", "node").alias("root"))
+        buckets = written(_distinct_buckets(named), "buckets")
+        pairs_left, rows = _open_pairs(buckets)
     return roots
 
 
