@@ -23,3 +23,13 @@ def ship_package(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
         _shipped.add(app)
     return spark
+
+
+def checkpointed(df):
+    """Cut a table's lineage by a checkpoint in the session's shared folder."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-checkpoints-"))
+    elif not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
