@@ -3,8 +3,9 @@
 A document's tokens are its distinct word shingles.  Documents with equal sets are
 one node.  Two nodes link when ``100 * intersection >= percent * union``.
 
-1. A filter by plain prefixes in hash order: a node all of whose prefix tokens are
-   its own has no link.  The rest are the candidates.
+1. A filter by prefixes in hash order: of its first ``allowance + extra`` tokens a
+   linked node shares ``extra`` with its partner, so a node of which other nodes hold
+   fewer has no link.  The rest are the candidates.
 2. Tokens of candidates are ordered by how many candidates hold them: tokens with
    ``frequent`` holders or fewer are rare and come first, the others are frequent.
    Rare tokens are indexed singly.  Frequent tokens fall into classes by hash and
@@ -12,10 +13,11 @@ one node.  Two nodes link when ``100 * intersection >= percent * union``.
    of as many tokens as a linked node may lack could hit every combination in it:
    rare tokens + sum over classes of (tokens - 1) > size - least overlap.  So two
    linked nodes share a combination.
-3. In each bucket the smallest node is compared with the others, by exact overlap.
-   What is not yet connected goes on: to further leaders, or, where the
-   unconnected pairs are few, to a comparison of just those.  Members of a large
-   group of near copies are so compared with one leader and never with each other.
+3. In each bucket the smallest node, the leader, is compared with the others.  What
+   is not yet connected goes on, with four times as many leaders in each round, or,
+   where the unconnected pairs are few, with just those.  Members of a large group
+   of near copies are so compared with one leader and never with each other.
+   Bitmaps of the sets bound the overlap first; pairs that pass are counted exactly.
 
 Number of classes: it grows with the size of the sets, so that classes hold a few
 tokens each; nodes emit for every class number that a partner's size may give.
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import textkernels as K
@@ -79,6 +81,11 @@ def allowance(size, percent: int):
     return size - (size * percent + 99) // 100
 
 
+def extra(size: int) -> int:
+    """Tokens that linked nodes must share within the filter's prefixes."""
+    return 1 + size // 8
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -100,7 +107,7 @@ def set_summaries(docs: DataFrame, config: JaccardConfig) -> DataFrame:
                 for s in shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], config.words):
                     n.append(len(s))
                     node.append(set_hash(s) if len(s) else None)
-                    prefix.append(s[: allowance(len(s), config.percent) + 1] if len(s) else s)
+                    prefix.append(s[: allowance(len(s), config.percent) + extra(len(s))] if len(s) else s)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(prefix)], schema.names
                 )
@@ -148,15 +155,16 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
 
 def candidate_nodes(summaries: DataFrame) -> DataFrame:
-    """Nodes that share a prefix token with another node."""
+    """(node, held): how many prefix tokens of each node other nodes hold too, where they are any."""
     tokens = summaries.where("node IS NOT NULL").select(F.explode("prefix").alias("token"), "node")
     dealt = tokens.repartition("token").sortWithinPartitions("token", "node")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, node, holders in _holders(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[holders > 1]))], ["node"])
+            nodes, held = np.unique(node[holders > 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(held.astype(np.int64))], ["node", "held"])
 
-    return dealt.mapInArrow(shared, "node long").distinct()
+    return dealt.mapInArrow(shared, "node long, held long").groupBy("node").agg(F.sum("held").alias("held"))
 
 
 def candidate_tokens(docs: DataFrame, candidates: DataFrame, config: JaccardConfig) -> DataFrame:
@@ -262,6 +270,50 @@ def index_combinations(shared: DataFrame, config: JaccardConfig) -> DataFrame:
     return shared.select("node", "n", "tokens").mapInArrow(run, "combination long, node long, n long")
 
 
+def bitmap(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Bits of the tokens modulo a power of two near twice the set's size, as 64-bit words."""
+    bits = 64 << max(0, (2 * size - 1) // 64).bit_length()
+    words = np.zeros(bits // 64, np.uint64)
+    at = tokens.view(np.uint64) % np.uint64(bits)
+    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return words
+
+
+def set_bitmaps(shared: DataFrame) -> DataFrame:
+    """(node, n, bits) of the tokens that other candidates hold too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, lists = batch.column(1).to_numpy(), batch.column(2)
+            flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            offs = offs - offs[0]
+            found = [bitmap(flat[a:b], int(n)) for a, b, n in zip(offs[:-1], offs[1:], sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offs).astype(np.int64)), _lists(found)], ["node", "n", "m", "bits"])
+
+    return shared.select("node", "n", F.col("tokens.token").alias("t")).mapInArrow(run, "node long, n long, m long, bits array<long>")
+
+
+def _folded(bits: Column, size: Column) -> Column:
+    """Words folded to half where they are more than ``size``."""
+    half = F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(bits) > size, half).otherwise(bits)
+
+
+def possible(pairs: DataFrame, bitmaps: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Pairs (a, b) whose bitmaps leave room for the overlap: each bit of one alone is a token of it alone."""
+    left = bitmaps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("bits").alias("b_a"))
+    right = bitmaps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("bits").alias("b_b"))
+    met = pairs.join(left, "a").join(right, "b")
+    size = F.least(F.size("b_a"), F.size("b_b"))
+    met = met.withColumn("x", _folded(F.col("b_a"), size)).withColumn("y", _folded(F.col("b_b"), size))
+
+    def alone(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+
+    overlap = F.least(F.col("m_a") - alone("x", "y"), F.col("m_b") - alone("y", "x"))
+    return met.where(100 * overlap >= config.percent * (F.col("n_a") + F.col("n_b") - overlap)).select("a", "b")
+
+
 def _fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -299,7 +351,8 @@ def _open_pairs(buckets: DataFrame) -> tuple[int, int]:
 
 def link_nodes(index: DataFrame, shared: DataFrame, config: JaccardConfig) -> DataFrame | None:
     """(node, root) of all linked nodes."""
-    roots = None
+    roots, leaders = None, 1
+    bitmaps = written(set_bitmaps(shared), "bitmaps")
     buckets = written(_distinct_buckets(index.withColumn("root", F.col("node"))), "buckets")
     pairs_left, rows = _open_pairs(buckets)
     while pairs_left:
@@ -309,14 +362,20 @@ def link_nodes(index: DataFrame, shared: DataFrame, config: JaccardConfig) -> Da
             y = buckets.select("combination", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
             pairs = x.join(y, "combination").where("a < b")
         else:
-            leader = buckets.groupBy("combination").agg(F.min(F.struct("node", "n", "root")).alias("l"))
-            led = buckets.join(leader, "combination")
-            pairs = led.where("node <> l.node").select(
-                F.col("l.node").alias("a"), F.col("l.n").alias("n_a"), F.col("l.root").alias("r_a"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b")
-            )
-            buckets = led.where("node <> l.node").select("combination", "node", "n")
+            if leaders == 1:
+                led = buckets.join(buckets.groupBy("combination").agg(F.min("node").alias("least")), "combination")
+                led = led.withColumn("leads", F.col("node") == F.col("least")).drop("least")
+            else:
+                led = buckets.withColumn("leads", F.row_number().over(Window.partitionBy("combination").orderBy("node")) <= leaders)
+            led = written(led, "leaders")
+            x = led.where("leads").select("combination", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
+            y = led.select("combination", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
+            pairs = x.join(y, "combination").where("a < b")  # leaders are the smallest
+            buckets = led.where("NOT leads").select("combination", "node", "n")
+            leaders *= 4
         pairs = pairs.where("r_a <> r_b").where(_fit(F.col("n_a"), F.col("n_b"), config.percent))
-        found = written(verified(pairs.select("a", "b").distinct(), shared, config), "verified")
+        near = written(possible(pairs.select("a", "b").distinct(), bitmaps, config), "near-pairs")
+        found = written(verified(near, shared, config), "verified")
         if roots is not None:  # links between nodes become links between what they are part of
             ends = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("r")), "a", "left").select(F.coalesce("r", "a").alias("a"), "b")
             ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b", "left").select("a", F.coalesce("r", "b").alias("b"))
@@ -338,7 +397,8 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig())
     """(doc_id, n_shingles, component_id) of every document."""
     summaries = written(set_summaries(docs, config), "shingle-sets")
     nodes = summaries.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    candidates = written(nodes.join(candidate_nodes(summaries), "node"), "candidates")
+    met = nodes.join(candidate_nodes(summaries), "node").where(F.col("held") >= 1 + F.floor(F.col("n") / 8))  # extra(n)
+    candidates = written(met.drop("held"), "candidates")
     tokens = candidate_tokens(docs, candidates.select("node", "doc_id"), config)
     shared = written(shared_tokens(tokens, config).join(candidates.select("node", "n"), "node"), "shared-tokens")
     roots = link_nodes(index_combinations(shared, config), shared, config)
