@@ -432,23 +432,27 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 
 def without_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """All columns of ``docs`` with ``n_bytes, n_removed, n_spans, kept`` (the remaining bytes)."""
+    """All columns of ``docs`` with what is removed and what is left.
+
+    Those are ``_n_bytes, _n_removed, _n_spans, _kept_sha256``, ``_kept`` (the remaining
+    text) and ``_touched`` (whether anything is removed).
+    """
     spans, copied = repeated_bytes(docs, config)
-    marks = spans.withColumn("copied", F.lit(False)).join(copied.withColumn("c", F.lit(True)), "class", "full")
-    marks = marks.select(F.col("class").alias("_class"), "spans", F.coalesce("c", F.lit(False)).alias("copied"))
+    marks = spans.join(copied.withColumn("c", F.lit(True)), "class", "full")
+    marks = marks.select(F.col("class").alias("_class"), F.col("spans").alias("_spans"), F.coalesce("c", F.lit(False)).alias("_copied"))
     rows = _classed(docs)
     names = [f.name for f in docs.schema.fields]
-    empty = marks.schema["spans"].dataType
+    empty = marks.schema["_spans"].dataType
     if marks.count() <= config.broadcast_rows:  # only texts that lose something are shuffled
         touched = F.broadcast(marks.select("_class"))
-        plain = rows.join(touched, "_class", "left_anti").withColumn("spans", F.lit(None).cast(empty)).withColumn("copied", F.lit(False))
-        rows = rows.join(touched, "_class", "left_semi").join(marks, "_class").select(*names, "spans", "copied").unionByName(plain.select(*names, "spans", "copied"))
+        plain = rows.join(touched, "_class", "left_anti").withColumn("_spans", F.lit(None).cast(empty)).withColumn("_copied", F.lit(False))
+        rows = rows.join(touched, "_class", "left_semi").join(marks, "_class").select(*names, "_spans", "_copied").unionByName(plain.select(*names, "_spans", "_copied"))
     else:
-        rows = rows.join(marks, "_class", "left").select(*names, "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
+        rows = rows.join(marks, "_class", "left").select(*names, "_spans", F.coalesce("_copied", F.lit(False)).alias("_copied"))
     schema = StructType(
         docs.schema.fields
-        + [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-        + [StructField("kept_sha256", StringType()), StructField("kept", StringType()), StructField("touched", BooleanType())]
+        + [StructField(c, LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]
+        + [StructField("_kept_sha256", StringType()), StructField("_kept", StringType()), StructField("_touched", BooleanType())]
     )
     place = names.index("text")
 
@@ -480,7 +484,8 @@ def without_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> D
 
 def removal_report(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
-    return without_repeats(docs.select("doc_id", "text"), config).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = without_repeats(docs.select("doc_id", "text"), config)
+    return out.select("doc_id", *[F.col("_" + c).alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
 
 
 def deduplicated(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
@@ -488,6 +493,6 @@ def deduplicated(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Data
 
     Bytes of a character that a cut has split are dropped with it.
     """
-    names = docs.columns
-    out = without_repeats(docs, config).where("NOT touched OR length(trim(kept)) > 0")
-    return out.select(*[F.when(F.col("touched"), F.col("kept")).otherwise(F.col("text")).alias("text") if c == "text" else c for c in names])
+    out = without_repeats(docs, config).where("NOT _touched OR length(trim(_kept)) > 0")
+    text = F.when(F.col("_touched"), F.col("_kept")).otherwise(F.col("text")).alias("text")
+    return out.select(*[text if c == "text" else c for c in docs.columns])
