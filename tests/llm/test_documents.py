@@ -328,7 +328,7 @@ def test_elias_fano():
 
 def test_lm_scores(spark):
     config = lmscore.LmConfig(shard_rows=40, min_count=3)
-    rows = [(i, " ".join(WORDS_OF(i)), "en", "a", 1) for i in range(120)] + [r for r in awkward() if r[0] not in (7, 8)]
+    rows = [(1000 + i, " ".join(WORDS_OF(i)), "en", "a", 1) for i in range(120)] + [r for r in awkward() if r[0] not in (7, 8)]
     got = lmscore.score_documents(table(spark, rows), lmscore.train_ngram_model(table(spark, rows), config)).collect()
     tokens = [[*WORD.findall((t or "").translate(LOWER)), None] for _, t, *_ in rows]
     learn = [t for t, r in zip(tokens, rows) if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 != 2]
