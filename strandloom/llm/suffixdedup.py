@@ -17,9 +17,9 @@ at anchors are sorted, each with the bytes before it that a string may hold.
 5. Suffixes whose common prefix reaches far enough are grouped by the bytes before
    them; that tells for each anchor which strings over it are repeated.
 
-A group of suffixes with one beginning stays in one range.  A group larger than a
-range should be (``hot``) is not merged in one task: the strings over its anchors
-are dealt out by hash instead, one row for each place in the repeated text.
+A group of suffixes with one beginning stays in one range.  A large group (``hot``)
+is not merged in one task: the strings over its anchors are dealt out by hash, after
+those that repeat inside one document are settled there.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; so has one
 shorter than ``length``; overlaps count; rows that repeat a text, with equal or
@@ -50,7 +50,7 @@ class SuffixConfig:
     run_rows: int = 30_000
     range_rows: int = 60_000
     sample_per_range: int = 40
-    hot: int = 60_000
+    hot: int = 10_000
     broadcast_rows: int = 500_000
 
     @property
@@ -368,18 +368,30 @@ def merge_ranges(runs: DataFrame, config: SuffixConfig) -> DataFrame:
 
 
 def hot_spans(with_texts: DataFrame, config: SuffixConfig) -> DataFrame:
-    """The same for hot beginnings: strings over their anchors are dealt out by hash, not by beginning."""
+    """The same for hot beginnings: strings over their anchors are dealt out by hash, not by beginning.
+
+    What repeats inside a document is settled in its task; of each string only its
+    first place in a document is dealt out, so periodic texts send few rows.
+    """
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, buf, start, end, pos in _each_document(batches):
             first = np.unique((pos[:, None] - np.arange(config.window)).ravel())
             first = first[(first >= 0) & (first + config.length <= end - start)]
-            h = K.SpanHash(buf[start:end])(first, first + config.length).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(first), c)), pa.array(first)], ["string", "class", "first"])
-
-    found = with_texts.mapInArrow(strings, "string long, class long, first long").distinct()
-    often = found.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    return found.join(often, "string").select("class", "first", (F.col("first") + config.length).alias("after"))
+            h = K.SpanHash(buf[start:end])(first, first + config.length)
+            keys, pick, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            own = first[count[back] > 1]
+            own = _merged(np.stack([own, own + config.length], axis=1))
+            string = pa.array([None] * len(own) + keys.view(np.int64).tolist(), pa.int64())
+            at = np.concatenate([own[:, 0], first[pick]])
+            after = np.concatenate([own[:, 1], first[pick] + config.length])
+            yield pa.RecordBatch.from_arrays([string, pa.array(np.full(len(at), c)), pa.array(at), pa.array(after)], ["string", "class", "first", "after"])
+
+    found = written(with_texts.mapInArrow(strings, "string long, class long, first long, after long"), "hot-strings")
+    dealt = found.where("string IS NOT NULL")
+    often = dealt.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    across = dealt.join(often, "string").select("class", "first", "after")
+    return found.where("string IS NULL").select("class", "first", "after").unionByName(across)
 
 
 def _classed(docs: DataFrame) -> DataFrame:
