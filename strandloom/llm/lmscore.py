@@ -1,10 +1,10 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Level 1 holds all training words by sorted hash with exact counts.  Words with
-``min_count`` occurrences and ``min_share`` of all tokens get ids, and n-grams of such words with ``min_ngram``
-occurrences make the levels above.  A level is cut into shards of contexts; a shard
-is a set of memory-mapped arrays in the shared folder: Elias-Fano pointers from
-each context to its successors, the successors as a monotone Elias-Fano sequence
+``min_count`` occurrences get ids, at any size of the corpus, and n-grams of such
+words with ``min_ngram`` occurrences make the levels above.  A level is cut into
+shards of contexts; a shard is a set of memory-mapped arrays in the shared folder:
+Elias-Fano pointers from each context to its successors, the successors as a monotone Elias-Fano sequence
 relative to the last value of the context before, one byte for the quantised
 interpolated probability of each n-gram and one for the back-off weight of each
 context.  A query finds a context's range by its pointers and the word by successor
@@ -47,7 +47,7 @@ SPAN = 4 << 20  # bytes of text that are counted together
 class LmConfig:
     order: int = 3
     min_count: int = 5
-    min_share: float = 2e-5  # of all training tokens
+    min_share: float = 0.0  # of all training tokens; above 0 it bounds the words with ids at any size
     min_ngram: int = 2
     discount: float = 0.75
     step: float = 0.05  # of the quantised log10 values
@@ -149,6 +149,17 @@ class Reader:
             ids[lo:hi][hit] = np.where(own >= 0, own + first, -1)
         return count, ids
 
+    def id_counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of the words with the given ids, each read in its own shard."""
+        own, back = np.unique(ids, return_inverse=True)
+        cuts = np.concatenate((np.searchsorted(own, np.array([first for _, first in self.model.words], np.int64)), [len(own)]))
+        found = np.zeros(len(own), np.int64)
+        for k, (_n, first) in enumerate(self.model.words):
+            lo, hi = cuts[k], cuts[k + 1]
+            if lo < hi:
+                found[lo:hi] = self._shard(f"{self.model.path}/words/{k}")["id_counts"][own[lo:hi] - first]
+        return found[back]
+
     def look_up(self, order: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the n-gram or -1, its log10, log10 weight of its context) for ascending contexts; word -1 is unknown."""
         level, step = self.model.levels[order - 2], self.model.config.step
@@ -280,7 +291,8 @@ def _write_words(table: DataFrame, model: NgramModel, shards: int, least: float)
             h, n = h[order], part[order, 2]
             often = n >= least
             ids = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-            save_arrays(f"{model.path}/words/{shard}", EliasFano.encode(h & np.uint64((1 << shift) - 1)) | {"counts": n.astype(np.uint64), "ids": ids})
+            arrays = {"counts": n.astype(np.uint64), "ids": ids, "id_counts": n[often]}
+            save_arrays(f"{model.path}/words/{shard}", EliasFano.encode(h & np.uint64((1 << shift) - 1)) | arrays)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [len(h)], "ids": [int(often.sum())], "tokens": [int(n.sum())]})
 
     dealt = table.withColumn("shard", F.shiftrightunsigned("word", shift) if bits else F.lit(0).cast("long"))
@@ -358,12 +370,12 @@ def _add_level(model: NgramModel, training: DataFrame, order: int) -> None:
             change = np.flatnonzero(np.diff(own)) + 1
             starts = np.concatenate(([0], change))
             if order == 2:
-                total = _id_counts(view)[context]
+                total = view.id_counts(context)
             share = (n_ - config.discount) / total
             kept_mass = np.zeros(width)
             np.add.at(kept_mass, own, share)
             backoff = np.clip(1 - kept_mass, 1e-12, 1.0)
-            lower = view.word_log10(_id_counts(view)[word]) if order == 2 else view.probabilities(order - 1, ending)
+            lower = view.word_log10(view.id_counts(word)) if order == 2 else view.probabilities(order - 1, ending)
             p = share + backoff[own] * 10.0**lower
             ends = np.append(starts[1:], len(word)) - 1
             base = np.concatenate(([0], np.cumsum(word[ends] + 1)))[:-1]
@@ -385,18 +397,6 @@ def _add_level(model: NgramModel, training: DataFrame, order: int) -> None:
     model.levels.append(level)
 
 
-def _id_counts(view: Reader) -> np.ndarray:
-    """Counts of all ids, in memory-mapped shards joined once a worker."""
-    if "id_counts" not in view.open:
-        parts = []
-        for k, (n, _first) in enumerate(view.model.words):
-            if n:
-                a = view._shard(f"{view.model.path}/words/{k}")
-                parts.append(a["counts"][np.asarray(a["ids"]) >= 0])
-        view.open["id_counts"] = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-    return view.open["id_counts"]
-
-
 def train_ngram_model(docs: DataFrame, config: LmConfig = LmConfig(), path: str | None = None) -> NgramModel:
     """Learn from all documents outside the held-out fold; files go to the shared folder."""
     spark = docs.sparkSession

@@ -373,6 +373,16 @@ def test_lm_scores(spark):
     assert lmscore.score_documents(empty, lmscore.train_ngram_model(empty)).count() == 0
 
 
+def test_words_keep_their_ngrams_as_the_corpus_grows(spark):
+    few = [(i, "lead tail", "en", "a", 1) for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:6]
+    filler = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 != 2)
+    many = few + [(filler, "pad " * 400_000, "en", "a", 1)]
+    small, large = (lmscore.train_ngram_model(table(spark, rows)) for rows in (few, many))
+    assert (small.n_ids, large.n_ids) == (3, 4)  # lead, tail and the end token; then pad too
+    for r in lmscore.score_documents(table(spark, few), large).collect():
+        assert r.score > r.base_score + 5
+
+
 def WORDS_OF(i):
     """Word sequences with frequent pairs and triples."""
     import random
