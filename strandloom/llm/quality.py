@@ -4,10 +4,13 @@ Each document gets the base counts of the rule set and two Jensen-Shannon
 distances (base 2, so 0..1): its character-class histogram and its common-word
 histogram against the references of its language.  The references are sums over
 all documents of that language, gathered as one small histogram per language
-and task.  A distance only counts when the document is long enough for it.
+and task.  A distance only counts when the document is long enough for it.  The bar
+for common words is a share of the distance that a text without any of them has to
+the reference; a reference that hardly holds such words itself judges none by them.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null ``lang`` is compared with the pooled reference; repeated rows are judged
+null ``lang`` is compared with the pooled reference, where the verdict goes by the
+number of common words and not by which; repeated rows are judged
 alike; columns other than those named are ignored; an empty table gives no rows.
 """
 
@@ -45,7 +48,8 @@ class QualityConfig:
     min_chars_for_classes: int = 200
     max_class_distance: float = 0.32
     min_words_for_common: int = 100
-    max_common_distance: float = 0.50
+    max_common_share: float = 0.85  # of the distance of a text without common words
+    min_common_in_reference: float = 0.10  # of the reference's words
 
 
 def _class_table() -> np.ndarray:
@@ -139,6 +143,22 @@ def js_distance(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(entropy((p + q) / 2) - (entropy(p) + entropy(q)) / 2, 0, 1))
 
 
+def odd_words(common: np.ndarray, reference: np.ndarray, pooled: np.ndarray, config: QualityConfig) -> np.ndarray:
+    """Whether each row of common-word counts is beyond the bar of its reference."""
+
+    def beyond(counts, reference):
+        bare = np.zeros_like(reference)
+        bare[:, -1] = 1
+        return js_distance(counts, reference) > config.max_common_share * js_distance(bare, reference)
+
+    def in_all(x):
+        return np.stack([x[:, :-1].sum(axis=1), x[:, -1]], axis=1)
+
+    told = in_all(reference)
+    judges = told[:, 0] >= config.min_common_in_reference * np.maximum(told.sum(axis=1), 1)
+    return judges & np.where(pooled, beyond(in_all(common), told), beyond(common, reference))
+
+
 def language_references(docs: DataFrame) -> dict[str | None, np.ndarray]:
     """Summed histograms of all documents by language; key None holds the sum over all."""
     width = N_CLASSES + N_COMMON + 1
@@ -170,8 +190,8 @@ def language_references(docs: DataFrame) -> dict[str | None, np.ndarray]:
     return out
 
 
-def verdicts(buf, offs, references: np.ndarray, config: QualityConfig) -> dict[str, np.ndarray]:
-    """All result columns for the documents of a chunk, given their languages' references."""
+def verdicts(buf, offs, references: np.ndarray, pooled: np.ndarray, config: QualityConfig) -> dict[str, np.ndarray]:
+    """All result columns for the documents of a chunk, given their languages' references and which are the pooled one."""
     words = K.split_words(buf, offs)
     out = base_counts(buf, offs, words)
     classes, common = histograms(buf, offs, words)
@@ -179,7 +199,7 @@ def verdicts(buf, offs, references: np.ndarray, config: QualityConfig) -> dict[s
     common_d = js_distance(common, references[:, N_CLASSES:])
     failed = (out["n_words"] < config.min_words) | (100 * out["n_repeat_words"] > config.max_repeat_percent * out["n_words"])
     odd = (classes.sum(axis=1) >= config.min_chars_for_classes) & (class_d > config.max_class_distance)
-    odd |= (out["n_words"] >= config.min_words_for_common) & (common_d > config.max_common_distance)
+    odd |= (out["n_words"] >= config.min_words_for_common) & odd_words(common, references[:, N_CLASSES:], pooled, config)
     out = {k: v.astype(np.int64) for k, v in out.items()}
     return out | {"base_failed": failed, "kept": ~failed & ~odd, "class_distance": class_d, "common_distance": common_d}
 
@@ -191,7 +211,8 @@ def _judged(batches: Iterator[pa.RecordBatch], lang: int, text: int, by_lang: di
         langs = batch.column(lang).to_pylist()
         for lo, hi in K.chunks(offs):
             references = np.stack([by_lang[x] if x in by_lang else by_lang[None] for x in langs[lo:hi]])
-            yield batch.slice(lo, hi - lo), verdicts(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], references, config)
+            pooled = np.array([x is None or x not in by_lang for x in langs[lo:hi]])
+            yield batch.slice(lo, hi - lo), verdicts(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], references, pooled, config)
 
 
 def score_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:

@@ -234,6 +234,23 @@ def test_quality(spark):
     assert quality.score_quality(table(spark, [])).count() == 0
 
 
+def test_common_words_alone_reject(spark):
+    import random
+
+    def text(n, seed, common):
+        r = random.Random(seed)
+        return " ".join(r.choice(common) if common and r.random() < 0.3 else r.choice("mno") + "".join(r.choices("aeiourstln", k=6)) for _ in range(n))
+
+    english, german = "the of and to in is that for it".split(), "der die und das den ist von zu mit".split()
+    rows = [(i, text(150, i, english), "en", "a", 1) for i in range(40)] + [(100 + i, text(150, 100 + i, german), "de", "a", 1) for i in range(5)]
+    rows += [(200 + i, text(150, 200 + i, None), "xx", "a", 1) for i in range(5)]  # a language without any of the words
+    rows += [(300, text(150, 300, None), "en", "a", 1), (301, text(150, 301, german), "en", "a", 1), (302, text(90, 302, None), "en", "a", 1)]
+    rows += [(310, text(150, 310, german), None, "a", 1), (311, text(150, 311, None), None, "a", 1)]
+    got = {r.doc_id: r for r in quality.score_quality(table(spark, rows)).collect()}
+    assert not any(r.base_failed or r.class_distance > quality.QualityConfig.max_class_distance for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {300, 301, 311}
+
+
 def test_js_distance():
     one, other = np.array([[1, 0]]), np.array([[0, 1]])
     assert quality.js_distance(one, other)[0] == pytest.approx(1) and quality.js_distance(one, 5 * one)[0] == 0
