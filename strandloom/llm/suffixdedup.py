@@ -17,9 +17,9 @@ at anchors are sorted, each with the bytes before it that a string may hold.
 5. Suffixes whose common prefix reaches far enough are grouped by the bytes before
    them; that tells for each anchor which strings over it are repeated.
 
-A group of suffixes with one beginning stays in one range.  A large group (``hot``)
-is not merged in one task: the strings over its anchors are dealt out by hash, after
-those that repeat inside one document are settled there.
+A group of suffixes with one beginning stays in one range.  A group larger than a
+range (``hot``) is not merged in one task: the strings over its anchors are dealt out
+by hash, after those that repeat inside one document are settled there.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; so has one
 shorter than ``length``; overlaps count; rows that repeat a text, with equal or
@@ -50,7 +50,7 @@ class SuffixConfig:
     run_rows: int = 30_000
     range_rows: int = 60_000
     sample_per_range: int = 40
-    hot: int = 10_000
+    hot: int = 60_000
     broadcast_rows: int = 500_000
 
     @property

@@ -49,6 +49,13 @@ def test_suffix_dedup(spark, settings):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_only_groups_beyond_a_range_leave_the_merge(spark):
+    config = suffixdedup.SuffixConfig()
+    for n, hot in ((12_000, False), (config.range_rows + 1, True)):
+        starts = spark.range(n).selectExpr("1L AS start", "id AS class", "0L AS pos")
+        assert [r.hot for r in suffixdedup.shared_anchors(starts, config).select("hot").distinct().collect()] == [hot]
+
+
 def test_loser_tree_and_front_coding():
     rng = np.random.default_rng(0)
     rows = rng.integers(97, 99, (400, 12)).astype(np.uint8)
