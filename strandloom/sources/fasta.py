@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.session import checkpointed
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -28,12 +29,24 @@ def reads_from_table(table: DataFrame, read_id: str, text: str) -> DataFrame:
 def numbered_contigs(contigs: DataFrame, min_length: int, part: Column | None = None) -> DataFrame:
     """Contigs longer than ``min_length`` with names in order of length, sequence and origin.
 
-    Numbers run within a part, so that no single task sorts all of them.
+    Numbers run within a part, if parts are given.  Else they run through all contigs:
+    these are sorted by ranges, and a range begins where the one before it ends, so
+    that no single task sorts all of them.
     """
-    part = F.lit(0) if part is None else part
-    order = Window.partitionBy("part").orderBy(F.desc("len"), "seq", "origin")
     kept = contigs.where(F.length("seq") > min_length).select("seq", F.length("seq").alias("len"), "origin")
-    kept = kept.withColumn("part", part).withColumn("n", F.row_number().over(order) - 1)
+    keys = [F.desc("len"), F.asc("seq"), F.asc("origin")]
+    if part is None:
+        ranged = kept.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+        # The id is the range's number, then 33 bits of the row's place in it.
+        ranged = checkpointed(ranged.withColumn("range", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1)))
+        before, total = [], 0
+        for key, n in sorted(tuple(r) for r in ranged.groupBy("range").count().collect()):
+            before.append((key, total))
+            total += n
+        before = kept.sparkSession.createDataFrame(before, "range long, before long")
+        kept = ranged.join(F.broadcast(before), "range").withColumn("n", F.col("before") + F.col("at")).withColumn("part", F.lit(0))
+    else:
+        kept = kept.withColumn("part", part).withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1)
     name = F.concat(F.lit("contig_"), F.col("n"), F.lit("_l_"), F.col("len"), F.lit("_r_"), F.col("part"))
     return kept.select(name.alias("name"), "seq", "len", "origin")
 

@@ -114,6 +114,22 @@ def test_written_fasta_is_read_again(spark, tmp_path):
     assert all(r.header.split("_l_")[1].split("_r_")[0] == str(len(r.seq)) for r in back)
 
 
+def test_contigs_are_numbered_in_several_tasks(spark):
+    rows = [(genome(30 + i % 50, i), "walk") for i in range(400)] + [("ACGT" * 10, "walk"), ("ACGT" * 10, "partial"), ("ACGT" * 10, "walk"), ("A" * 30, "walk")]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = fasta.numbered_contigs(spark.createDataFrame(rows, "seq string, origin string"), 30)
+        got = got.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(coalesce, before)
+    want = sorted((r for r in rows if len(r[0]) > 30), key=lambda r: (-len(r[0]), r[0], r[1]))
+    assert sorted((r.name, r.seq, r.origin) for r in got) == sorted((f"contig_{i}_l_{len(s)}_r_0", s, o) for i, (s, o) in enumerate(want))
+    assert len({r.task for r in got}) > 1
+    assert fasta.numbered_contigs(spark.createDataFrame([], "seq string, origin string"), 30).count() == 0
+
+
 def test_arguments():
     path, config = parse_arguments("-f x.fa -r 100 -c 80 -n 0".split())
     assert (path, config.coverage, config.buckets, config.node_limit) == ("x.fa", 80, 21, 100_000)
