@@ -13,11 +13,15 @@ one node.  Two nodes link when ``100 * intersection >= percent * union``.
    of as many tokens as a linked node may lack could hit every combination in it:
    rare tokens + sum over classes of (tokens - 1) > size - least overlap.  So two
    linked nodes share a combination.
-3. In each bucket the smallest node, the leader, is compared with the others.  What
-   is not yet connected goes on, with four times as many leaders in each round, or,
-   where the unconnected pairs are few, with just those.  Members of a large group
-   of near copies are so compared with one leader and never with each other.
-   Bitmaps of the sets bound the overlap first; pairs that pass are counted exactly.
+3. In each bucket the node whose tokens have the most holders, the leader, is compared
+   with the others, exactly.  Members of a large group of near copies are so compared
+   with its centre, and most link with it.
+4. A node that does not link with its leader can link with others of the bucket only
+   by tokens outside the leader, or where it nearly links and they are smaller.  So
+   compared nodes are indexed again under the leader, by a prefix of those tokens that
+   is as long as the gap to a link needs; its first common token bounds what a pair
+   can share.  The pairs that meet there are compared, or, where they are too many,
+   get leaders once more.  Nodes that link with the same leader are never paired.
 
 Number of classes: it grows with the size of the sets, so that classes hold a few
 tokens each; nodes emit for every class number that a partner's size may give.
@@ -36,7 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import textkernels as K
@@ -50,12 +54,18 @@ class JaccardConfig:
     percent: int = 75
     #: Tokens that more candidates hold are frequent.
     frequent: int = 16
-    #: Unconnected pairs are compared at once where they are at most so many a row of the buckets.
+    #: Pairs are compared without another leader where they are at most so many a row of the buckets,
     pairs_per_row: int = 8
+    #: or after so many rounds of leaders.
+    rounds: int = 3
     #: Tables of candidate ids up to this many rows are broadcast, larger ones are joined by shuffle.
     broadcast_rows: int = 500_000
 
 
+BUCKET = ["combination", "node", "n", "cap", "score", "linked"]
+BUCKET_SCHEMA = "combination long, node long, n long, cap long, score double, linked boolean"
+
+
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each document of a chunk."""
     starts, ends, word_offs = K.split_words(buf, offs)
@@ -93,15 +103,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def set_summaries(docs: DataFrame, config: JaccardConfig) -> DataFrame:
-    """(doc_id, n_shingles, node, prefix): node is null for an empty set; prefix is in hash order."""
+    """(doc_id, text_hash, n_shingles, node, prefix): node is null for an empty set; prefix is in hash order."""
     schema = StructType(
-        [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n_shingles", LongType())]
+        [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("text_hash", LongType()), StructField("n_shingles", LongType())]
         + [StructField("node", LongType()), StructField("prefix", ArrayType(LongType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offs = K.utf8_column(batch.column(1))
+            buf, offs = K.utf8_column(batch.column(2))
             for lo, hi in K.chunks(offs):
                 n, node, prefix = [], [], []
                 for s in shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], config.words):
@@ -109,10 +119,11 @@ def set_summaries(docs: DataFrame, config: JaccardConfig) -> DataFrame:
                     node.append(set_hash(s) if len(s) else None)
                     prefix.append(s[: allowance(len(s), config.percent) + extra(len(s))] if len(s) else s)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(prefix)], schema.names
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(prefix)], schema.names
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text), "text").mapInArrow(run, schema)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -190,21 +201,20 @@ def candidate_tokens(docs: DataFrame, candidates: DataFrame, config: JaccardConf
 
 
 def shared_tokens(tokens: DataFrame, config: JaccardConfig) -> DataFrame:
-    """(node, rare, frequent): the tokens of each candidate that other candidates hold too.
+    """(node, score, tokens): the tokens of each candidate that other candidates hold too.
 
-    ``rare`` are structs (holders, token) in ascending order.
+    ``tokens`` are structs (holders, token) in ascending order, with holders counted up
+    to one more than rare tokens have; ``score`` is the sum of all holders.
     """
-    limit = config.frequent + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, node, holders in _holders(batches):
             several = holders > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[several]), pa.array(token[several]), pa.array(np.minimum(holders[several], limit).astype(np.int32))], ["node", "token", "holders"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(node[several]), pa.array(token[several]), pa.array(holders[several].astype(np.int32))], ["node", "token", "holders"])
 
     counted = tokens.repartition("token").sortWithinPartitions("token", "node").mapInArrow(count, "node long, token long, holders int")
-    return counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("tokens"))
+    own = F.struct(F.least("holders", F.lit(config.frequent + 1)).alias("holders"), "token")
+    return counted.groupBy("node").agg(F.sum("holders").cast("double").alias("score"), F.sort_array(F.collect_list(own)).alias("tokens"))
 
 
 def class_numbers(size: int, percent: int) -> list[int]:
@@ -251,172 +261,172 @@ def combinations(tokens: np.ndarray, holders: np.ndarray, size: int, config: Jac
 
 
 def index_combinations(shared: DataFrame, config: JaccardConfig) -> DataFrame:
-    """(combination, node, n) rows."""
+    """Bucket rows of all candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            nodes, sizes, scores, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
             flat, offs = lists.flatten(), lists.offsets.to_numpy()
             offs = offs - offs[0]
             token, holders = flat.field("token").to_numpy(), flat.field("holders").to_numpy()
             found = [combinations(token[a:b], holders[a:b], int(n), config) for a, b, n in zip(offs[:-1], offs[1:], sizes)]
             count = [len(x) for x in found]
             if sum(count):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(nodes, count)), pa.array(np.repeat(sizes, count))],
-                    ["combination", "node", "n"],
-                )
-
-    return shared.select("node", "n", "tokens").mapInArrow(run, "combination long, node long, n long")
-
-
-def bitmap(tokens: np.ndarray, size: int) -> np.ndarray:
-    """Bits of the tokens modulo a power of two near twice the set's size, as 64-bit words."""
-    bits = 64 << max(0, (2 * size - 1) // 64).bit_length()
-    words = np.zeros(bits // 64, np.uint64)
-    at = tokens.view(np.uint64) % np.uint64(bits)
-    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return words
-
-
-def set_bitmaps(shared: DataFrame) -> DataFrame:
-    """(node, n, bits) of the tokens that other candidates hold too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, lists = batch.column(1).to_numpy(), batch.column(2)
-            flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            offs = offs - offs[0]
-            found = [bitmap(flat[a:b], int(n)) for a, b, n in zip(offs[:-1], offs[1:], sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offs).astype(np.int64)), _lists(found)], ["node", "n", "m", "bits"])
-
-    return shared.select("node", "n", F.col("tokens.token").alias("t")).mapInArrow(run, "node long, n long, m long, bits array<long>")
-
+                columns = [np.concatenate(found).view(np.int64)] + [np.repeat(x, count) for x in (nodes, sizes, room(np.diff(offs), sizes, config.percent), scores)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns] + [pa.array(np.zeros(sum(count), dtype=bool))], BUCKET)
 
-def _folded(bits: Column, size: Column) -> Column:
-    """Words folded to half where they are more than ``size``."""
-    half = F.zip_with(F.slice(bits, F.lit(1), size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseOR(y))
-    return F.when(F.size(bits) > size, half).otherwise(bits)
+    return shared.select("node", "n", "score", "tokens").mapInArrow(run, BUCKET_SCHEMA)
 
 
-def possible(pairs: DataFrame, bitmaps: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Pairs (a, b) whose bitmaps leave room for the overlap: each bit of one alone is a token of it alone."""
-    left = bitmaps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("m").alias("m_a"), F.col("bits").alias("b_a"))
-    right = bitmaps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("bits").alias("b_b"))
-    met = pairs.join(left, "a").join(right, "b")
-    size = F.least(F.size("b_a"), F.size("b_b"))
-    met = met.withColumn("x", _folded(F.col("b_a"), size)).withColumn("y", _folded(F.col("b_b"), size))
+def room(overlap, size, percent: int):
+    """Largest partner that a set can link with if they share at most ``overlap`` tokens."""
+    return overlap * (100 + percent) // percent - size
 
-    def alone(x: str, y: str) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
 
-    overlap = F.least(F.col("m_a") - alone("x", "y"), F.col("m_b") - alone("y", "x"))
-    return met.where(100 * overlap >= config.percent * (F.col("n_a") + F.col("n_b") - overlap)).select("a", "b")
+def least_overlap(a, b, percent: int):
+    """Tokens that linked sets of sizes a and b share at least."""
+    return -(-(percent * (a + b)) // (100 + percent))
 
 
-def _fit(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def star_pairs(buckets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's leader and the others that may link with anyone there."""
+    best = buckets.groupBy("combination").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max_by("node", "score").alias("a"))
+    met = buckets.join(best.where("k > 1").drop("k"), "combination").where("node <> a")
+    met = met.where(F.col("cap") >= F.greatest(F.col("least"), F.ceil(config.percent * F.col("n") / 100)))
+    return met.select("a", F.col("node").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, shared: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Those of the pairs (a, b) that link, by the exact overlap of their sets."""
-    held = shared.select("node", "n", F.col("tokens.token").alias("tokens"))
-    left = held.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    right = held.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    met = pairs.join(left, "a").join(right, "b")
-    overlap = F.size(F.array_intersect("t_a", "t_b"))
-    return met.where(100 * overlap >= config.percent * (F.col("n_a") + F.col("n_b") - overlap)).select("a", "b")
+def open_pairs(buckets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that share a bucket, may link by their sizes, and do not both link with its earlier leader."""
+    x = buckets.where("NOT linked").select("combination", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("cap").alias("cap_x"))
+    y = buckets.select("combination", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("cap").alias("cap_y"), "linked")
+    met = x.join(y, "combination").where("(linked AND x <> y) OR x < y").where("n_y <= cap_x AND n_x <= cap_y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _distinct_buckets(buckets: DataFrame) -> DataFrame:
-    """Buckets (combination, node, n, root) that hold several components, one of those with equal members.
+def compared(pairs: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(a, b, n, score, overlap, linked, rest) of pairs: sizes and score are of b, ``rest`` are its tokens outside a."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    held = sets.join(F.broadcast(ends) if ends.count() <= config.broadcast_rows else ends, "node")
+    held = held.select("node", "n", "score", F.col("tokens.token").alias("t"))
+    left = held.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("t").alias("t_a"))
+    met = pairs.join(left, "a").join(held.withColumnRenamed("node", "b"), "b").select("a", "b", "n_a", "n", "score", "t_a", "t")
 
-    Near copies meet in very many buckets, most of which have the same members.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            flat, offs = zip(*((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column(5), batch.column(6))))
+            overlap, rest = np.zeros(len(n), np.int64), []
+            for i in range(len(n)):
+                t = flat[1][offs[1][i] : offs[1][i + 1]]
+                common = np.isin(t, flat[0][offs[0][i] : offs[0][i + 1]])
+                overlap[i] = common.sum()
+                rest.append(t[~common].view(np.uint64))
+            linked = 100 * overlap >= config.percent * (n_a + n - overlap)
+            columns = [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(overlap), pa.array(linked), _lists(rest)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "score", "overlap", "linked", "rest"])
+
+    return met.mapInArrow(run, "a long, b long, n long, score double, overlap long, linked boolean, rest array<long>")
+
+
+def _around_leader(leader: int, n: int, overlap: int, linked: bool, low: int, rest: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(combinations, caps) by which a node that was compared with a leader meets the others that were.
+
+    A partner shares ``g`` or more tokens outside the leader with it: what their overlap
+    must be, less what either shares with the leader.  Where g is positive they meet
+    in one of the first ``len(rest) - g + 1`` of those tokens; the first one they share
+    bounds their overlap.  Else what each shares with the leader is enough for a link,
+    and they meet in one bucket of such nodes.
     """
-    key = F.xxhash64("node")
-    sets = buckets.groupBy("combination").agg(
-        F.count("*").alias("k"), F.bit_xor(key).alias("x"), F.sum(F.shiftright(key, 16)).alias("s"), F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    chosen = sets.where("low <> high").groupBy("k", "x", "s").agg(F.min("combination").alias("combination"))
-    return buckets.join(chosen.select("combination"), "combination").select("combination", "node", "n", "root")
-
-
-def _open_pairs(buckets: DataFrame) -> tuple[int, int]:
-    """Pairs of different components in the buckets, and rows."""
-    per_root = buckets.groupBy("combination", "root").agg(F.count("*").alias("k"))
-    per_bucket = per_root.groupBy("combination").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
-    pairs, rows = per_bucket.agg(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2), F.sum("k")).first()
-    return int(pairs or 0), int(rows or 0)
-
-
-def link_nodes(index: DataFrame, shared: DataFrame, config: JaccardConfig) -> DataFrame | None:
-    """(node, root) of all linked nodes."""
-    roots, leaders = None, 1
-    bitmaps = written(set_bitmaps(shared), "bitmaps")
-    buckets = written(_distinct_buckets(index.withColumn("root", F.col("node"))), "buckets")
-    pairs_left, rows = _open_pairs(buckets)
-    while pairs_left:
-        last = pairs_left <= config.pairs_per_row * rows
-        if last:
-            x = buckets.select("combination", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-            y = buckets.select("combination", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-            pairs = x.join(y, "combination").where("a < b")
-        else:
-            if leaders == 1:
-                led = buckets.join(buckets.groupBy("combination").agg(F.min("node").alias("least")), "combination")
-                led = led.withColumn("leads", F.col("node") == F.col("least")).drop("least")
-            else:
-                led = buckets.withColumn("leads", F.row_number().over(Window.partitionBy("combination").orderBy("node")) <= leaders)
-            led = written(led, "leaders")
-            x = led.where("leads").select("combination", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-            y = led.select("combination", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-            pairs = x.join(y, "combination").where("a < b")  # leaders are the smallest
-            buckets = led.where("NOT leads").select("combination", "node", "n")
-            leaders *= 4
-        pairs = pairs.where("r_a <> r_b").where(_fit(F.col("n_a"), F.col("n_b"), config.percent))
-        near = written(possible(pairs.select("a", "b").distinct(), bitmaps, config), "near-pairs")
-        found = written(verified(near, shared, config), "verified")
-        if roots is not None:  # links between nodes become links between what they are part of
-            ends = found.join(roots.select(F.col("node").alias("a"), F.col("root").alias("r")), "a", "left").select(F.coalesce("r", "a").alias("a"), "b")
-            ends = ends.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b", "left").select("a", F.coalesce("r", "b").alias("b"))
-            joined = connected_components(ends).select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            fresh = joined.select(F.col("root").alias("node"), F.col("higher").alias("root")).join(roots, "node", "left_anti")
-            roots = roots.join(joined, "root", "left").select("node", F.coalesce("higher", "root").alias("root")).unionByName(fresh)
-        else:
-            roots = connected_components(found)
-        roots = written(roots, "roots")
+    least = max(low, (percent * n + 99) // 100)
+    gap = least_overlap(n, least, percent) - overlap
+    first = max(0, len(rest) - (1 if linked else max(1, gap)) + 1)
+    own = K.mix(np.array([leader], np.int64).view(np.uint64))
+    keys = K.mix(own * np.uint64(0x9FB21C651E98DF25) ^ K.mix(rest[:first].view(np.uint64) + np.uint64(3)))
+    caps = room(overlap + len(rest) - np.arange(first), n, percent)
+    if gap <= 0:
+        keys, caps = np.append(keys, own ^ np.uint64(0x0EA4)), np.append(caps, room(overlap, n, percent))
+    return keys, caps
+
+
+def buckets_around_leaders(found: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Buckets in which nodes compared with one leader meet again, unless all of them link with it."""
+    near = found.groupBy("a").agg(F.min("n").alias("low"), F.bool_and("linked").alias("every")).where("NOT every").select("a", "low")
+    rows = found.join(F.broadcast(near) if near.count() <= config.broadcast_rows else near, "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]
+            flat, offs = batch.column(7).flatten().to_numpy(), batch.column(7).offsets.to_numpy()
+            offs = offs - offs[0]
+            made = [_around_leader(a, n, o, k, low, flat[i:j], config.percent) for a, _, n, _, o, k, low, i, j in zip(*columns, offs[:-1], offs[1:])]
+            if count := [len(k) for k, _ in made]:
+                out = [np.concatenate([k for k, _ in made]).view(np.int64)] + [np.repeat(columns[j], count) for j in (1, 2)]
+                out += [np.concatenate([c for _, c in made]).astype(np.int64)] + [np.repeat(columns[j], count) for j in (3, 5)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], BUCKET)
+
+    return rows.select("a", "b", "n", "score", "overlap", "linked", "low", "rest").mapInArrow(run, BUCKET_SCHEMA)
+
+
+def linked_pairs(index: DataFrame, sets: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Links (a, b) that connect all linked nodes; ``index`` has bucket rows."""
+    buckets, links = index, None
+    for step in range(config.rounds + 1):
+        if step:
+            rows, pairs = buckets.groupBy("combination").agg(F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("u")).agg(F.sum("k"), F.sum(F.col("k") * F.col("u"))).first()
+            if not pairs:
+                break
+        last = step and (step == config.rounds or pairs <= config.pairs_per_row * rows)
+        pairs = written(open_pairs(buckets) if last else star_pairs(buckets, config), "pairs")
+        found = written(compared(pairs, sets, config), "compared")
+        fresh = found.where("linked").select("a", "b")
+        links = fresh if links is None else links.unionByName(fresh)
         if last:
             break
-        named = buckets.join(roots, "node", "left").select("combination", "node", "n", F.coalesce("root", "node").alias("root"))
-        buckets = written(_distinct_buckets(named), "buckets")
-        pairs_left, rows = _open_pairs(buckets)
-    return roots
+        buckets = written(buckets_around_leaders(found, config), "buckets")
+    return links
 
 
-def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+def _rooted_sets(docs: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, node, root) of every row; root is null for an empty set."""
     summaries = written(set_summaries(docs, config), "shingle-sets")
     nodes = summaries.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     met = nodes.join(candidate_nodes(summaries), "node").where(F.col("held") >= 1 + F.floor(F.col("n") / 8))  # extra(n)
     candidates = written(met.drop("held"), "candidates")
     tokens = candidate_tokens(docs, candidates.select("node", "doc_id"), config)
-    shared = written(shared_tokens(tokens, config).join(candidates.select("node", "n"), "node"), "shared-tokens")
-    roots = link_nodes(index_combinations(shared, config), shared, config)
+    scored = shared_tokens(tokens, config).join(candidates.select("node", "n"), "node").withColumn("score", F.col("score") / F.col("n"))
+    sets = written(scored.select("node", "n", "score", "tokens"), "shared-tokens")
+    links = linked_pairs(written(index_combinations(sets, config), "combinations"), sets, config)
+    rows = summaries.drop("prefix").join(connected_components(links), "node", "left")
+    return rows.withColumn("root", F.coalesce("root", "node"))
 
-    rows = summaries.select("doc_id", "n_shingles", "node")
-    rows = rows.join(roots, "node", "left") if roots is not None else rows.withColumn("root", F.lit(None).cast("long"))
-    rows = rows.withColumn("root", F.coalesce("root", "node"))
+
+def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    rows = _rooted_sets(docs, config)
     smallest = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     out = rows.join(smallest, "root", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
-    """The documents, one of each component: the one of smallest doc_id.
+    """One row of each component: of smallest doc_id, any id before none, then of smallest text hash.
 
-    ``doc_id`` tells documents apart: rows that repeat one stay or go together, and
-    rows without one stay.
+    Rows that repeat both doc_id and text are one document and leave one row, whatever
+    their other columns; rows without words are linked with nothing and all stay.
     """
-    found = jaccard_components(docs, config).where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept_id"))
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["_kept_id"]), "left_semi")
-    return kept
+    rows = _rooted_sets(docs, config).where("root IS NOT NULL").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    rows = written(rows, "rooted")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")).alias("k"))
+    stays = F.col("k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k.text_hash") == F.col("text_hash"))
+    judged = rows.join(best, "root").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "copies", stays.alias("stays"))
+    marked = written(judged.where("NOT stays OR copies > 1"), "marked")
+    few = marked.count() <= config.broadcast_rows
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+
+    def joined(keys: DataFrame, how: str) -> DataFrame:
+        return docs.join(F.broadcast(keys) if few else keys, docs["doc_id"].eqNullSafe(keys["id_"]) & (hashed == keys["hash_"]), how)
+
+    # Only where the row that stays is repeated do its copies have to meet.
+    repeated = joined(marked.where("stays"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return joined(marked, "left_anti").unionByName(repeated)

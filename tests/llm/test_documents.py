@@ -115,7 +115,7 @@ def family(first, n, words, seed, edits):
 
 @pytest.mark.parametrize("settings", [{}, {"frequent": 1, "pairs_per_row": 0, "broadcast_rows": 0}])
 def test_jaccard(spark, settings):
-    rows = [r for r in awkward() if r[0] not in (7, 8)]
+    rows = awkward()
     rows += [*family(100, 12, 90, 5, 1), *family(200, 8, 60, 6, 2), *family(300, 5, 9, 7, 1), (400, "a b c", "en", "a", 1), (401, "A b c", "en", "a", 1)]
     got = jaccard.jaccard_components(table(spark, rows), jaccard.JaccardConfig(**settings)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, components(rows)))
@@ -126,6 +126,31 @@ def test_jaccard_of_nothing(spark):
     assert jaccard.one_of_each(table(spark, [(1, None, None, None, None)])).count() == 1
 
 
+def test_jaccard_of_a_large_group_around_one_text(spark):
+    """300 copies with edits of few words: most link with the text only, some with each other only, some with none."""
+    import random
+
+    r, base = random.Random(5), prose(150, 31).split()
+    rows = [(0, " ".join(base), "en", "a", 1)]
+    for k in range(1, 301):
+        rate = r.choice([0.005, 0.01, 0.02, 0.03])
+        w = [r.choice("xyz") if r.random() < rate / 2 else x for x in base if r.random() > rate / 2]
+        rows.append((k, " ".join(w), "en", "a", 1))
+    rows += [(1000 + i, prose(80, 2000 + i), "en", "a", 1) for i in range(700)]
+    got = jaccard.jaccard_components(table(spark, rows)).collect()
+    want = components(rows)
+    assert len({c for i, _, c in want if i < 1000}) > 10 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_one_row_of_each_group_stays(spark):
+    text, near = prose(60, 1), prose(60, 1).replace("alpha", "ALPHA") + " x"
+    rows = [(50, text, "en", "a", 1), (50, text, "de", "b", 2), (51, near, "en", "a", 1), (None, prose(60, 2), "en", "a", 1), (None, prose(60, 2), "en", "a", 1)]
+    rows += [(60, "", "en", "a", 1), (60, "", "en", "a", 1), (None, None, None, None, None)]
+    for limit in (0, 100):
+        got = jaccard.one_of_each(table(spark, rows), jaccard.JaccardConfig(broadcast_rows=limit)).collect()
+        assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("50", text), ("None", prose(60, 2)), ("60", ""), ("60", ""), ("None", "")])
+
+
 def test_combinations_are_shared_by_linked_sets():
     rng = np.random.default_rng(3)
     config = jaccard.JaccardConfig(frequent=2)
