@@ -1,38 +1,56 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Level 1 holds all training words by sorted hash with exact counts.  Words with
-``min_count`` occurrences get ids, at any size of the corpus, and n-grams of such
-words with ``min_ngram`` occurrences make the levels above.  A level is cut into
-shards of contexts; a shard is a set of memory-mapped arrays in the shared folder:
-Elias-Fano pointers from each context to its successors, the successors as a monotone Elias-Fano sequence
-relative to the last value of the context before, one byte for the quantised
-interpolated probability of each n-gram and one for the back-off weight of each
-context.  A query finds a context's range by its pointers and the word by successor
-search in that range.
-
-Smoothing: absolute discounting, interpolated down to add-one word frequencies over
-the words seen and one unseen word.  Counting is a map-side combined aggregation of
-all training documents; every level grows with the corpus.
+All words, pairs and triples of the training documents are in the model, however rare.
+
+1. Texts are tokenised once, into spans of many documents: the words of a span by
+   64-bit hash, and its tokens as numbers of those.  A span holds training documents
+   or held-out ones.
+2. Words of all spans, with their training counts, are dealt by ranges of their hash.
+   A task adds up the counts of its range and writes level 1: the sorted hashes as an
+   Elias-Fano sequence, with exact counts.
+3. Distinct triples of each span are dealt by ranges of their first and second word's
+   hashes, so that one frequent first word is spread over several tasks.  A task adds up
+   its range and writes levels 2 and 3: Elias-Fano pointers from each context to its
+   successors, the successors as a monotone Elias-Fano sequence relative to the last
+   value of the context before, and a byte each for the quantised shares and weights.
+4. In the same tasks the spans' words, pairs and triples are looked up in the files
+   just written, memory-mapped: a context's range by its pointers, the word by successor
+   search in that range.  Only the found bytes go back, to the spans, which add up.
+
+So no task opens more of the model than its own range, and what is dealt are packed
+blocks, one a span and range.  Smoothing, with counts c:
+
+    p(w)      = (c(w) + 1) / (N + V + 1)
+    p(w|v)    = (c(vw) + prior * p(w)) / (c(v) + prior)
+    p(w|u,v)  = (c(uvw) - discount) / c(uv) + discount * kinds(uv) / c(uv) * p(w|v)
+
+each of which sums to one over the words seen and one unseen word.  A token takes the
+longest context that it has in its document and that was seen.  Stored values are
+quantised to ``step`` in log10.
 
 Defined results: a null or empty text is the end token alone; without any training
 document, N = V = 0 and both scores are 0; words are compared by 64-bit hash;
-repeated rows score alike; other columns are ignored.
+repeated rows score alike; other columns are ignored; a very long text is a span of
+its own, so a task's memory follows the longest text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
+import struct
 import tempfile
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from . import textkernels as K
 from .eliasfano import EliasFano
@@ -40,213 +58,109 @@ from .storage import shared_dir, written
 
 #: Hash of the end token; hashes of words are never changed into it on purpose.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-SPAN = 4 << 20  # bytes of text that are counted together
+NONE = 255  # code of what the model does not hold
+BLOCK = "range long, span long, held boolean, block binary"
+ANSWER = "span long, level int, range long, n long, tokens long, block binary"
 
 
 @dataclass(frozen=True)
 class LmConfig:
-    order: int = 3
-    min_count: int = 5
-    min_share: float = 0.0  # of all training tokens; above 0 it bounds the words with ids at any size
-    min_ngram: int = 2
     discount: float = 0.75
+    prior: float = 5.0
     step: float = 0.05  # of the quantised log10 values
-    shard_rows: int = 400_000
+    span_bytes: int = 12 << 20
+    range_rows: int = 4_000_000  # tokens for each range of triples
     folds: int = 7
     held_out: int = 2
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+@dataclass
+class NgramModel:
+    """Where the files of a model lie, how its ranges are cut, and its totals."""
 
+    config: LmConfig
+    path: str
+    first_bits: int
+    second_bits: int
+    n_tokens: int = 0
+    n_words: int = 0
 
-def save_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """Write arrays under a directory: to a temporary name first, then moved."""
-    files, at = _open(path)
-    files.create_dir(os.path.dirname(at), recursive=True)
-    task = TaskContext.get()
-    for name, a in arrays.items():
-        temporary = f"{at}.{name}.{task.taskAttemptId() if task else 0}"
-        with files.open_output_stream(temporary) as f:
-            np.lib.format.write_array(f, np.ascontiguousarray(a), allow_pickle=False)
-        files.move(temporary, f"{at}.{name}.npy")
 
+# ---- packed arrays
 
-class Arrays(dict):
-    """Memory-mapped arrays of one shard; files of a remote store are fetched once a worker."""
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.files, self.at = _open(path)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays in their least width, by byte planes, compressed."""
+    out = []
+    for a in arrays:
+        top = int(a.max(initial=0))
+        kind = next(k for k in "BHIQ" if top < 1 << (8 * struct.calcsize("=" + k)))
+        planes = np.ascontiguousarray(a.astype("=" + kind)).view(np.uint8).reshape(len(a), struct.calcsize("=" + kind)).T
+        data = pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+        out.append(struct.pack("=cqq", kind.encode(), len(a), len(data)) + data)
+    return b"".join(out)
 
-    def __missing__(self, name: str) -> np.ndarray:
-        source = f"{self.at}.{name}.npy"
-        if not isinstance(self.files, fs.LocalFileSystem):
-            local = os.path.join(tempfile.mkdtemp(prefix="strandloom-lm-"), name + ".npy")
-            with self.files.open_input_stream(source) as f, open(local, "wb") as g:
-                shutil.copyfileobj(f, g)
-            source = local
-        self[name] = np.load(source, mmap_mode="r")
-        return self[name]
 
+def unpack(block: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(block):
+        kind, n, size = struct.unpack_from("=cqq", block, at)
+        at += struct.calcsize("=cqq")
+        width = struct.calcsize("=" + kind.decode())
+        raw = pa.decompress(block[at : at + size], n * width, codec="zstd", asbytes=True)
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view("=" + kind.decode()).ravel())
+        at += size
+    return out
 
-@dataclass
-class Level:
-    """Shards of a level: path, first context and first entry of each."""
 
-    paths: list[str] = field(default_factory=list)
-    first_context: list[int] = field(default_factory=list)
-    first_entry: list[int] = field(default_factory=list)
+# ---- files
 
 
-@dataclass
-class NgramModel:
-    """Where the levels of a model lie, and its totals."""
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
-    config: LmConfig
-    path: str
-    words: list[tuple[int, int]] = field(default_factory=list)  # of each hash shard: number, first id
-    n_tokens: int = 0
-    n_words: int = 0
-    n_ids: int = 0
-    levels: list[Level] = field(default_factory=list)  # from order 2 on
-
-    @property
-    def hash_bits(self) -> int:
-        return max(0, (len(self.words) - 1).bit_length())
-
-
-_open_models: dict[str, "Reader"] = {}
-
-
-class Reader:
-    """A worker's view of a model's files."""
-
-    def __init__(self, model: NgramModel):
-        self.model, self.open = model, {}
-
-    def _shard(self, path: str) -> Arrays:
-        if path not in self.open:
-            self.open[path] = Arrays(path)
-        return self.open[path]
-
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, id) of sorted hashes; count 0 and id -1 where unknown."""
-        m = self.model
-        count, ids = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
-        shift = 64 - m.hash_bits
-        edges = [k << shift for k in range(1, len(m.words))]
-        cuts = np.concatenate(([0], np.searchsorted(hashes, np.array(edges, np.uint64)), [len(hashes)])).astype(int)
-        for k, (n, first) in enumerate(m.words):
-            lo, hi = cuts[k], cuts[k + 1]
-            if lo == hi or not n:
-                continue
-            a = self._shard(f"{m.path}/words/{k}")
-            at = EliasFano(a).find(hashes[lo:hi] & np.uint64((1 << shift) - 1))
-            hit = at >= 0
-            count[lo:hi][hit] = a["counts"][at[hit]]
-            own = a["ids"][at[hit]].astype(np.int64)
-            ids[lo:hi][hit] = np.where(own >= 0, own + first, -1)
-        return count, ids
-
-    def id_counts(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of the words with the given ids, each read in its own shard."""
-        own, back = np.unique(ids, return_inverse=True)
-        cuts = np.concatenate((np.searchsorted(own, np.array([first for _, first in self.model.words], np.int64)), [len(own)]))
-        found = np.zeros(len(own), np.int64)
-        for k, (_n, first) in enumerate(self.model.words):
-            lo, hi = cuts[k], cuts[k + 1]
-            if lo < hi:
-                found[lo:hi] = self._shard(f"{self.model.path}/words/{k}")["id_counts"][own[lo:hi] - first]
-        return found[back]
-
-    def look_up(self, order: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the n-gram or -1, its log10, log10 weight of its context) for ascending contexts; word -1 is unknown."""
-        level, step = self.model.levels[order - 2], self.model.config.step
-        entry, logp, backoff = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context))
-        cuts = np.concatenate((np.searchsorted(context, np.array(level.first_context, np.int64)), [len(context)])).astype(int)
-        for k, path in enumerate(level.paths):
-            lo, hi = cuts[k], cuts[k + 1]
-            if lo == hi:
-                continue
-            a = self._shard(path)
-            pointers, successors = EliasFano(a, "p_"), EliasFano(a, "s_")
-            own, of = np.unique(context[lo:hi] - level.first_context[k], return_inverse=True)
-            inside = own < pointers.n - 1
-            here = own[inside]
-            ends = pointers.values(np.unique(np.concatenate((here, here + 1)))).astype(np.int64)
-            spot = np.searchsorted(np.unique(np.concatenate((here, here + 1))), here)
-            first, after, base = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), np.uint64)
-            first[inside], after[inside] = ends[spot], ends[spot + 1]
-            later = first > 0
-            base[later] = successors.values(first[later] - 1)
-            weight = np.zeros(len(own))
-            weight[inside] = a["backoff"][here] * -step
-            backoff[lo:hi] = weight[of]
-            try_ = np.flatnonzero((word[lo:hi] >= 0) & (first < after)[of])
-            of = of[try_]
-            at = successors.find(base[of] + word[lo:hi][try_].astype(np.uint64) + np.uint64(1), first[of], after[of])
-            hit = at >= 0
-            entry[lo:hi][try_[hit]] = at[hit] + level.first_entry[k]
-            logp[lo:hi][try_[hit]] = a["codes"][at[hit]] * -step
-        return entry, logp, backoff
-
-    def probabilities(self, order: int, entry: np.ndarray) -> np.ndarray:
-        """log10 of the n-grams at global indices."""
-        level = self.model.levels[order - 2]
-        out = np.zeros(len(entry))
-        by = np.argsort(entry, kind="stable")
-        ordered = entry[by]
-        cuts = np.concatenate((np.searchsorted(ordered, np.array(level.first_entry, np.int64)), [len(entry)])).astype(int)
-        for k, path in enumerate(level.paths):
-            lo, hi = cuts[k], cuts[k + 1]
-            if lo < hi:
-                out[by[lo:hi]] = self._shard(path)["codes"][ordered[lo:hi] - level.first_entry[k]] * -self.model.config.step
-        return out
 
-    def word_log10(self, count: np.ndarray) -> np.ndarray:
-        m = self.model
-        return np.log10((count + 1) / (m.n_tokens + m.n_words + 1))
+def save_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write arrays to one file: to a temporary name first, then moved."""
+    files, at = _open(path)
+    files.create_dir(os.path.dirname(at), recursive=True)
+    task = TaskContext.get()
+    temporary = f"{at}.{task.taskAttemptId() if task else 0}"
+    head, offset = {}, 0
+    for name, a in arrays.items():
+        head[name] = (a.dtype.str, len(a), offset)
+        offset += -(-a.nbytes // 64) * 64
+    text = json.dumps(head).encode()
+    text += b" " * (-(len(text) + 8) % 64)
+    with files.open_output_stream(temporary) as f:
+        f.write(struct.pack("=q", len(text)) + text)
+        for a in arrays.values():
+            f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 64))
+    files.move(temporary, at)
+
+
+@contextmanager
+def mapped_arrays(path: str) -> Iterator[dict[str, np.ndarray]]:
+    """Memory-mapped arrays of a file; a file of a remote store is fetched for as long as it is open."""
+    files, at = _open(path)
+    local = tempfile.TemporaryDirectory(prefix="strandloom-lm-")
+    with local:
+        if not isinstance(files, fs.LocalFileSystem):
+            copy = os.path.join(local.name, "arrays")
+            with files.open_input_stream(at) as f, open(copy, "wb") as g:
+                shutil.copyfileobj(f, g)
+            at = copy
+        whole = np.memmap(at, np.uint8, "r")
+        n = 8 + int(whole[:8].view(np.int64)[0])
+        yield {k: whole[n + o : n + o + size * np.dtype(d).itemsize].view(d) for k, (d, size, o) in json.loads(whole[8:n].tobytes()).items()}
 
-    def ladder(self, ids: np.ndarray, bounds: np.ndarray, orders: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """For orders 1 to ``orders``: the index of the n-gram that ends at each token, or -1.
 
-        Also two rows of log10: the longest n-gram's own (NaN: take the word's), and
-        the back-off weights of the longer contexts, to be added.
-        """
-        entries = [ids]
-        change = np.zeros((2, len(ids)))
-        change[0] = np.nan
-        inner = np.ones(len(ids), dtype=bool)
-        inner[bounds[:-1][np.diff(bounds) > 0]] = False
-        at = np.flatnonzero(inner)
-        for order in range(2, orders + 1):
-            below = entries[-1]
-            at = at[below[at - 1] >= 0]
-            context = below[at - 1]
-            word = np.where(below[at] >= 0, ids[at], -1)
-            key = K.mix(context.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + (word + 1).astype(np.uint64)
-            _, pick, back = np.unique(key, return_index=True, return_inverse=True)
-            by = np.argsort(context[pick], kind="stable")
-            entry, logp, backoff = self.look_up(order, context[pick][by], word[pick][by])
-            rank = np.empty(len(by), np.int64)
-            rank[by] = np.arange(len(by))
-            back = rank[back]
-            found = np.full(len(ids), -1, np.int64)
-            found[at] = entry[back]
-            hit = entry[back] >= 0
-            change[1, at] += backoff[back]
-            change[0, at[hit]], change[1, at[hit]] = logp[back][hit], 0
-            entries.append(found)
-        return entries, change
-
-
-def reader(model: NgramModel) -> Reader:
-    key = f"{model.path}:{len(model.levels)}"
-    if key not in _open_models:
-        _open_models.clear()
-        _open_models[key] = Reader(model)
-    return _open_models[key]
+def _saved(path: str) -> bool:
+    files, at = _open(path)
+    return files.get_file_info(at).type == fs.FileType.File
+
+
+# ---- spans
 
 
 def token_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,196 +177,388 @@ def token_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate(bounds)
 
 
-def _fold(config: LmConfig):
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(config.folds))
+def token_spans(docs: DataFrame, config: LmConfig, folds: bool) -> DataFrame:
+    """(span, held, tokens, docs, block) of many documents each; without ``folds`` all are held out."""
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(config.folds))
+    rows = docs.select("doc_id", "text", (fold == config.held_out).alias("fold"), F.lit(not folds).alias("all"))
+    kind = docs.schema["doc_id"].dataType
+    doc = StructType([StructField("doc_id", kind), StructField("held_out", BooleanType())])
+    schema = StructType([StructField("span", LongType()), StructField("held", BooleanType()), StructField("tokens", LongType()), StructField("docs", ArrayType(doc)), StructField("block", BinaryType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            fold = batch.column(2)
+            held = np.asarray(fold.to_numpy(zero_copy_only=False), bool) | np.asarray(batch.column(3).to_numpy(zero_copy_only=False), bool)
+            for side in (False, True):
+                own = batch.filter(pa.array(held == side))
+                buf, offs = K.utf8_column(own.column(1))
+                for lo, hi in K.chunks(offs, config.span_bytes):
+                    hashes, bounds = token_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                    words, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+                    order = np.argsort(-n, kind="stable")  # frequent words get small numbers
+                    rank = np.empty(len(order), np.int64)
+                    rank[order] = np.arange(len(order))
+                    of = pa.StructArray.from_arrays([own.column(0).slice(lo, hi - lo), own.column(2).slice(lo, hi - lo)], ["doc_id", "held_out"])
+                    lists = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), of)
+                    block = pack(np.diff(bounds), words[order], rank[at])
+                    columns = [pa.array([number]), pa.array([side]), pa.array([len(hashes)]), lists, pa.array([block], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+                    number += 1
+
+    return rows.mapInArrow(run, schema)
+
+
+class Span:
+    """The distinct words of a span, by ascending hash, and its distinct pairs and triples."""
+
+    def __init__(self, block: bytes):
+        lengths, words, tokens = unpack(block)
+        self.bounds = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))
+        order = np.argsort(words)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.words, self.tokens = words[order].astype(np.uint64), rank[tokens]
+
+    def triples(self, model: NgramModel, inverse: bool) -> None:
+        """Sets first, second (of pairs), pair_range, size (triples a pair), third and count, ordered by range.
+
+        A pair at a document's end has a triple with 0 as third; other thirds are word
+        numbers plus 1.  With ``inverse``: at, pair_of and triple_of, the positions of
+        pairs' first tokens and what stands there.
+        """
+        t, last = self.tokens, np.zeros(len(self.tokens), dtype=bool)
+        last[self.bounds[1:] - 1] = True
+        at = np.flatnonzero(~last)
+        third = np.where(last[at + 1], 0, t[np.minimum(at + 2, len(t) - 1)] + 1).astype(np.uint64)
+        bits = np.uint64(max(1, len(self.words).bit_length()))
+        pair = (t[at].astype(np.uint64) << bits) | t[at + 1].astype(np.uint64)
+        numbered = None
+        if 3 * int(bits) > 64:  # very many words: number the pairs first
+            numbered, pair = np.unique(pair, return_inverse=True)
+            pair = pair.astype(np.uint64)
+        key = (pair << bits) | third
+        if inverse:
+            key, triple_of, count = np.unique(key, return_inverse=True, return_counts=True)
+        else:
+            key, count = np.unique(key, return_counts=True)
+        pair = key >> bits
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        own = pair[first] if numbered is None else numbered[pair[first].astype(np.int64)]
+        a, b = (own >> bits).astype(np.int64), (own & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        in_range = _top(self.words[a], model.first_bits) << model.second_bits | _top(self.words[b], model.second_bits)
+        by = np.argsort(in_range, kind="stable")
+        moved = np.repeat(first[by], size[by]) + _within(size[by])
+        self.first, self.second, self.pair_range, self.size = a[by], b[by], in_range[by], size[by]
+        self.third, self.count = (key[moved] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), count[moved]
+        if inverse:
+            place = np.empty(len(moved), np.int64)
+            place[moved] = np.arange(len(moved))
+            self.at, self.triple_of = at, place[triple_of]
+            self.pair_of = np.repeat(np.arange(len(size)), self.size)[self.triple_of]
+
+
+def _top(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of consecutive groups."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def _slices(ranges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(range, from, to) of ascending range numbers."""
+    first = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1]))) if len(ranges) else np.zeros(0, np.int64)
+    for lo, hi in zip(first.tolist(), np.append(first[1:], len(ranges)).tolist()):
+        yield int(ranges[lo]), lo, hi
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    of = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, of[k]) for c, k in zip(columns, kinds)], list(names))
+
+
+def word_blocks(spans: DataFrame, model: NgramModel) -> DataFrame:
+    """Blocks of the spans' words, by range of hash: steps between the hashes, and training counts."""
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, held, block in zip(*(c.to_pylist() for c in batch.columns)):
+                span = Span(block)
+                count = np.bincount(span.tokens, minlength=len(span.words)) * (not held)
+                found = _slices(_top(span.words, model.first_bits))
+                yield _rows([(k, number, held, pack(np.diff(span.words[lo:hi], prepend=np.uint64(0)), count[lo:hi])) for k, lo, hi in found], BLOCK)
+
+    return spans.select("span", "held", "block").mapInArrow(run, BLOCK)
+
+
+def triple_blocks(spans: DataFrame, model: NgramModel) -> DataFrame:
+    """Blocks of the spans' distinct triples, by range: own words, then pairs and triples in numbers of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, held, block in zip(*(c.to_pylist() for c in batch.columns)):
+                span = Span(block)
+                span.triples(model, inverse=False)
+                edges = np.concatenate(([0], np.cumsum(span.size)))
+                out, own = [], np.zeros(len(span.words) + 1, np.int64)
+                for k, lo, hi in _slices(span.pair_range):
+                    third = span.third[edges[lo] : edges[hi]]
+                    often = np.bincount(third, minlength=len(own))
+                    used = often.copy()
+                    used[span.first[lo:hi] + 1] += 1
+                    used[span.second[lo:hi] + 1] += 1
+                    used[0] = 0
+                    used = np.flatnonzero(used)
+                    used = used[np.argsort(-often[used], kind="stable")]
+                    own[used] = np.arange(1, len(used) + 1)
+                    count = span.count[edges[lo] : edges[hi]] * (not held)
+                    out.append((k, number, held, pack(span.words[used - 1], own[span.first[lo:hi] + 1], own[span.second[lo:hi] + 1], span.size[lo:hi], own[third], count)))
+                yield _rows(out, BLOCK)
+
+    return spans.select("span", "held", "block").mapInArrow(run, BLOCK)
+
+
+def _each_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(range, its blocks (span, held, block)) of batches that are sorted by range."""
+    held: list[tuple] = []
+    at = None
     for batch in batches:
-        buf, offs = K.utf8_column(batch.column(column))
-        for lo, hi in K.chunks(offs, SPAN):
-            yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], batch
+        for k, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != at and held:
+                yield at, held
+                held = []
+            at = k
+            held.append(tuple(rest))
+    if held:
+        yield at, held
 
 
-def _ids_of(view: Reader, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, back = np.unique(hashes, return_inverse=True)
-    count, ids = view.words(keys)
-    return count[back], ids[back]
+# ---- levels
 
 
-def _write_words(table: DataFrame, model: NgramModel, shards: int, least: float) -> list[tuple[int, int, int, int]]:
-    bits = max(0, (shards - 1).bit_length())
-    shift = 64 - bits
+def _code(log10: np.ndarray, step: float) -> np.ndarray:
+    return np.clip(np.rint(log10 / -step), 0, NONE - 1).astype(np.uint8)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, part in _grouped(batches):
-            h = part[:, 1].view(np.uint64)
-            order = np.argsort(h)
-            h, n = h[order], part[order, 2]
-            often = n >= least
-            ids = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-            arrays = {"counts": n.astype(np.uint64), "ids": ids, "id_counts": n[often]}
-            save_arrays(f"{model.path}/words/{shard}", EliasFano.encode(h & np.uint64((1 << shift) - 1)) | arrays)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [len(h)], "ids": [int(often.sum())], "tokens": [int(n.sum())]})
 
-    dealt = table.withColumn("shard", F.shiftrightunsigned("word", shift) if bits else F.lit(0).cast("long"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard").select("shard", "word", "n")
-    return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard long, n long, ids long, tokens long").collect())
+def _shares(codes: np.ndarray, step: float) -> np.ndarray:
+    return np.where(codes == NONE, 0.0, 10.0 ** (codes.astype(np.float64) * -step))
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """(shard, rows) of batches that are sorted by their first column, shard."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        rows = np.stack([c.to_numpy().astype(np.int64, copy=False) for c in batch.columns], axis=1)
-        cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-        for i, piece in enumerate(np.split(rows, cuts)):
-            if len(piece) and held and held[0][0, 0] != piece[0, 0]:
-                whole = np.concatenate(held)
-                yield int(whole[0, 0]), whole
-                held = []
-            if len(piece):
-                held.append(piece)
-    if held:
-        whole = np.concatenate(held)
-        yield int(whole[0, 0]), whole
+def _monotone(context: np.ndarray, word: np.ndarray, contexts: int) -> dict[str, np.ndarray]:
+    """Pointers and successors of n-grams sorted by context and word, each context's from the last value of the one before."""
+    first = np.searchsorted(context, np.arange(contexts + 1))
+    starts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(word)) - 1
+    base = np.concatenate(([0], np.cumsum(word[ends] + 1)))[:-1] if len(word) else np.zeros(0, np.int64)
+    return EliasFano.encode(first, "p_") | EliasFano.encode(np.repeat(base, np.diff(np.append(starts, len(word)))) + word + 1, "s_")
 
 
-def _code(log10: np.ndarray, step: float) -> np.ndarray:
-    return np.clip(np.rint(log10 / -step), 0, 255).astype(np.uint8)
-
-
-def _add_level(model: NgramModel, training: DataFrame, order: int) -> None:
-    """Count the n-grams of one order, keep the frequent ones and write the level's shards."""
-    config, step = model.config, model.config.step
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        view = reader(model)
-        for _lo, _hi, buf, offs, _ in _texts(batches, 0):
-            hashes, bounds = token_hashes(buf, offs)
-            _, ids = _ids_of(view, hashes)
-            entries, _ = view.ladder(ids, bounds, order - 1)
-            below = entries[-1]
-            inner = np.ones(len(ids), dtype=bool)
-            inner[bounds[:-1][np.diff(bounds) > 0]] = False
-            at = np.flatnonzero(inner)
-            at = at[below[at - 1] >= 0]
-            # An n-gram is frequent only if its ending is; the others count for the context's total.
-            context, ending = below[at - 1], below[at]
-            word = np.where(ending >= 0, ids[at], -1)
-            if order == 2:  # totals of words are known
-                context, ending, word = (x[word >= 0] for x in (context, ending, word))
-            key = K.mix(context.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + (word + 1).astype(np.uint64)
-            _, pick, n = np.unique(key, return_index=True, return_counts=True)
-            columns = (context[pick], word[pick], ending[pick], n.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["context", "word", "ending", "n"])
-
-    counts = training.select("text").mapInArrow(count, "context long, word long, ending long, n long")
-    counts = counts.groupBy("context", "word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n"))
-    if order == 2:
-        counts = counts.where(F.col("n") >= config.min_ngram)
-    counts = written(counts, f"ngrams-{order}")
-    totals = counts.groupBy("context").agg(F.sum("n").alias("total"))
-    kept = counts.where("word >= 0").where(F.col("n") >= config.min_ngram)
-    extent = kept.agg(F.count("*"), F.max("context")).first()
-    n, last = extent[0], (extent[1] if extent[1] is not None else 0)
-    shards = max(1, -(-n // config.shard_rows))
-    width = last // shards + 1
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        view = reader(model)
-        for shard, part in _grouped(batches):
-            order_ = np.lexsort((part[:, 2], part[:, 1]))
-            context, word, ending, n_, total = (part[order_, j] for j in range(1, 6))
-            del part, order_
-            own = context - shard * width
-            first = np.searchsorted(own, np.arange(width + 1))
-            change = np.flatnonzero(np.diff(own)) + 1
-            starts = np.concatenate(([0], change))
-            if order == 2:
-                total = view.id_counts(context)
-            share = (n_ - config.discount) / total
-            kept_mass = np.zeros(width)
-            np.add.at(kept_mass, own, share)
-            backoff = np.clip(1 - kept_mass, 1e-12, 1.0)
-            lower = view.word_log10(view.id_counts(word)) if order == 2 else view.probabilities(order - 1, ending)
-            p = share + backoff[own] * 10.0**lower
-            ends = np.append(starts[1:], len(word)) - 1
-            base = np.concatenate(([0], np.cumsum(word[ends] + 1)))[:-1]
-            monotone = np.repeat(base, np.diff(np.append(starts, len(word)))) + word + 1
-            arrays = EliasFano.encode(first, "p_") | EliasFano.encode(monotone, "s_")
-            arrays |= {"codes": _code(np.log10(p), step), "backoff": _code(np.log10(backoff), step)}
-            save_arrays(f"{model.path}/level{order}/{shard}", arrays)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "n": [len(word)]})
-
-    rows = kept.join(totals, "context") if order > 2 else kept.withColumn("total", F.lit(0).cast("long"))
-    rows = rows.withColumn("shard", F.floor(F.col("context") / width)).repartition(shards, "shard").sortWithinPartitions("shard")
-    rows = rows.select("shard", "context", "word", "ending", "n", "total")
-    level, entries = Level(), 0
-    for shard, size in sorted(tuple(r) for r in rows.mapInArrow(write, "shard long, n long").collect()):
-        level.paths.append(f"{model.path}/level{order}/{shard}")
-        level.first_context.append(shard * width)
-        level.first_entry.append(entries)
-        entries += size
-    model.levels.append(level)
+def _successor(arrays: dict[str, np.ndarray], level: str, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Index of each (context, word) in a level, or -1; contexts ascend, -1 is none."""
+    view = {k[2:]: a for k, a in arrays.items() if k.startswith(level)}
+    pointers, successors = EliasFano(view, "p_"), EliasFano(view, "s_")
+    out = np.full(len(context), -1, np.int64)
+    try_ = np.flatnonzero(context >= 0)
+    if not len(try_) or not successors.n:
+        return out
+    own, of = np.unique(context[try_], return_inverse=True)
+    edges = np.unique(np.concatenate((own, own + 1)))
+    ends = pointers.values(edges).astype(np.int64)
+    spot = np.searchsorted(edges, own)
+    first, after = ends[spot], ends[spot + 1]
+    base = np.zeros(len(own), np.uint64)
+    later = first > 0
+    base[later] = successors.values(first[later] - 1)
+    some = (first < after)[of]
+    try_, of = try_[some], of[some]
+    out[try_] = successors.find(base[of] + word[try_].astype(np.uint64) + np.uint64(1), first[of], after[of])
+    return out
+
+
+def word_answers(blocks: DataFrame, model: NgramModel, build: bool, answer: bool) -> DataFrame:
+    """Level 1: training counts of the words of each block; files are written with ``build``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64((1 << (64 - model.first_bits)) - 1)
+        for k, blocks in _each_range(batches):
+            parts = [unpack(b) for *_, b in blocks]
+            words = [np.cumsum(steps.astype(np.uint64), dtype=np.uint64) for steps, _ in parts]
+            path, n, tokens = f"{model.path}/words/{k}", 0, 0
+            if build:
+                own, at = np.unique(np.concatenate(words), return_inverse=True)
+                total = np.zeros(len(own), np.int64)
+                np.add.at(total, at, np.concatenate([c for _, c in parts]).astype(np.int64))
+                own, total = own[total > 0], total[total > 0]
+                n, tokens = len(own), int(total.sum())
+                save_arrays(path, EliasFano.encode(own & mask) | {"counts": total.astype(np.uint64)})
+                yield _rows([(-1, 1, k, n, tokens, None)], ANSWER)
+            if answer and (build or _saved(path)):
+                with mapped_arrays(path) as level:
+                    sequence = EliasFano(level)
+                    for (span, *_), w in zip(blocks, words):
+                        at = sequence.find(w & mask)
+                        count = np.where(at >= 0, level["counts"][np.maximum(at, 0)] if sequence.n else 0, 0)
+                        yield _rows([(span, 1, k, None, None, pack(count))], ANSWER)
+                    del sequence, level
+
+    return _by_range(blocks, 1 << model.first_bits).mapInArrow(run, ANSWER)
+
+
+def _by_range(blocks: DataFrame, ranges: int) -> DataFrame:
+    return blocks.repartition(ranges, "range").sortWithinPartitions("range")
+
+
+def triple_answers(blocks: DataFrame, model: NgramModel, build: bool, answer: bool) -> DataFrame:
+    """Levels 2 and 3: codes of the pairs' shares and weights and the triples' shares of each block."""
+    step, config = model.config.step, model.config
+
+    def levels(parts: list[list[np.ndarray]], numbers: list[np.ndarray], words: np.ndarray, k: int) -> dict[str, np.ndarray]:
+        bits = np.uint64(max(1, len(words).bit_length()))
+        pairs = [(at[p[1]].astype(np.uint64) << bits) | at[p[2]].astype(np.uint64) for p, at in zip(parts, numbers)]
+        pair = np.concatenate([np.repeat(x, p[3]) for x, p in zip(pairs, parts)])
+        known = np.unique(pair)
+        context = np.searchsorted(known, pair).astype(np.uint64)
+        key = (context << bits) | np.concatenate([at[p[4]] for p, at in zip(parts, numbers)]).astype(np.uint64)
+        order = np.argsort(key)
+        key, n = key[order], np.concatenate([p[5] for p in parts]).astype(np.int64)[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        n, key = np.add.reduceat(n, starts) if len(starts) else n, key[starts]
+        context, third = (key >> bits).astype(np.int64), (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        total, kinds = np.zeros(len(known), np.int64), np.bincount(context, minlength=len(known))
+        np.add.at(total, context, n)
+        first, second = (known >> bits).astype(np.int64), (known & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        with mapped_arrays(f"{model.path}/words/{k >> model.second_bits}") as level:
+            own, of = np.unique(first, return_inverse=True)
+            found = EliasFano(level).find(words[own - 1] & np.uint64((1 << (64 - model.first_bits)) - 1))
+            count = level["counts"][found][of].astype(np.float64) if len(found) else np.zeros(0)
+        out = {"2_" + a: v for a, v in _monotone(first, second, len(words) + 1).items()} | {"3_" + a: v for a, v in _monotone(context, third, len(known)).items()}
+        out |= {"share2": _code(np.log10(total / (count + config.prior)), step), "weight3": _code(np.log10(config.discount * kinds / total), step)}
+        return out | {"share3": _code(np.log10((n - config.discount) / total[context]), step)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, blocks in _each_range(batches):
+            parts = [unpack(b) for *_, b in blocks]
+            path = f"{model.path}/triples/{k}"
+            learn = [i for i, (_, held, _b) in enumerate(blocks) if not held]
+            if build and learn:
+                words, often = np.unique(np.concatenate([parts[i][0] for i in learn]), return_counts=True)
+                words = words[np.argsort(-often, kind="stable")]
+                by = np.argsort(words)
+                numbers = [np.append(0, by[np.searchsorted(words, parts[i][0], sorter=by)] + 1) for i in learn]
+                made = levels([parts[i] for i in learn], numbers, words, k)
+                save_arrays(path, made | EliasFano.encode(words[by], "w_") | {"number": (by + 1).astype(np.uint32)})
+                del made, numbers
+            if answer and _saved(path):
+                with mapped_arrays(path) as level:
+                    words = EliasFano(level, "w_")
+                    for (span, *_), (own, first, second, size, third, _n) in zip(blocks, parts):
+                        found = words.find(own.astype(np.uint64))
+                        number = np.append(0, np.where(found >= 0, level["number"][np.maximum(found, 0)].astype(np.int64), -1))
+                        u, v = number[first], number[second]
+                        pair = _successor(level, "2_", np.where(v > 0, u, -1), np.maximum(v, 0))
+                        of, w = np.repeat(pair, size), number[third]
+                        at = _successor(level, "3_", np.where(w >= 0, of, -1), np.maximum(w, 0))
+                        codes = [np.where(i >= 0, level[c][np.maximum(i, 0)], NONE).astype(np.uint8) for c, i in (("share2", pair), ("weight3", pair), ("share3", at))]
+                        yield _rows([(span, 2, k, None, None, pack(*codes))], ANSWER)
+                    del words, level
+
+    return _by_range(blocks, 1 << (model.first_bits + model.second_bits)).mapInArrow(run, ANSWER)
+
+
+# ---- the operator
+
+
+def _new_model(spans: DataFrame, config: LmConfig, path: str | None) -> NgramModel:
+    tokens = spans.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    bits = max(4, (-(-tokens // config.range_rows) - 1).bit_length())
+    return NgramModel(config, path or shared_dir(spans.sparkSession, "ngram-model"), bits - bits // 3, bits // 3)
+
+
+def _totals(model: NgramModel, answers: DataFrame) -> None:
+    model.n_words, model.n_tokens = answers.where("span < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
 
 
 def train_ngram_model(docs: DataFrame, config: LmConfig = LmConfig(), path: str | None = None) -> NgramModel:
     """Learn from all documents outside the held-out fold; files go to the shared folder."""
-    spark = docs.sparkSession
-    model = NgramModel(config, path or shared_dir(spark, "ngram-model"))
-    training = docs.where(_fold(config) != config.held_out).select("text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _lo, _hi, buf, offs, _ in _texts(batches, 0):
-            word, n = np.unique(token_hashes(buf, offs)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
-
-    words = written(training.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    n, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = 1
-    while shards * config.shard_rows < n:
-        shards *= 2
-    found = {r[0]: r for r in _write_words(words, model, shards, max(config.min_count, config.min_share * total))}
-    for k in range(shards):
-        _, size, ids, tokens = found.get(k, (k, 0, 0, 0))
-        model.words.append((size, model.n_ids))
-        model.n_words += size
-        model.n_ids += ids
-        model.n_tokens += tokens
-    for order in range(2, config.order + 1):
-        _add_level(model, training, order)
+    spans = written(token_spans(docs, config, folds=True).where("NOT held"), "token-spans")
+    model = _new_model(spans, config, path)
+    _totals(model, written(word_answers(word_blocks(spans, model), model, build=True, answer=False), "word-counts"))
+    triple_answers(triple_blocks(spans, model), model, build=True, answer=False).count()
     return model
 
 
 def score_documents(docs: DataFrame, model: NgramModel) -> DataFrame:
-    """Token counts, base score and model score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # paths and totals only
+    """Token counts, base score and model score of every document by a model that is there."""
+    spans = written(token_spans(docs, model.config, folds=False), "token-spans")
+    words = word_answers(word_blocks(spans, model), model, build=False, answer=True)
+    return _scored(docs, spans, words.unionByName(triple_answers(triple_blocks(spans, model), model, build=False, answer=True)), model)
+
+
+def train_and_score(docs: DataFrame, config: LmConfig = LmConfig()) -> DataFrame:
+    """The same with a model of the documents outside the held-out fold, whose ranges are asked as they are made."""
+    spans = written(token_spans(docs, config, folds=True), "token-spans")
+    model = _new_model(spans, config, None)
+    words = written(word_answers(word_blocks(spans, model), model, build=True, answer=True), "word-counts")
+    _totals(model, words)
+    return _scored(docs, spans, words.where("span >= 0").unionByName(triple_answers(triple_blocks(spans, model), model, build=True, answer=True)), model)
+
+
+def _scored(docs: DataFrame, spans: DataFrame, answers: DataFrame, model: NgramModel) -> DataFrame:
+    step, config = model.config.step, model.config
     schema = StructType(
         [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("held_out", BooleanType())]
         + [StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")]
         + [StructField(c, DoubleType()) for c in ("base_score", "score")]
     )
+    answered = answers.groupBy("span").agg(F.collect_list(F.struct("level", "range", "block")).alias("answers"))
+    rows = spans.select("span", "docs", F.col("block").alias("own")).join(answered, "span", "left")
+
+    def logs(own: bytes, found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds of documents; count, base and score of each token."""
+        span = Span(own)
+        got = {(a["level"], a["range"]): unpack(a["block"]) for a in found}
+        count = np.zeros(len(span.words))
+        for k, lo, hi in _slices(_top(span.words, model.first_bits)):
+            if (1, k) in got:
+                count[lo:hi] = got[1, k][0]
+        p = ((count + 1) / (model.n_tokens + model.n_words + 1))[span.tokens]
+        base = np.log10(p) if model.n_tokens else np.zeros(len(p))
+        if not model.n_tokens:
+            return span.bounds, count[span.tokens], base, base
+        span.triples(model, inverse=True)
+        edges = np.concatenate(([0], np.cumsum(span.size)))
+        share2, weight3 = (np.full(len(span.size), NONE, np.uint8) for _ in range(2))
+        share3 = np.full(len(span.third), NONE, np.uint8)
+        for k, lo, hi in _slices(span.pair_range):
+            if (2, k) in got:
+                share2[lo:hi], weight3[lo:hi], share3[edges[lo] : edges[hi]] = got[2, k]
+        at, before = span.at, count[span.tokens[span.at]]
+        p[at + 1] = _shares(share2, step)[span.pair_of] + config.prior / (before + config.prior) * p[at + 1]
+        inner = span.third[span.triple_of] > 0
+        at, pair = at[inner], span.pair_of[inner]
+        weight = np.where(weight3 == NONE, 1.0, _shares(weight3, step))
+        p[at + 2] = _shares(share3, step)[span.triple_of[inner]] + weight[pair] * p[at + 2]
+        return span.bounds, count[span.tokens], base, np.log10(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        view, order = reader(model), model.config.order
-        for lo, hi, buf, offs, batch in _texts(batches, 2):
-            hashes, bounds = token_hashes(buf, offs)
-            counts, ids = _ids_of(view, hashes)
-            base = view.word_log10(counts) if model.n_tokens else np.zeros(len(counts))
-            score = base
-            if model.n_ids:
-                _, change = view.ladder(ids, bounds, order)
-                score = np.where(np.isnan(change[0]), score, change[0]) + change[1]
-            sums = np.zeros((3, len(counts) + 1))
-            for row, values in zip(sums, (counts > 0, base, score)):
-                np.cumsum(values, out=row[1:])
-            known, base_sum, score_sum = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
-            n = hi - lo
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(bounds)), pa.array(known.astype(np.int64)), pa.array(np.full(n, model.n_tokens)), pa.array(base_sum), pa.array(score_sum)],
-                schema.names,
-            )
-
-    return docs.select("doc_id", (_fold(model.config) == model.config.held_out).alias("held_out"), "text").mapInArrow(run, schema)
+        for batch in batches:
+            lists = batch.column(0)
+            flat, offs = lists.flatten(), lists.offsets.to_pylist()
+            for i, (own, found) in enumerate(zip(batch.column(1), batch.column(2))):
+                bounds, *values = logs(own.as_py(), found.as_py() or [])
+                sums = np.zeros((3, bounds[-1] + 1))
+                for row, x in zip(sums, (values[0] > 0, *values[1:])):
+                    np.cumsum(x, out=row[1:])
+                known, base, score = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
+                doc = flat.slice(offs[i] - offs[0], len(bounds) - 1)
+                n = pa.array(np.full(len(bounds) - 1, model.n_tokens, np.int64))
+                columns = [doc.field(0), doc.field(1), pa.array(np.diff(bounds)), pa.array(known.astype(np.int64)), n, pa.array(base), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.select("docs", "own", "answers").mapInArrow(run, schema)

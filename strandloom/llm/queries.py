@@ -25,8 +25,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return lmscore.score_documents(docs, lmscore.train_ngram_model(docs))
+    return lmscore.train_and_score(_table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

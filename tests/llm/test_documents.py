@@ -375,61 +375,71 @@ def test_elias_fano():
         assert e.find(q).tolist() == [want.get(int(x), -1) for x in q]
 
 
-def test_lm_scores(spark):
-    config = lmscore.LmConfig(shard_rows=40, min_count=3)
-    rows = [(1000 + i, " ".join(WORDS_OF(i)), "en", "a", 1) for i in range(120)] + [r for r in awkward() if r[0] not in (7, 8)]
-    got = lmscore.score_documents(table(spark, rows), lmscore.train_ngram_model(table(spark, rows), config)).collect()
+def test_packed_arrays():
+    rng = np.random.default_rng(0)
+    arrays = [np.zeros(0, np.int64), rng.integers(0, 200, 50), rng.integers(0, 1 << 60, 7, dtype=np.uint64), np.array([0, 70_000])]
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(arrays, lmscore.unpack(lmscore.pack(*arrays))))
+
+
+def trained_fold(i):
+    return zlib.crc32(str("" if i is None else i).encode()) % 7 != 2
+
+
+def lm_reference(rows, config):
+    """(tokens, known, training tokens, base, score) of each row, from counts of all words, pairs and triples."""
     tokens = [[*WORD.findall((t or "").translate(LOWER)), None] for _, t, *_ in rows]
-    learn = [t for t, r in zip(tokens, rows) if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 != 2]
+    learn = [t for t, r in zip(tokens, rows) if trained_fold(r[0])]
     c1 = Counter(w for t in learn for w in t)
-    total, kinds = sum(c1.values()), len(c1)
-    least = max(config.min_count, config.min_share * total)
-    c2 = Counter(p for t in learn for p in zip(t, t[1:]) if all(c1[w] >= least for w in p))
-    c2 = {p: n for p, n in c2.items() if n > 1}
-    c3, t3 = Counter(), Counter()
-    for t in learn:
-        for a, b, c in zip(t, t[1:], t[2:]):
-            if (a, b) in c2:
-                t3[a, b] += 1
-                c3[a, b, c] += (b, c) in c2
-    c3 = {p: n for p, n in c3.items() if n > 1}
-    mass2, mass3 = Counter(), Counter()
-    for (a, _), n in c2.items():
-        mass2[a] += (n - 0.75) / c1[a]
-    for (a, b, _), n in c3.items():
-        mass3[a, b] += (n - 0.75) / t3[a, b]
-
-    def p(*w):
-        if len(w) == 1:
-            return (c1[w[0]] + 1) / (total + kinds + 1)
-        counts, mass, known = (c2, mass2, c1[w[0]] >= least) if len(w) == 2 else (c3, mass3, w[:2] in c2)
-        if not known:
-            return p(*w[1:])
-        whole = c1[w[0]] if len(w) == 2 else t3[w[:2]]
-        return (1 - mass[w[0] if len(w) == 2 else w[:2]]) * p(*w[1:]) + max(counts.get(w, 0) - 0.75, 0) / whole
-
-    want = {}
-    for (i, *_), t in zip(rows, tokens):
+    c2 = Counter(p for t in learn for p in zip(t, t[1:]))
+    c3 = Counter(p for t in learn for p in zip(t, t[1:], [*t[2:], 0]))
+    kinds = Counter(p[:2] for p in c3)
+    total = sum(c1.values())
+
+    def p(w, v=0, u=0):
+        if v == 0:
+            return (c1[w] + 1) / (total + len(c1) + 1)
+        if u == 0:
+            return (c2[v, w] + config.prior * p(w)) / (c1[v] + config.prior)
+        if not c2[u, v]:
+            return p(w, v)
+        return (max(c3[u, v, w] - config.discount, 0) + config.discount * kinds[u, v] * p(w, v)) / c2[u, v]
+
+    for t in tokens:
         base = sum(math.log10(p(w)) for w in t)
-        score = sum(math.log10(p(*t[max(0, k - 2) : k + 1])) for k in range(len(t)))
-        want[i] = (len(t), sum(c1[w] > 0 for w in t), total, base, score)
-    assert len(c3) > 20 and len(got) == len(rows)
-    for r in got:
-        n, known, all_, base, score = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, all_)
-        assert r.base_score == pytest.approx(base) and abs(r.score - score) < 0.06 * n
+        score = sum(math.log10(p(t[k], *reversed(t[max(0, k - 2) : k]))) for k in range(len(t)))
+        yield len(t), sum(c1[w] > 0 for w in t), total, base, score
+
+
+@pytest.mark.parametrize("settings", [{}, {"range_rows": 300, "span_bytes": 4000}])
+def test_lm_scores(spark, settings):
+    config = lmscore.LmConfig(**settings)
+    rows = [(1000 + i, " ".join(WORDS_OF(i)), "en", "a", 1) for i in range(120)] + awkward()
+    rows += [(2000 + i, f"once {i} seen " + prose(20, i), "en", "a", 1) for i in range(20)]
+    want = sorted(((i, *x) for (i, *_), x in zip(rows, lm_reference(rows, config))), key=str)
+    model = lmscore.train_ngram_model(table(spark, rows), config)
+    for got in (lmscore.train_and_score(table(spark, rows), config), lmscore.score_documents(table(spark, rows), model)):
+        got = sorted(map(tuple, got.collect()), key=str)
+        assert len(got) == len(want)
+        for (i, held, n, known, total, base, score), x in zip(sorted(got, key=lambda r: (str(r[0]), r[2])), sorted(want, key=lambda r: (str(r[0]), r[1]))):
+            assert (i, n, known, total) == x[:4] and held == (not trained_fold(i))
+            assert base == pytest.approx(x[4]) and abs(score - x[5]) < 0.03 * n
+
+
+def test_lm_scores_of_nothing(spark):
     empty = table(spark, [])
-    assert lmscore.score_documents(empty, lmscore.train_ngram_model(empty)).count() == 0
-
-
-def test_words_keep_their_ngrams_as_the_corpus_grows(spark):
-    few = [(i, "lead tail", "en", "a", 1) for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:6]
-    filler = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 != 2)
-    many = few + [(filler, "pad " * 400_000, "en", "a", 1)]
-    small, large = (lmscore.train_ngram_model(table(spark, rows)) for rows in (few, many))
-    assert (small.n_ids, large.n_ids) == (3, 4)  # lead, tail and the end token; then pad too
-    for r in lmscore.score_documents(table(spark, few), large).collect():
-        assert r.score > r.base_score + 5
+    assert lmscore.train_and_score(empty).count() == 0
+    held = [(i, "a b", "en", "a", 1) for i in range(40) if not trained_fold(i)]
+    for got in (lmscore.train_and_score(table(spark, held)), lmscore.score_documents(table(spark, held), lmscore.train_ngram_model(empty))):
+        assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got.collect()] == [(3, 0, 0, 0.0, 0.0)] * len(held)
+
+
+def test_texts_seen_twice_score_apart(spark):
+    """Every n-gram counts, those seen once too."""
+    ids = [i for i in range(400) if trained_fold(i)]
+    rows = [(ids[k], prose(60, k), "en", "a", 1) for k in range(100)] + [(ids[100 + k], prose(60, k), "en", "a", 1) for k in range(20)]
+    got = {r.doc_id: r.score / r.n_tokens for r in lmscore.train_and_score(table(spark, rows)).collect()}
+    twice, once = [got[ids[k]] for k in range(20)], [got[ids[k]] for k in range(20, 100)]
+    assert min(twice) > max(once) + 0.1
 
 
 def WORDS_OF(i):
