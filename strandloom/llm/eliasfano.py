@@ -84,7 +84,7 @@ class EliasFano:
         return ((self._select1(i) - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
     def find(self, target: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
-        """Index of each target in [lo, hi), or -1: its high part gives a short range, whose low bits are scanned."""
+        """Index of each target in [lo, hi), or -1: its high part gives a range, whose low bits are searched."""
         out = np.full(len(target), -1, np.int64)
         if not self.n:
             return out
@@ -94,11 +94,14 @@ class EliasFano:
             at, last = np.maximum(at, lo), np.minimum(last, hi)
         wanted = target & np.uint64((1 << self.bits) - 1)
         todo = np.flatnonzero(at < last)
-        at = at[todo]
-        while len(todo):
-            low = self._low(at)
-            hit = low == wanted[todo]
-            out[todo[hit]] = at[hit]
-            on = (low < wanted[todo]) & (at + 1 < last[todo])
-            todo, at = todo[on], at[on] + 1
+        at, last, wanted = at[todo], last[todo], wanted[todo]
+        while len(todo):  # halve what is left of each range
+            middle = (at + last) >> 1
+            low = self._low(middle)
+            hit = low == wanted
+            out[todo[hit]] = middle[hit]
+            below = low < wanted
+            at, last = np.where(below, middle + 1, at), np.where(below, last, middle)
+            on = ~hit & (at < last)
+            todo, at, last, wanted = todo[on], at[on], last[on], wanted[on]
         return out

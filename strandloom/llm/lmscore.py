@@ -3,11 +3,13 @@
 All words, pairs and triples of the training documents are in the model, however rare.
 
 1. Texts are tokenised once, into spans of many documents: the words of a span by
-   64-bit hash, and its tokens as numbers of those.  A span holds training documents
-   or held-out ones.
+   64-bit hash, and its tokens as numbers of those, in a file of the shared folder.  A
+   span holds training documents or held-out ones.
 2. Words of all spans, with their training counts, are dealt by ranges of their hash.
    A task adds up the counts of its range and writes level 1: the sorted hashes as an
-   Elias-Fano sequence, with exact counts.
+   Elias-Fano sequence, with exact counts.  The most frequent words of each range, up to
+   ``numbered`` in all, also get numbers, which only make what follows shorter: other
+   words go by their hash.
 3. Distinct triples of each span are dealt by ranges of their first and second word's
    hashes, so that one frequent first word is spread over several tasks.  A task adds up
    its range and writes levels 2 and 3: Elias-Fano pointers from each context to its
@@ -50,7 +52,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from . import textkernels as K
 from .eliasfano import EliasFano
@@ -70,6 +72,7 @@ class LmConfig:
     step: float = 0.05  # of the quantised log10 values
     span_bytes: int = 12 << 20
     range_rows: int = 4_000_000  # tokens for each range of triples
+    numbered: int = 1 << 20  # words that have short numbers: 8 MB in a task, at any size
     folds: int = 7
     held_out: int = 2
 
@@ -85,6 +88,16 @@ class NgramModel:
     n_tokens: int = 0
     n_words: int = 0
 
+    def number_words(self, frequent: np.ndarray) -> None:
+        """Keep hashes of words by falling frequency: word i gets number i + 1."""
+        save_arrays(f"{self.path}/numbered", {"words": frequent, "order": np.argsort(frequent)})
+
+    @contextmanager
+    def numbered(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hashes by number, their ascending order)."""
+        with mapped_arrays(f"{self.path}/numbered") as a:
+            yield a["words"], a["order"]
+
 
 # ---- packed arrays
 
@@ -120,23 +133,27 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
-def save_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
-    """Write arrays to one file: to a temporary name first, then moved."""
+def save_bytes(path: str, *parts: bytes) -> None:
+    """Write a file: to a temporary name first, then moved."""
     files, at = _open(path)
     files.create_dir(os.path.dirname(at), recursive=True)
     task = TaskContext.get()
     temporary = f"{at}.{task.taskAttemptId() if task else 0}"
+    with files.open_output_stream(temporary) as f:
+        for x in parts:
+            f.write(x)
+    files.move(temporary, at)
+
+
+def save_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write arrays to one file, for mapping."""
     head, offset = {}, 0
     for name, a in arrays.items():
         head[name] = (a.dtype.str, len(a), offset)
         offset += -(-a.nbytes // 64) * 64
     text = json.dumps(head).encode()
     text += b" " * (-(len(text) + 8) % 64)
-    with files.open_output_stream(temporary) as f:
-        f.write(struct.pack("=q", len(text)) + text)
-        for a in arrays.values():
-            f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 64))
-    files.move(temporary, at)
+    save_bytes(path, struct.pack("=q", len(text)) + text, *(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 64) for a in arrays.values()))
 
 
 @contextmanager
@@ -150,7 +167,7 @@ def mapped_arrays(path: str) -> Iterator[dict[str, np.ndarray]]:
             with files.open_input_stream(at) as f, open(copy, "wb") as g:
                 shutil.copyfileobj(f, g)
             at = copy
-        whole = np.memmap(at, np.uint8, "r")
+        whole = np.memmap(at, np.uint8, "r").view(np.ndarray)
         n = 8 + int(whole[:8].view(np.int64)[0])
         yield {k: whole[n + o : n + o + size * np.dtype(d).itemsize].view(d) for k, (d, size, o) in json.loads(whole[8:n].tobytes()).items()}
 
@@ -178,15 +195,16 @@ def token_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def token_spans(docs: DataFrame, config: LmConfig, folds: bool) -> DataFrame:
-    """(span, held, tokens, docs, block) of many documents each; without ``folds`` all are held out."""
+    """(span, held, tokens, docs, file) of many documents each; without ``folds`` all are held out."""
+    path = shared_dir(docs.sparkSession, "token-spans")
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(config.folds))
     rows = docs.select("doc_id", "text", (fold == config.held_out).alias("fold"), F.lit(not folds).alias("all"))
     kind = docs.schema["doc_id"].dataType
     doc = StructType([StructField("doc_id", kind), StructField("held_out", BooleanType())])
-    schema = StructType([StructField("span", LongType()), StructField("held", BooleanType()), StructField("tokens", LongType()), StructField("docs", ArrayType(doc)), StructField("block", BinaryType())])
+    schema = StructType([StructField("span", LongType()), StructField("held", BooleanType()), StructField("tokens", LongType()), StructField("docs", ArrayType(doc)), StructField("file", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().taskAttemptId() << 24  # a file belongs to one attempt
         for batch in batches:
             fold = batch.column(2)
             held = np.asarray(fold.to_numpy(zero_copy_only=False), bool) | np.asarray(batch.column(3).to_numpy(zero_copy_only=False), bool)
@@ -201,8 +219,8 @@ def token_spans(docs: DataFrame, config: LmConfig, folds: bool) -> DataFrame:
                     rank[order] = np.arange(len(order))
                     of = pa.StructArray.from_arrays([own.column(0).slice(lo, hi - lo), own.column(2).slice(lo, hi - lo)], ["doc_id", "held_out"])
                     lists = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), of)
-                    block = pack(np.diff(bounds), words[order], rank[at])
-                    columns = [pa.array([number]), pa.array([side]), pa.array([len(hashes)]), lists, pa.array([block], pa.binary())]
+                    save_bytes(f"{path}/{number}", pack(np.diff(bounds), words[order], rank[at]))
+                    columns = [pa.array([number]), pa.array([side]), pa.array([len(hashes)]), lists, pa.array([f"{path}/{number}"])]
                     yield pa.RecordBatch.from_arrays(columns, schema.names)
                     number += 1
 
@@ -212,8 +230,10 @@ def token_spans(docs: DataFrame, config: LmConfig, folds: bool) -> DataFrame:
 class Span:
     """The distinct words of a span, by ascending hash, and its distinct pairs and triples."""
 
-    def __init__(self, block: bytes):
-        lengths, words, tokens = unpack(block)
+    def __init__(self, path: str):
+        files, at = _open(path)
+        with files.open_input_stream(at) as f:
+            lengths, words, tokens = unpack(f.read())
         self.bounds = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))
         order = np.argsort(words)
         rank = np.empty(len(order), np.int64)
@@ -283,45 +303,55 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, of[k]) for c, k in zip(columns, kinds)], list(names))
 
 
+def _few(spans: DataFrame) -> DataFrame:
+    """The rows of the spans' small table over as many tasks as there are."""
+    return spans.repartition(max(1, min(spans.count(), 10_000)), "span")
+
+
 def word_blocks(spans: DataFrame, model: NgramModel) -> DataFrame:
     """Blocks of the spans' words, by range of hash: steps between the hashes, and training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, held, block in zip(*(c.to_pylist() for c in batch.columns)):
-                span = Span(block)
+            for number, held, file in zip(*(c.to_pylist() for c in batch.columns)):
+                span = Span(file)
                 count = np.bincount(span.tokens, minlength=len(span.words)) * (not held)
                 found = _slices(_top(span.words, model.first_bits))
                 yield _rows([(k, number, held, pack(np.diff(span.words[lo:hi], prepend=np.uint64(0)), count[lo:hi])) for k, lo, hi in found], BLOCK)
 
-    return spans.select("span", "held", "block").mapInArrow(run, BLOCK)
+    return _few(spans).select("span", "held", "file").mapInArrow(run, BLOCK)
 
 
 def triple_blocks(spans: DataFrame, model: NgramModel) -> DataFrame:
-    """Blocks of the spans' distinct triples, by range: own words, then pairs and triples in numbers of those."""
+    """Blocks of the spans' distinct triples, by range: hashes of words without numbers, then pairs and triples.
+
+    Word i of those hashes goes by the number of numbered words plus i + 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, held, block in zip(*(c.to_pylist() for c in batch.columns)):
-                span = Span(block)
-                span.triples(model, inverse=False)
-                edges = np.concatenate(([0], np.cumsum(span.size)))
-                out, own = [], np.zeros(len(span.words) + 1, np.int64)
-                for k, lo, hi in _slices(span.pair_range):
-                    third = span.third[edges[lo] : edges[hi]]
-                    often = np.bincount(third, minlength=len(own))
-                    used = often.copy()
-                    used[span.first[lo:hi] + 1] += 1
-                    used[span.second[lo:hi] + 1] += 1
-                    used[0] = 0
-                    used = np.flatnonzero(used)
-                    used = used[np.argsort(-often[used], kind="stable")]
-                    own[used] = np.arange(1, len(used) + 1)
-                    count = span.count[edges[lo] : edges[hi]] * (not held)
-                    out.append((k, number, held, pack(span.words[used - 1], own[span.first[lo:hi] + 1], own[span.second[lo:hi] + 1], span.size[lo:hi], own[third], count)))
-                yield _rows(out, BLOCK)
-
-    return spans.select("span", "held", "block").mapInArrow(run, BLOCK)
+        with model.numbered() as (frequent, order):
+            for batch in batches:
+                for number, held, file in zip(*(c.to_pylist() for c in batch.columns)):
+                    span = Span(file)
+                    span.triples(model, inverse=False)
+                    edges = np.concatenate(([0], np.cumsum(span.size)))
+                    code = np.zeros(len(span.words) + 1, np.int64)  # 0: no third word
+                    if len(frequent):
+                        at = order[np.minimum(np.searchsorted(frequent, span.words, sorter=order), len(order) - 1)]
+                        code[1:] = np.where(frequent[at] == span.words, at + 1, 0)
+                    rare, out = np.flatnonzero(code[1:] == 0), []
+                    for k, lo, hi in _slices(span.pair_range):
+                        first, second, third = span.first[lo:hi], span.second[lo:hi], span.third[edges[lo] : edges[hi]]
+                        used = np.zeros(len(code), dtype=bool)
+                        for x in (first + 1, second + 1, third):
+                            used[x] = True
+                        own = rare[used[rare + 1]]
+                        code[own + 1] = len(frequent) + 1 + np.arange(len(own))
+                        count = span.count[edges[lo] : edges[hi]] * (not held)
+                        out.append((k, number, held, pack(span.words[own], code[first + 1], code[second + 1], span.size[lo:hi], code[third], count)))
+                    yield _rows(out, BLOCK)
+
+    return _few(spans).select("span", "held", "file").mapInArrow(run, BLOCK)
 
 
 def _each_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -386,6 +416,7 @@ def word_answers(blocks: DataFrame, model: NgramModel, build: bool, answer: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64((1 << (64 - model.first_bits)) - 1)
+        top = max(1, model.config.numbered >> model.first_bits)
         for k, blocks in _each_range(batches):
             parts = [unpack(b) for *_, b in blocks]
             words = [np.cumsum(steps.astype(np.uint64), dtype=np.uint64) for steps, _ in parts]
@@ -397,7 +428,8 @@ def word_answers(blocks: DataFrame, model: NgramModel, build: bool, answer: bool
                 own, total = own[total > 0], total[total > 0]
                 n, tokens = len(own), int(total.sum())
                 save_arrays(path, EliasFano.encode(own & mask) | {"counts": total.astype(np.uint64)})
-                yield _rows([(-1, 1, k, n, tokens, None)], ANSWER)
+                often = np.sort(np.argpartition(total, -top)[-top:]) if top < n else np.arange(n)
+                yield _rows([(-1, 1, k, n, tokens, pack(own[often], total[often]))], ANSWER)
             if answer and (build or _saved(path)):
                 with mapped_arrays(path) as level:
                     sequence = EliasFano(level)
@@ -418,55 +450,60 @@ def triple_answers(blocks: DataFrame, model: NgramModel, build: bool, answer: bo
     """Levels 2 and 3: codes of the pairs' shares and weights and the triples' shares of each block."""
     step, config = model.config.step, model.config
 
-    def levels(parts: list[list[np.ndarray]], numbers: list[np.ndarray], words: np.ndarray, k: int) -> dict[str, np.ndarray]:
-        bits = np.uint64(max(1, len(words).bit_length()))
+    def levels(parts: list[list[np.ndarray]], numbers: list[np.ndarray], hashes: np.ndarray, k: int) -> dict[str, np.ndarray]:
+        """Arrays of a range from its training blocks, with what their word numbers are here, and the hashes of those."""
+        bits = np.uint64(max(1, len(hashes).bit_length()))
+        low = (np.uint64(1) << bits) - np.uint64(1)
         pairs = [(at[p[1]].astype(np.uint64) << bits) | at[p[2]].astype(np.uint64) for p, at in zip(parts, numbers)]
-        pair = np.concatenate([np.repeat(x, p[3]) for x, p in zip(pairs, parts)])
-        known = np.unique(pair)
-        context = np.searchsorted(known, pair).astype(np.uint64)
+        known = np.unique(np.concatenate(pairs))
+        context = np.concatenate([np.repeat(np.searchsorted(known, x), p[3]) for x, p in zip(pairs, parts)]).astype(np.uint64)
         key = (context << bits) | np.concatenate([at[p[4]] for p, at in zip(parts, numbers)]).astype(np.uint64)
+        del pairs, context
         order = np.argsort(key)
         key, n = key[order], np.concatenate([p[5] for p in parts]).astype(np.int64)[order]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         n, key = np.add.reduceat(n, starts) if len(starts) else n, key[starts]
-        context, third = (key >> bits).astype(np.int64), (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        total, kinds = np.zeros(len(known), np.int64), np.bincount(context, minlength=len(known))
-        np.add.at(total, context, n)
-        first, second = (known >> bits).astype(np.int64), (known & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        context, third = (key >> bits).astype(np.int64), (key & low).astype(np.int64)
+        kinds = np.bincount(context, minlength=len(known))
+        total = np.add.reduceat(n, np.cumsum(kinds) - kinds) if len(n) else n
+        first, second = (known >> bits).astype(np.int64), (known & low).astype(np.int64)
+        own, of = np.unique(first, return_inverse=True)
         with mapped_arrays(f"{model.path}/words/{k >> model.second_bits}") as level:
-            own, of = np.unique(first, return_inverse=True)
-            found = EliasFano(level).find(words[own - 1] & np.uint64((1 << (64 - model.first_bits)) - 1))
+            found = EliasFano(level).find(hashes[own - 1] & np.uint64((1 << (64 - model.first_bits)) - 1))
             count = level["counts"][found][of].astype(np.float64) if len(found) else np.zeros(0)
-        out = {"2_" + a: v for a, v in _monotone(first, second, len(words) + 1).items()} | {"3_" + a: v for a, v in _monotone(context, third, len(known)).items()}
+        out = {"2_" + a: v for a, v in _monotone(of, second, len(own)).items()} | {"3_" + a: v for a, v in _monotone(context, third, len(known)).items()}
         out |= {"share2": _code(np.log10(total / (count + config.prior)), step), "weight3": _code(np.log10(config.discount * kinds / total), step)}
-        return out | {"share3": _code(np.log10((n - config.discount) / total[context]), step)}
+        return out | EliasFano.encode(own, "f_") | {"share3": _code(np.log10((n - config.discount) / total[context]), step)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, blocks in _each_range(batches):
-            parts = [unpack(b) for *_, b in blocks]
-            path = f"{model.path}/triples/{k}"
-            learn = [i for i, (_, held, _b) in enumerate(blocks) if not held]
-            if build and learn:
-                words, often = np.unique(np.concatenate([parts[i][0] for i in learn]), return_counts=True)
-                words = words[np.argsort(-often, kind="stable")]
-                by = np.argsort(words)
-                numbers = [np.append(0, by[np.searchsorted(words, parts[i][0], sorter=by)] + 1) for i in learn]
-                made = levels([parts[i] for i in learn], numbers, words, k)
-                save_arrays(path, made | EliasFano.encode(words[by], "w_") | {"number": (by + 1).astype(np.uint32)})
-                del made, numbers
-            if answer and _saved(path):
-                with mapped_arrays(path) as level:
-                    words = EliasFano(level, "w_")
-                    for (span, *_), (own, first, second, size, third, _n) in zip(blocks, parts):
-                        found = words.find(own.astype(np.uint64))
-                        number = np.append(0, np.where(found >= 0, level["number"][np.maximum(found, 0)].astype(np.int64), -1))
-                        u, v = number[first], number[second]
-                        pair = _successor(level, "2_", np.where(v > 0, u, -1), np.maximum(v, 0))
-                        of, w = np.repeat(pair, size), number[third]
-                        at = _successor(level, "3_", np.where(w >= 0, of, -1), np.maximum(w, 0))
-                        codes = [np.where(i >= 0, level[c][np.maximum(i, 0)], NONE).astype(np.uint8) for c, i in (("share2", pair), ("weight3", pair), ("share3", at))]
-                        yield _rows([(span, 2, k, None, None, pack(*codes))], ANSWER)
-                    del words, level
+        with model.numbered() as (frequent, _):
+            for k, blocks in _each_range(batches):
+                yield from answers(k, blocks, frequent)
+
+    def answers(k: int, blocks: list[tuple], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+        path, usual = f"{model.path}/triples/{k}", np.arange(len(frequent) + 1)
+        learn = [b for _, held, b in blocks if not held]
+        if build and learn:
+            parts = [unpack(b) for b in learn]
+            rare = np.unique(np.concatenate([p[0] for p in parts])).astype(np.uint64)
+            numbers = [np.append(usual, np.searchsorted(rare, p[0].astype(np.uint64)) + len(usual)) for p in parts]
+            save_arrays(path, levels(parts, numbers, np.append(frequent, rare), k) | EliasFano.encode(rare, "w_"))
+            del parts, numbers
+        if not answer or not _saved(path):
+            return
+        with mapped_arrays(path) as level:
+            words, firsts = EliasFano(level, "w_"), EliasFano(level, "f_")
+            for span, _, block in blocks:
+                own, first, second, size, third, _n = unpack(block)
+                found = words.find(own.astype(np.uint64))
+                number = np.append(usual, np.where(found >= 0, found + len(usual), -1))
+                u, v = number[first], number[second]
+                u = np.where((u > 0) & (v > 0), firsts.find(np.maximum(u, 0).astype(np.uint64)), -1)
+                pair = _successor(level, "2_", u, np.maximum(v, 0))
+                w = number[third]
+                at = _successor(level, "3_", np.where(w >= 0, np.repeat(pair, size), -1), np.maximum(w, 0))
+                codes = [np.where(i >= 0, level[c][np.maximum(i, 0)], NONE).astype(np.uint8) for c, i in (("share2", pair), ("weight3", pair), ("share3", at))]
+                yield _rows([(span, 2, k, None, None, pack(*codes))], ANSWER)
 
     return _by_range(blocks, 1 << (model.first_bits + model.second_bits)).mapInArrow(run, ANSWER)
 
@@ -481,7 +518,12 @@ def _new_model(spans: DataFrame, config: LmConfig, path: str | None) -> NgramMod
 
 
 def _totals(model: NgramModel, answers: DataFrame) -> None:
-    model.n_words, model.n_tokens = answers.where("span < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    """Sums over the ranges, and the numbers of frequent words: a bounded part of each range."""
+    found = answers.where("span < 0").select("n", "tokens", "block").collect()
+    model.n_words, model.n_tokens = sum(r.n for r in found), sum(r.tokens for r in found)
+    parts = [unpack(bytes(r.block)) for r in found]
+    words, count = (np.concatenate([np.zeros(0, np.uint64), *(p[j].astype(np.uint64) for p in parts)]) for j in range(2))
+    model.number_words(words[np.argsort(-count.astype(np.int64), kind="stable")])
 
 
 def train_ngram_model(docs: DataFrame, config: LmConfig = LmConfig(), path: str | None = None) -> NgramModel:
@@ -517,11 +559,11 @@ def _scored(docs: DataFrame, spans: DataFrame, answers: DataFrame, model: NgramM
         + [StructField(c, DoubleType()) for c in ("base_score", "score")]
     )
     answered = answers.groupBy("span").agg(F.collect_list(F.struct("level", "range", "block")).alias("answers"))
-    rows = spans.select("span", "docs", F.col("block").alias("own")).join(answered, "span", "left")
+    rows = spans.select("span", "docs", "file").join(answered, "span", "left")
 
-    def logs(own: bytes, found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def logs(file: str, found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bounds of documents; count, base and score of each token."""
-        span = Span(own)
+        span = Span(file)
         got = {(a["level"], a["range"]): unpack(a["block"]) for a in found}
         count = np.zeros(len(span.words))
         for k, lo, hi in _slices(_top(span.words, model.first_bits)):
@@ -561,4 +603,4 @@ def _scored(docs: DataFrame, spans: DataFrame, answers: DataFrame, model: NgramM
                 columns = [doc.field(0), doc.field(1), pa.array(np.diff(bounds)), pa.array(known.astype(np.int64)), n, pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.select("docs", "own", "answers").mapInArrow(run, schema)
+    return rows.select("docs", "file", "answers").mapInArrow(run, schema)

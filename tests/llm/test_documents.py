@@ -410,7 +410,7 @@ def lm_reference(rows, config):
         yield len(t), sum(c1[w] > 0 for w in t), total, base, score
 
 
-@pytest.mark.parametrize("settings", [{}, {"range_rows": 300, "span_bytes": 4000}])
+@pytest.mark.parametrize("settings", [{}, {"range_rows": 300, "span_bytes": 4000, "numbered": 64}])
 def test_lm_scores(spark, settings):
     config = lmscore.LmConfig(**settings)
     rows = [(1000 + i, " ".join(WORDS_OF(i)), "en", "a", 1) for i in range(120)] + awkward()
