@@ -411,6 +411,14 @@ def _successor(arrays: dict[str, np.ndarray], level: str, context: np.ndarray, w
     return out
 
 
+def _renumbered(code: np.ndarray, numbered: int, rare: np.ndarray) -> np.ndarray:
+    """Numbers of a block's words in its range: those beyond the numbered ones by ``rare``."""
+    code = code.astype(np.int64)
+    own = np.flatnonzero(code > numbered)
+    code[own] = rare[code[own] - numbered - 1]
+    return code
+
+
 def word_answers(blocks: DataFrame, model: NgramModel, build: bool, answer: bool) -> DataFrame:
     """Level 1: training counts of the words of each block; files are written with ``build``."""
 
@@ -450,17 +458,17 @@ def triple_answers(blocks: DataFrame, model: NgramModel, build: bool, answer: bo
     """Levels 2 and 3: codes of the pairs' shares and weights and the triples' shares of each block."""
     step, config = model.config.step, model.config
 
-    def levels(parts: list[list[np.ndarray]], numbers: list[np.ndarray], hashes: np.ndarray, k: int) -> dict[str, np.ndarray]:
-        """Arrays of a range from its training blocks, with what their word numbers are here, and the hashes of those."""
+    def levels(parts: list[list[np.ndarray]], hashes: np.ndarray, k: int) -> dict[str, np.ndarray]:
+        """Arrays of a range from (first, second, size, third, count) of its training blocks, and the hashes of words."""
         bits = np.uint64(max(1, len(hashes).bit_length()))
         low = (np.uint64(1) << bits) - np.uint64(1)
-        pairs = [(at[p[1]].astype(np.uint64) << bits) | at[p[2]].astype(np.uint64) for p, at in zip(parts, numbers)]
+        pairs = [(p[0].astype(np.uint64) << bits) | p[1].astype(np.uint64) for p in parts]
         known = np.unique(np.concatenate(pairs))
-        context = np.concatenate([np.repeat(np.searchsorted(known, x), p[3]) for x, p in zip(pairs, parts)]).astype(np.uint64)
-        key = (context << bits) | np.concatenate([at[p[4]] for p, at in zip(parts, numbers)]).astype(np.uint64)
+        context = np.concatenate([np.repeat(np.searchsorted(known, x), p[2]) for x, p in zip(pairs, parts)]).astype(np.uint64)
+        key = (context << bits) | np.concatenate([p[3] for p in parts]).astype(np.uint64)
         del pairs, context
         order = np.argsort(key)
-        key, n = key[order], np.concatenate([p[5] for p in parts]).astype(np.int64)[order]
+        key, n = key[order], np.concatenate([p[4] for p in parts]).astype(np.int64)[order]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         n, key = np.add.reduceat(n, starts) if len(starts) else n, key[starts]
         context, third = (key >> bits).astype(np.int64), (key & low).astype(np.int64)
@@ -481,14 +489,16 @@ def triple_answers(blocks: DataFrame, model: NgramModel, build: bool, answer: bo
                 yield from answers(k, blocks, frequent)
 
     def answers(k: int, blocks: list[tuple], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-        path, usual = f"{model.path}/triples/{k}", np.arange(len(frequent) + 1)
+        path, n = f"{model.path}/triples/{k}", len(frequent)
         learn = [b for _, held, b in blocks if not held]
         if build and learn:
             parts = [unpack(b) for b in learn]
             rare = np.unique(np.concatenate([p[0] for p in parts])).astype(np.uint64)
-            numbers = [np.append(usual, np.searchsorted(rare, p[0].astype(np.uint64)) + len(usual)) for p in parts]
-            save_arrays(path, levels(parts, numbers, np.append(frequent, rare), k) | EliasFano.encode(rare, "w_"))
-            del parts, numbers
+            for p in parts:
+                own = np.searchsorted(rare, p[0].astype(np.uint64)) + n + 1
+                p[:] = _renumbered(p[1], n, own), _renumbered(p[2], n, own), p[3], _renumbered(p[4], n, own).astype(np.uint32), p[5]
+            save_arrays(path, levels(parts, np.append(frequent, rare), k) | EliasFano.encode(rare, "w_"))
+            del parts
         if not answer or not _saved(path):
             return
         with mapped_arrays(path) as level:
@@ -496,11 +506,10 @@ def triple_answers(blocks: DataFrame, model: NgramModel, build: bool, answer: bo
             for span, _, block in blocks:
                 own, first, second, size, third, _n = unpack(block)
                 found = words.find(own.astype(np.uint64))
-                number = np.append(usual, np.where(found >= 0, found + len(usual), -1))
-                u, v = number[first], number[second]
+                number = np.where(found >= 0, found + n + 1, -1)
+                u, v, w = (_renumbered(x, n, number) for x in (first, second, third))
                 u = np.where((u > 0) & (v > 0), firsts.find(np.maximum(u, 0).astype(np.uint64)), -1)
                 pair = _successor(level, "2_", u, np.maximum(v, 0))
-                w = number[third]
                 at = _successor(level, "3_", np.where(w >= 0, np.repeat(pair, size), -1), np.maximum(w, 0))
                 codes = [np.where(i >= 0, level[c][np.maximum(i, 0)], NONE).astype(np.uint8) for c, i in (("share2", pair), ("weight3", pair), ("share3", at))]
                 yield _rows([(span, 2, k, None, None, pack(*codes))], ANSWER)
