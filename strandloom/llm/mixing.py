@@ -10,14 +10,15 @@ in the key order.
 Defined results: a null text has size 0; a null source is a source of its own and
 comes last; rows with equal keys are ordered by doc_id and size, and rows that
 agree in all of these are interchangeable; sources without words have target 0;
-an empty table gives no rows.  Reruns agree, whatever the partitioning.
+an empty table gives no rows; other columns are kept, whatever their names; a very
+long text counts by its words like any other.  Reruns agree, whatever the partitioning.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .storage import written
+from .storage import fresh_names, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -102,12 +103,13 @@ def mixed_documents(
     placed = _placed(docs, weights, limit, seed, slice_digits)
     once_more = (F.col("before") < F.col("rest")) & (2 * (F.col("rest") - F.col("before")) >= F.col("size"))
     at = F.struct("key", "doc_id", "size")
-    cuts = placed.groupBy("source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(once_more, at)).alias("_cut"))
-    cuts = written(cuts.withColumnRenamed("source", "_source"), "mixing-cuts")
+    own, epochs, cut, place, copy = fresh_names(docs, "own_source", "epochs", "cut", "place", "copy")
+    cuts = placed.groupBy("source").agg(F.max("epochs").alias(epochs), F.max(F.when(once_more, at)).alias(cut))
+    cuts = written(cuts.withColumnRenamed("source", own), "mixing-cuts")
     here = F.struct(random_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id"), word_count(F.col("text")).alias("size"))
-    joined = docs.withColumn("_at", here).join(cuts, F.col("source").cast("string").eqNullSafe(F.col("_source")))
-    copies = F.col("_epochs") + F.when(F.col("_at") <= F.col("_cut"), 1).otherwise(0)
-    joined = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    joined = docs.withColumn(place, here).join(cuts, F.col("source").cast("string").eqNullSafe(F.col(own)))
+    copies = F.col(epochs) + F.when(F.col(place) <= F.col(cut), 1).otherwise(0)
+    joined = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
     return joined.select(*docs.columns)
 
 

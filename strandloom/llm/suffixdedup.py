@@ -23,8 +23,9 @@ by hash, after those that repeat inside one document are settled there.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; so has one
 shorter than ``length``; overlaps count; rows that repeat a text, with equal or
-different doc_id, count as different places; other columns are ignored; an empty
-table gives no rows.
+different doc_id, count as different places; other columns are kept, whatever their
+names; an empty table gives no rows; a very long text gives as many anchors as its
+length asks for, worked through ``run_rows`` at a time.
 """
 
 from __future__ import annotations
@@ -35,11 +36,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from . import textkernels as K
-from .storage import written
+from .storage import fresh_names, written
 
 
 @dataclass(frozen=True)
@@ -105,46 +106,13 @@ def anchor_table(texts: DataFrame, config: SuffixConfig) -> DataFrame:
 
 
 def shared_anchors(table: DataFrame, config: SuffixConfig) -> DataFrame:
-    """The anchors (class, pos, start, hot) whose sure bytes also stand at another anchor."""
+    """The anchors (class, pos, start, hot) whose sure bytes also stand at another anchor.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        seen = 0  # rows of the first start that earlier batches passed on
-        empty = np.zeros((0, 3), np.int64)
-        rest = empty
-
-        def flush(rows: np.ndarray, more: bool):
-            nonlocal seen
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            rows = rows[new]
-            first = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-            size = np.diff(np.append(first, len(rows)))
-            count = size.copy()
-            count[0] += seen
-            seen = int(count[-1]) if more else 0
-            count = np.repeat(count, size)
-            rows, count = rows[count > 1], count[count > 1]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows[:, 1].copy()), pa.array(rows[:, 2].copy()), pa.array(rows[:, 0].copy()), pa.array(count > config.hot)], ["class", "pos", "start", "hot"]
-            )
-
-        for batch in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
-            if cut:
-                yield flush(rows[:cut], False)
-                rest = rows[cut:]
-            elif len(rows) > 500_000:
-                yield flush(rows[:-100], True)
-                rest = rows[-100:]
-            else:
-                rest = rows
-        if len(rest):
-            yield flush(rest, False)
-
-    dealt = table.repartition("start").sortWithinPartitions("start", "class", "pos")
-    return dealt.mapInArrow(run, "class long, pos long, start long, hot boolean")
+    Beginnings are counted in the tasks before they are dealt out, and the join by them
+    can be split, so a frequent one is not the work of one task.
+    """
+    often = table.groupBy("start").agg(F.count("*").alias("n")).where("n > 1")
+    return table.join(often, "start").select("class", "pos", "start", (F.col("n") > config.hot).alias("hot"))
 
 
 def contexts(buf: np.ndarray, start: int, end: int, pos: np.ndarray, config: SuffixConfig) -> np.ndarray:
@@ -394,23 +362,23 @@ def hot_spans(with_texts: DataFrame, config: SuffixConfig) -> DataFrame:
     return found.where("string IS NULL").select("class", "first", "after").unionByName(across)
 
 
-def _classed(docs: DataFrame) -> DataFrame:
+def _class() -> Column:
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("_class", F.xxhash64(text, F.octet_length(text)))
+    return F.xxhash64(text, F.octet_length(text))
 
 
 def repeated_bytes(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> tuple[DataFrame, DataFrame]:
     """Spans (class, spans) of the texts' classes, and the classes that several rows share."""
     spark = docs.sparkSession
-    rows = _classed(docs.select("doc_id", "text")).select("doc_id", F.col("_class").alias("class"), "text")
+    rows = docs.select("doc_id", _class().alias("class"), "text")
     copied = written(rows.where(F.octet_length("text") >= config.length).groupBy("class").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1"), "copied-texts")
     # One text of each class; rows that repeat both doc_id and text may stay, they are the same place.
-    spare = copied.select("class", F.col("doc_id").alias("_first"))
+    spare = copied.select("class", F.col("doc_id").alias("first_id"))
     spare = F.broadcast(spare) if copied.count() <= config.broadcast_rows else spare
     texts = rows.where(F.octet_length("text") >= config.length).join(spare, "class", "left")
-    texts = texts.where(F.col("_first").isNull() | (F.col("doc_id") == F.col("_first"))).select("class", "text")
+    texts = texts.where(F.col("first_id").isNull() | (F.col("doc_id") == F.col("first_id"))).select("class", "text")
 
-    found = written(shared_anchors(anchor_table(texts, config), config), "shared-anchors")
+    found = written(shared_anchors(written(anchor_table(texts, config), "anchors"), config), "shared-anchors")
     n = found.where("NOT hot").count()
     parts = max(1, -(-n // config.range_rows))
     bounds = np.zeros(0, f"S{config.sure}")
@@ -443,28 +411,32 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], np.maximum.reduceat(spans[:, 1], at)], axis=1)
 
 
+REPORT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "touched")
+
+
 def without_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
-    """All columns of ``docs`` with what is removed and what is left.
+    """All columns of ``docs``, then what is removed and what is left.
 
-    Those are ``_n_bytes, _n_removed, _n_spans, _kept_sha256``, ``_kept`` (the remaining
-    text) and ``_touched`` (whether anything is removed).
+    The last six are those of ``REPORT``, under names that no column of ``docs`` has:
+    ``kept`` is the remaining text, ``touched`` tells whether anything is removed.
     """
+    of, cut_spans, copied_, *found = fresh_names(docs, "own_class", "cut_spans", "copied", *REPORT)
     spans, copied = repeated_bytes(docs, config)
     marks = spans.join(copied.withColumn("c", F.lit(True)), "class", "full")
-    marks = marks.select(F.col("class").alias("_class"), F.col("spans").alias("_spans"), F.coalesce("c", F.lit(False)).alias("_copied"))
-    rows = _classed(docs)
+    marks = marks.select(F.col("class").alias(of), F.col("spans").alias(cut_spans), F.coalesce("c", F.lit(False)).alias(copied_))
+    rows = docs.withColumn(of, _class())
     names = [f.name for f in docs.schema.fields]
-    empty = marks.schema["_spans"].dataType
+    empty = marks.schema[cut_spans].dataType
     if marks.count() <= config.broadcast_rows:  # only texts that lose something are shuffled
-        touched = F.broadcast(marks.select("_class"))
-        plain = rows.join(touched, "_class", "left_anti").withColumn("_spans", F.lit(None).cast(empty)).withColumn("_copied", F.lit(False))
-        rows = rows.join(touched, "_class", "left_semi").join(marks, "_class").select(*names, "_spans", "_copied").unionByName(plain.select(*names, "_spans", "_copied"))
+        touched = F.broadcast(marks.select(of))
+        plain = rows.join(touched, of, "left_anti").withColumn(cut_spans, F.lit(None).cast(empty)).withColumn(copied_, F.lit(False))
+        rows = rows.join(touched, of, "left_semi").join(marks, of).select(*names, cut_spans, copied_).unionByName(plain.select(*names, cut_spans, copied_))
     else:
-        rows = rows.join(marks, "_class", "left").select(*names, "_spans", F.coalesce("_copied", F.lit(False)).alias("_copied"))
+        rows = rows.join(marks, of, "left").select(*names, cut_spans, F.coalesce(copied_, F.lit(False)).alias(copied_))
     schema = StructType(
         docs.schema.fields
-        + [StructField(c, LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")]
-        + [StructField("_kept_sha256", StringType()), StructField("_kept", StringType()), StructField("_touched", BooleanType())]
+        + [StructField(c, LongType()) for c in found[:3]]
+        + [StructField(found[3], StringType()), StructField(found[4], StringType()), StructField(found[5], BooleanType())]
     )
     place = names.index("text")
 
@@ -497,7 +469,7 @@ def without_repeats(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> D
 def removal_report(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     out = without_repeats(docs.select("doc_id", "text"), config)
-    return out.select("doc_id", *[F.col("_" + c).alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+    return out.select("doc_id", *REPORT[:4])
 
 
 def deduplicated(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
@@ -505,6 +477,7 @@ def deduplicated(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> Data
 
     Bytes of a character that a cut has split are dropped with it.
     """
-    out = without_repeats(docs, config).where("NOT _touched OR length(trim(_kept)) > 0")
-    text = F.when(F.col("_touched"), F.col("_kept")).otherwise(F.col("text")).alias("text")
-    return out.select(*[text if c == "text" else c for c in docs.columns])
+    out = without_repeats(docs, config)
+    kept, touched = (F.col(f"`{c}`") for c in out.columns[-2:])
+    text = F.when(touched, kept).otherwise(F.col("text")).alias("text")
+    return out.where(~touched | (F.length(F.trim(kept)) > 0)).select(*[text if c == "text" else c for c in docs.columns])

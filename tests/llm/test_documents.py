@@ -42,7 +42,7 @@ def removed(texts, length):
 @pytest.mark.parametrize("settings", [{}, {"hot": 2, "range_rows": 60, "run_rows": 50, "sample_per_range": 5, "broadcast_rows": 0}])
 def test_suffix_dedup(spark, settings):
     passage = prose(45, 9)
-    rows = [r for r in awkward() if r[0] not in (7, 8)] + [(20 + i, prose(20, 50 + i) + passage[i * 3 : 260 + i] + prose(12, 70 + i), "en", "a", 1) for i in range(6)]
+    rows = awkward() + [(20 + i, prose(20, 50 + i) + passage[i * 3 : 260 + i] + prose(12, 70 + i), "en", "a", 1) for i in range(6)]
     rows.append((40, ("ab" * 150) + prose(9, 1) + ("ab" * 150), "en", "a", 1))
     got = suffixdedup.removal_report(table(spark, rows), suffixdedup.SuffixConfig(**settings)).collect()
     want = [(i, *x) for (i, *_), x in zip(rows, removed([r[1] for r in rows], 200))]
@@ -56,6 +56,16 @@ def test_only_groups_beyond_a_range_leave_the_merge(spark):
         assert [r.hot for r in suffixdedup.shared_anchors(starts, config).select("hot").distinct().collect()] == [hot]
 
 
+def test_columns_of_any_name_stay(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, prose(60, 1 if i < 2 else i), "en", "ab"[i % 2], 1) for i in range(6)]
+    taken = ["_class", "_spans", "_kept", "_touched", "_copied", "own_class", "cut_spans", "kept_", "Touched", "n_bytes", "_at", "_copy", "_source", "_cut", "_epochs", "own_source", "epochs", "cut", "place", "copy"]
+    docs = table(spark, rows).select("*", *[F.lit(c).alias(c) for c in taken])
+    for out in (suffixdedup.deduplicated(docs), mixing.mixed_documents(docs), jaccard.one_of_each(docs), quality.keep_good(docs)):
+        assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in taken)
+
+
 def test_loser_tree_and_front_coding():
     rng = np.random.default_rng(0)
     rows = rng.integers(97, 99, (400, 12)).astype(np.uint8)
@@ -218,7 +228,7 @@ def test_records(spark, tmp_path):
 
 
 def test_mix(spark):
-    rows = [(i, prose(3 + i % 9, i), "en", ["a", "b", None][i % 7 % 3], 1) for i in range(60)] + [(i, t, lang, s, n) for i, t, lang, s, n in awkward() if i != 7 and i != 8]
+    rows = [(i, prose(3 + i % 9, i), "en", ["a", "b", None][i % 7 % 3], 1) for i in range(60)] + [(i, t, lang, s, n) for i, t, lang, s, n in awkward()]
     docs = table(spark, rows)
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows)
@@ -313,6 +323,8 @@ def test_language_id(spark):
     assert [got[i].lang_pred for i in (4, 5, 6)] == ["und"] * 3 and got[4].score == 0
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values() if r.doc_id is not None)
     assert got[12].lang_pred in ("en", "de")
+    marks = table(spark, [(1, "\u0301 \u0300 12", None, None, 0), (2, "\u0301e", None, None, 0)])
+    assert [r.lang_pred == "und" for r in sorted(langid.identify_languages(marks, langid.train_language_identifier(odd)).collect())] == [True, False]
     empty = table(spark, [])
     assert langid.identify_languages(empty, langid.train_language_identifier(empty)).count() == 0
 
@@ -329,7 +341,7 @@ def test_merges_equal_the_library():
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     r = random.Random(2)
     parts = ["s", "the", "re", " ", "  ", "\n", "a", "é", "1", "!", "日", "x", "😀", "in", "er", "\u0378", "ßsch"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randrange(15))) for _ in range(500)] + [None, "", "w" * 700]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(15))) for _ in range(500)] + [None, "", "w" * 700, "the" * 3000, "".join(r.choices("etaoinsé日", k=5000))]
     for i, ids, text in sentencepieces.encode_column(pa.array(texts, pa.string()), path, "auto"):
         assert ids.tolist() == library.encode(texts[i] or "") and text.decode() == (texts[i] or "")
 

@@ -38,6 +38,25 @@ def test_stages_keep_clean_documents_and_columns(spark, tmp_path):
         assert r.n_pieces == len(want) and r.ids_crc32 == zlib.crc32(want.tobytes()) and r.ids == want.tolist() and r.round_trip
 
 
+def test_awkward_documents_pass_the_stages(spark, tmp_path):
+    """Repeated doc_ids, null doc_ids, very long texts and extra columns; and no rows at all."""
+    from tests.llm.fixtures import awkward, table
+
+    twice = [(50, prose(80, 40), "en", "a", 1)] * 2 + [(None, prose(80, 41), "en", "b", 1)] * 2
+    for rows in (awkward() + twice, []):
+        docs = table(spark, rows)
+        seen = [docs]
+        for _, stage in corpus_pipeline.STAGES:
+            seen.append(stage(spark, seen[-1], str(tmp_path)).cache())
+        assert all(d.columns == docs.columns for d in seen[:5])
+        if rows:
+            kept = [(r.doc_id, r.text) for r in seen[3].collect()]
+            assert kept.count((50, prose(80, 40))) == 1 and kept.count((None, prose(80, 41))) == 1
+            assert {i for i, _ in kept} >= {1, 7, 8}
+        else:
+            assert seen[5].count() == 0
+
+
 def test_run_on_a_data_folder(spark):
     from tests.conftest import SF
 
