@@ -4,16 +4,18 @@ A record is: length of the payload (8 bytes), masked checksum of those 8 bytes
 (4), payload, masked checksum of the payload (4), all little-endian.  The
 checksum is CRC-32, masked by a rotation by 15 bits and an added constant, so
 that files of files are safe.  The payload is the ids as unsigned 16-bit numbers
-where the vocabulary fits, else 32-bit.  Beside each file lies an index with one
+where the tokenizer's ids fit, else 32-bit.  Beside each file lies an index with one
 fixed-size entry a record, so that a reader can fetch records in any order.
 
-Documents are range-partitioned and sorted by doc_id; each task writes one file
+Documents are range-partitioned and sorted by doc_id, and by a hash of the text, so
+that texts are no range bounds; each task writes one file
 and its index under a temporary name and moves them into place, so a task that
 runs again replaces its files.  Only one row a file reaches the driver.
 
 Defined results: a null or empty text gives a record with the end id alone; rows
-with equal doc_id are ordered by text; a null doc_id comes first; other columns
-are ignored; an empty table writes no files and gives no rows.
+with equal doc_id are ordered by the text's hash, then by text; a null doc_id comes
+first; other columns are ignored; an empty table writes no files and gives no rows; a
+very long text is one record, held whole by one task.
 """
 
 from __future__ import annotations
@@ -75,11 +77,19 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, vocab_size: int = 50257, path: str | None = None) -> RecordSet:
+def id_width(tokenizer: str, end_id: int = 0) -> int:
+    """Bytes that hold every id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    most = max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
+    return 2 if max(most, end_id) < 1 << 16 else 4
+
+
+def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | None = None) -> RecordSet:
     """Encode the texts of (doc_id, text) and write them in ascending doc_id order."""
     spark = docs.sparkSession
     path = path or shared_dir(spark, "token-records")
-    width = 2 if vocab_size <= 1 << 16 else 4
+    width = id_width(tokenizer, end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -105,7 +115,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 0, vocab_size:
             files.move(temporary, target + ".rec")
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [name], "n": [len(index)], "n_ids": [n_ids]})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+    ordered = keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     rows = ordered.mapInArrow(write, "part long, path string, n long, n_ids long").collect()
     found, before = [], 0
     for r in sorted(rows):
