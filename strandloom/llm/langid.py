@@ -53,6 +53,16 @@ def symbol_table() -> np.ndarray:
     return _cache["symbols"]
 
 
+def with_letters(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each document has a letter; marks alone are none."""
+    if "letters" not in _cache:
+        _cache["letters"] = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+    codes = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    lead = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=lead[1:])
+    return K.per_document(_cache["letters"][codes], lead[offs]) > 0
+
+
 def symbols(buf: np.ndarray, offs: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of documents laid end to end, each behind ``pad`` zeros; runs of zeros are one."""
     codes = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -258,7 +268,7 @@ class LanguageIdentifier:
         own = entropies[np.arange(n_docs), best]
         beyond = (n >= 20) & (own > self.limits[best]) if self.limits is not None else np.zeros(n_docs, bool)
         score = np.where(beyond, np.minimum(score, 0.49), score)
-        empty = n == 0
+        empty = ~with_letters(buf, offs)
         names = ["und" if e else self.models.languages[b] for e, b in zip(empty, best)]
         return names, np.where(empty, 0.0, score), empty | (score < 0.5), np.where(empty, 0.0, own)
 
