@@ -16,12 +16,14 @@ maximum as the next merge.  ``search="auto"`` goes by the model's own type.
 
 Defined results: a null or empty text has no ids and decodes to an empty text;
 U+2581 in a text decodes to a blank, as with the library; repeated rows give equal
-ids; other columns are ignored.
+ids; other columns are ignored; a very long text is worked through whole, and an
+unbroken word in it takes n log n steps; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +36,7 @@ from . import textkernels as K
 from .wordpieces import CHUNK, SpanCache
 
 BLANK = 0x2581
+LONG_WORD = 512  # longer words are merged one by one
 _cache: dict = {}
 
 
@@ -155,7 +158,14 @@ class MergeCoder(SpanCache):
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = []
-        for at, codes in _by_length(words):
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        for i in long:
+            codes = np.frombuffer(words[i].encode("utf-32-le"), np.uint32)
+            first, piece = self._merged(codes)
+            found.append((np.full(len(first), i), first, np.where(piece >= 0, self.table.ids[piece], 0), codes[first]))
+        if long:
+            words_here = ["" if len(w) > LONG_WORD else w for w in words]
+        for at, codes in _by_length(words_here if long else words):
             n, length = codes.shape
             flat = np.ascontiguousarray(codes).ravel()
             span = K.SpanHash(flat)
@@ -189,6 +199,33 @@ class MergeCoder(SpanCache):
             found.append((at[w], first, np.where(piece >= 0, self.table.ids[piece], 0), flat[w * length + first]))
         return _spread(self.table, words, found)
 
+    def _merged(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, rows of pieces) of one long word: pairs wait in a heap, so the work is n log n in its length."""
+        n, span, find, scores = len(codes), K.SpanHash(codes), self.table.find, self.table.scores
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        at = np.arange(n - 1)
+        piece = find(span(at, at + 2))
+        waiting = [(-float(scores[p]), i, i + 2) for i, p in zip(at[piece >= 0].tolist(), piece[piece >= 0].tolist())]
+        heapq.heapify(waiting)
+        here = [True] * n
+        while waiting:
+            _, i, end = heapq.heappop(waiting)
+            if not here[i] or after[i] >= n or after[after[i]] != end:  # a part has joined another since
+                continue
+            middle = after[i]
+            here[middle], after[i] = False, end
+            if end < n:
+                before[end] = i
+            pairs = [(s, after[e]) for s, e in ((before[i], i), (i, end)) if s >= 0 and e < n and after[e] - s <= self.table.longest]
+            if pairs:
+                starts, ends = np.array(pairs).T
+                piece = find(span(starts, ends))
+                for (s, e), p in zip(pairs, piece.tolist()):
+                    if p >= 0:
+                        heapq.heappush(waiting, (-float(scores[p]), s, e))
+        first = np.flatnonzero(here)
+        return first, find(span(first, np.array(after)[first]))
+
     def _scores(self, span, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         short = end - start <= self.table.longest
         out = np.full(start.shape, -np.inf)
