@@ -111,7 +111,7 @@ def shared_anchors(table: DataFrame, config: SuffixConfig) -> DataFrame:
     Beginnings are counted in the tasks before they are dealt out, and the join by them
     can be split, so a frequent one is not the work of one task.
     """
-    often = table.groupBy("start").agg(F.count("*").alias("n")).where("n > 1")
+    often = written(table.groupBy("start").agg(F.count("*").alias("n")).where("n > 1"), "shared-beginnings")
     return table.join(often, "start").select("class", "pos", "start", (F.col("n") > config.hot).alias("hot"))
 
 
