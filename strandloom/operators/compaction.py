@@ -34,6 +34,11 @@ def independent_set(ext: DataFrame, config: AssemblyConfig) -> DataFrame:
     return ext.groupBy("node").agg(F.max(nbr).alias("most")).where("most IS NULL OR most <= node").select("node")
 
 
+def wires_of(ext: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Wires of the chosen nodes only."""
+    return wiring.wires(ext.join(chosen, "node", "left_semi"))
+
+
 def wired_pairs(ext: DataFrame, wires: DataFrame, chosen: DataFrame) -> DataFrame:
     """Wires of the chosen nodes with both extensions."""
     rows = ext.join(chosen, "node", "left_semi")
@@ -66,7 +71,7 @@ def applied(ext: DataFrame, chosen: DataFrame, sent: DataFrame) -> DataFrame:
 
     Of the transfers for one live extension the first to arrive replaces it in
     place; all others, and those without a live extension, are appended in order of
-    arrival.
+    arrival.  A transfer to a node that is not there is an error.
     """
     rest = ext.join(chosen, "node", "left_anti")
     one = Window.partitionBy("target", "side", "search_ext").orderBy(*ARRIVAL)
@@ -76,7 +81,8 @@ def applied(ext: DataFrame, chosen: DataFrame, sent: DataFrame) -> DataFrame:
     sizes = rest.groupBy(F.col("node").alias("target"), "side").agg(F.count("*").cast("int").alias("n"))
     new = Window.partitionBy("target", "side", F.col("replaces").isNull()).orderBy(*ARRIVAL)
     sent = sent.join(sizes, ["target", "side"], "left").withColumn("later", F.row_number().over(new) - 1)
-    idx = F.coalesce("replaces", F.coalesce("n", F.lit(0)) + F.col("later")).cast("int")
+    lost = F.raise_error(F.concat(F.lit("no node for a transfer to "), "target")).cast("int")
+    idx = F.when(F.col("n").isNull(), lost).otherwise(F.coalesce("replaces", F.col("n") + F.col("later"))).cast("int")
     arrived = sent.select(F.col("target").alias("node"), "side", idx.alias("idx"), F.col("new_ext").alias("seq"), "cnt", "visit", "terminal", F.lit(1).alias("new"))
     both = rest.withColumn("new", F.lit(0)).unionByName(arrived)
     # A replaced row and its successor share (node, side, idx); the new one stays.
@@ -94,7 +100,7 @@ class Contracted:
 def contract_once(ext: DataFrame, config: AssemblyConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(extensions, partial contigs, contracted nodes) of one round."""
     chosen = independent_set(ext, config)
-    pairs = wired_pairs(ext, wiring.wires(ext), chosen)
+    pairs = wired_pairs(ext, wires_of(ext, chosen), chosen)
     return applied(ext, chosen, transfers(pairs, config)), partial_contigs(pairs), chosen
 
 
@@ -109,7 +115,7 @@ def contract(ext: DataFrame, config: AssemblyConfig) -> Contracted:
     left = ext.select("node").distinct().count()
     while config.node_limit is not None and left > config.node_limit:
         chosen = checkpointed(independent_set(ext, config))
-        pairs = checkpointed(wired_pairs(ext, wiring.wires(ext), chosen))
+        pairs = checkpointed(wired_pairs(ext, wires_of(ext, chosen), chosen))
         ext = checkpointed(applied(ext, chosen, transfers(pairs, config)))
         out.partial = out.partial.unionByName(partial_contigs(pairs))
         now = ext.select("node").distinct().count()

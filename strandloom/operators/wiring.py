@@ -35,11 +35,20 @@ def ranked(ext: DataFrame) -> DataFrame:
 
 
 def wires(ext: DataFrame) -> DataFrame:
-    """(node, p_idx, s_idx, off_p, off_s, cnt): overlaps of prefix and suffix flow intervals of a node."""
+    """(node, p_idx, s_idx, off_p, off_s, cnt): overlaps of prefix and suffix flow intervals of a node.
+
+    The intervals of a side follow each other without gaps, so each wire begins where
+    an interval of either side does: the starts of both are sorted once a node, and the
+    open prefix and suffix are carried along, which is linear in a node's extensions.
+    """
     flow = ranked(ext).where("visit > 0").select("node", "side", "idx", "visit", "start")
-    p = flow.where("side = 'P'").select("node", F.col("idx").alias("p_idx"), F.col("start").alias("a"), F.col("visit").alias("va"))
-    s = flow.where("side = 'S'").select("node", F.col("idx").alias("s_idx"), F.col("start").alias("b"), F.col("visit").alias("vb"))
-    met = p.join(s, "node").where("a < b + vb AND b < a + va")
-    at = F.greatest("a", "b")
-    size = F.least(F.col("a") + F.col("va"), F.col("b") + F.col("vb")) - at
-    return met.select("node", "p_idx", "s_idx", (at - F.col("a")).alias("off_p"), (at - F.col("b")).alias("off_s"), size.alias("cnt"))
+    own = lambda side: F.max(F.when(F.col("side") == side, F.struct("start", "visit", "idx")))
+    cuts = flow.groupBy("node", F.col("start").alias("at")).agg(own("P").alias("p"), own("S").alias("s"))
+    along = Window.partitionBy("node").orderBy("at")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    cuts = cuts.select("node", "at", *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in "ps"], F.lead("at").over(along).alias("next"))
+    end = F.least(F.col("p.start") + F.col("p.visit"), F.col("s.start") + F.col("s.visit"))
+    end = F.least(F.coalesce("next", end), end)
+    cuts = cuts.where("p IS NOT NULL AND s IS NOT NULL").withColumn("cnt", end - F.col("at")).where("cnt > 0")
+    off = lambda c: (F.col("at") - F.col(f"{c}.start")).alias(f"off_{c}")
+    return cuts.select("node", F.col("p.idx").alias("p_idx"), F.col("s.idx").alias("s_idx"), off("p"), off("s"), "cnt")

@@ -1,8 +1,7 @@
 """The registered assembly queries, over reads made of ``documents``, and their SQL.
 
 Sequences are shown as digits in key order (A=0 C=1 T=2 G=3) unless a query says
-otherwise.  Queries that need the graph share the steps up to it within a session's
-folder of inputs, by a written table.
+otherwise.  Queries that need the graph count k-mers once, by a checkpoint.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from strandloom.config import AssemblyConfig
 from strandloom.functions import sequence as S
 from strandloom.operators import compaction, graph, histogram, kmers, walk, wiring
 from strandloom.plans import assembly
-from strandloom.session import checkpointed
+from strandloom.session import checkpointed, shared_path
 from strandloom.sources import fasta
 
 CONFIG = AssemblyConfig(k=21, minimizer=8, coverage=1, buckets=3, node_limit=None)
@@ -37,7 +36,7 @@ def _lmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histogram.valid_kmers(_counts(spark, sf_dir), CONFIG.buckets)
+    return assembly.valid(reads(spark, sf_dir), CONFIG)[0]
 
 
 def _ext(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +193,33 @@ def contigs_final(spark, sf_dir):
     return both.select(S.decode(F.col("seq")).alias("seq"), F.length("seq").alias("len"), "origin")
 
 
+def fasta_reads(spark, sf_dir):
+    """The reads written as FASTA and read back by the source."""
+    path = shared_path(spark, "reads-fasta")
+    rows = reads(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("value"))
+    rows.write.text(path)
+    return fasta.read_fasta(spark, path).select("header", "seq")
+
+
+def visits_by_3(spark, sf_dir):
+    """Visits at a coverage of 3, where counts are not multiples of it."""
+    config = AssemblyConfig(k=CONFIG.k, minimizer=CONFIG.minimizer, coverage=3, buckets=CONFIG.buckets)
+    return graph.extensions(_valid(spark, sf_dir), config).select("node", "side", "idx", "visit")
+
+
+def histogram_of_21(spark, sf_dir):
+    """Counts up to 20: buckets that tie and buckets that are empty."""
+    return histogram.count_histogram(_counts(spark, sf_dir), 21)
+
+
+def min_bucket_of_21(spark, sf_dir):
+    return histogram_of_21(spark, sf_dir).orderBy("n", "bucket").limit(1).select("bucket")
+
+
+def valid_kmer_count(spark, sf_dir):
+    return _valid(spark, sf_dir).agg(F.count("*").alias("n"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("occurrences"))
+
+
 def contig_fasta(spark, sf_dir):
     contigs = walk_contigs(spark, sf_dir).withColumn("origin", F.lit("walk"))
     return fasta.numbered_contigs(contigs, MIN_CONTIG).select("name", "seq")
@@ -235,6 +261,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "walk_contigs_full_flow": walk_contigs_full_flow,
     "contigs_final": contigs_final,
     "contig_fasta": contig_fasta,
+    "fasta_reads": fasta_reads,
+    "visits_by_3": visits_by_3,
+    "histogram_of_21": histogram_of_21,
+    "min_bucket_of_21": min_bucket_of_21,
+    "valid_kmer_count": valid_kmer_count,
 }
 
 # ---------------------------------------------------------------- SQL
@@ -243,12 +274,19 @@ _K, _L, _T, _N = CONFIG.k, CONFIG.minimizer, CONFIG.buckets, CONFIG.node
 
 
 def _wires_of(ext: str) -> str:
+    """Cut points of both sides in order, with the prefix and suffix that are open at each."""
+    last = "OVER (PARTITION BY node ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"""
-      SELECT p.node, p.idx AS p_idx, s.idx AS s_idx, (greatest(p.start, s.start) - p.start)::INT AS off_p,
-        (greatest(p.start, s.start) - s.start)::INT AS off_s,
-        (least(p.start + p.visit, s.start + s.visit) - greatest(p.start, s.start))::INT AS cnt
-      FROM {ext} p JOIN {ext} s ON p.node = s.node AND p.side = 'P' AND s.side = 'S' AND p.visit > 0 AND s.visit > 0
-        AND p.start < s.start + s.visit AND s.start < p.start + p.visit"""
+      SELECT node, p.idx AS p_idx, s.idx AS s_idx, (start - p.start)::INT AS off_p, (start - s.start)::INT AS off_s,
+        (least(coalesce(following, p.start + p.visit), p.start + p.visit, s.start + s.visit) - start)::INT AS cnt
+      FROM (
+        SELECT node, start, last_value(p IGNORE NULLS) {last} AS p, last_value(s IGNORE NULLS) {last} AS s,
+          lead(start) OVER (PARTITION BY node ORDER BY start) AS following
+        FROM (
+          SELECT node, start, max(CASE WHEN side = 'P' THEN {{'start': start, 'visit': visit, 'idx': idx}} END) AS p,
+            max(CASE WHEN side = 'S' THEN {{'start': start, 'visit': visit, 'idx': idx}} END) AS s
+          FROM {ext} WHERE visit > 0 GROUP BY node, start))
+      WHERE p IS NOT NULL AND s IS NOT NULL AND start < p.start + p.visit AND start < s.start + s.visit"""
 
 
 def _ranked_of(ext: str) -> str:
@@ -336,6 +374,8 @@ _CTE: dict[str, str] = {
       FROM placed a LEFT JOIN (SELECT node, side, count(*) AS n FROM rest GROUP BY node, side) c ON c.node = a.target AND c.side = a.side
       WHERE replaces IS NULL""",
     "ranked_after": _ranked_of("ext_after"),
+    "visits_by_3": "SELECT node, side, idx, ceil(cnt / 3.0)::INT AS visit FROM ext",
+    "histogram_of_21": "SELECT b.bucket, count(k.kmer) AS n FROM (SELECT unnest(range(1, 21))::BIGINT AS bucket) b LEFT JOIN kmer_count k ON k.cnt = b.bucket GROUP BY b.bucket",
     "steps": f"""
       SELECT w.node, w.p_idx, w.off_p, w.off_s, w.cnt AS flow, s.seq AS adds,
         CASE WHEN NOT s.terminal THEN right(w.node || s.seq, {_N}) END AS to_node, p.idx AS to_idx
@@ -409,6 +449,11 @@ ORACLE_SQL: dict[str, str] = {
     "ext_after_r1": _plain("ext_after"),
     "nodes_after_r1": _sql("SELECT DISTINCT node FROM ext_after", "ext_after"),
     "rewired_r1": _sql(_wires_of("ranked_after"), "ranked_after"),
+    "fasta_reads": _sql("SELECT read_id::VARCHAR AS header, seq FROM reads WHERE seq <> ''", "reads"),
+    "visits_by_3": _plain("visits_by_3"),
+    "histogram_of_21": _plain("histogram_of_21"),
+    "min_bucket_of_21": _sql("SELECT bucket FROM histogram_of_21 ORDER BY n, bucket LIMIT 1", "histogram_of_21"),
+    "valid_kmer_count": _sql("SELECT count(*) AS n, coalesce(sum(cnt), 0)::BIGINT AS occurrences FROM valid_kmers", "valid_kmers"),
     "begin_nodes": _sql("SELECT node, idx AS p_idx, visit FROM balanced_ext WHERE side = 'P' AND terminal AND visit > 0", "balanced_ext"),
     "walk_contigs": _walk_sql(_HALF, f"SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL"),
     "walk_contigs_full_flow": _walk_sql(_FULL, f"SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL"),

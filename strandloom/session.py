@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +26,15 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the session's checkpoint folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="strandloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def checkpointed(df):
     """Cut a table's lineage by a checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext

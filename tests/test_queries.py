@@ -2,10 +2,7 @@ import pytest
 
 from strandloom import queries
 
-SLOW = {"walk_contigs_full_flow", "contig_fasta", "rewired_r1", "nodes_after_r1"}
-
-
-@pytest.mark.parametrize("name", [n for n in queries.ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_query_equals_its_sql(same, name):
     same(queries.QUERIES[name], queries.ORACLE_SQL[name])
 
