@@ -17,8 +17,8 @@ at anchors are sorted, each with the bytes before it that a string may hold.
 5. Suffixes whose common prefix reaches far enough are grouped by the bytes before
    them; that tells for each anchor which strings over it are repeated.
 
-A group of suffixes with one beginning stays in one range.  A group larger than a
-range (``hot``) is not merged in one task: the strings over its anchors are dealt out
+A group of suffixes with one beginning stays in one range.  A group of more than
+``hot`` suffixes, twice a range, is not merged in one task: the strings over its anchors are dealt out
 by hash, after those that repeat inside one document are settled there.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; so has one
@@ -48,8 +48,8 @@ class SuffixConfig:
     length: int = 200
     window: int = 100
     gram: int = 16
-    run_rows: int = 30_000
-    range_rows: int = 60_000
+    run_rows: int = 20_000
+    range_rows: int = 30_000
     sample_per_range: int = 40
     hot: int = 60_000
     broadcast_rows: int = 500_000
@@ -234,12 +234,12 @@ def repeated_spans(rows: np.ndarray, shared: np.ndarray, n_left: np.ndarray, n_r
     keep, right_of = keep[several], right_of[several]
     if not len(keep):
         return most, least
-    left, lefts, rights = rows[keep, length:].astype(np.uint64), n_left[keep], n_right[keep]
+    lefts, rights = n_left[keep], n_right[keep]
     done = copied[keep]
     h = np.zeros(len(keep), np.uint64)
     for size in range(config.window):
         if size:
-            h = K.mix(h * np.uint64(0x9E3779B97F4A7C15) + left[:, size - 1] + np.uint64(1))
+            h = K.mix(h * np.uint64(0x9E3779B97F4A7C15) + rows[keep, length + size - 1] + np.uint64(1))
         able = np.flatnonzero((lefts >= size) & (rights >= length - size))
         if len(able) < 2:
             continue
@@ -327,7 +327,9 @@ def merge_ranges(runs: DataFrame, config: SuffixConfig) -> DataFrame:
         del lists, shared
         order, prefix = merged[:, 0], merged[:, 1]
         classes, pos, n_left, n_right = (np.concatenate([x[j] for x in ids])[order] for j in range(4))
-        most, least = repeated_spans(np.concatenate(rows)[order], prefix, n_left.astype(np.int64), n_right.astype(np.int64), config)
+        whole = np.concatenate(rows)
+        del rows
+        most, least = repeated_spans(whole[order], prefix, n_left.astype(np.int64), n_right.astype(np.int64), config)
         hit = most >= 0
         first, after = pos[hit] - most[hit], pos[hit] - least[hit] + config.length
         return pa.table({"class": classes[hit], "first": first, "after": after})

@@ -51,7 +51,7 @@ def test_suffix_dedup(spark, settings):
 
 def test_only_groups_beyond_a_range_leave_the_merge(spark):
     config = suffixdedup.SuffixConfig()
-    for n, hot in ((12_000, False), (config.range_rows + 1, True)):
+    for n, hot in ((12_000, False), (config.hot, False), (config.hot + 1, True)):
         starts = spark.range(n).selectExpr("1L AS start", "id AS class", "0L AS pos")
         assert [r.hot for r in suffixdedup.shared_anchors(starts, config).select("hot").distinct().collect()] == [hot]
 
