@@ -9,6 +9,12 @@ Stages, each on all that the one before kept:
 5. SentencePiece encoding: the ids of every text that is left.
 
 All but the last return the columns of ``documents``.
+
+Defined results: null and empty texts and rows with a null source, language or doc_id
+are judged as each stage says (quality rules reject texts without ten words); of rows
+that repeat a doc_id and its text one stays; equal texts are one group, of which the
+smallest doc_id stays; an empty table passes through all stages; extra columns are
+kept up to the last stage, whatever their names; very long texts are kept whole.
 """
 
 from __future__ import annotations
@@ -21,29 +27,35 @@ from strandloom.llm.storage import written
 from strandloom.session import ship_package
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def ready(spark: SparkSession) -> None:
+    """Ship the package, and send texts to Python in batches of 8 MB, which bounds a worker's memory."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    ready(spark)
     return jaccard.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    ready(spark)
     out = suffixdedup.deduplicated(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    ready(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    ready(spark)
     return sentencepieces.encode_documents(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
