@@ -3,10 +3,12 @@
 ``decode_image`` reads any lossless stream: prefix codes with or without an entropy
 image, back-references, colour cache, and the predictor, cross-colour,
 subtract-green and palette transforms.  ``decode_images`` decodes many images at
-once: those of one prefix group and without transforms or cache advance together,
-one pixel a step, with their prefix codes as lookup tables; a back-reference is
-carried out for its image alone.  All others go to ``decode_image``.
-``encode_images`` writes literals with prefix codes fitted to each image.
+once: those of one prefix group and one alpha advance together, one pixel a step,
+with their prefix codes as lookup tables and a colour cache each; predictors are
+inverted along slanted lines of pixels, of all images together.  Images with an
+entropy image or several alphas go to ``decode_image``.
+``encode_images`` writes back-references, colour caches, palettes and transforms,
+chosen for each image from its own samples, with prefix codes fitted to it.
 
 Pixels are rows of (alpha, red, green, blue) bytes in numpy arrays.
 """
@@ -14,6 +16,9 @@ Pixels are rows of (alpha, red, green, blue) bytes in numpy arrays.
 from __future__ import annotations
 
 import struct
+import zlib
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -67,7 +72,7 @@ class _Bits:
 class _Code:
     """A prefix code: table from the next bits to (symbol, length)."""
 
-    def __init__(self, lengths: list[int]):
+    def __init__(self, lengths):
         used = sorted((n, s) for s, n in enumerate(lengths) if n)
         if not used:
             used = [(0, 0)]
@@ -132,7 +137,12 @@ def _read_lengths(bits: _Bits, size: int) -> list[int]:
 
 
 def _read_group(bits: _Bits, cache_size: int) -> list[_Code]:
-    return [_Code(_read_lengths(bits, n + (cache_size if i == GREEN else 0))) for i, n in enumerate(ALPHABETS)]
+    return [_shared_code(tuple(_read_lengths(bits, n + (cache_size if i == GREEN else 0)))) for i, n in enumerate(ALPHABETS)]
+
+
+@lru_cache(64)
+def _shared_code(lengths: tuple[int, ...]) -> _Code:
+    return _Code(lengths)
 
 
 def _prefixed(bits: _Bits, symbol: int) -> int:
@@ -192,7 +202,7 @@ def _read_pixels(bits: _Bits, width: int, height: int, main: bool) -> list[int]:
     return out
 
 
-def _unpack(pixels: list[int], width: int) -> np.ndarray:
+def _unpack(pixels, width: int) -> np.ndarray:
     return np.array(pixels, ">u4").view(np.uint8).reshape(-1, width, 4)
 
 
@@ -201,43 +211,58 @@ def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _predict(mode: int, left, top, top_right, top_left):
-    """Prediction of one pixel (int arrays of four channels) by mode."""
-    if mode == 0:
-        return np.array([255, 0, 0, 0])
-    if mode <= 4:
+    """Predictions of pixels (int arrays, channels last) by one mode."""
+    if 1 <= mode <= 4:
         return (left, top, top_right, top_left)[mode - 1]
     if mode == 5:
         return _average(_average(left, top_right), top)
-    if mode <= 9:
+    if 6 <= mode <= 9:
         a, b = ((left, top_left), (left, top), (top_left, top), (top, top_right))[mode - 6]
         return _average(a, b)
     if mode == 10:
         return _average(_average(left, top_left), _average(top, top_right))
     if mode == 11:
-        return left if np.abs(top - top_left).sum() < np.abs(left - top_left).sum() else top
+        nearer = np.abs(top - top_left).sum(axis=-1) < np.abs(left - top_left).sum(axis=-1)
+        return np.where(nearer[..., None], left, top)
     if mode == 12:
         return np.clip(left + top - top_left, 0, 255)
     if mode == 13:
         mean = _average(left, top)
-        return np.clip(mean + np.trunc((mean - top_left) / 2).astype(int), 0, 255)
-    return np.array([255, 0, 0, 0])
+        over = mean - top_left
+        return np.clip(mean + ((over + (over < 0)) >> 1), 0, 255)
+    black = np.zeros_like(left)
+    black[..., 0] = 255
+    return black
+
+
+def invert_predictors(residuals: list[np.ndarray], modes: list[np.ndarray], bits: list[int]) -> list[np.ndarray]:
+    """Many images at once.  Pixels of equal column + 2 * row need none of each other."""
+    sizes = [r.shape[:2] for r in residuals]
+    ends = np.cumsum([h * w for h, w in sizes])
+    line, mode, width = [], [], []
+    for (h, w), of, b in zip(sizes, modes, bits):
+        m = of[np.arange(h)[:, None] >> b, np.arange(w) >> b, 2] & 15
+        m[0], m[:, 0] = 1, 2
+        m[0, 0] = 0
+        line.append((np.arange(w) + 2 * np.arange(h)[:, None]).ravel())
+        mode.append(m.ravel())
+        width.append(np.full(h * w, w))
+    flat = np.concatenate([r.reshape(-1, 4) for r in residuals]).astype(np.int16)
+    mode, width = np.concatenate(mode), np.concatenate(width)
+    key = np.concatenate(line) * 16 + mode
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        at = order[lo:hi]
+        above = at - width[at]
+        near = (flat[np.maximum(i, 0)] for i in (at - 1, above, above + 1, above - 1))
+        flat[at] = (flat[at] + _predict(int(mode[at[0]]), *near)) & 255
+    flat = flat.astype(np.uint8)
+    return [flat[e - h * w : e].reshape(h, w, 4) for (h, w), e in zip(sizes, ends.tolist())]
 
 
 def invert_predictor(residual: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
-    height, width, _ = residual.shape
-    flat = residual.reshape(-1, 4).astype(int)
-    for i in range(height * width):
-        y, x = divmod(i, width)
-        if i == 0:
-            guess = np.array([255, 0, 0, 0])
-        elif y == 0:
-            guess = flat[i - 1]
-        elif x == 0:
-            guess = flat[i - width]
-        else:
-            guess = _predict(int(modes[y >> bits, x >> bits, 2]) & 15, flat[i - 1], flat[i - width], flat[i - width + 1], flat[i - width - 1])
-        flat[i] = (flat[i] + guess) & 255
-    return flat.astype(np.uint8).reshape(height, width, 4)
+    return invert_predictors([residual], [modes], [bits])[0]
 
 
 def invert_cross_color(image: np.ndarray, factors: np.ndarray, bits: int) -> np.ndarray:
@@ -282,9 +307,8 @@ def image_chunk(data: bytes) -> bytes:
     raise DamagedImage("no lossless chunk")
 
 
-def decode_image(stream: bytes) -> np.ndarray:
-    """(height, width, 4) pixels of any lossless stream."""
-    bits = _Bits(stream)
+def _read_start(bits: _Bits) -> tuple[int, int, int, list[tuple]]:
+    """(width, height, coded width, transforms with their data, in the order of the stream)."""
     if bits.read(8) != 0x2F:
         raise DamagedImage("wrong signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -308,10 +332,19 @@ def decode_image(stream: bytes) -> np.ndarray:
             pack = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
             todo.append((kind, palette, coded, pack))
             coded = _ceil_shift(coded, pack)
+    return width, height, coded, todo
+
+
+_INVERT = {PREDICTOR: invert_predictor, CROSS_COLOR: invert_cross_color, SUBTRACT_GREEN: invert_subtract_green, PALETTE: invert_palette}
+
+
+def decode_image(stream: bytes) -> np.ndarray:
+    """(height, width, 4) pixels of any lossless stream."""
+    bits = _Bits(stream)
+    _, height, coded, todo = _read_start(bits)
     image = _unpack(_read_pixels(bits, coded, height, True), coded)
     for kind, *more in reversed(todo):
-        invert = (invert_predictor, invert_cross_color, invert_subtract_green, invert_palette)[kind]
-        image = invert(image, *more)
+        image = _INVERT[kind](image, *more)
     return image
 
 
@@ -338,123 +371,152 @@ def _tables(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     return table[:, turned], bits
 
 
-def _plain_header(stream: bytes) -> tuple[int, int, list[list[int]], int] | None:
-    """(width, height, code lengths, first bit of the pixels) of a stream for the batch decoder, else None."""
+@dataclass
+class Head:
+    """What stands before the pixels of a stream that the batch decoder takes."""
+
+    height: int
+    coded: int
+    todo: list[tuple]
+    cache_bits: int
+    lengths: list[list[int]]
+    at: int
+
+    @property
+    def size(self) -> int:
+        return self.coded * self.height
+
+
+def read_head(stream: bytes) -> Head | None:
+    """The head of a stream, None if it has an entropy image, several alphas or very long codes."""
     bits = _Bits(stream)
-    if bits.read(8) != 0x2F:
-        raise DamagedImage("wrong signature")
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(1)
-    if bits.read(3):
-        raise DamagedImage("unknown version")
-    if bits.read(3):  # a transform, a colour cache or an entropy image
+    _, height, coded, todo = _read_start(bits)
+    cache_bits = bits.read(4) if bits.read(1) else 0
+    if bits.read(1) or cache_bits > 11:
         return None
-    lengths = [_read_lengths(bits, n) for n in ALPHABETS]
-    if max(map(max, lengths)) > 12 or (max(lengths[ALPHA]) and sum(map(bool, lengths[ALPHA])) > 1):
+    lengths = [_read_lengths(bits, n + (1 << cache_bits if cache_bits and k == GREEN else 0)) for k, n in enumerate(ALPHABETS)]
+    if max(map(max, lengths)) > 12 or sum(map(bool, lengths[ALPHA])) > 1:
         return None
-    return width, height, lengths, bits.at
+    return Head(height, coded, todo, cache_bits, lengths, bits.at)
 
 
 def decode_images(streams: list[bytes], lanes: int = 1024) -> list[np.ndarray]:
     """Pixels (height, width, 4) of many streams."""
     out: list[np.ndarray | None] = [None] * len(streams)
-    plain = []
-    for i, s in enumerate(streams):
-        head = _plain_header(s)
+    heads = [read_head(s) for s in streams]
+    for i, head in enumerate(heads):
         if head is None:
-            out[i] = decode_image(s)
-        else:
-            plain.append((head[0] * head[1], i, head))
-    plain.sort(key=lambda x: (-x[0], x[1]))
+            out[i] = decode_image(streams[i])
+    plain = sorted((i for i, head in enumerate(heads) if head), key=lambda i: (-heads[i].size, i))
     for lo in range(0, len(plain), lanes):
         group = plain[lo : lo + lanes]
-        for (_, i, head), pixels in zip(group, _lockstep([streams[i] for _, i, _ in group], [h for _, _, h in group])):
-            out[i] = pixels.reshape(head[1], head[0], 4)
+        for i, pixels in zip(group, _lockstep([streams[i] for i in group], [heads[i] for i in group])):
+            out[i] = _unpack(pixels, heads[i].coded)
+    left = {i: list(heads[i].todo) for i in plain if heads[i].todo}
+    while left:
+        predicted = []
+        for i in list(left):
+            while left[i] and left[i][-1][0] != PREDICTOR:
+                kind, *more = left[i].pop()
+                out[i] = _INVERT[kind](out[i], *more)
+            if left[i]:
+                predicted.append((i, *left[i].pop()[1:]))
+            else:
+                del left[i]
+        if predicted:
+            at, modes, bits = zip(*predicted)
+            for i, image in zip(at, invert_predictors([out[i] for i in at], list(modes), list(bits))):
+                out[i] = image
     return out
 
 
-def _lockstep(streams: list[bytes], heads: list) -> list[np.ndarray]:
-    """Pixels of plain streams, in descending order of size, one pixel of all a step."""
+_NEAR_X, _NEAR_Y = (np.array([p[k] for p in NEAR]) for k in (0, 1))
+
+
+def _lockstep(streams: list[bytes], heads: list[Head]) -> list[np.ndarray]:
+    """Packed coded pixels of streams, in descending order of size, one pixel of all a step."""
     n = len(streams)
-    total = np.array([h[0] * h[1] for h in heads])
-    padded = [s + bytes(16 - len(s) % 8) for s in streams]
+    total = np.array([h.size for h in heads])
+    padded = [s + bytes(24 - len(s) % 8) for s in streams]
     word_of = np.cumsum([0] + [len(p) // 8 for p in padded])
     words = np.frombuffer(b"".join(padded), "<u8")
-    at = word_of[:-1] * 64 + np.array([h[3] for h in heads])
+    at = word_of[:-1] * 64 + np.array([h.at for h in heads])
     end = word_of[:-1] * 64 + np.array([8 * len(s) for s in streams])
-    codes = [_tables(np.array([h[2][k] for h in heads])) for k in (GREEN, RED, BLUE)]
-    flat = [t.ravel() for t, _ in codes]
-    masks = [np.uint64((1 << b) - 1) for _, b in codes]
-    rows = [np.arange(n, dtype=np.int64) << b for _, b in codes]
-    alpha = np.array([next((s for s, x in enumerate(h[2][ALPHA]) if x), 0) for h in heads], np.uint8)
-    out = np.zeros((int(total[0]), n, 4), np.uint8)  # by pixel, then image: writes of a step lie together
-    out[:, :, 0] = alpha
-    busy = np.zeros(n, np.int64)  # pixels that a back-reference has already written
-    any_busy = False
+    flat, masks, rows = {}, {}, {}
+    for k in (GREEN, RED, BLUE, DISTANCE):
+        size = max(len(h.lengths[k]) for h in heads)
+        table, bits = _tables(np.array([h.lengths[k] + [0] * (size - len(h.lengths[k])) for h in heads]))
+        flat[k], masks[k], rows[k] = table.ravel(), np.uint64((1 << bits) - 1), np.arange(n, dtype=np.int64) << bits
+    alpha = np.array([next((s for s, x in enumerate(h.lengths[ALPHA]) if x), 0) << 24 for h in heads], np.uint32)
+    width = np.array([h.coded for h in heads])
+    cache_bits = np.array([h.cache_bits for h in heads])
+    slots = 1 << max(1, int(cache_bits.max()))
+    cache, own = np.zeros(n * slots, np.uint32), np.arange(n) * slots
+    away = np.where(cache_bits > 0, 32 - cache_bits, 31).astype(np.uint32)
+    cached = bool(cache_bits.any())
+    out = np.zeros((int(total[0]), n), np.uint32)  # by pixel, then image: writes of a step lie together
+    until, back = np.zeros(n, np.int64), np.ones(n, np.int64)  # where a back-reference ends, and how far it reaches
     live = np.searchsorted(-total, -np.arange(int(total[0])), side="left")
-    for step in range(int(total[0])):
-        m = int(live[step])
-        pos = at[:m]
-        word, shift = pos >> 6, (pos & 63).astype(np.uint64)
-        v = (words[word] >> shift) | (words[word + 1] << np.uint64(1) << (np.uint64(63) - shift))
-        first = flat[0][rows[0][:m] + (v & masks[0]).astype(np.int64)]
-        if any_busy or (first >= 256 << 4).any():
-            any_busy = _mixed_step(step, m, out, busy, at, words, first, heads, flat, masks, rows)
-            continue
-        used = (first & 15).astype(np.uint64)
-        v >>= used
-        second = flat[1][rows[1][:m] + (v & masks[1]).astype(np.int64)]
-        v >>= (second & 15).astype(np.uint64)
-        third = flat[2][rows[2][:m] + (v & masks[2]).astype(np.int64)]
-        at[:m] += (first & 15) + (second & 15) + (third & 15)
-        row = out[step]
-        row[:m, 1], row[:m, 2], row[:m, 3] = second >> 4, first >> 4, third >> 4
-    if (at > end).any():
-        raise DamagedImage("stream ends early")
-    return [out[: total[i], i] for i in range(n)]
-
-
-def _mixed_step(step, m, out, busy, at, words, first, heads, flat, masks, rows) -> bool:
-    """A step in which some images take a back-reference or are inside one."""
-    for i in range(m):
-        if busy[i] > step:
-            continue
-        s, used = int(first[i]) >> 4, int(first[i]) & 15
-        at[i] += used
-        lane = _Lane(words, at, i)
-        if s < 256:
-            for k, channel in ((1, 1), (2, 3)):
-                e = int(flat[k][rows[k][i] + (lane.peek() & int(masks[k]))])
-                at[i] += e & 15
-                out[step, i, channel] = e >> 4
-            out[step, i, 2] = s
-            continue
-        width, height, lengths, _ = heads[i]
-        length = _prefixed(lane, s - 256)
-        back = _distance(_prefixed(lane, _Code(lengths[DISTANCE]).read(lane)), width)
-        if back > step or step + length > width * height:
-            raise DamagedImage("back-reference outside the image")
-        for k in range(step, step + length):
-            out[k, i] = out[k - back, i]
-        busy[i] = step + length
-    return bool((busy[:m] > step + 1).any())
 
+    def window(pos):
+        word, shift = pos >> 6, (pos & 63).view(np.uint64)
+        return (words[word] >> shift) | (words[word + 1] << np.uint64(1) << (np.uint64(63) - shift))
 
-class _Lane:
-    """The bit reader's view of one image in a batch."""
+    def look(k, lanes, v):
+        return flat[k][rows[k][lanes] + (v & masks[k]).view(np.int64)].astype(np.int64)
 
-    def __init__(self, words: np.ndarray, at: np.ndarray, i: int):
-        self.words, self.positions, self.i = words, at, i
+    def prefixed(symbol, v):
+        """(value, bits used) of length or distance symbols."""
+        extra = np.maximum(symbol - 2, 0) >> 1
+        more = (v & ((np.uint64(1) << extra.view(np.uint64)) - np.uint64(1))).view(np.int64)
+        return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + more) + 1, np.where(symbol < 4, 0, extra)
 
-    def peek(self, n: int = 32) -> int:
-        at = int(self.positions[self.i])
-        w = at >> 6
-        return ((int(self.words[w]) | int(self.words[w + 1]) << 64) >> (at & 63)) & ((1 << n) - 1)
-
-    def read(self, n: int) -> int:
-        v = self.peek(n)
-        self.positions[self.i] += n
-        return v
+    for step in range(int(total[0])):
+        m = int(live[step])
+        lanes = slice(0, m)
+        v = window(at[:m])
+        green = look(GREEN, lanes, v)
+        used = green & 15
+        v >>= used.view(np.uint64)
+        red = look(RED, lanes, v)
+        v >>= (red & 15).view(np.uint64)
+        blue = look(BLUE, lanes, v)
+        used += (red & 15) + (blue & 15)
+        row = ((red >> 4 << 16) | (green >> 4 << 8) | (blue >> 4)).astype(np.uint32) | alpha[:m]
+        odd = np.flatnonzero((green >= 256 << 4) | (until[:m] > step))
+        if len(odd):
+            busy = until[odd] > step
+            first = green[odd]
+            symbol = first >> 4
+            used[odd] = np.where(busy, 0, first & 15)
+            found = ~busy & (symbol >= 280)
+            held = odd[found]
+            row[held] = cache[own[held] + symbol[found] - 280]
+            new = ~busy & (symbol >= 256) & (symbol < 280)
+            if new.any():
+                who = odd[new]
+                pos = at[who] + used[who]
+                length, n1 = prefixed(symbol[new] - 256, window(pos))
+                pos += n1
+                v = window(pos)
+                far = look(DISTANCE, who, v)
+                pos += far & 15
+                code, n2 = prefixed(far >> 4, window(pos))
+                pos += n2
+                near = np.minimum(code, len(NEAR)) - 1
+                reach = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width[who]))
+                if (reach > step).any() or (step + length > total[who]).any():
+                    raise DamagedImage("back-reference outside the image")
+                used[who], until[who], back[who] = pos - at[who], step + length, reach
+            copying = odd[busy | new]
+            row[copying] = out[step - back[copying], copying]
+        out[step, :m] = row
+        at[:m] += used
+        if (at[:m] > end[:m]).any():
+            raise DamagedImage("stream ends early")
+        if cached:
+            cache[own[:m] + (row * np.uint32(CACHE_MULTIPLIER) >> away[:m])] = row
+    return [out[: total[i], i] for i in range(n)]
 
 
 # ---------------------------------------------------------------- encoder
