@@ -26,6 +26,7 @@ import numpy as np
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 GREEN, RED, BLUE, ALPHA, DISTANCE = range(5)
 ALPHABETS = [280, 256, 256, 256, 40]
+_RUNS = {16: (3, 2), 17: (3, 3), 18: (11, 7)}  # of code lengths: least run, extra bits
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_MULTIPLIER = 0x1E35A7BD
 
@@ -56,16 +57,19 @@ class _Bits:
 
     def peek(self, n: int) -> int:
         off = self.at - 8 * self.base
-        if off + n > 512:
+        if off < 0 or off + n > 512:
             self._load(self.at)
             off = self.at - 8 * self.base
         return (self.window >> off) & ((1 << n) - 1)
 
-    def read(self, n: int) -> int:
-        v = self.peek(n)
+    def skip(self, n: int) -> None:
         self.at += n
         if self.at > 8 * len(self.data):
             raise DamagedImage("stream ends early")
+
+    def read(self, n: int) -> int:
+        v = self.peek(n)
+        self.skip(n)
         return v
 
 
@@ -113,26 +117,37 @@ def _read_lengths(bits: _Bits, size: int) -> list[int]:
     inner = [0] * 19
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         inner[k] = bits.read(3)
-    code = _Code(inner)
+    code = _shared_code(tuple(inner))
     left = size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
         if left > size:
             raise DamagedImage("too many code lengths")
+    table, mask = code.table, (1 << code.bits) - 1
+    byte, used = bits.at >> 3, bits.at & 7
+    window = int.from_bytes(bits.data[byte : byte + 2 * size + 8], "little") >> used  # no length takes more than 14 bits
     at, before = 0, 8
     while at < size and left:
         left -= 1
-        k = code.read(bits)
+        k, n = table[window & mask]
+        window >>= n
+        used += n
         if k < 16:
             lengths[at] = k
             before = k or before
             at += 1
             continue
-        value, run = (before, 3 + bits.read(2)) if k == 16 else (0, 3 + bits.read(3) if k == 17 else 11 + bits.read(7))
+        least, more = _RUNS[k]
+        run = least + (window & ((1 << more) - 1))
+        window >>= more
+        used += more
         if at + run > size:
             raise DamagedImage("code lengths run over")
-        lengths[at : at + run] = [value] * run
+        if k == 16:
+            lengths[at : at + run] = [before] * run
         at += run
+    bits.at = 8 * byte
+    bits.skip(used)
     return lengths
 
 
@@ -364,11 +379,7 @@ def _tables(lengths: np.ndarray) -> tuple[np.ndarray, int]:
         raise DamagedImage("prefix code is not complete")
     entry = (order << 4 | np.where(single[:, None], 0, sorted_lengths)).astype(np.uint16)
     table = np.repeat(entry.ravel(), reach.ravel()).reshape(n, 1 << bits)
-    flip = np.arange(1 << bits)
-    turned = np.zeros(1 << bits, np.int64)
-    for k in range(bits):
-        turned |= ((flip >> k) & 1) << (bits - 1 - k)
-    return table[:, turned], bits
+    return table[:, _turned(np.arange(1 << bits), bits)], bits
 
 
 @dataclass
@@ -526,6 +537,16 @@ _LIMIT = 10
 _INNER = {0: 3, 6: 3, 7: 3, 1: 4, 2: 4, 3: 4, 4: 4, 5: 4, 8: 4, 9: 4, 10: 4, 17: 4, 18: 4}
 
 
+def _turned(values: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros_like(values)
+    for k in range(bits):
+        out |= ((values >> k) & 1) << (bits - 1 - k)
+    return out
+
+
+_TURN = _turned(np.arange(1 << _LIMIT), _LIMIT)
+
+
 def _canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes of rows of code lengths, bits turned for writing."""
     n, size = lengths.shape
@@ -535,12 +556,7 @@ def _canonical(lengths: np.ndarray) -> np.ndarray:
     start = (np.cumsum(step, axis=1) - step) >> (_LIMIT - sorted_lengths)
     code = np.zeros((n, size), np.int64)
     np.put_along_axis(code, order, start, axis=1)
-    turned = np.zeros_like(code)
-    for k in range(_LIMIT):
-        bit = (code >> k) & 1
-        where = lengths - 1 - k
-        turned |= np.where(where >= 0, bit << np.maximum(where, 0), 0)
-    return turned
+    return _TURN[code] >> (_LIMIT - lengths)
 
 
 def fitted_lengths(counts: np.ndarray) -> np.ndarray:
@@ -614,67 +630,293 @@ def _length_tokens(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return rows[by], value[by], count[by]
 
 
+CACHE_BITS = 6
+PREDICTOR_BLOCK = 5
+_FIRST_MODES = np.arange(1, 14)
+_FACTORS = (-32, -8, 8, 16, 32)
+
+
+def _flat_code(bits: int) -> tuple[int, int]:
+    """(value, number of bits) that spell a code in which each of the first 2**bits symbols has that many bits."""
+    place, more = CODE_LENGTH_ORDER.index(bits), (bits - 1) // 2
+    parts = [(0, 1), (place - 3, 4), (1 << 3 * place, 3 * place + 3), (1, 1), (more, 3), ((1 << bits) - 2, 2 + 2 * more)]
+    value = size = 0
+    for v, n in parts:
+        value |= v << size
+        size += n
+    return value, size
+
+
+def _prefix_parts(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, number of extra bits) of lengths or distances."""
+    u = value - 1
+    top = np.frexp(np.maximum(u, 1))[1].astype(np.int64) - 1
+    n = np.where(u < 4, 0, top - 1)
+    return np.where(u < 4, u, 2 * top + (u >> np.maximum(n, 0) & 1)), np.where(u < 4, 0, u & ((1 << n) - 1)), n
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    """Bytes 0..255 as -128..127."""
+    return (x & 255 ^ 128) - 128
+
+
+def _least(costs: list[np.ndarray]) -> np.ndarray:
+    return np.stack(costs).argmin(axis=0)
+
+
+class _Bitstream:
+    """Bits of many images, put in the order in which each image has them."""
+
+    def __init__(self, n: int):
+        self.n, self.parts = n, []
+
+    def put(self, value, count, where=None) -> None:
+        where = np.arange(self.n) if where is None else where
+        self.parts.append((where, np.broadcast_to(np.asarray(value).astype(np.uint64), where.shape), np.broadcast_to(np.asarray(count, np.int64), where.shape)))
+
+    def files(self) -> list[bytes]:
+        where, value, count = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(where, kind="stable")
+        where, value, count = where[order], value[order], count[order]
+        per_image = np.bincount(where, count, self.n).astype(np.int64)
+        words = (per_image + 63) // 64
+        base = np.cumsum(words) - words
+        at = np.cumsum(count) - count - (np.cumsum(per_image) - per_image)[where] + base[where] * 64
+        out = np.zeros(int(words.sum()) + 1, np.uint64)
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        np.bitwise_or.at(out, word, value << shift)
+        over = (at & 63) + count > 64
+        np.bitwise_or.at(out, word[over] + 1, value[over] >> (np.uint64(64) - shift[over]))
+        raw = out.astype("<u8").tobytes()
+        files = []
+        for b, size in zip((base * 8).tolist(), ((per_image + 7) // 8).tolist()):
+            pad = size & 1
+            files.append(struct.pack("<4sI4s4sI", b"RIFF", 12 + size + pad, b"WEBP", b"VP8L", size) + raw[b : b + size] + bytes(pad))
+        return files
+
+
+def _predicted(rgb: np.ndarray, image: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of whole images, and each block's mode (image, down, across): the one with the least residuals."""
+    near = [np.roll(rgb, k, axis=0) for k in (1, width, width - 1, width + 1)]
+    block = (image << 2) | (y >> PREDICTOR_BLOCK << 1) | (x >> PREDICTOR_BLOCK)
+    rest = [(rgb - _predict(int(m), *near)) & 255 for m in _FIRST_MODES]
+    cost = [np.bincount(block, np.abs(_signed(r)).sum(axis=1), minlength=4 * (int(image.max()) + 1)) for r in rest]
+    modes = _least(cost)
+    out = np.choose(modes[block][:, None], rest)
+    out = np.where((y == 0)[:, None], (rgb - near[0]) & 255, np.where((x == 0)[:, None], (rgb - near[1]) & 255, out))
+    start = (x == 0) & (y == 0)
+    out[start] = rgb[start]
+    return out, _FIRST_MODES[modes].reshape(-1, 2, 2)
+
+
+def _matches(argb: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first pixel, length, distance) of back-references: the last earlier place of the same four pixels, carried on while it fits."""
+    n = len(argb)
+    if n < 5:
+        return (np.zeros(0, np.int64),) * 3
+    wide = argb.astype(np.uint64)
+    key = image[: n - 3].astype(np.uint64)
+    for k in range(4):
+        key = (key ^ wide[k : n - 3 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    order = np.argsort(key, kind="stable")
+    before, after = order[:-1], order[1:]
+    same = image[before] == image[np.minimum(after + 3, n - 1)]
+    for k in range(4):
+        same &= argb[before + k] == argb[after + k]
+    far = np.zeros(n, np.int64)
+    far[after[same]] = (after - before)[same]
+    found = np.flatnonzero(far)
+    if not len(found):
+        return (np.zeros(0, np.int64),) * 3
+    new = np.flatnonzero(np.diff(far, prepend=-1))
+    stop = np.append(new, n)[np.searchsorted(new, found, side="right")]
+    at, ends, taken, reach = found.tolist(), (stop + 3).tolist(), [], -1
+    for i, (p, e) in enumerate(zip(at, ends)):
+        if p >= reach:
+            taken.append(i)
+            reach = e
+    pick = found[taken]
+    return pick, stop[taken] + 3 - pick, far[pick]
+
+
 def encode_images(samples: np.ndarray, sizes: np.ndarray, width: int) -> list[bytes]:
-    """WebP files of images of ``width`` pixels whose rows of (red, green, blue) bytes lie end to end.
+    """WebP files of images of ``width`` pixels, at most 64, whose rows of (red, green, blue) bytes lie end to end.
 
-    ``sizes`` are the images' numbers of bytes, multiples of ``3 * width``.
+    ``sizes`` are the images' numbers of bytes, multiples of ``3 * width``, for at most 64 rows.
+    What an image uses depends on its own bytes alone: a palette, if it has few colours;
+    else, by its checksum, one of eight ways: predictor, cross-colour, subtract-green, all
+    three, or none in four of them; a colour cache, if it would serve an eighth of the pixels; and
+    back-references wherever four pixels or more stand earlier in the image.
     """
     n = len(sizes)
-    pixels = samples.reshape(-1, 3)
+    bits = _Bitstream(n)
+    put = bits.put
+    rgb = samples.reshape(-1, 3).astype(np.int16)
     n_pixels = sizes // 3
+    first = np.cumsum(n_pixels) - n_pixels
     image = np.repeat(np.arange(n), n_pixels)
-    bits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (image, value, number of bits), in writing order
-
-    def put(value, count, where=None):
-        where = np.arange(n) if where is None else where
-        bits.append((where, np.broadcast_to(np.asarray(value, np.uint64), where.shape), np.broadcast_to(np.asarray(count, np.int64), where.shape)))
-
-    height = n_pixels // width
-    put(0x2F | (width - 1) << 8 | (height - 1).astype(np.uint64) << np.uint64(22), 40)
-    put(0, 3)  # no transform, no colour cache, one group
+    y, x = np.divmod(np.arange(len(rgb)) - first[image], width)
+    colour = rgb[:, 0].astype(np.int64) << 16 | rgb[:, 1].astype(np.int64) << 8 | rgb[:, 2]
+    colours, index = np.unique(image << 24 | colour, return_inverse=True)
+    n_colours = np.bincount(colours >> 24, minlength=n)
+    first_colour = np.cumsum(n_colours) - n_colours
+    with_palette = (n_colours <= 16) | ((n_colours <= 256) & (4 * n_colours <= n_pixels))
+    way = np.array([zlib.crc32(samples[a : a + s]) % 8 for a, s in zip((3 * first).tolist(), sizes.tolist())], np.int64)
+    way[with_palette] = -1
+    subtracted, predicted, crossed = (np.isin(way, w) for w in ((2, 3), (0, 3), (1, 3)))
+
+    put(0x2F | (width - 1) << 8 | (n_pixels // width - 1).astype(np.uint64) << np.uint64(22), 40)
+    # Subtract-green.
+    put(1 | SUBTRACT_GREEN << 1, 3, np.flatnonzero(subtracted))
+    at = np.flatnonzero(subtracted[image])
+    rgb[at, 0] = (rgb[at, 0] - rgb[at, 1]) & 255
+    rgb[at, 2] = (rgb[at, 2] - rgb[at, 1]) & 255
+    # Predictor: a mode for each block.
+    who = np.flatnonzero(predicted)
+    if len(who):
+        at = np.flatnonzero(predicted[image])
+        rgb[at], modes = _predicted(rgb[at], np.searchsorted(who, image[at]), x[at], y[at], width)
+        put(1 | PREDICTOR << 1 | (PREDICTOR_BLOCK - 2) << 3, 6, who)
+        put(0, 1, who)
+        put(*_flat_code(4), who)
+        for symbol in (0, 0, 255, 0):
+            put(0b101 | symbol << 3, 11, who)
+        down, across = ((k + (1 << PREDICTOR_BLOCK) - 1) >> PREDICTOR_BLOCK for k in (n_pixels[who] // width, width))
+        for i in range(2):
+            for j in range(across):
+                here = down > i
+                put(_turned(modes[here, i, j], 4), 4, who[here])
+    # Cross-colour: one set of factors for each image.
+    who = np.flatnonzero(crossed)
+    if len(who):
+        at = np.flatnonzero(crossed[image])
+        of = np.searchsorted(who, image[at])
+        red, green, blue = (rgb[at, k].astype(np.int64) for k in range(3))
+
+        def best(channel, by, factors):
+            rest = [(channel - (f * _signed(by) >> 5)) & 255 for f in factors]
+            pick = _least([np.bincount(of, np.abs(_signed(r)), minlength=len(who)) for r in rest])
+            return np.choose(pick[of], rest), np.array(factors)[pick] & 255
+
+        new_red, green_to_red = best(red, green, _FACTORS)
+        new_blue, green_to_blue = best(blue, green, _FACTORS)
+        new_blue, red_to_blue = best(new_blue, red, (0, *_FACTORS))
+        rgb[at, 0], rgb[at, 2] = new_red, new_blue
+        put(1 | CROSS_COLOR << 1 | 7 << 3, 6, who)
+        put(0, 1, who)
+        for symbol in (green_to_blue, red_to_blue, green_to_red, np.full(len(who), 255), np.zeros(len(who), np.int64)):
+            put(0b101 | symbol << 3, 11, who)
+    # Palette: colours as steps, and several pixels in one where they are few.
+    pack = np.where(with_palette, np.select([n_colours <= 2, n_colours <= 4, n_colours <= 16], [3, 2, 1], 0), 0)
+    who = np.flatnonzero(with_palette)
+    if len(who):
+        put(1 | PALETTE << 1 | (n_colours[who] - 1) << 3, 11, who)
+        put(0, 1, who)
+        for _ in range(3):
+            put(*_flat_code(8), who)
+        put(0b11 | 1 << 2 | 0 << 3 | 255 << 11, 19, who)
+        put(0b101, 11, who)
+        of = colours >> 24
+        mine = with_palette[of]
+        value = colours & 0xFFFFFF
+        parts = []
+        for shift in (8, 16, 0):  # green, red, blue
+            c = value >> shift & 255
+            step = np.diff(c, prepend=0)
+            step[first_colour] = c[first_colour]
+            parts.append(_turned(step & 255, 8))
+        opaque = np.zeros(len(value), np.int64)
+        opaque[first_colour] = 1
+        put((parts[0] | parts[1] << 8 | parts[2] << 16 | opaque << 24)[mine], 25, of[mine])
+    put(0, 1)  # no more transforms
+
+    coded_width = -(-width // (1 << pack))
+    coded = coded_width * (n_pixels // width)
+    start = np.cumsum(coded) - coded
+    total = int(coded.sum())
+    alpha = np.where(predicted, 0, 255)
+    to = start[image] + y * coded_width[image] + (x >> pack[image])
+    local = index - first_colour[image] << (x & (1 << pack[image]) - 1) * (8 >> pack[image])
+    mine = with_palette[image]
+    argb = np.bincount(to[mine], local[mine], minlength=total).astype(np.int64) << 8
+    argb[to[~mine]] = rgb[~mine, 0].astype(np.int64) << 16 | rgb[~mine, 1].astype(np.int64) << 8 | rgb[~mine, 2]
+    image = np.repeat(np.arange(n), coded)
+    argb |= alpha[image] << 24
+
+    # Back-references, then the cache for what they leave.
+    head, length, far = _matches(argb, image)
+    inside = np.zeros(total + 1, np.int64)
+    np.add.at(inside, head, 1)
+    np.add.at(inside, head + length, -1)
+    free = np.cumsum(inside[:total]) == 0
+    slot = (CACHE_MULTIPLIER * argb & 0xFFFFFFFF) >> (32 - CACHE_BITS)
+    key = image << CACHE_BITS | slot
+    order = np.argsort(key, kind="stable")
+    hit = np.zeros(total, dtype=bool)
+    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    hit &= free
+    cached = (8 * np.bincount(image, hit, minlength=n) >= coded) & ~with_palette
+    hit &= cached[image]
+    literal = free & ~hit
+
+    n_green = ALPHABETS[GREEN] + (1 << CACHE_BITS)
+    symbols = {GREEN: argb >> 8 & 255, RED: argb >> 16 & 255, BLUE: argb & 255}
+    symbols[GREEN][hit] = ALPHABETS[GREEN] + slot[hit]
+    length_symbol, length_extra, length_bits = _prefix_parts(length)
+    symbols[GREEN][head] = 256 + length_symbol
+    reach = np.zeros(8 * 64 + 8, np.int64)
+    distance = far + len(NEAR)
+    for w in np.unique(coded_width).tolist():
+        reach[:] = 0
+        for k in range(len(NEAR), 0, -1):
+            reach[_distance(k, w)] = k
+        here = (coded_width[image[head]] == w) & (far < len(reach))
+        short = reach[far[here]]
+        distance[np.flatnonzero(here)[short > 0]] = short[short > 0]
+    distance_symbol, distance_extra, distance_bits = _prefix_parts(distance)
+
+    put(np.where(cached, 1 | CACHE_BITS << 1, 0), np.where(cached, 5, 1))
+    put(0, 1)  # one group of codes
     inner = [_INNER.get(k, 0) for k in CODE_LENGTH_ORDER[:14]]
-    head = 10 << 1 | sum(x << (5 + 3 * i) for i, x in enumerate(inner))
-    codes = []
-    for channel, alphabet in ((1, 280), (0, 256), (2, 256)):  # green, red, blue
-        counts = np.bincount(image * 256 + pixels[:, channel], minlength=256 * n).reshape(n, 256)
+    spelled = 10 << 1 | sum(v << (5 + 3 * i) for i, v in enumerate(inner))
+    token = free.copy()
+    token[head] = True
+    counted = {GREEN: (image[token], symbols[GREEN][token], n_green), RED: (image[literal], symbols[RED][literal], 256), BLUE: (image[literal], symbols[BLUE][literal], 256), DISTANCE: (image[head], distance_symbol, 40)}
+    codes = {}
+    for k in (GREEN, RED, BLUE, ALPHA, DISTANCE):
+        if k == ALPHA:
+            put(0b101 | alpha << 3, 11)
+            continue
+        of, symbol, size = counted[k]
+        counts = np.bincount(of * size + symbol, minlength=size * n).reshape(n, size)
         lengths = fitted_lengths(counts)
-        one = (counts > 0).sum(axis=1) == 1
-        symbol = counts.argmax(axis=1)
-        put(0b101 | symbol[one] << 3, 11, np.flatnonzero(one))
-        other = np.flatnonzero(~one)
-        put(head, 5 + 3 * 14 + 1, other)
-        if len(other):
-            wide = np.zeros((len(other), alphabet), np.int64)
-            wide[:, :256] = lengths[other]
-            row, value, count = _length_tokens(wide)
-            put(value.astype(np.uint64), count, other[row])
+        one = (counts > 0).sum(axis=1) <= 1
+        put(0b101 | counts.argmax(axis=1)[one] << 3, 11, np.flatnonzero(one))
+        for some, alphabet in ((~one & cached, size), (~one & ~cached, min(size, ALPHABETS[k]))):
+            other = np.flatnonzero(some)
+            put(spelled, 5 + 3 * 14 + 1, other)
+            if len(other):
+                row, value, count = _length_tokens(lengths[other, :alphabet])
+                put(value, count, other[row])
         lengths[one] = 0
-        codes.append((channel, _canonical(lengths), lengths))
-    put(0b101 | 255 << 3, 11)  # alpha: always 255
-    put(0b0001, 4)  # distance: symbol 0
-    value, count = np.zeros(len(pixels), np.uint64), np.zeros(len(pixels), np.int64)
-    for channel, code, lengths in codes:
-        at = image * 256 + pixels[:, channel]
-        value |= code.ravel()[at].astype(np.uint64) << count.astype(np.uint64)
-        count += lengths.ravel()[at]
-    put(value, count, image)
-
-    where, value, count = (np.concatenate(x) for x in zip(*bits))
-    order = np.argsort(where, kind="stable")
-    where, value, count = where[order], value[order], count[order]
-    per_image = np.bincount(where, count, n).astype(np.int64)
-    words = (per_image + 63) // 64
-    base = np.cumsum(words) - words
-    ends = np.cumsum(count)
-    at = ends - count - (np.cumsum(per_image) - per_image)[where] + base[where] * 64
-    out = np.zeros(int(words.sum()) + 1, np.uint64)
-    word, shift = at >> 6, (at & 63).astype(np.uint64)
-    np.bitwise_or.at(out, word, value << shift)
-    over = (at & 63) + count > 64
-    np.bitwise_or.at(out, word[over] + 1, value[over] >> (np.uint64(64) - shift[over]))
-    raw = out.astype("<u8").tobytes()
-    files = []
-    for b, size in zip((base * 8).tolist(), ((per_image + 7) // 8).tolist()):
-        pad = size & 1
-        files.append(struct.pack("<4sI4s4sI", b"RIFF", 12 + size + pad, b"WEBP", b"VP8L", size) + raw[b : b + size] + bytes(pad))
-    return files
+        codes[k] = _canonical(lengths), lengths
+
+    value, count = np.zeros(total, np.uint64), np.zeros(total, np.int64)
+
+    def append(at, more, size):
+        value[at] |= more.astype(np.uint64) << count[at].astype(np.uint64)
+        count[at] += size
+
+    def append_symbol(k, at, symbol):
+        append(at, codes[k][0][image[at], symbol], codes[k][1][image[at], symbol])
+
+    tokens, literals = np.flatnonzero(token), np.flatnonzero(literal)
+    append_symbol(GREEN, tokens, symbols[GREEN][tokens])
+    append_symbol(RED, literals, symbols[RED][literals])
+    append_symbol(BLUE, literals, symbols[BLUE][literals])
+    append(head, length_extra, length_bits)
+    append_symbol(DISTANCE, head, distance_symbol)
+    append(head, distance_extra, distance_bits)
+    put(value[tokens], count[tokens], image[tokens])
+    return bits.files()

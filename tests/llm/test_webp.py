@@ -249,3 +249,27 @@ def test_operator_on_awkward_rows(spark):
     pixels = {r.doc_id: bytes(r.pixels) for r in mediatext.pixel_arrays(media).collect()}
     assert pixels[9][:7] == b"one two" and len(pixels[9]) == 192
     assert mediatext.media_features(mediatext.with_media(table(spark, []))).count() == 0
+
+
+def test_the_query_uses_every_part_of_the_format(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = mediatext.with_media(docs).collect()
+    streams = [webp.image_chunk(f) for r in rows for f in mediatext.media_files(bytes(r.media))]
+    heads = [webp.read_head(s) for s in streams]
+    assert all(heads)  # all of them are decoded by the batch decoder
+    for kind in (webp.PREDICTOR, webp.CROSS_COLOR, webp.SUBTRACT_GREEN, webp.PALETTE):
+        assert sum(kind in [k for k, *_ in h.todo] for h in heads) >= 3, kind
+    assert sum(h.cache_bits > 0 for h in heads) >= 20
+    assert sum(any(h.lengths[webp.GREEN][256:280]) for h in heads) >= 20
+    for k in range(0, len(streams), 9):  # the decoder of single images agrees
+        assert (webp.decode_image(streams[k]) == webp.decode_images([streams[k]])[0]).all()
+
+
+def test_an_image_does_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(5)
+    pay = [rng.integers(60, 60 + k, 192 * (1 + k % 7), dtype=np.uint8) for k in range(1, 60)]
+    sizes = np.array([len(p) for p in pay])
+    together = webp.encode_images(np.concatenate(pay), sizes, 64)
+    assert together == [webp.encode_images(p, sizes[i : i + 1], 64)[0] for i, p in enumerate(pay)]
+    for f, p in zip(together, pay):
+        assert both(webp.image_chunk(f))[..., 1:].tobytes() == p.tobytes()
