@@ -700,7 +700,8 @@ def _predicted(rgb: np.ndarray, image: np.ndarray, x: np.ndarray, y: np.ndarray,
     near = [np.roll(rgb, k, axis=0) for k in (1, width, width - 1, width + 1)]
     block = (image << 2) | (y >> PREDICTOR_BLOCK << 1) | (x >> PREDICTOR_BLOCK)
     rest = [(rgb - _predict(int(m), *near)) & 255 for m in _FIRST_MODES]
-    cost = [np.bincount(block, np.abs(_signed(r)).sum(axis=1), minlength=4 * (int(image.max()) + 1)) for r in rest]
+    inner = (x > 0) & (y > 0)  # the others have fixed predictions
+    cost = [np.bincount(block, np.abs(_signed(r)).sum(axis=1) * inner, minlength=4 * (int(image.max()) + 1)) for r in rest]
     modes = _least(cost)
     out = np.choose(modes[block][:, None], rest)
     out = np.where((y == 0)[:, None], (rgb - near[0]) & 255, np.where((x == 0)[:, None], (rgb - near[1]) & 255, out))
