@@ -9,9 +9,10 @@ for common words is a share of the distance that a text without any of them has
 the reference; a reference that hardly holds such words itself judges none by them.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null ``lang`` is compared with the pooled reference, where the verdict goes by the
-number of common words and not by which; repeated rows are judged
-alike; columns other than those named are ignored; an empty table gives no rows.
+null ``lang``, or one whose documents hold too little text to be a reference, is
+compared with the pooled reference, where the verdict goes by the number of common
+words and not by which; a very long text is one histogram as any other; repeated rows
+are judged alike; columns other than those named are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,6 +51,7 @@ class QualityConfig:
     min_words_for_common: int = 100
     max_common_share: float = 0.85  # of the distance of a text without common words
     min_common_in_reference: float = 0.10  # of the reference's words
+    min_chars_in_reference: int = 2_000  # of a language; with fewer, its documents are compared with the pooled one
 
 
 def _class_table() -> np.ndarray:
@@ -159,8 +161,8 @@ def odd_words(common: np.ndarray, reference: np.ndarray, pooled: np.ndarray, con
     return judges & np.where(pooled, beyond(in_all(common), told), beyond(common, reference))
 
 
-def language_references(docs: DataFrame) -> dict[str | None, np.ndarray]:
-    """Summed histograms of all documents by language; key None holds the sum over all."""
+def language_references(docs: DataFrame, config: QualityConfig = QualityConfig()) -> dict[str | None, np.ndarray]:
+    """Summed histograms of all documents by language, if it has text enough; key None holds the sum over all."""
     width = N_CLASSES + N_COMMON + 1
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +188,8 @@ def language_references(docs: DataFrame) -> dict[str | None, np.ndarray]:
     parts = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)]
     rows = found.groupBy("lang").agg(*parts).collect()  # one row a language
     out = {r[0]: np.array(r[1:], dtype=np.int64) for r in rows}
-    out[None] = sum(out.values(), np.zeros(width, np.int64))
-    return out
+    pooled = sum(out.values(), np.zeros(width, np.int64))
+    return {k: v for k, v in out.items() if v[:N_CLASSES].sum() >= config.min_chars_in_reference} | {None: pooled}
 
 
 def verdicts(buf, offs, references: np.ndarray, pooled: np.ndarray, config: QualityConfig) -> dict[str, np.ndarray]:
@@ -217,7 +219,7 @@ def _judged(batches: Iterator[pa.RecordBatch], lang: int, text: int, by_lang: di
 
 def score_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """Rule counts, divergences and verdict for every document."""
-    references = docs.sparkSession.sparkContext.broadcast(language_references(docs))
+    references = docs.sparkSession.sparkContext.broadcast(language_references(docs, config))
     schema = StructType(
         [StructField("doc_id", docs.schema["doc_id"].dataType)]
         + [StructField(c, LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -234,7 +236,7 @@ def score_quality(docs: DataFrame, config: QualityConfig = QualityConfig()) -> D
 
 def keep_good(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows that the rules keep, with all their columns."""
-    references = docs.sparkSession.sparkContext.broadcast(language_references(docs))
+    references = docs.sparkSession.sparkContext.broadcast(language_references(docs, config))
     lang, text = docs.columns.index("lang"), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

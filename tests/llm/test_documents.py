@@ -293,6 +293,58 @@ def test_common_words_alone_reject(spark):
     assert {i for i, r in got.items() if not r.kept} == {300, 301, 311}
 
 
+def _divergence(p, q):
+    p, q = ([x / max(1, sum(v)) for x in v] for v in (p, q))
+    kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b) if x)
+    mean = [(a + b) / 2 for a, b in zip(p, q)]
+    return math.sqrt(max(0.0, (kl(p, mean) + kl(q, mean)) / 2)) if sum(p) and sum(q) else None
+
+
+def _histograms(text):
+    classes = [0] * 8
+    for c in text:
+        lead = c.encode()[0]
+        kind = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\n\v\f\r" else 4 if c in "#*$%&|<>" else 5 if lead < 128 else 7
+        classes[6 if 0xC3 <= lead < 0xE0 or 0xE3 <= lead < 0xEE else kind] += 1
+    common = Counter(w.translate(LOWER) for w in WORD.findall(text))
+    known = [common[w] for w in dict.fromkeys(quality.COMMON_WORDS)]
+    return classes, known + [sum(common.values()) - sum(known)]
+
+
+def test_quality_verdicts_and_distances_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+    rare = [(-1, "$ & * < > | 12 ?! " * 40, "zz"), (-2, "a sole text of the language that it is in " + prose(150, 9), "yy")]
+    docs = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(i, t, g) for i, t, g in rare], "doc_id long, text string, lang string"))
+    rows += rare
+    config, references = quality.QualityConfig(), {None: ([0] * 8, [0] * (quality.N_COMMON + 1))}
+    for _, t, g in rows:
+        found = _histograms(t)
+        for key in {g, None}:
+            now = references.get(key, ([0] * 8, [0] * (quality.N_COMMON + 1)))
+            references[key] = tuple([a + b for a, b in zip(x, y)] for x, y in zip(now, found))
+    references = {k: v for k, v in references.items() if k is None or sum(v[0]) >= config.min_chars_in_reference}
+    assert "zz" not in references and "yy" not in references and len(references) > 3
+    got = {r.doc_id: r for r in quality.score_quality(docs).collect()}
+    verdicts = Counter()
+    for i, t, g in rows:
+        r, (classes, common), pooled = got[i], _histograms(t), g not in references or g is None
+        class_ref, common_ref = references[None if pooled else g]
+        far = _divergence(classes, class_ref)
+        if far is not None:
+            assert r.class_distance == pytest.approx(far, abs=1e-6)
+        near = _divergence(common, common_ref)
+        if near is not None:
+            assert r.common_distance == pytest.approx(near, abs=1e-6)
+        odd = sum(classes) >= config.min_chars_for_classes and far > config.max_class_distance
+        one, ref = ([sum(x[:-1]), x[-1]] if pooled else x for x in (common, common_ref))
+        if sum(common) >= config.min_words_for_common and sum(common_ref[:-1]) >= config.min_common_in_reference * sum(common_ref):
+            odd |= _divergence(one, ref) > config.max_common_share * _divergence([0] * (len(ref) - 1) + [1], ref)
+        assert r.kept == (not r.base_failed and not odd), i
+        verdicts[r.base_failed, r.kept] += 1
+    assert len(rows) == len(got) and not got[-1].kept and min(verdicts[False, True], verdicts[True, False]) > 0
+
+
 def test_js_distance():
     one, other = np.array([[1, 0]]), np.array([[0, 1]])
     assert quality.js_distance(one, other)[0] == pytest.approx(1) and quality.js_distance(one, 5 * one)[0] == 0
@@ -312,6 +364,65 @@ def test_kneser_ney_sums_to_one():
         assert total + unseen == pytest.approx(1, abs=1e-5)
 
 
+def _streams(text):
+    """Letters, with one 0 for each run of others but a leading one, behind four zeros."""
+    import unicodedata
+
+    out = [0] * 4
+    for c in text:
+        s = ord(c.lower()) if unicodedata.category(c)[0] in "LM" and len(c.lower()) == 1 else ord(c) if unicodedata.category(c)[0] in "LM" else 0
+        if s or (len(out) > 4 and out[-1]):
+            out.append(s)
+    return out
+
+
+def test_cross_entropies_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 1500")
+    identifier = langid.train_language_identifier(docs)
+    rows = docs.collect()
+    fold = lambda r: zlib.crc32(str(r.doc_id).encode()) % 5
+    languages = sorted({r.lang for r in rows if r.lang and fold(r)})
+    assert identifier.models.languages == languages and len(languages) > 1
+    tables = {}
+    for g in languages:
+        top = Counter()
+        for r in rows:
+            if r.lang == g and fold(r) > 1:
+                s = _streams(r.text)
+                top.update(tuple(s[k - 4 : k + 1]) for k in range(4, len(s)))
+        levels = [top]
+        for _ in range(4):
+            levels.append(Counter(gram[1:] for gram in levels[-1]))
+        tables[g] = []
+        for level in reversed(levels):
+            once, twice = (sum(c == k for c in level.values()) for k in (1, 2))
+            total, kinds = Counter(), Counter()
+            for gram, c in level.items():
+                total[gram[:-1]] += c
+                kinds[gram[:-1]] += 1
+            tables[g].append((level, total, kinds, once / (once + 2 * twice) if once and twice else 0.5))
+    alphabet = len({gram for g in languages for gram in tables[g][0][0]})
+
+    def probability(g, gram):
+        p = 1 / (alphabet + 1)
+        for k, (level, total, kinds, d) in enumerate(tables[g], 1):
+            part = gram[5 - k :]
+            n = total[part[:-1]]
+            if n:
+                p = max(level[part] - d, 0) / n + d * kinds[part[:-1]] / n * p
+        return p
+
+    got = {r.doc_id: r for r in langid.identify_languages(docs, identifier).collect()}
+    tested = [r for r in rows if fold(r) == 0 and any(_streams(r.text))][:12]
+    for r in tested:
+        s, raw = _streams(r.text), np.frombuffer(r.text.encode(), np.uint8)
+        want = [-sum(math.log(probability(g, tuple(s[k - 4 : k + 1]))) for k in range(4, len(s))) / (len(s) - 4) for g in languages]
+        found, n = identifier.models.cross_entropies(raw, np.array([0, len(raw)]))
+        assert n[0] == len(s) - 4 and found[0] == pytest.approx(want, abs=1e-4)
+        assert got[r.doc_id].lang_pred == languages[int(np.argmin(want))]
+    assert len(tested) > 5
+
+
 def test_language_id(spark):
     from tests.conftest import SF
 
