@@ -17,9 +17,12 @@ at anchors are sorted, each with the bytes before it that a string may hold.
 5. Suffixes whose common prefix reaches far enough are grouped by the bytes before
    them; that tells for each anchor which strings over it are repeated.
 
-A group of suffixes with one beginning stays in one range.  A group of more than
-``hot`` suffixes, twice a range, is not merged in one task: the strings over its anchors are dealt out
-by hash, after those that repeat inside one document are settled there.
+A group of suffixes with one beginning stays in one range.  Of a group of more than
+``hot`` suffixes, twice a range, those with wholly equal contexts are settled by an
+aggregation, and one of each goes on.  If that leaves more than ``hot``, the strings
+over an anchor are halved: those that reach less far before it keep its place, the
+others count from ``window / 2`` bytes before it.  Each half has longer sure bytes, by
+which the group splits, and goes through steps 2 to 5 again.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; so has one
 shorter than ``length``; overlaps count; rows that repeat a text, with equal or
@@ -32,7 +35,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -337,31 +341,54 @@ def merge_ranges(runs: DataFrame, config: SuffixConfig) -> DataFrame:
     return runs.groupBy("part").applyInArrow(merge, "class long, first long, after long")
 
 
-def hot_spans(with_texts: DataFrame, config: SuffixConfig) -> DataFrame:
-    """The same for hot beginnings: strings over their anchors are dealt out by hash, not by beginning.
+def starts_at(with_texts: DataFrame, config: SuffixConfig) -> DataFrame:
+    """(start, class, pos): hashes of the sure bytes at given positions; those that the text's end cuts are left out."""
 
-    What repeats inside a document is settled in its task; of each string only its
-    first place in a document is dealt out, so periodic texts send few rows.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, buf, start, end, pos in _each_document(batches):
+            pos = pos[pos + config.sure <= end - start]
+            sure = K.SpanHash(buf[start:end])(pos, pos + config.sure).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sure), pa.array(np.full(len(pos), c)), pa.array(pos)], ["start", "class", "pos"])
+
+    return with_texts.mapInArrow(run, "start long, class long, pos long")
+
+
+def equal_contexts(with_texts: DataFrame, config: SuffixConfig) -> DataFrame:
+    """(context, start, class, pos, first, after): one anchor of each context of a text, with the span of the strings over it.
+
+    A context is all that strings over the anchor may hold.  Where one stands several
+    times in a text, the spans of all its places come too, without a context.
     """
+    names = ["context", "start", "class", "pos", "first", "after"]
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, buf, start, end, pos in _each_document(batches):
-            first = np.unique((pos[:, None] - np.arange(config.window)).ravel())
-            first = first[(first >= 0) & (first + config.length <= end - start)]
-            h = K.SpanHash(buf[start:end])(first, first + config.length)
-            keys, pick, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            own = first[count[back] > 1]
-            own = _merged(np.stack([own, own + config.length], axis=1))
-            string = pa.array([None] * len(own) + keys.view(np.int64).tolist(), pa.int64())
-            at = np.concatenate([own[:, 0], first[pick]])
-            after = np.concatenate([own[:, 1], first[pick] + config.length])
-            yield pa.RecordBatch.from_arrays([string, pa.array(np.full(len(at), c)), pa.array(at), pa.array(after)], ["string", "class", "first", "after"])
-
-    found = written(with_texts.mapInArrow(strings, "string long, class long, first long, after long"), "hot-strings")
-    dealt = found.where("string IS NOT NULL")
-    often = dealt.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    across = dealt.join(often, "string").select("class", "first", "after")
-    return found.where("string IS NULL").select("class", "first", "after").unionByName(across)
+            span, n = K.SpanHash(buf[start:end]), end - start
+            left, right = np.minimum(pos, config.window - 1), np.minimum(n - pos, config.length)
+            context = K.mix(span(pos - left, pos + right) + left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            sure = span(pos, pos + config.sure).view(np.int64)
+            first, after = pos - left, pos - np.maximum(0, config.length - right) + config.length
+            keys, pick, back, count = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
+            own = _merged(np.stack([first, after], axis=1)[(count[back] > 1) & (after - first >= config.length)])
+            none = [None] * len(own)
+            columns = [none + keys.view(np.int64).tolist(), none + sure[pick].tolist(), [c] * (len(own) + len(pick)), none + pos[pick].tolist()]
+            columns += [np.concatenate([own[:, i], x[pick]]) for i, x in enumerate((first, after))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
+
+    return with_texts.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def settle_equal(hot: DataFrame, texts: DataFrame, config: SuffixConfig) -> tuple[DataFrame, DataFrame]:
+    """Spans of the anchors whose context stands elsewhere too, and (start, class, pos) of one anchor of each context."""
+    found = written(equal_contexts(_with_texts(hot, texts, config), config), "contexts")
+    dealt = found.where("context IS NOT NULL")
+    often = dealt.groupBy("context").agg(F.count("*").alias("n"), F.min(F.struct("class", "pos")).alias("one"))
+    often = written(often.where("n > 1").select("context", F.col("one.class").alias("one_class"), F.col("one.pos").alias("one_pos")), "equal-contexts")
+    dealt = written(dealt.join(often, "context", "left"), "dealt-contexts")
+    own = found.where("context IS NULL").select("class", "first", "after")
+    across = dealt.where(f"one_pos IS NOT NULL AND after - first >= {config.length}").select("class", "first", "after")
+    one = dealt.where("one_pos IS NULL OR (one_class = class AND one_pos = pos)").select("start", "class", "pos")
+    return own.unionByName(across), one
 
 
 def _class() -> Column:
@@ -381,12 +408,40 @@ def repeated_bytes(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> tu
     texts = texts.where(F.col("first_id").isNull() | (F.col("doc_id") == F.col("first_id"))).select("class", "text")
 
     found = written(shared_anchors(written(anchor_table(texts, config), "anchors"), config), "shared-anchors")
-    n = found.where("NOT hot").count()
+    spans = _spans_of(found, texts, config)
+    spans = written(spans.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("first", "after"))).alias("spans")), "repeated-spans")
+    return spans, copied.select("class")
+
+
+def _spans_of(found: DataFrame, texts: DataFrame, config: SuffixConfig) -> DataFrame:
+    """(class, first, after) for all shared anchors: merges of ranges, with windows halved as long as a beginning is hot."""
+    spans = []
+    while True:
+        hot, cold = (found.where(c).select("class", "pos") for c in ("hot", "NOT hot"))
+        if hot.take(1):
+            settled, one = settle_equal(hot, texts, config)
+            found = written(shared_anchors(one, config), "shared-anchors")
+            hot = found.where("hot").select("class", "pos")
+            cold = cold.unionByName(found.where("NOT hot").select("class", "pos"))
+            spans.append(settled)
+        spans.append(merged_spans(cold, texts, config))
+        if config.window == 1 or not hot.take(1):
+            break
+        config = replace(config, window=(config.window + 1) // 2)
+        halves = hot.unionByName(hot.select("class", (F.col("pos") - config.window).alias("pos")).where("pos >= 0"))
+        starts = written(starts_at(_with_texts(halves, texts, config), config), "anchors")
+        found = written(shared_anchors(starts, config), "shared-anchors")
+    return reduce(DataFrame.unionByName, spans)
+
+
+def merged_spans(positions: DataFrame, texts: DataFrame, config: SuffixConfig) -> DataFrame:
+    """(class, first, after) of the anchors (class, pos): runs, ranges with sampled bounds, merges."""
+    n = positions.count()
     parts = max(1, -(-n // config.range_rows))
     bounds = np.zeros(0, f"S{config.sure}")
     if parts > 1:
         every = max(1, n // (parts * config.sample_per_range))
-        sample = found.where("NOT hot").where(F.pmod(F.xxhash64("class", "pos"), F.lit(every)) == 0).select("class", "pos")
+        sample = positions.where(F.pmod(F.xxhash64("class", "pos"), F.lit(every)) == 0)
 
         def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, buf, start, _end, pos in _each_document(batches):
@@ -394,13 +449,7 @@ def repeated_bytes(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> tu
 
         got = np.sort(np.array([r["b"] for r in _with_texts(sample, texts, config).mapInArrow(beginnings, "b binary").collect()], f"S{config.sure}"))
         bounds = np.unique(got[np.linspace(0, len(got) - 1, parts + 1).astype(int)[1:-1]]) if len(got) else bounds
-    runs = front_coded_runs(_with_texts(found.where("NOT hot").select("class", "pos"), texts, config), bounds, config)
-    spans = merge_ranges(runs, config)
-    hot = found.where("hot").select("class", "pos")
-    if hot.take(1):
-        spans = spans.unionByName(hot_spans(_with_texts(hot, texts, config), config))
-    spans = written(spans.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("first", "after"))).alias("spans")), "repeated-spans")
-    return spans, copied.select("class")
+    return merge_ranges(front_coded_runs(_with_texts(positions, texts, config), bounds, config), config)
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:

@@ -44,12 +44,15 @@ def test_suffix_dedup(spark, settings):
     passage = prose(45, 9)
     rows = awkward() + [(20 + i, prose(20, 50 + i) + passage[i * 3 : 260 + i] + prose(12, 70 + i), "en", "a", 1) for i in range(6)]
     rows.append((40, ("ab" * 150) + prose(9, 1) + ("ab" * 150), "en", "a", 1))
+    shared = prose(40, 8)  # a passage with less and less of it, and other words around: one beginning, many contexts
+    rows += [(50 + i, prose(8, 90 + i) + shared[9 * i : 9 * i + 105 + 11 * (i % 9)] + prose(8, 30 + i % 5), "en", "a", 1) for i in range(9)]
+    rows += [(60 + i, prose(30, 40 + i % 2)[: 150 + 3 * i] + shared[:130] + prose(30, 60 + i % 3), "en", "a", 1) for i in range(9)]
     got = suffixdedup.removal_report(table(spark, rows), suffixdedup.SuffixConfig(**settings)).collect()
     want = [(i, *x) for (i, *_), x in zip(rows, removed([r[1] for r in rows], 200))]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
-def test_only_groups_beyond_a_range_leave_the_merge(spark):
+def test_only_groups_beyond_two_ranges_are_split(spark):
     config = suffixdedup.SuffixConfig()
     for n, hot in ((12_000, False), (config.hot, False), (config.hot + 1, True)):
         starts = spark.range(n).selectExpr("1L AS start", "id AS class", "0L AS pos")
