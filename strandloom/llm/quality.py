@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ el los las que y se del por con una su para como es lo al no más o si
 # The symbols that the rule set counts.
 SYMBOLS = "#*$%&|<>"
 
-#: Classes of a byte: lower, upper, digit, blank, counted symbol, other ASCII, letter above ASCII, other above ASCII.
+#: Classes of a character: lower, upper, digit, blank, counted symbol, other ASCII, letter or mark above ASCII, other above ASCII.
 N_CLASSES = 8
 
 
@@ -60,11 +62,28 @@ def _class_table() -> np.ndarray:
     t[97:123], t[65:91], t[48:58] = 0, 1, 2
     t[K.SEPARATOR] = 3
     t[[ord(c) for c in SYMBOLS]] = 4
-    t[0xC3:0xE0] = 6  # lead bytes of Latin, Greek, Cyrillic, Hebrew and Arabic letters
-    t[0xE3:0xEE] = 6
     return t
 
 
+@cache
+def _above_ascii() -> np.ndarray:
+    """Class of each code point above ASCII, by its Unicode category."""
+    return np.fromiter((6 if category(chr(c))[0] in "LM" else 7 for c in range(0x110000)), np.uint8, 0x110000)
+
+
+def character_classes(buf: np.ndarray) -> np.ndarray:
+    """Class of each character of whole UTF-8 texts, at its first byte."""
+    cls = _CLASS[buf]
+    at = np.flatnonzero(buf >= 0xC0)
+    if len(at):
+        head = buf[at].astype(np.int64)
+        a, b, c = (buf[np.minimum(at + i, len(buf) - 1)].astype(np.int64) & 0x3F for i in (1, 2, 3))
+        two, three = (head & 0x1F) << 6 | a, (head & 0x0F) << 12 | a << 6 | b
+        code = np.where(head < 0xE0, two, np.where(head < 0xF0, three, (head & 0x07) << 18 | a << 12 | b << 6 | c))
+        cls[at] = _above_ascii()[code]
+    return cls
+
+
 _CLASS = _class_table()
 _LEAD = np.ones(256, dtype=bool)
 _LEAD[0x80:0xC0] = False
@@ -88,7 +107,7 @@ def histograms(buf, offs, words) -> tuple[np.ndarray, np.ndarray]:
     n = len(offs) - 1
     lead = _LEAD[buf]
     classes = np.empty((n, N_CLASSES), np.int64)
-    cls = _CLASS[buf]
+    cls = character_classes(buf)
     for c in range(N_CLASSES):
         classes[:, c] = K.per_document((cls == c) & lead, offs)
     lowered = K.SpanHash(K.LOWER[buf])(starts, ends)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -306,9 +307,8 @@ def _divergence(p, q):
 def _histograms(text):
     classes = [0] * 8
     for c in text:
-        lead = c.encode()[0]
-        kind = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\n\v\f\r" else 4 if c in "#*$%&|<>" else 5 if lead < 128 else 7
-        classes[6 if 0xC3 <= lead < 0xE0 or 0xE3 <= lead < 0xEE else kind] += 1
+        kind = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\n\v\f\r" else 4 if c in "#*$%&|<>" else 5 if c < "\x80" else 6 if unicodedata.category(c)[0] in "LM" else 7
+        classes[kind] += 1
     common = Counter(w.translate(LOWER) for w in WORD.findall(text))
     known = [common[w] for w in dict.fromkeys(quality.COMMON_WORDS)]
     return classes, known + [sum(common.values()) - sum(known)]
@@ -318,6 +318,7 @@ def test_quality_verdicts_and_distances_by_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
     rare = [(-1, "$ & * < > | 12 ?! " * 40, "zz"), (-2, "a sole text of the language that it is in " + prose(150, 9), "yy")]
+    rare += [(-3, "×÷«» “quoted” … 、。 ☃ 😀 е́ ქართული ខ្មែរ 中文字 ａＢ Ⅷ ½ ﷺ 𝒳 𐍈 " * 20, None), (-4, "\u00b5\u00aa\u0301\uffff\U0010ffff", "en")]
     docs = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(i, t, g) for i, t, g in rare], "doc_id long, text string, lang string"))
     rows += rare
     config, references = quality.QualityConfig(), {None: ([0] * 8, [0] * (quality.N_COMMON + 1))}
