@@ -12,7 +12,8 @@ Symbols are lower-cased letters and marks; everything else is a word boundary.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0;
 languages come from non-null ``lang`` of learning documents; if there are none,
-every text is ``und``; repeated rows get equal results; other columns are ignored.
+every text is ``und``; repeated rows get equal results; other columns are ignored;
+very long texts are predicted whole and learnt from by drawn pieces, as others are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import textkernels as K
@@ -37,6 +38,8 @@ class LanguageIdConfig:
     order: int = 5
     #: Bound of the learning sample, in characters a language, in expectation.
     sample_chars: int = 1_500_000
+    #: Length of the pieces of texts that are drawn.
+    piece_chars: int = 2_000
     folds: int = 5
     max_calibration_docs: int = 4_000
 
@@ -277,6 +280,17 @@ def _fold(config: LanguageIdConfig):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(config.folds))
 
 
+def _drawn_pieces(docs: DataFrame, rate_of: Column, config: LanguageIdConfig) -> DataFrame:
+    """(lang, text): the pieces of each text that its language's rate draws, a line each; at rate 1 whole texts."""
+    size = F.lit(config.piece_chars)
+    n = F.greatest(F.ceil(F.length("text") / size), F.lit(1)).cast("int")
+    share = F.floor(rate_of["count"] * (1 << 20))
+    drawn = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.pmod(F.xxhash64(F.col("doc_id"), i), F.lit(1 << 20)) < share)
+    pieces = F.transform(drawn, lambda i: F.col("text").substr(i * size + 1, size))
+    text = F.when(rate_of["count"] < 1, F.array_join(pieces, "\n")).otherwise(F.col("text"))
+    return docs.select("lang", text.alias("text")).where("text <> ''")
+
+
 def train_language_identifier(docs: DataFrame, config: LanguageIdConfig = LanguageIdConfig()) -> LanguageIdentifier:
     """Learn from labelled documents outside fold 0; fold 1 calibrates, the rest is counted."""
     spark = docs.sparkSession
@@ -286,12 +300,12 @@ def train_language_identifier(docs: DataFrame, config: LanguageIdConfig = Langua
     languages = sorted(r["lang"] for r in totals)
     if not languages:
         return LanguageIdentifier(None)
-    # A document is in the sample by its hash, at the rate that fits the bound.
+    # What is counted is drawn by pieces, so that a language of few very long texts has its share; whole texts calibrate.
     rate = {r["lang"]: min(1.0, config.sample_chars / max(1, r["chars"])) for r in totals}
     tuned = {r["lang"]: min(1.0, config.max_calibration_docs / max(1, r["n"])) for r in totals}
     rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.struct(F.lit(rate[k]).alias("count"), F.lit(tuned[k]).alias("tune")))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = labelled.where(draw < F.when(F.col("fold") == 1, F.least(rates[F.col("lang")]["tune"], rates[F.col("lang")]["count"])).otherwise(rates[F.col("lang")]["count"]))
+    rate_of, draw = rates[F.col("lang")], F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    calibrating = labelled.where("fold = 1").where(draw < F.least(rate_of["tune"], rate_of["count"]))
     order, index = config.order, {k: i for i, k in enumerate(languages)}
     names = [f"s{j}" for j in range(order)]
 
@@ -314,8 +328,8 @@ def train_language_identifier(docs: DataFrame, config: LanguageIdConfig = Langua
                 )
 
     # Fold 1 is counted too where it is all there is.
-    counted = sample.where("fold <> 1") if sample.where("fold <> 1").take(1) else sample
-    rows = counted.select("lang", "text").mapInArrow(count, "lang int, " + ", ".join(f"{c} int" for c in names) + ", n long")
+    counted = labelled.where("fold <> 1") if labelled.where("fold <> 1").take(1) else labelled
+    rows = _drawn_pieces(counted, rate_of, config).mapInArrow(count, "lang int, " + ", ".join(f"{c} int" for c in names) + ", n long")
     table = rows.groupBy("lang", *names).agg(F.sum("n").alias("n")).toArrow()
     if not table.num_rows:
         return LanguageIdentifier(None)
@@ -334,7 +348,7 @@ def train_language_identifier(docs: DataFrame, config: LanguageIdConfig = Langua
                 e, n = shared.value.cross_entropies(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 yield pa.RecordBatch.from_arrays([pa.array(code[lo:hi]), pa.array(n), pa.array(e.tolist(), pa.list_(pa.float64()))], ["lang", "n", "e"])
 
-    held = sample.where("fold = 1").select("lang", "text").mapInArrow(measure, "lang long, n long, e array<double>")
+    held = calibrating.select("lang", "text").mapInArrow(measure, "lang long, n long, e array<double>")
     held = sorted(held.where("n > 0").collect())
     if held:
         out.calibrate(np.array([r["e"] for r in held]), np.array([r["n"] for r in held]), np.array([r["lang"] for r in held]))

@@ -444,6 +444,19 @@ def test_language_id(spark):
     assert langid.identify_languages(empty, langid.train_language_identifier(empty)).count() == 0
 
 
+def test_a_language_of_one_long_text_is_learnt_within_the_bound(spark):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 > 1]
+    rows = [(ids[0], " ".join("zxqj"[(k * k) % 4] + "wvk"[k % 3] * 2 + "jq" for k in range(30_000)), "xx", "a", 1)]
+    rows += [(i, prose(900, i), "en", "a", 1) for i in ids[1:30]]
+    config = langid.LanguageIdConfig(sample_chars=20_000, piece_chars=500)
+    model = langid.train_language_identifier(table(spark, rows), config)
+    new = table(spark, [(1000, "zwwjq xvvjq qkkjq zwwjq", None, None, 0), (1001, prose(40, 77), None, None, 0)])
+    assert {r.doc_id: r.lang_pred for r in langid.identify_languages(new, model, config).collect()} == {1000: "xx", 1001: "en"}
+    rate_of = langid.F.struct(langid.F.lit(20_000 / sum(len(r[1]) for r in rows[:1])).alias("count"))
+    drawn = [r.text for r in langid._drawn_pieces(table(spark, rows[:1]), rate_of, config).collect()]
+    assert 10_000 < len(drawn[0]) < 30_000 and all(piece in rows[0][1] for piece in drawn[0].split("\n"))
+
+
 # ---- SentencePiece
 
 
