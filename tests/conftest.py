@@ -42,14 +42,13 @@ def duck():
 def same(spark, duck):
     """Compare a registered query with its SQL, rows in any order."""
 
-    def rows(frame):
-        columns = sorted(frame.columns)
-        frame = frame[columns].astype(object)
-        return sorted(map(str, frame.where(frame.notna(), None).itertuples(index=False, name=None)))
+    def rows(columns, values):
+        order = sorted(range(len(columns)), key=columns.__getitem__)
+        return sorted(str(tuple(v[i] for i in order)) for v in values)
 
     def check(query, sql):
-        ours, theirs = query(spark, SF).toPandas(), duck.sql(sql).df()
+        ours, theirs = query(spark, SF), duck.sql(sql)
         assert sorted(ours.columns) == sorted(theirs.columns)
-        assert rows(ours) == rows(theirs)
+        assert rows(ours.columns, ours.collect()) == rows(theirs.columns, theirs.fetchall())
 
     return check
