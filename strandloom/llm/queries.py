@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fillmiddle, jaccard, langid, lmscore, mediatext, merkle, mixing, quality, recordfiles, sentencepieces, suffixdedup, urlrules
+from . import blockanchors, fillmiddle, jaccard, langid, lmscore, mediatext, merkle, mixing, quality, recordfiles, sentencepieces, suffixdedup, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockanchors.removal_report(_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fillmiddle.middle_report(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filters": urlrules.FILTER_SQL,
     "op5_source_mixing": mixing.MIX_SQL,
+    "op11_substring_dedup": blockanchors.REMOVAL_SQL,
     "op12_fill_in_middle": fillmiddle.MIDDLE_SQL,
     "op13_merkle_manifest": merkle.MANIFEST_SQL,
 }
