@@ -49,8 +49,8 @@ def test_words_of_earlier_windows_go(spark, settings):
     want = list(removed(rows, config.window))
     docs = table(spark, rows)
     out = B.without_repeats(docs, config)
-    assert out.columns == docs.columns + ["n_words", "n_removed", "kept_sha256", "kept"]
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()) == Counter(want)
+    assert out.columns == docs.columns + ["n_words", "n_removed", "kept_sha256", "kept_"]
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_) for r in out.collect()) == Counter(want)
     assert all(r.n == "n" and r.key == "key" for r in out.select("n", "key").collect())
     report = B.removal_report(docs, config).collect()
     assert Counter(map(tuple, report)) == Counter((i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in want)
