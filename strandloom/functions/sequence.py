@@ -31,10 +31,22 @@ def compat_codes(seq: Column) -> Column:
     return F.translate(F.regexp_replace(seq, r"[^\x01-\x7F]", "\x01"), _ASCII, _CODES)
 
 
+#: Window starts in one piece of a long sequence.
+PIECE = 4096
+
+
+def pieces(codes: Column, n: int, size: int = PIECE) -> Column:
+    """Pieces of at most ``size`` window starts that overlap by ``n`` - 1, so that each window is whole in one piece."""
+    cut = F.regexp_extract_all(codes, F.lit(f"(?=(.{{1,{size + n - 1}}})).{{1,{size}}}"), F.lit(1))
+    return F.when(F.length(codes) <= size, F.array(codes)).otherwise(cut)
+
+
 def windows(digits: Column, n: int) -> Column:
-    """All windows of ``n`` digits, as an array; none if the sequence is shorter."""
-    every = F.transform(F.sequence(F.lit(1), F.length(digits) - n + 1), lambda i: F.substring(digits, i, F.lit(n)))
-    return F.when(F.length(digits) >= n, every)
+    """All windows of ``n`` digits, as an array; those with anything else in them are left out.
+
+    One pass that looks ahead at each place, so its cost is linear in the sequence.
+    """
+    return F.regexp_extract_all(digits, F.lit(f"(?=([0-3]{{{n}}}))"), F.lit(1))
 
 
 def compat_windows(codes: Column, n: int) -> Column:
@@ -43,11 +55,9 @@ def compat_windows(codes: Column, n: int) -> Column:
     for even in "0246":
         spilled = F.regexp_replace(spilled, f"{even}(?=[4-7])", str(int(even) + 1))
     spilled, own = (F.translate(c, "4567", DIGITS) for c in (spilled, codes))
-    every = F.transform(
-        F.sequence(F.lit(1), F.length(codes) - n + 1),
-        lambda i: F.concat(F.substring(spilled, i, F.lit(n - 1)), F.substring(own, i + (n - 1), F.lit(1))),
-    )
-    return F.when(F.length(codes) >= n, every)
+    body = F.regexp_extract_all(spilled, F.lit(f"(?=(.{{{n - 1}}}).)"), F.lit(1))
+    end = F.regexp_extract_all(own, F.lit(f"(?=.{{{n - 1}}}(.))"), F.lit(1))
+    return F.zip_with(body, end, lambda a, b: F.concat(a, b))
 
 
 def first(seq: Column, n: Column | int) -> Column:

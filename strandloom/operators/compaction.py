@@ -34,19 +34,11 @@ def independent_set(ext: DataFrame, config: AssemblyConfig) -> DataFrame:
     return ext.groupBy("node").agg(F.max(nbr).alias("most")).where("most IS NULL OR most <= node").select("node")
 
 
-def wires_of(ext: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Wires of the chosen nodes only."""
-    return wiring.wires(ext.join(chosen, "node", "left_semi"))
-
-
-def wired_pairs(ext: DataFrame, wires: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Wires of the chosen nodes with both extensions."""
-    rows = ext.join(chosen, "node", "left_semi")
-    side = lambda which, tag: rows.where(F.col("side") == which).select(
-        "node", F.col("idx").alias(f"{tag}_idx"), F.col("seq").alias(f"{tag}_seq"), F.col("cnt").alias(f"{tag}_cnt"), F.col("terminal").alias(f"{tag}_end")
-    )
-    own = wires.join(chosen, "node", "left_semi").select("node", "p_idx", "s_idx", "off_p", F.col("cnt").alias("flow"))
-    return own.join(side("P", "p"), ["node", "p_idx"]).join(side("S", "s"), ["node", "s_idx"])
+def wired_pairs(ext: DataFrame) -> DataFrame:
+    """Wires with both extensions, (node, p_idx, off_p, flow, p_seq, p_cnt, p_end, s_seq, s_cnt, s_end)."""
+    both = wiring.paired(ext, "seq", "cnt", "terminal")
+    side = lambda c: [F.col(f"{c}.seq").alias(f"{c}_seq"), F.col(f"{c}.cnt").alias(f"{c}_cnt"), F.col(f"{c}.terminal").alias(f"{c}_end")]
+    return both.select("node", F.col("p.idx").alias("p_idx"), (F.col("at") - F.col("p.start")).alias("off_p"), F.col("cnt").alias("flow"), *side("p"), *side("s"))
 
 
 def transfers(pairs: DataFrame, config: AssemblyConfig) -> DataFrame:
@@ -66,60 +58,133 @@ def partial_contigs(pairs: DataFrame) -> DataFrame:
     return pairs.where("p_end AND s_end").select(F.concat("p_seq", "node", "s_seq").alias("seq"))
 
 
-def applied(ext: DataFrame, chosen: DataFrame, sent: DataFrame) -> DataFrame:
-    """Extensions after the chosen nodes are gone and their transfers are in.
+#: Where the rows that come together in a round are from.
+ACTIVE, SETTLED, SENT = 0, 1, 2
+
+
+def edited(rows: DataFrame, sent: DataFrame) -> DataFrame:
+    """Extensions ``rows`` (with ``origin``) after the transfers; ``touched`` tells the nodes that got any.
 
     Of the transfers for one live extension the first to arrive replaces it in
     place; all others, and those without a live extension, are appended in order of
-    arrival.  A transfer to a node that is not there is an error.
+    arrival.  A transfer to a node that is not there is an error.  One exchange by
+    node serves all of it.
     """
-    rest = ext.join(chosen, "node", "left_anti")
-    one = Window.partitionBy("target", "side", "search_ext").orderBy(*ARRIVAL)
-    live = rest.where("NOT terminal").select(F.col("node").alias("target"), "side", F.col("seq").alias("search_ext"), F.col("idx").alias("at"))
-    sent = sent.withColumn("rn", F.row_number().over(one)).join(live, ["target", "side", "search_ext"], "left")
-    sent = sent.withColumn("replaces", F.when((F.col("rn") == 1) & F.col("at").isNotNull(), F.col("at")))
-    sizes = rest.groupBy(F.col("node").alias("target"), "side").agg(F.count("*").cast("int").alias("n"))
-    new = Window.partitionBy("target", "side", F.col("replaces").isNull()).orderBy(*ARRIVAL)
-    sent = sent.join(sizes, ["target", "side"], "left").withColumn("later", F.row_number().over(new) - 1)
-    lost = F.raise_error(F.concat(F.lit("no node for a transfer to "), "target")).cast("int")
-    idx = F.when(F.col("n").isNull(), lost).otherwise(F.coalesce("replaces", F.col("n") + F.col("later"))).cast("int")
-    arrived = sent.select(F.col("target").alias("node"), "side", idx.alias("idx"), F.col("new_ext").alias("seq"), "cnt", "visit", "terminal", F.lit(1).alias("new"))
-    both = rest.withColumn("new", F.lit(0)).unionByName(arrived)
-    # A replaced row and its successor share (node, side, idx); the new one stays.
-    kept = both.groupBy("node", "side", "idx").agg(F.max_by(F.struct("seq", "cnt", "visit", "terminal"), "new").alias("r"))
-    return kept.select("node", "side", "idx", "r.*")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in zip(ARRIVAL, ("string", "int", "int"))]
+    own = rows.select("node", "side", F.when(~F.col("terminal"), F.col("seq")).alias("key"), "idx", "seq", "cnt", "visit", "terminal", "origin", *nothing)
+    new = sent.select(
+        F.col("target").alias("node"), "side", F.col("search_ext").alias("key"), F.lit(None).cast("int").alias("idx"), F.col("new_ext").alias("seq"),
+        "cnt", "visit", "terminal", F.lit(SENT).alias("origin"), "src", "p_idx", F.col("off_p").cast("int").alias("off_p"),
+    )
+    is_new = F.col("origin") == SENT
+    here, side, match = Window.partitionBy("node"), Window.partitionBy("node", "side"), Window.partitionBy("node", "side", "key")
+    all_rows = own.unionByName(new).repartition("node")
+    all_rows = all_rows.withColumns({
+        "touched": F.max(is_new).over(here),
+        "n": F.count(F.when(~is_new, 1)).over(side),
+        "at": F.max(F.when(~is_new & F.col("key").isNotNull(), F.col("idx"))).over(match),
+        "arrivals": F.count(F.when(is_new, 1)).over(match),
+    })
+    all_rows = all_rows.withColumn("rn", F.row_number().over(Window.partitionBy("node", "side", "key", is_new).orderBy(*ARRIVAL)))
+    all_rows = all_rows.withColumn("replaces", F.when(is_new & (F.col("rn") == 1), F.col("at")))
+    later = F.row_number().over(Window.partitionBy("node", "side", is_new & F.col("replaces").isNull()).orderBy(*ARRIVAL)) - 1
+    all_rows = all_rows.withColumn("later", later)
+    replaced = ~is_new & (F.col("arrivals") > 0) & F.col("at").isNotNull() & (F.col("idx") == F.col("at")) & F.col("key").isNotNull()
+    lost = F.raise_error(F.concat(F.lit("no node for a transfer to "), "node")).cast("int")
+    idx = F.when(~is_new, F.col("idx")).when(F.col("n") == 0, lost).otherwise(F.coalesce("replaces", (F.col("n") + F.col("later")).cast("int")))
+    return all_rows.where(~replaced).select(*EXT[:2], idx.alias("idx"), *EXT[3:], "touched", "origin")
+
+
+EXT = ("node", "side", "idx", "seq", "cnt", "visit", "terminal")
+
+
+def applied(ext: DataFrame, chosen: DataFrame, sent: DataFrame) -> DataFrame:
+    """All extensions after the chosen nodes are gone and their transfers are in."""
+    rest = ext.join(chosen, "node", "left_anti").withColumn("origin", F.lit(ACTIVE))
+    return edited(rest, sent).select(*EXT)
+
+
+def chosen_first(ext: DataFrame, config: AssemblyConfig) -> DataFrame:
+    """The extensions and whether their node is ``chosen``: has no greater neighbour."""
+    node, seq = F.col("node"), F.col("seq")
+    pn, sn = S.before(node, seq, config.node)[0], S.after(node, seq, config.node)[0]
+    nbr = F.when(~F.col("terminal"), F.when(F.col("side") == "P", pn).otherwise(sn))
+    most = F.max(nbr).over(Window.partitionBy("node"))
+    return ext.withColumn("chosen", F.coalesce(most <= node, F.lit(True)))
+
+
+@dataclass
+class Round:
+    """Figures of a round: nodes before it, nodes contracted, nodes touched, rows written."""
+
+    nodes: int
+    contracted: int
+    touched: int
+    rows: int
 
 
 @dataclass
 class Contracted:
     ext: DataFrame
     partial: DataFrame
-    statistics: list[tuple[int, int, int]] = field(default_factory=list)  # round, nodes before it, nodes contracted
-
+    rounds: list[Round] = field(default_factory=list)
 
-def contract_once(ext: DataFrame, config: AssemblyConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(extensions, partial contigs, contracted nodes) of one round."""
-    chosen = independent_set(ext, config)
-    pairs = wired_pairs(ext, wires_of(ext, chosen), chosen)
-    return applied(ext, chosen, transfers(pairs, config)), partial_contigs(pairs), chosen
+    @property
+    def statistics(self) -> list[tuple[int, int, int]]:
+        """(round, nodes before it, nodes contracted)"""
+        return [(i, r.nodes, r.contracted) for i, r in enumerate(self.rounds)]
 
 
 def contract(ext: DataFrame, config: AssemblyConfig) -> Contracted:
     """Rounds until at most ``node_limit`` nodes are left; None contracts nothing.
 
-    Each round's extensions are checkpointed, which cuts the lineage.
+    A round works on the nodes that the one before touched, all nodes at first: only
+    they can have lost their greater neighbours.  Those of them that stay as they are
+    settle: they are kept in that round's table and are not written again before a
+    transfer reaches them.  ``pulled`` logs the nodes that left the settled tables.
     """
     spark = ext.sparkSession
-    ext = checkpointed(ext)
-    out = Contracted(ext, spark.createDataFrame([], "seq string"))
-    left = ext.select("node").distinct().count()
-    while config.node_limit is not None and left > config.node_limit:
-        chosen = checkpointed(independent_set(ext, config))
-        pairs = checkpointed(wired_pairs(ext, wires_of(ext, chosen), chosen))
-        ext = checkpointed(applied(ext, chosen, transfers(pairs, config)))
-        out.partial = out.partial.unionByName(partial_contigs(pairs))
-        now = ext.select("node").distinct().count()
-        out.statistics.append((len(out.statistics), left, left - now))
-        left = now
-    out.ext = ext
+    partial = spark.createDataFrame([], "seq string")
+    active = checkpointed(ext.select(*EXT).repartition("node"))
+    out = Contracted(active, partial)
+    if config.node_limit is None:
+        return out
+    left = active.select("node").distinct().count()
+    settled: list[DataFrame] = []
+    pulled = spark.createDataFrame([], "node string, round int")
+
+    def current() -> DataFrame:
+        """Rows of the settled tables whose node was not pulled since they settled."""
+        rows = settled[0]
+        for s in settled[1:]:
+            rows = rows.unionByName(s)
+        gone = pulled.groupBy("node").agg(F.max("round").alias("last"))
+        return rows.join(gone, "node", "left").where("last IS NULL OR last <= settled").select(*EXT)
+
+    while left > config.node_limit:
+        number = len(out.rounds)
+        flagged = chosen_first(active, config)
+        pairs = checkpointed(wired_pairs(flagged.where("chosen").select(*EXT)))
+        partial = partial.unionByName(partial_contigs(pairs))
+        sent = transfers(pairs, config)
+        rows = flagged.where("NOT chosen").select(*EXT, F.lit(ACTIVE).alias("origin"))
+        if settled:
+            targets = sent.select(F.col("target").alias("node")).distinct()
+            rows = rows.unionByName(current().join(targets, "node", "left_semi").withColumn("origin", F.lit(SETTLED)))
+        now = checkpointed(edited(rows, sent))
+        figures = now.agg(
+            F.count("*").alias("rows"), F.count_distinct(F.when(F.col("touched"), F.col("node"))).alias("touched"),
+            F.max((F.col("origin") == SETTLED).cast("int")).alias("from_settled"), F.max((~F.col("touched")).cast("int")).alias("settles"),
+        ).first()
+        contracted = pairs.select("node").distinct().count()
+        out.rounds.append(Round(left, contracted, figures["touched"], figures["rows"]))
+        left -= contracted
+        if figures["from_settled"]:
+            pulled = checkpointed(pulled.unionByName(now.where(F.col("origin") == SETTLED).select("node", F.lit(number).alias("round")).distinct()))
+        if figures["settles"]:
+            settled.append(now.where("NOT touched").select(*EXT, F.lit(number).alias("settled")))
+        active = now.where("touched").select(*EXT)
+    if out.rounds:
+        out.ext = checkpointed(active.unionByName(current()) if settled else active)
+    out.partial = partial
     return out

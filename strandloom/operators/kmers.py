@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandloom.config import AssemblyConfig
 from strandloom.functions import sequence as S
-
-#: l-mer tables up to this many rows (4**9) are broadcast.
-BROADCAST_LMERS = 1 << 18
+from strandloom.operators import packed
 
 
 def extracted(reads: DataFrame, n: int, name: str, alphabet: str = "strict") -> DataFrame:
-    """One row for each window of ``n`` bases of each read; strict windows hold bases only."""
-    if alphabet == "compat":
-        return reads.select(F.explode(S.compat_windows(S.compat_codes(F.col("seq")), n)).alias(name))
-    runs = reads.select(F.explode(F.split(S.encode(F.col("seq")), r"\.+")).alias("run"))
-    return runs.select(F.explode(S.windows(F.col("run"), n)).alias(name))
+    """One row for each window of ``n`` bases of each read; strict windows hold bases only.
+
+    Long reads are cut into overlapping pieces first, so that no row holds all windows of a read.
+    """
+    codes, windows = (S.compat_codes, S.compat_windows) if alphabet == "compat" else (S.encode, S.windows)
+    piece = reads.select(F.explode(S.pieces(codes(F.col("seq")), n)).alias("piece"))
+    return piece.select(F.explode(windows(F.col("piece"), n)).alias(name))
 
 
 def kmer_counts(reads: DataFrame, config: AssemblyConfig) -> DataFrame:
@@ -29,12 +29,17 @@ def lmer_frequencies(reads: DataFrame, config: AssemblyConfig) -> DataFrame:
 
 
 def minimizers(kmers: DataFrame, lmers: DataFrame, config: AssemblyConfig) -> DataFrame:
-    """(kmer, minimizer, pos): leftmost of the rarest l-mers of each k-mer."""
+    """``kmers`` with minimizer and pos: leftmost of the rarest l-mers of each k-mer.
+
+    Up to ``packed.LONGEST_MINIMIZER`` bases the ranks of all l-mers fit in a bounded
+    table and nothing is exchanged; longer ones are joined.
+    """
     size = config.minimizer
-    at = kmers.select("kmer", F.posexplode(S.windows(F.col("kmer"), size)).alias("pos", "lmer"))
-    table = F.broadcast(lmers) if 4**size <= BROADCAST_LMERS else lmers
-    best = at.join(table, "lmer").groupBy("kmer").agg(F.min(F.struct("freq", "pos", "lmer")).alias("b"))
-    return best.select("kmer", F.col("b.lmer").alias("minimizer"), F.col("b.pos").alias("pos"))
+    if size <= packed.LONGEST_MINIMIZER:
+        return packed.minimizers(kmers, lmers, config)
+    at = kmers.select("*", F.posexplode(S.windows(F.col("kmer"), size)).alias("pos", "lmer"))
+    best = at.join(lmers, "lmer").groupBy(*kmers.columns).agg(F.min(F.struct("freq", "pos", "lmer")).alias("b"))
+    return best.select(*kmers.columns, F.col("b.lmer").alias("minimizer"), F.col("b.pos").alias("pos"))
 
 
 def owner_of_lmer(lmer, owners: int):
@@ -43,6 +48,6 @@ def owner_of_lmer(lmer, owners: int):
 
 def owner_load(kmers: DataFrame, lmers: DataFrame, config: AssemblyConfig) -> DataFrame:
     """(owner, distinct_kmers, total): what each owner of minimizers holds."""
-    owned = minimizers(kmers, lmers, config).join(kmers, "kmer")
+    owned = minimizers(kmers, lmers, config)
     owned = owned.withColumn("owner", owner_of_lmer(F.col("minimizer"), config.owners))
     return owned.groupBy("owner").agg(F.count("*").alias("distinct_kmers"), F.sum("cnt").alias("total"))

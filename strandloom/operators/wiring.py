@@ -34,21 +34,27 @@ def ranked(ext: DataFrame) -> DataFrame:
     return out.withColumn("start", F.coalesce(F.sum("visit").over(running), F.lit(0)).cast("int"))
 
 
-def wires(ext: DataFrame) -> DataFrame:
-    """(node, p_idx, s_idx, off_p, off_s, cnt): overlaps of prefix and suffix flow intervals of a node.
+def paired(ext: DataFrame, *fields: str) -> DataFrame:
+    """(node, at, p, s, cnt): overlaps of prefix and suffix flow intervals of a node, with both extensions.
 
-    The intervals of a side follow each other without gaps, so each wire begins where
+    ``p`` and ``s`` hold idx, start and visit of the extensions, and the other ``fields``.
+    The intervals of a side follow each other without gaps, so each overlap begins where
     an interval of either side does: the starts of both are sorted once a node, and the
     open prefix and suffix are carried along, which is linear in a node's extensions.
     """
-    flow = ranked(ext).where("visit > 0").select("node", "side", "idx", "visit", "start")
-    own = lambda side: F.max(F.when(F.col("side") == side, F.struct("start", "visit", "idx")))
+    flow = ranked(ext).where("visit > 0")
+    row = F.struct("start", "visit", "idx", *fields)
+    own = lambda side: F.max(F.when(F.col("side") == side, row))
     cuts = flow.groupBy("node", F.col("start").alias("at")).agg(own("P").alias("p"), own("S").alias("s"))
     along = Window.partitionBy("node").orderBy("at")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
     cuts = cuts.select("node", "at", *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in "ps"], F.lead("at").over(along).alias("next"))
     end = F.least(F.col("p.start") + F.col("p.visit"), F.col("s.start") + F.col("s.visit"))
     end = F.least(F.coalesce("next", end), end)
-    cuts = cuts.where("p IS NOT NULL AND s IS NOT NULL").withColumn("cnt", end - F.col("at")).where("cnt > 0")
+    return cuts.where("p IS NOT NULL AND s IS NOT NULL").withColumn("cnt", end - F.col("at")).where("cnt > 0").drop("next")
+
+
+def wires(ext: DataFrame) -> DataFrame:
+    """(node, p_idx, s_idx, off_p, off_s, cnt) of all nodes."""
     off = lambda c: (F.col("at") - F.col(f"{c}.start")).alias(f"off_{c}")
-    return cuts.select("node", F.col("p.idx").alias("p_idx"), F.col("s.idx").alias("s_idx"), off("p"), off("s"), "cnt")
+    return paired(ext).select("node", F.col("p.idx").alias("p_idx"), F.col("s.idx").alias("s_idx"), off("p"), off("s"), "cnt")

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.config import AssemblyConfig
 from strandloom.functions import sequence as S
-from strandloom.operators import compaction, graph, histogram, kmers, walk, wiring
+from strandloom.operators import compaction, graph, histogram, kmers, packed, walk, wiring
 from strandloom.plans import assembly
 from strandloom.session import checkpointed, shared_path
 from strandloom.sources import fasta
 
 CONFIG = AssemblyConfig(k=21, minimizer=8, coverage=1, buckets=3, node_limit=None)
-#: For queries that contract: stop at this share of the nodes.
-CONTRACT_TO = 0.5
+#: For queries that contract: nodes at which they stop, at every size.
+NODE_LIMIT = 2_000
 MIN_CONTIG = 100
 
 
@@ -65,7 +65,17 @@ def kmer_total_distinct(spark, sf_dir):
 
 
 def minimizer(spark, sf_dir):
-    return kmers.minimizers(_counts(spark, sf_dir), _lmers(spark, sf_dir), CONFIG)
+    return kmers.minimizers(_counts(spark, sf_dir).select("kmer"), _lmers(spark, sf_dir), CONFIG)
+
+
+def kmer_count_packed(spark, sf_dir):
+    """The counts by packed keys, unpacked at the end."""
+    return packed.packed_counts(reads(spark, sf_dir), CONFIG).select(packed.unpacked(F.col("key"), CONFIG.k).alias("kmer"), "cnt")
+
+
+def kmer_count_by_runs(spark, sf_dir):
+    """The counts by runs of one minimizer."""
+    return packed.counts_by_runs(reads(spark, sf_dir), _lmers(spark, sf_dir), CONFIG)
 
 
 def owner_hash(spark, sf_dir):
@@ -132,9 +142,9 @@ def self_loops(spark, sf_dir):
 
 
 def _round_one(spark, sf_dir):
-    ext, wired = _wired(spark, sf_dir)
+    ext = checkpointed(_balanced(spark, sf_dir))
     chosen = checkpointed(compaction.independent_set(ext, CONFIG))
-    return ext, chosen, checkpointed(compaction.wired_pairs(ext, wired, chosen))
+    return ext, chosen, checkpointed(compaction.wired_pairs(ext.join(chosen, "node", "left_semi")))
 
 
 def transfers_r1(spark, sf_dir):
@@ -159,9 +169,8 @@ def rewired_r1(spark, sf_dir):
 
 
 def _contracted(spark, sf_dir):
-    ext = checkpointed(_balanced(spark, sf_dir))
-    limit = int(ext.select("node").distinct().count() * CONTRACT_TO)
-    return compaction.contract(ext, AssemblyConfig(k=CONFIG.k, minimizer=CONFIG.minimizer, buckets=CONFIG.buckets, node_limit=limit))
+    config = AssemblyConfig(k=CONFIG.k, minimizer=CONFIG.minimizer, buckets=CONFIG.buckets, node_limit=NODE_LIMIT)
+    return compaction.contract(_balanced(spark, sf_dir), config)
 
 
 def compaction_stats(spark, sf_dir):
@@ -186,6 +195,16 @@ def walk_contigs_full_flow(spark, sf_dir):
     return _walked(spark, sf_dir, "full_flow")
 
 
+def partial_contigs(spark, sf_dir):
+    """Contigs that contraction itself completes, all rounds."""
+    return _contracted(spark, sf_dir).partial.select(S.decode(F.col("seq")).alias("seq"))
+
+
+def ext_contracted(spark, sf_dir):
+    """The graph that is left at the node limit."""
+    return _contracted(spark, sf_dir).ext
+
+
 def contigs_final(spark, sf_dir):
     done = _contracted(spark, sf_dir)
     found = walk.walk_contigs(done.ext, wiring.wires(done.ext), CONFIG)
@@ -194,9 +213,9 @@ def contigs_final(spark, sf_dir):
 
 
 def fasta_reads(spark, sf_dir):
-    """The reads written as FASTA and read back by the source."""
+    """The reads written as FASTA and read back by the source, empty ones too."""
     path = shared_path(spark, "reads-fasta")
-    rows = reads(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("value"))
+    rows = reads(spark, sf_dir).select(F.concat(F.lit(">"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("value"))
     rows.write.text(path)
     return fasta.read_fasta(spark, path).select("header", "seq")
 
@@ -231,6 +250,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "base_encode": base_encode,
     "lmer_freq": _lmers,
     "kmer_count": _counts,
+    "kmer_count_packed": kmer_count_packed,
+    "kmer_count_by_runs": kmer_count_by_runs,
     "kmer_total_distinct": kmer_total_distinct,
     "minimizer": minimizer,
     "owner_hash": owner_hash,
@@ -256,6 +277,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nodes_after_r1": nodes_after_r1,
     "rewired_r1": rewired_r1,
     "compaction_stats": compaction_stats,
+    "partial_contigs": partial_contigs,
+    "ext_contracted": ext_contracted,
     "begin_nodes": begin_nodes,
     "walk_contigs": walk_contigs,
     "walk_contigs_full_flow": walk_contigs_full_flow,
@@ -401,6 +424,39 @@ def _sql(select: str, *names: str, recursive: str | None = None) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + f"\n{select}"
 
 
+def _contraction_of(start: str) -> str:
+    """All rounds of a contraction: extensions (kind 0) and partial contigs (kind 1) after each; the last round has the end."""
+    names = ["ranked", "wires", "pairs", "transfers", "rest", "placed", "ext_after"]
+    steps = {n: _CTE[n].replace("balanced_ext", "now") for n in names}
+    steps["id_set"] = f"""
+      SELECT node FROM now GROUP BY node
+      HAVING coalesce(max(CASE WHEN terminal THEN NULL WHEN side = 'P' THEN left(seq || node, {_N}) ELSE right(node || seq, {_N}) END) <= node, true)"""
+    parts = ",\n".join(f"{n} AS ({steps[n]})" for n in ["ranked", "wires", "id_set", *names[2:]])
+    return f"""
+      SELECT 0 AS iter, 0 AS kind, node, side, idx, seq, cnt, visit, terminal FROM {start}
+      UNION ALL
+      SELECT * FROM (
+        WITH now AS (SELECT node, side, idx, seq, cnt, visit, terminal FROM rounds WHERE kind = 0),
+        {parts}
+        SELECT r.iter + 1, x.* FROM (SELECT max(iter) AS iter, count(DISTINCT node) AS n FROM rounds WHERE kind = 0) r, (
+          SELECT 0 AS kind, node, side, idx, seq, cnt, visit, terminal FROM ext_after
+          UNION ALL SELECT 1, node, NULL, NULL, p_seq || node || s_seq, NULL, NULL, NULL FROM pairs WHERE p_end AND s_end) x
+        WHERE r.n > {NODE_LIMIT})"""
+
+
+def _contracted_sql(select: str, walk: bool = False) -> str:
+    """A query of the rounds of a contraction, and of the walks through its end."""
+    parts = {"rounds": _contraction_of("balanced_ext")}
+    parts["last_ext"] = "SELECT node, side, idx, seq, cnt, visit, terminal FROM rounds WHERE kind = 0 AND iter = (SELECT max(iter) FROM rounds WHERE kind = 0)"
+    if walk:
+        parts["last_ranked"] = _ranked_of("last_ext")
+        parts["last_wires"] = _wires_of("last_ranked")
+        parts["last_steps"] = _CTE["steps"].replace("balanced_ext", "last_ext").replace("wires", "last_wires")
+        parts["walked"] = _walk_of(_HALF).replace("balanced_ext", "last_ext").replace("steps", "last_steps")
+    before = _sql("", "balanced_ext").removeprefix("WITH ")
+    return f"WITH RECURSIVE {before}" + "".join(f",\n{n} AS ({q})" for n, q in parts.items()) + f"\n{select}"
+
+
 def _plain(name: str, columns: str = "*") -> str:
     return _sql(f"SELECT {columns} FROM {name}", name)
 
@@ -418,6 +474,8 @@ ORACLE_SQL: dict[str, str] = {
     "base_encode": _plain("coded"),
     "lmer_freq": _plain("lmer_freq"),
     "kmer_count": _plain("kmer_count"),
+    "kmer_count_packed": _plain("kmer_count"),
+    "kmer_count_by_runs": _plain("kmer_count"),
     "kmer_total_distinct": _sql("SELECT coalesce(sum(cnt), 0)::BIGINT AS total, count(*) AS distinct_kmers FROM kmer_count", "kmer_count"),
     "minimizer": _plain("minimizer"),
     "owner_hash": _plain("owner_hash"),
@@ -449,11 +507,23 @@ ORACLE_SQL: dict[str, str] = {
     "ext_after_r1": _plain("ext_after"),
     "nodes_after_r1": _sql("SELECT DISTINCT node FROM ext_after", "ext_after"),
     "rewired_r1": _sql(_wires_of("ranked_after"), "ranked_after"),
-    "fasta_reads": _sql("SELECT read_id::VARCHAR AS header, seq FROM reads WHERE seq <> ''", "reads"),
+    "fasta_reads": _sql("SELECT read_id::VARCHAR AS header, seq FROM reads", "reads"),
     "visits_by_3": _plain("visits_by_3"),
     "histogram_of_21": _plain("histogram_of_21"),
     "min_bucket_of_21": _sql("SELECT bucket FROM histogram_of_21 ORDER BY n, bucket LIMIT 1", "histogram_of_21"),
     "valid_kmer_count": _sql("SELECT count(*) AS n, coalesce(sum(cnt), 0)::BIGINT AS occurrences FROM valid_kmers", "valid_kmers"),
+    "compaction_stats": _contracted_sql(
+        """SELECT iter, n_nodes, n_nodes - following AS id_set_size FROM (
+             SELECT iter, count(DISTINCT node) AS n_nodes, lead(count(DISTINCT node)) OVER (ORDER BY iter) AS following FROM rounds WHERE kind = 0 GROUP BY iter)
+           WHERE following IS NOT NULL"""
+    ),
+    "partial_contigs": _contracted_sql(f"SELECT {_LETTERS} AS seq FROM rounds WHERE kind = 1"),
+    "ext_contracted": _contracted_sql("SELECT * FROM last_ext"),
+    "contigs_final": _contracted_sql(
+        f"""SELECT {_LETTERS} AS seq, len(seq) AS len, origin FROM (
+             SELECT seq, 'partial' AS origin FROM rounds WHERE kind = 1 UNION ALL SELECT seq, 'walk' FROM walked WHERE node IS NULL)""",
+        walk=True,
+    ),
     "begin_nodes": _sql("SELECT node, idx AS p_idx, visit FROM balanced_ext WHERE side = 'P' AND terminal AND visit > 0", "balanced_ext"),
     "walk_contigs": _walk_sql(_HALF, f"SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL"),
     "walk_contigs_full_flow": _walk_sql(_FULL, f"SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL"),
