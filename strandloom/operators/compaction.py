@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from strandloom.config import AssemblyConfig
 from strandloom.functions import sequence as S
@@ -60,15 +61,20 @@ def partial_contigs(pairs: DataFrame) -> DataFrame:
 
 #: Where the rows that come together in a round are from.
 ACTIVE, SETTLED, SENT = 0, 1, 2
+#: Rows that a task of a round has about, and settled tables that are read side by side.
+ROWS_A_TASK, SETTLED_TABLES = 25_000, 4
+#: A node has one empty prefix, so these rows count nodes.
+ONE_A_NODE = "side = 'P' AND seq = ''"
 
 
-def edited(rows: DataFrame, sent: DataFrame) -> DataFrame:
+def edited(rows: DataFrame, sent: DataFrame, tasks: int | None = None) -> DataFrame:
     """Extensions ``rows`` (with ``origin``) after the transfers; ``touched`` tells the nodes that got any.
 
     Of the transfers for one live extension the first to arrive replaces it in
     place; all others, and those without a live extension, are appended in order of
     arrival.  A transfer to a node that is not there is an error.  One exchange by
-    node serves all of it.
+    node and two sorts serve all of it: each window below reads what the one before
+    has made, and its rows in the order that is there.
     """
     nothing = [F.lit(None).cast(t).alias(c) for c, t in zip(ARRIVAL, ("string", "int", "int"))]
     own = rows.select("node", "side", F.when(~F.col("terminal"), F.col("seq")).alias("key"), "idx", "seq", "cnt", "visit", "terminal", "origin", *nothing)
@@ -76,23 +82,24 @@ def edited(rows: DataFrame, sent: DataFrame) -> DataFrame:
         F.col("target").alias("node"), "side", F.col("search_ext").alias("key"), F.lit(None).cast("int").alias("idx"), F.col("new_ext").alias("seq"),
         "cnt", "visit", "terminal", F.lit(SENT).alias("origin"), "src", "p_idx", F.col("off_p").cast("int").alias("off_p"),
     )
-    is_new = F.col("origin") == SENT
-    here, side, match = Window.partitionBy("node"), Window.partitionBy("node", "side"), Window.partitionBy("node", "side", "key")
-    all_rows = own.unionByName(new).repartition("node")
-    all_rows = all_rows.withColumns({
-        "touched": F.max(is_new).over(here),
-        "n": F.count(F.when(~is_new, 1)).over(side),
-        "at": F.max(F.when(~is_new & F.col("key").isNotNull(), F.col("idx"))).over(match),
-        "arrivals": F.count(F.when(is_new, 1)).over(match),
+    both = own.unionByName(new).withColumn("is_new", F.col("origin") == SENT)
+    both = both.repartition("node") if tasks is None else both.repartition(tasks, "node")
+    old, is_new = ~F.col("is_new"), F.col("is_new")
+    both = both.withColumn("rn", F.row_number().over(Window.partitionBy("node", "side", "key", "is_new").orderBy(*ARRIVAL)))
+    match = Window.partitionBy("node", "side", "key")
+    both = both.withColumns({
+        "at": F.max(F.when(old & (F.col("rn") > 0) & F.col("key").isNotNull(), F.col("idx"))).over(match),
+        "arrivals": F.coalesce(F.max(F.when(is_new, F.col("rn"))).over(match), F.lit(0)),
     })
-    all_rows = all_rows.withColumn("rn", F.row_number().over(Window.partitionBy("node", "side", "key", is_new).orderBy(*ARRIVAL)))
-    all_rows = all_rows.withColumn("replaces", F.when(is_new & (F.col("rn") == 1), F.col("at")))
-    later = F.row_number().over(Window.partitionBy("node", "side", is_new & F.col("replaces").isNull()).orderBy(*ARRIVAL)) - 1
-    all_rows = all_rows.withColumn("later", later)
-    replaced = ~is_new & (F.col("arrivals") > 0) & F.col("at").isNotNull() & (F.col("idx") == F.col("at")) & F.col("key").isNotNull()
+    both = both.withColumn("n", F.count(F.when(old & (F.col("arrivals") >= 0), 1)).over(Window.partitionBy("node", "side")))
+    both = both.withColumn("touched", F.max(is_new & (F.col("n") >= 0)).over(Window.partitionBy("node")))
+    both = both.withColumn("replaces", F.when(is_new & (F.col("rn") == 1), F.col("at"))).withColumn("appends", is_new & F.col("replaces").isNull() & F.col("touched"))
+    later = F.row_number().over(Window.partitionBy("node", "side", "appends").orderBy(*ARRIVAL)) - 1
+    both = both.withColumn("later", later)
+    replaced = old & F.col("key").isNotNull() & (F.col("arrivals") > 0) & (F.col("idx") == F.col("at"))
     lost = F.raise_error(F.concat(F.lit("no node for a transfer to "), "node")).cast("int")
-    idx = F.when(~is_new, F.col("idx")).when(F.col("n") == 0, lost).otherwise(F.coalesce("replaces", (F.col("n") + F.col("later")).cast("int")))
-    return all_rows.where(~replaced).select(*EXT[:2], idx.alias("idx"), *EXT[3:], "touched", "origin")
+    idx = F.when(old, F.col("idx")).when(F.col("n") == 0, lost).otherwise(F.coalesce("replaces", (F.col("n") + F.col("later")).cast("int")))
+    return both.where(~replaced).select(*EXT[:2], idx.alias("idx"), *EXT[3:], "touched", "origin")
 
 
 EXT = ("node", "side", "idx", "seq", "cnt", "visit", "terminal")
@@ -141,50 +148,59 @@ def contract(ext: DataFrame, config: AssemblyConfig) -> Contracted:
     A round works on the nodes that the one before touched, all nodes at first: only
     they can have lost their greater neighbours.  Those of them that stay as they are
     settle: they are kept in that round's table and are not written again before a
-    transfer reaches them.  ``pulled`` logs the nodes that left the settled tables.
+    transfer reaches them.  ``pulled`` logs the nodes that left the settled tables;
+    after ``SETTLED_TABLES`` rounds these are put together.
     """
     spark = ext.sparkSession
     partial = spark.createDataFrame([], "seq string")
-    active = checkpointed(ext.select(*EXT).repartition("node"))
-    out = Contracted(active, partial)
     if config.node_limit is None:
-        return out
-    left = active.select("node").distinct().count()
+        return Contracted(checkpointed(ext.select(*EXT)), partial)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = Observation()
+    nodes = F.count(F.when(F.expr(ONE_A_NODE), 1))
+    active = checkpointed(ext.select(*EXT).repartition("node").observe(seen, F.count("*").alias("rows"), nodes.alias("nodes")))
+    rows, left = seen.get["rows"], seen.get["nodes"]
+    rounds: list[Round] = []
     settled: list[DataFrame] = []
-    pulled = spark.createDataFrame([], "node string, round int")
+    pulled: list[DataFrame] = []
 
     def current() -> DataFrame:
         """Rows of the settled tables whose node was not pulled since they settled."""
-        rows = settled[0]
-        for s in settled[1:]:
-            rows = rows.unionByName(s)
-        gone = pulled.groupBy("node").agg(F.max("round").alias("last"))
-        return rows.join(gone, "node", "left").where("last IS NULL OR last <= settled").select(*EXT)
+        if not pulled:
+            return reduce(DataFrame.unionByName, settled).select(*EXT)
+        gone = reduce(DataFrame.unionByName, pulled).groupBy("node").agg(F.max("round").alias("last"))
+        return reduce(DataFrame.unionByName, settled).join(gone, "node", "left").where("last IS NULL OR last <= settled").select(*EXT)
 
     while left > config.node_limit:
-        number = len(out.rounds)
+        number = len(rounds)
         flagged = chosen_first(active, config)
         pairs = checkpointed(wired_pairs(flagged.where("chosen").select(*EXT)))
         partial = partial.unionByName(partial_contigs(pairs))
         sent = transfers(pairs, config)
-        rows = flagged.where("NOT chosen").select(*EXT, F.lit(ACTIVE).alias("origin"))
+        met = flagged.where("NOT chosen").select(*EXT, F.lit(ACTIVE).alias("origin"))
         if settled:
             targets = sent.select(F.col("target").alias("node")).distinct()
-            rows = rows.unionByName(current().join(targets, "node", "left_semi").withColumn("origin", F.lit(SETTLED)))
-        now = checkpointed(edited(rows, sent))
-        figures = now.agg(
-            F.count("*").alias("rows"), F.count_distinct(F.when(F.col("touched"), F.col("node"))).alias("touched"),
-            F.max((F.col("origin") == SETTLED).cast("int")).alias("from_settled"), F.max((~F.col("touched")).cast("int")).alias("settles"),
-        ).first()
-        contracted = pairs.select("node").distinct().count()
-        out.rounds.append(Round(left, contracted, figures["touched"], figures["rows"]))
+            met = met.unionByName(current().join(targets, "node", "left_semi").withColumn("origin", F.lit(SETTLED)))
+        seen = Observation()
+        own = lambda condition: F.count(F.when(F.expr(ONE_A_NODE) & condition, 1))
+        now = checkpointed(
+            edited(met, sent, min(most, rows // ROWS_A_TASK + 1)).observe(
+                seen, F.count("*").alias("rows"), nodes.alias("nodes"), own(F.col("touched")).alias("touched"), own(F.col("origin") == SETTLED).alias("pulled")
+            )
+        )
+        figures = seen.get
+        rows, settles = figures["rows"], figures["nodes"] - figures["touched"]
+        active_before = rounds[-1].touched if rounds else left
+        contracted = active_before + figures["pulled"] - figures["nodes"]
+        rounds.append(Round(left, contracted, figures["touched"], rows))
         left -= contracted
-        if figures["from_settled"]:
-            pulled = checkpointed(pulled.unionByName(now.where(F.col("origin") == SETTLED).select("node", F.lit(number).alias("round")).distinct()))
-        if figures["settles"]:
+        if figures["pulled"]:
+            pulled.append(now.where((F.col("origin") == SETTLED) & F.expr(ONE_A_NODE)).select("node", F.lit(number).alias("round")))
+        if settles:
             settled.append(now.where("NOT touched").select(*EXT, F.lit(number).alias("settled")))
         active = now.where("touched").select(*EXT)
-    if out.rounds:
-        out.ext = checkpointed(active.unionByName(current()) if settled else active)
-    out.partial = partial
-    return out
+        if len(settled) > SETTLED_TABLES and left > config.node_limit:
+            settled, pulled = [checkpointed(current()).withColumn("settled", F.lit(number))], []
+    if rounds:
+        active = checkpointed(active.unionByName(current()) if settled else active)
+    return Contracted(active, partial, rounds)

@@ -182,9 +182,8 @@ def begin_nodes(spark, sf_dir):
 
 
 def _walked(spark, sf_dir, mode):
-    ext, wired = _wired(spark, sf_dir)
     config = AssemblyConfig(k=CONFIG.k, minimizer=CONFIG.minimizer, buckets=CONFIG.buckets, node_limit=None, walk=mode)
-    return walk.walk_contigs(ext, wired, config).select(S.decode(F.col("seq")).alias("seq"))
+    return walk.walk_contigs(_balanced(spark, sf_dir), config).select(S.decode(F.col("seq")).alias("seq"))
 
 
 def walk_contigs(spark, sf_dir):
@@ -207,7 +206,7 @@ def ext_contracted(spark, sf_dir):
 
 def contigs_final(spark, sf_dir):
     done = _contracted(spark, sf_dir)
-    found = walk.walk_contigs(done.ext, wiring.wires(done.ext), CONFIG)
+    found = walk.walk_contigs(done.ext, CONFIG)
     both = done.partial.withColumn("origin", F.lit("partial")).unionByName(found.withColumn("origin", F.lit("walk")))
     return both.select(S.decode(F.col("seq")).alias("seq"), F.length("seq").alias("len"), "origin")
 
