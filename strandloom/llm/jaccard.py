@@ -179,10 +179,12 @@ def candidate_nodes(summaries: DataFrame) -> DataFrame:
 
 
 def candidate_tokens(docs: DataFrame, candidates: DataFrame, config: JaccardConfig) -> DataFrame:
-    """(token, node) of candidates (node, doc_id), computed again from their texts."""
+    """(token, node) of candidates (node, doc_id, text_hash), computed again from their texts."""
     ids = F.broadcast(candidates) if candidates.count() <= config.broadcast_rows else candidates
-    ids = ids.select("node", F.col("doc_id").alias("_id"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    ids = ids.select("node", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    own = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_own"))
+    # Many rows may have one doc_id, or none; with the text's hash each meets its own candidate only.
+    texts = own.join(ids, (F.col("_own") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,10 +392,11 @@ def linked_pairs(index: DataFrame, sets: DataFrame, config: JaccardConfig) -> Da
 def _rooted_sets(docs: DataFrame, config: JaccardConfig) -> DataFrame:
     """(doc_id, text_hash, n_shingles, node, root) of every row; root is null for an empty set."""
     summaries = written(set_summaries(docs, config), "shingle-sets")
-    nodes = summaries.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    nodes = summaries.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.first("n_shingles").alias("n"))
+    nodes = nodes.select("node", "k.doc_id", "k.text_hash", "n")
     met = nodes.join(candidate_nodes(summaries), "node").where(F.col("held") >= 1 + F.floor(F.col("n") / 8))  # extra(n)
     candidates = written(met.drop("held"), "candidates")
-    tokens = candidate_tokens(docs, candidates.select("node", "doc_id"), config)
+    tokens = candidate_tokens(docs, candidates.select("node", "doc_id", "text_hash"), config)
     scored = shared_tokens(tokens, config).join(candidates.select("node", "n"), "node").withColumn("score", F.col("score") / F.col("n"))
     sets = written(scored.select("node", "n", "score", "tokens"), "shared-tokens")
     links = linked_pairs(written(index_combinations(sets, config), "combinations"), sets, config)
@@ -404,9 +407,10 @@ def _rooted_sets(docs: DataFrame, config: JaccardConfig) -> DataFrame:
 def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     rows = _rooted_sets(docs, config)
-    smallest = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    out = rows.join(smallest, "root", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+    rooted = rows.where("root IS NOT NULL")
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    alone = rows.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rooted.join(smallest, "root").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, config: JaccardConfig = JaccardConfig()) -> DataFrame:

@@ -135,6 +135,17 @@ def test_jaccard(spark, settings):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, components(rows)))
 
 
+def test_candidates_of_one_doc_id_meet_their_own_text_only(spark):
+    """2,000 rows without an id in near-equal pairs: as many texts are read again as there are rows, not pairs of them."""
+    rows = [(None, prose(60, i // 2) + f" end{i % 2}", "en", "a", 1) for i in range(2000)] + [(5, prose(60, 9000 + i) + " x", "en", "a", 1) for i in range(4)]
+    docs, config = table(spark, rows), jaccard.JaccardConfig()
+    got = jaccard.jaccard_components(docs, config).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, 57, i)) for i, *_ in rows)
+    texts = docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "xxhash64(text) AS node")
+    read = jaccard.candidate_tokens(docs, texts, config)
+    assert read._jdf.queryExecution().toRdd().toJavaRDD().isEmpty()  # no text has such a node, and the join ends at once
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_components(table(spark, [])).count() == 0
     assert jaccard.one_of_each(table(spark, [(1, None, None, None, None)])).count() == 1
