@@ -223,10 +223,11 @@ def runs_of_one_minimizer(reads: DataFrame, lmers: DataFrame, config: AssemblyCo
             bases = Bases(*text_bytes(batch.column(0)), "strict")
             codes = bases.packed(size)[1].astype(np.int64) & (4**size - 1)
             at = bases.starts(k)
+            if not len(at):
+                continue
             best = _rarest(table.value[codes], k - size + 1)[at]
-            new = np.r_[len(at) > 0, (np.diff(at) != 1) | (np.diff(best) != 0)][: len(at)]
-            # Two stretches may touch: a window of the second never starts right after one of the first.
-            first = np.flatnonzero(new)
+            # A window of one stretch never starts right after one of the stretch before.
+            first = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(best) != 0)])
             last = np.append(first[1:], len(at)) - 1
             begin, end = at[first], at[last] + k
             lengths = end - begin

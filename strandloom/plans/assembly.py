@@ -5,36 +5,59 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from strandloom.config import AssemblyConfig
 from strandloom.functions import sequence as S
 from strandloom.operators import compaction, graph, histogram, kmers, walk, wiring
 from strandloom.session import checkpointed
+from strandloom.sources import fasta
 
 
 @dataclass
 class Assembly:
-    """Contigs (seq, origin) in letters, the graph behind them, and figures of the run."""
+    """Contigs as chunks (contig, origin, chunk, text) in letters, the graph behind them, and figures of the run.
 
-    contigs: DataFrame
+    ``figures`` are row counts by phase, observed in the passes that make the tables.
+    """
+
+    chunks: DataFrame
     ext: DataFrame
     cutoff: int
-    statistics: list[tuple[int, int, int]] = field(default_factory=list)
+    rounds: list[compaction.Round] = field(default_factory=list)
     seconds: dict[str, float] = field(default_factory=dict)
+    figures: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def contigs(self) -> DataFrame:
+        """(seq, origin) of whole contigs."""
+        return walk.whole(self.chunks).select("seq", "origin")
+
+    @property
+    def statistics(self) -> list[tuple[int, int, int]]:
+        return [(i, r.nodes, r.contracted) for i, r in enumerate(self.rounds)]
 
 
 def valid(reads: DataFrame, config: AssemblyConfig) -> tuple[DataFrame, int]:
     """k-mers at or above the cut-off, and the cut-off; raises if none is left."""
-    counts = checkpointed(kmers.kmer_counts(reads, config))
+    kept, cutoff, _ = counted(reads, config)
+    return kept, cutoff
+
+
+def counted(reads: DataFrame, config: AssemblyConfig) -> tuple[DataFrame, int, dict[str, int]]:
+    """Valid k-mers, the cut-off, and what was read and counted on the way."""
+    read, seen = Observation(), Observation()
+    rows = reads.observe(read, F.count("*").alias("reads"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"))
+    counts = checkpointed(kmers.kmer_counts(rows, config).observe(seen, F.count("*").alias("distinct"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("total")))
     cutoff = histogram.min_bucket(counts, config.buckets)
     kept = counts.where(F.col("cnt") >= cutoff)
     if not kept.take(1):
         raise histogram.NothingLeft(f"no k-mer occurs {cutoff} times")
-    return kept, cutoff
+    return kept, cutoff, {"reads": read.get["reads"], "bases": read.get["bases"], "kmers": seen.get["total"], "distinct_kmers": seen.get["distinct"]}
 
 
 def assemble(reads: DataFrame, config: AssemblyConfig) -> Assembly:
+    """All phases; each has its seconds, and its rows as they are observed."""
     seconds: dict[str, float] = {}
     began = time.time()
 
@@ -43,17 +66,40 @@ def assemble(reads: DataFrame, config: AssemblyConfig) -> Assembly:
         seconds[name] = time.time() - began
         began = time.time()
 
-    kept, cutoff = valid(reads, config)
+    kept, cutoff, figures = counted(reads, config)
     lap("count")
-    ext = checkpointed(wiring.balanced(graph.extensions(kept, config)))
-    lap("graph")
+    survived, built = Observation(), Observation()
+    rows = graph.extensions(kept.observe(survived, F.count("*").alias("n")), config)
+    nodes = F.count(F.when(F.expr(compaction.ONE_A_NODE), 1))
+    ext = checkpointed(wiring.balanced(rows).observe(built, nodes.alias("nodes"), F.count("*").alias("rows")))
+    figures |= {"valid_kmers": survived.get["n"], "nodes": built.get["nodes"], "extensions": built.get["rows"]}
+    lap("nodes")
     done = compaction.contract(ext, config)
+    figures |= {"rounds": len(done.rounds), "contracted": sum(r.contracted for r in done.rounds)}
     lap("contract")
-    found = walk.walk_contigs(done.ext, wiring.wires(done.ext), config)
-    both = done.partial.withColumn("origin", F.lit("partial")).unionByName(found.withColumn("origin", F.lit("walk")))
-    contigs = checkpointed(both.select(S.decode(F.col("seq")).alias("seq"), "origin"))
+    flow = walk.flow_map(done.ext, config)
+    figures |= {"ports": flow.n_ports, "wires": flow.n_wires}
+    lap("wire")
+    maps = walk.powers(flow)
+    figures["doublings"] = len(maps) - 1
+    lap("map")
+    found = walk.walks(flow, maps, config.walk)
     lap("walk")
-    return Assembly(contigs, done.ext, cutoff, done.statistics, seconds)
+    spelled = walk.spelled(flow, maps, found).withColumn("origin", F.lit("walk"))
+    partial = fasta.chunks_of(done.partial.withColumn("origin", F.lit("partial")))
+    seen = Observation()
+    first = F.col("chunk") == 0
+    both = spelled.unionByName(partial).withColumn("text", S.decode(F.col("text")))
+    of = lambda origin: F.count(F.when(first & (F.col("origin") == origin), 1)).alias(origin)
+    chunks = checkpointed(both.observe(seen, of("walk"), of("partial"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("letters")))
+    figures |= {"walk_contigs": seen.get["walk"], "partial_contigs": seen.get["partial"], "letters": seen.get["letters"]}
+    lap("spell")
+    return Assembly(chunks, done.ext, cutoff, done.rounds, seconds, figures)
+
+
+def figures_table(spark, figures: dict[str, int]) -> DataFrame:
+    """(figure, n) of an assembly."""
+    return spark.createDataFrame(list(figures.items()), "figure string, n long")
 
 
 def statistics_table(spark, statistics: list[tuple[int, int, int]]) -> DataFrame:

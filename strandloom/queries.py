@@ -21,6 +21,8 @@ CONFIG = AssemblyConfig(k=21, minimizer=8, coverage=1, buckets=3, node_limit=Non
 #: For queries that contract: nodes at which they stop, at every size.
 NODE_LIMIT = 2_000
 MIN_CONTIG = 100
+#: Letters a chunk of the contigs' files.
+CHUNK = 64
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,8 +241,29 @@ def valid_kmer_count(spark, sf_dir):
 
 
 def contig_fasta(spark, sf_dir):
-    contigs = walk_contigs(spark, sf_dir).withColumn("origin", F.lit("walk"))
-    return fasta.numbered_contigs(contigs, MIN_CONTIG).select("name", "seq")
+    """Named contigs as they are written, a line a chunk."""
+    chunks = walk.walk_chunks(_balanced(spark, sf_dir), CONFIG, CHUNK).withColumn("text", S.decode(F.col("text")))
+    named = fasta.named_chunks(chunks.withColumn("origin", F.lit("walk")), MIN_CONTIG)
+    return named.select("name", "chunk", F.col("text").alias("seq"))
+
+
+def contigs_read_back(spark, sf_dir):
+    """The contigs written as FASTA and read back by the source, whole."""
+    path = shared_path(spark, "contigs-fasta")
+    chunks = walk.walk_chunks(_balanced(spark, sf_dir), CONFIG, CHUNK).withColumn("text", S.decode(F.col("text")))
+    fasta.write_chunks(chunks.withColumn("origin", F.lit("walk")), path, MIN_CONTIG)
+    return fasta.read_fasta(spark, path).select("header", "seq")
+
+
+def phase_figures(spark, sf_dir):
+    """What each phase of a whole assembly read, made and kept, observed on the way."""
+    config = AssemblyConfig(k=CONFIG.k, minimizer=CONFIG.minimizer, buckets=CONFIG.buckets, node_limit=NODE_LIMIT)
+    return assembly.figures_table(spark, assembly.assemble(reads(spark, sf_dir), config).figures).where("figure <> 'doublings'")
+
+
+def lost_flow(spark, sf_dir):
+    """Flow between two self-loops of a node, which its contraction drops."""
+    return assembly.lost_flow(checkpointed(_balanced(spark, sf_dir)), CONFIG)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -283,6 +306,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "walk_contigs_full_flow": walk_contigs_full_flow,
     "contigs_final": contigs_final,
     "contig_fasta": contig_fasta,
+    "contigs_read_back": contigs_read_back,
+    "phase_figures": phase_figures,
+    "lost_flow": lost_flow,
     "fasta_reads": fasta_reads,
     "visits_by_3": visits_by_3,
     "histogram_of_21": histogram_of_21,
@@ -467,6 +493,12 @@ def _walk_sql(condition: str, select: str) -> str:
 _HALF, _FULL = "2 * (x.off_p - w.off) <= w.freq", "x.off_p < w.off + w.freq"
 _LETTERS = "translate(seq, '0123', 'ACTG')"
 
+#: Contigs of the walks, numbered by length and the hash of their chunks' hashes.
+_NAMED = f""", long AS (SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL AND len(seq) > {MIN_CONTIG}),
+  named AS (
+    SELECT 'contig_' || (row_number() OVER (ORDER BY len(seq) DESC, digest) - 1) || '_l_' || len(seq) || '_r_0' AS name, seq
+    FROM (SELECT seq, sha256(array_to_string([sha256(substr(seq, i * {CHUNK} + 1, {CHUNK})) FOR i IN range(0, (len(seq) - 1) // {CHUNK} + 1)], '')) AS digest FROM long))"""
+
 ORACLE_SQL: dict[str, str] = {
     "reads": _plain("reads"),
     "read_count": _sql("SELECT count(*) AS n FROM reads", "reads"),
@@ -526,9 +558,21 @@ ORACLE_SQL: dict[str, str] = {
     "begin_nodes": _sql("SELECT node, idx AS p_idx, visit FROM balanced_ext WHERE side = 'P' AND terminal AND visit > 0", "balanced_ext"),
     "walk_contigs": _walk_sql(_HALF, f"SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL"),
     "walk_contigs_full_flow": _walk_sql(_FULL, f"SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL"),
-    "contig_fasta": _walk_sql(
-        _HALF,
-        f"""SELECT 'contig_' || (row_number() OVER (ORDER BY len(seq) DESC, seq) - 1) || '_l_' || len(seq) || '_r_0' AS name, seq
-           FROM (SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL) WHERE len(seq) > {MIN_CONTIG}""",
+    "contig_fasta": _walk_sql(_HALF, f"{_NAMED} SELECT name, i AS chunk, substr(seq, i * {CHUNK} + 1, {CHUNK}) AS seq FROM (SELECT name, seq, unnest(range(0, (len(seq) - 1) // {CHUNK} + 1)) AS i FROM named)"),
+    "contigs_read_back": _walk_sql(_HALF, f"{_NAMED} SELECT name AS header, seq FROM named"),
+    "phase_figures": _contracted_sql(
+        """SELECT unnest(['reads', 'bases', 'kmers', 'distinct_kmers', 'valid_kmers', 'nodes', 'extensions', 'rounds', 'contracted', 'ports', 'wires', 'walk_contigs', 'partial_contigs', 'letters']) AS figure,
+           unnest([(SELECT count(*) FROM reads), (SELECT sum(len(seq)) FROM reads), (SELECT sum(cnt) FROM kmer_count), (SELECT count(*) FROM kmer_count),
+             (SELECT count(*) FROM valid_kmers), (SELECT count(DISTINCT node) FROM balanced_ext), (SELECT count(*) FROM balanced_ext), (SELECT max(iter) FROM rounds),
+             (SELECT count(DISTINCT node) FROM balanced_ext) - (SELECT count(DISTINCT node) FROM last_ext), (SELECT count(*) FROM last_ext WHERE side = 'P' AND visit > 0),
+             (SELECT count(*) FROM last_wires), (SELECT count(*) FROM walked WHERE node IS NULL), (SELECT count(*) FROM rounds WHERE kind = 1),
+             (SELECT sum(len(seq)) FROM (SELECT seq FROM walked WHERE node IS NULL UNION ALL SELECT seq FROM rounds WHERE kind = 1))])::BIGINT AS n""",
+        walk=True,
+    ),
+    "lost_flow": _sql(
+        """SELECT w.node, sum(w.cnt)::BIGINT AS flow FROM wires w
+           JOIN (SELECT * FROM neighbours WHERE nbr = node AND side = 'P') p ON p.node = w.node AND p.idx = w.p_idx
+           JOIN (SELECT * FROM neighbours WHERE nbr = node AND side = 'S') s ON s.node = w.node AND s.idx = w.s_idx GROUP BY w.node""",
+        "wires", "neighbours",
     ),
 }

@@ -1,13 +1,18 @@
+import hashlib
+import math
 import random
 import sys
+import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from strandloom.config import AssemblyConfig, parse_arguments
 from strandloom.functions import sequence as S
-from strandloom.operators import compaction, graph, histogram, kmers, walk, wiring
+from strandloom.operators import compaction, graph, histogram, kmers, packed, walk, wiring
 from strandloom.plans import assembly
 from strandloom.sources import fasta
 from tests import model
@@ -28,8 +33,8 @@ def pieces(seq, length):
     return [seq[i : i + length] for i in range(len(seq) - length + 1)]
 
 
-def contigs(spark, reads, **settings):
-    done = assembly.assemble(table(spark, reads), AssemblyConfig(minimizer=3, min_contig=0, **settings))
+def contigs(spark, reads, **parameters):
+    done = assembly.assemble(table(spark, reads), AssemblyConfig(minimizer=3, min_contig=0, **parameters))
     rows = done.contigs.collect()
     return sorted(r.seq for r in rows if r.origin == "partial"), sorted(r.seq for r in rows if r.origin == "walk")
 
@@ -49,15 +54,188 @@ def test_repeats_equal_the_model(spark, mode, limit):
     assert contigs(spark, reads, k=7, buckets=1, node_limit=limit, walk=mode) == want
 
 
-def test_loop_of_joins_equals_broadcast_walk(spark):
+def test_rounds_of_a_walk_are_logarithmic_and_no_row_holds_a_chain(spark):
+    g = genome(1500, 21)
+    config = AssemblyConfig(k=15, minimizer=3, buckets=1, node_limit=None)
+    ext = wiring.balanced(graph.extensions(kmers.kmer_counts(table(spark, [g]), config), config))
+    flow = walk.flow_map(ext, config)
+    maps = walk.powers(flow)
+    assert len(maps) - 1 <= math.ceil(math.log2(flow.n_ports)) and flow.n_ports == 1487
+    chunks = walk.spelled(flow, maps, walk.walks(flow, maps, "reference"), 100).collect()
+    assert [len(c.text) for c in sorted(chunks, key=lambda c: c.chunk)] == [100] * 15
+    assert "".join(c.text for c in sorted(chunks, key=lambda c: c.chunk)).translate(str.maketrans("0123", "ACTG")) == g
+
+
+def test_pieces_meet_whatever_the_bins(spark, monkeypatch):
     unit = genome(12, 1)
-    reads = [genome(6, i) + unit + genome(6, 20 + i) for i in range(3)]
+    reads = [genome(6, i) + unit + genome(6, 20 + i) for i in range(3)] * 5 + [unit + genome(9, 70)] * 4
     config = AssemblyConfig(k=7, minimizer=3, buckets=1, node_limit=None)
     ext = wiring.balanced(graph.extensions(kmers.kmer_counts(table(spark, reads), config), config)).cache()
-    w = wiring.wires(ext)
-    here = sorted(r.seq for r in walk.walk_contigs(ext, w, config).collect())
-    joins = sorted(r.seq for r in walk.walk_contigs(ext, w, config, broadcast_steps=0).collect())
-    assert here == joins and here
+    want = model.assemble(reads, 7)[1]
+    for size in (1, 3, 64):
+        monkeypatch.setattr(walk, "BIN", size)
+        got = sorted(r.seq for r in walk.walk_contigs(ext, config).select(S.decode(F.col("seq")).alias("seq")).collect())
+        assert got == want and len(got) == 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 5)), min_size=2, max_size=14))
+def test_walks_beyond_half_of_the_flow_go(parts):
+    """Sizes of a seed's walks, and the step at which each parts from those before, against the rule step by step."""
+    lo, at = [], 0
+    for size, _ in parts:
+        lo.append(at)
+        at += size
+    split = [None] + [t for _, t in parts[1:]]
+
+    def alive(first, last, step):
+        """Walks that stay of first..last-1, which are together before ``step``."""
+        if step > 6:
+            return list(range(first, last))
+        starts = [i for i in range(first, last) if i == first or split[i] == step]
+        begin, end, out = lo[first], lo[last] if last < len(lo) else at, []
+        for i, j in zip(starts, [*starts[1:], last]):
+            if i == first or 2 * (lo[i] - begin) <= end - begin:
+                out += alive(i, j, step + 1)
+        return out
+
+    rows = pa.table({"port": [1] * len(lo), "lo": pa.array(lo, pa.int32()), "hi": pa.array([*lo[1:], at], pa.int32()), "split": pa.array(split, pa.int32()), "steps": pa.array([1] * len(lo), pa.int32())})
+    assert walk._kept(rows)["lo"].to_pylist() == [lo[i] for i in alive(0, len(lo), 0)]
+
+
+def test_five_million_letters_in_chunks(spark, tmp_path):
+    n = 5_000_000
+    letter = F.substring(F.lit("ACGT"), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int"), F.lit(1))
+    parts = spark.range(0, n, 1, 8).select(F.lit(7).cast("long").alias("contig"), F.col("id").alias("step"), letter.alias("adds"))
+    parts = parts.unionByName(spark.createDataFrame([(8, 0, "A" * 150_000), (8, 1, "CG"), (9, 0, "ACGT")], parts.schema))
+    chunks = walk.chunked(parts, fasta.CHUNK).withColumn("origin", F.lit("walk")).cache()
+    assert chunks.agg(F.max(F.length("text"))).first()[0] == fasta.CHUNK
+    assert [tuple(r) for r in chunks.groupBy("contig").agg(F.sum(F.length("text"))).orderBy("contig").collect()] == [(7, n), (8, 150_002), (9, 4)]
+    fasta.write_chunks(chunks, str(tmp_path / "out"), 400)
+    lines = spark.read.text(str(tmp_path / "out")).agg(F.max(F.length("value"))).first()[0]
+    back = {r.header: r.h for r in fasta.read_fasta(spark, str(tmp_path / "out")).select("header", F.sha2("seq", 256).alias("h")).collect()}
+    want = "".join(r.adds for r in parts.where("contig = 7").orderBy("step").select("adds").toLocalIterator(prefetchPartitions=True))
+    assert lines == fasta.CHUNK
+    assert back == {f"contig_0_l_{n}_r_0": hashlib.sha256(want.encode()).hexdigest(), "contig_1_l_150002_r_0": hashlib.sha256(("A" * 150_000 + "CG").encode()).hexdigest()}
+
+
+def test_windows_cost_the_same_in_long_reads(spark):
+    g = genome(400_000, 8)
+    config = AssemblyConfig(k=21, minimizer=8)
+
+    def seconds(length):
+        reads = table(spark, [g[i : i + length] for i in range(0, len(g), length)]).repartition(4).cache()
+        reads.count()
+        began = time.time()
+        kmers.kmer_counts(reads, config).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(100_000) < 3 * seconds(100) + 1
+
+
+@pytest.mark.parametrize("alphabet", ["strict", "compat"])
+def test_windows_of_pieces_are_those_of_the_whole(spark, monkeypatch, alphabet):
+    r = random.Random(4)
+    reads = ["".join(r.choice("ACGTacgtu" if r.random() < 0.95 else "NRYH-é") for _ in range(n)) for n in (0, 4, 5, 39, 40, 41, 44, 45, 200, 333)]
+    config = AssemblyConfig(k=5, minimizer=3, alphabet=alphabet)
+    whole = Counter(dict(map(tuple, kmers.kmer_counts(table(spark, reads), config).collect())))
+    monkeypatch.setattr(S.pieces, "__defaults__", (40,))
+    assert Counter(dict(map(tuple, kmers.kmer_counts(table(spark, reads), config).collect()))) == whole and len(whole) > 100
+    if alphabet == "strict":
+        digits = [x.upper().replace("U", "T").translate(str.maketrans("ACTG", "0123")) for x in reads]
+        assert whole == Counter(w for x in digits for w in pieces(x, 5) if set(w) <= set("0123"))
+
+
+@pytest.mark.parametrize("k", [9, 21, 31, 32, 33, 63, 64])
+def test_packed_keys_and_runs_equal_digit_strings(spark, k):
+    r = random.Random(k)
+    reads = ["".join(r.choice("ACGTacgtUu" if r.random() < 0.98 else "NRé*") for _ in range(n)) for n in (0, 8, 70, 200, 400, 400, 900)]
+    reads += ["A" * 150, "AC" * 90, reads[-1], None, genome(k, 1), genome(k - 1, 2)]
+    rows = table(spark, reads)
+    for alphabet in ("strict", "compat"):
+        config = AssemblyConfig(k=k, minimizer=4, alphabet=alphabet)
+        want = dict(map(tuple, kmers.kmer_counts(rows, config).collect()))
+        packed_counts = packed.packed_counts(rows, config)
+        assert dict(packed_counts.dtypes)["key"] == ("bigint" if k <= 31 else "binary")
+        in_order = packed_counts.orderBy("key").select(packed.unpacked(F.col("key"), k), "cnt").collect()
+        assert [tuple(x) for x in in_order] == sorted(want.items())
+    config = AssemblyConfig(k=k, minimizer=4)
+    want = dict(map(tuple, kmers.kmer_counts(rows, config).collect()))
+    lmers = kmers.lmer_frequencies(rows, config)
+    assert dict(map(tuple, packed.counts_by_runs(rows, lmers, config).collect())) == want
+    frequency = dict(map(tuple, lmers.collect()))
+    for x in kmers.minimizers(kmers.kmer_counts(rows, config), lmers, config).collect():
+        best = min(range(k - 3), key=lambda i: (frequency[x.kmer[i : i + 4]], i))
+        assert (x.pos, x.minimizer, x.cnt) == (best, x.kmer[best : best + 4], want[x.kmer])
+
+
+def written_bytes(spark, frame):
+    """Bytes that a query's exchanges wrote."""
+    context = spark.sparkContext
+
+    def stages():
+        jvm = context._gateway.jvm
+        found = context._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    frame.write.format("noop").mode("overwrite").save()
+    context._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("k, packed_share, run_share", [(21, 0.5, 1 / 3), (63, 0.5, 1 / 3)])
+def test_runs_and_packed_keys_exchange_less(spark, k, packed_share, run_share):
+    reads = table(spark, [genome(100, i) for i in range(4000)]).repartition(4).cache()
+    reads.count()
+    config = AssemblyConfig(k=k, minimizer=8)
+    lmers = kmers.lmer_frequencies(reads, config).cache()
+    lmers.count()
+    partitions = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(partitions)
+    spark.conf.set(partitions, "128")  # with few, neighbouring windows lie together and compress as they do not at scale
+    try:
+        strings, keys, runs = (written_bytes(spark, x) for x in (kmers.kmer_counts(reads, config), packed.packed_counts(reads, config), packed.counts_by_runs(reads, lmers, config)))
+    finally:
+        spark.conf.set(partitions, before)
+    print("SHARES", k, keys / strings, runs / strings)
+    assert keys < packed_share * strings and runs < run_share * strings
+
+
+@pytest.mark.parametrize("tables", [1, 4])
+def test_rounds_rewrite_touched_nodes_only(spark, monkeypatch, tables):
+    monkeypatch.setattr(compaction, "SETTLED_TABLES", tables)
+    r = random.Random(2)
+    unit = genome(25, 5)
+    reads = [genome(30, i) + unit + genome(30, 90 + i % 3) for i in range(8)] + [genome(150, 40), "ACGT" * 9]
+    want = model.assemble(reads, 9, limit=20)
+    config = AssemblyConfig(k=9, minimizer=3, buckets=1, node_limit=20)
+    ext = wiring.balanced(graph.extensions(kmers.kmer_counts(table(spark, reads), config), config))
+    done = compaction.contract(ext, config)
+    assert sorted(x.seq for x in done.partial.select(S.decode(F.col("seq")).alias("seq")).collect()) == want[0]
+    assert sorted(x.seq for x in walk.walk_contigs(done.ext, config).select(S.decode(F.col("seq")).alias("seq")).collect()) == want[1]
+    assert len(done.rounds) > 5 and done.rounds[-1].nodes > 20
+    for a, b in zip(done.rounds, done.rounds[1:]):
+        assert a.nodes - a.contracted == b.nodes and b.rows <= 12 * (a.touched + b.touched)
+    assert done.ext.select("node").distinct().count() == done.rounds[-1].nodes - done.rounds[-1].contracted <= 20
+
+
+def test_a_transfer_to_nowhere_is_an_error(spark):
+    sent = spark.createDataFrame([("01", "S", "0", "01", 1, 1, False, "00", 0, 0)], "target string, side string, search_ext string, new_ext string, cnt long, visit int, terminal boolean, src string, p_idx int, off_p int")
+    rows = spark.createDataFrame([], "node string, side string, idx int, seq string, cnt long, visit int, terminal boolean, origin int")
+    with pytest.raises(Exception, match="no node for a transfer"):
+        compaction.edited(rows, sent).collect()
+
+
+def test_figures_and_seconds_of_a_run(spark):
+    g = genome(200, 5)
+    done = assembly.assemble(table(spark, [g, g[:90]]), AssemblyConfig(k=15, minimizer=3, buckets=1, node_limit=50))
+    f = done.figures
+    assert (f["reads"], f["bases"], f["kmers"]) == (2, 290, 186 + 76) and f["nodes"] - f["contracted"] <= 50
+    assert f["walk_contigs"] + f["partial_contigs"] == done.contigs.count() > 0
+    assert f["letters"] == done.contigs.agg(F.sum(F.length("seq"))).first()[0]
+    assert set(done.seconds) == {"count", "nodes", "contract", "wire", "map", "walk", "spell"}
 
 
 def test_cycles_and_homopolymers_give_nothing(spark):
