@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.config import AssemblyConfig
 from strandloom.functions import sequence as S
-from strandloom.operators import compaction, graph, histogram, kmers, packed, walk, wiring
+from strandloom.operators import compaction, cycles, graph, histogram, kmers, packed, walk, wiring
 from strandloom.plans import assembly
 from strandloom.session import checkpointed, shared_path
 from strandloom.sources import fasta
@@ -261,6 +261,11 @@ def phase_figures(spark, sf_dir):
     return assembly.figures_table(spark, assembly.assemble(reads(spark, sf_dir), config).figures).where("figure <> 'doublings'")
 
 
+def flow_cycles(spark, sf_dir):
+    """Flow that goes round and that no walk takes up."""
+    return cycles.cycles(_balanced(spark, sf_dir), CONFIG).select(S.decode(F.col("seq")).alias("seq"), "flow")
+
+
 def lost_flow(spark, sf_dir):
     """Flow between two self-loops of a node, which its contraction drops."""
     return assembly.lost_flow(checkpointed(_balanced(spark, sf_dir)), CONFIG)
@@ -309,6 +314,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "contigs_read_back": contigs_read_back,
     "phase_figures": phase_figures,
     "lost_flow": lost_flow,
+    "flow_cycles": flow_cycles,
     "fasta_reads": fasta_reads,
     "visits_by_3": visits_by_3,
     "histogram_of_21": histogram_of_21,
@@ -493,6 +499,27 @@ def _walk_sql(condition: str, select: str) -> str:
 _HALF, _FULL = "2 * (x.off_p - w.off) <= w.freq", "x.off_p < w.off + w.freq"
 _LETTERS = "translate(seq, '0123', 'ACTG')"
 
+def _cycles_sql() -> str:
+    """Places that no seed leads to, followed until they come back."""
+    before = _sql("", "balanced_ext", "steps").removeprefix("WITH ")
+    moved = "JOIN places n ON n.node = {0}.to_node AND n.p_idx = {0}.to_idx AND n.x = {0}.to_x"
+    return f"""WITH RECURSIVE {before},
+places AS (
+  SELECT node, p_idx, x, to_node, to_idx, x - off_p + off_s AS to_x, adds FROM (SELECT *, unnest(range(off_p, off_p + flow)) AS x FROM steps)),
+reached AS (
+  SELECT p.* FROM places p JOIN balanced_ext e ON e.node = p.node AND e.idx = p.p_idx AND e.side = 'P' AND e.terminal
+  UNION ALL SELECT n.* FROM reached r {moved.format("r")}),
+round_places AS (SELECT node, p_idx, x, to_node, to_idx, to_x, adds FROM places EXCEPT SELECT * FROM reached),
+ways AS (
+  SELECT node AS n0, p_idx AS p0, x AS x0, to_node, to_idx, to_x, adds AS seq, (node, p_idx, x) AS least FROM round_places
+  UNION ALL
+  SELECT n0, p0, x0, n.to_node, n.to_idx, n.to_x, w.seq || n.adds, least((n.node, n.p_idx, n.x), w.least) FROM ways w {moved.format("w")}
+  WHERE (w.to_node, w.to_idx, w.to_x) <> (w.n0, w.p0, w.x0)),
+closed AS (SELECT seq FROM ways WHERE (to_node, to_idx, to_x) = (n0, p0, x0) AND least = (n0, p0, x0))
+SELECT translate(seq, '0123', 'ACTG') AS seq, count(*) AS flow
+FROM (SELECT list_min([substr(seq || seq, i, len(seq)) FOR i IN range(1, len(seq) + 1)]) AS seq FROM closed) GROUP BY seq"""
+
+
 #: Contigs of the walks, numbered by length and the hash of their chunks' hashes.
 _NAMED = f""", long AS (SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL AND len(seq) > {MIN_CONTIG}),
   named AS (
@@ -569,6 +596,7 @@ ORACLE_SQL: dict[str, str] = {
              (SELECT sum(len(seq)) FROM (SELECT seq FROM walked WHERE node IS NULL UNION ALL SELECT seq FROM rounds WHERE kind = 1))])::BIGINT AS n""",
         walk=True,
     ),
+    "flow_cycles": _cycles_sql(),
     "lost_flow": _sql(
         """SELECT w.node, sum(w.cnt)::BIGINT AS flow FROM wires w
            JOIN (SELECT * FROM neighbours WHERE nbr = node AND side = 'P') p ON p.node = w.node AND p.idx = w.p_idx

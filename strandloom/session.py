@@ -35,6 +35,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df, name: str):
+    """Write a table to the shared folder and read it back.
+
+    For loops that join a table with itself again and again: a checkpoint hands on what
+    the optimiser knows of its rows, which then doubles with every round.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df):
     """Cut a table's lineage by a checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
