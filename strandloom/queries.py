@@ -19,7 +19,7 @@ from strandloom.sources import fasta
 
 CONFIG = AssemblyConfig(k=21, minimizer=8, coverage=1, buckets=3, node_limit=None)
 #: For queries that contract: nodes at which they stop, at every size.
-NODE_LIMIT = 2_000
+NODE_LIMIT = 20_000
 MIN_CONTIG = 100
 #: Letters a chunk of the contigs' files.
 CHUNK = 64
