@@ -30,7 +30,8 @@ Defined results: a null text or one without words has an empty set, links with
 nothing and is its own component, whatever other empty ones there are; fewer words
 than a shingle make one shingle of all; rows that repeat a doc_id link by their
 texts; a null doc_id takes part, and a component of nulls only has a null id;
-other columns are ignored; an empty table gives no rows.  Tokens are 64-bit hashes.
+a very long text is one set as any other; other columns are ignored; an empty table
+gives no rows.  Tokens are 64-bit hashes.
 """
 
 from __future__ import annotations

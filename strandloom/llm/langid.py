@@ -13,7 +13,8 @@ Symbols are lower-cased letters and marks; everything else is a word boundary.
 Defined results: a null text, or one without letters, is ``und`` with score 0;
 languages come from non-null ``lang`` of learning documents; if there are none,
 every text is ``und``; repeated rows get equal results; other columns are ignored;
-very long texts are predicted whole and learnt from by drawn pieces, as others are.
+very long texts are predicted whole and learnt from by drawn pieces, as others are;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,9 +5,9 @@ of pixels.  It is stored as images of ``WIDTH`` pixels a row and at most ``ROWS`
 rows, three samples a pixel; the stored form of a longer payload is its images' files
 one after another.
 
-Defined results: a null or empty text is one row of blanks; equal texts give equal
-bytes, whatever batch they are in; other columns are ignored; an empty table gives
-no rows.
+Defined results: a null or empty text is one row of blanks; equal texts, and so
+repeated rows, give equal bytes, whatever batch they are in; a very long text is stored
+whole, as many images; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

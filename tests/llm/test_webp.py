@@ -236,8 +236,6 @@ def test_operator_on_awkward_rows(spark):
     got = mediatext.media_features(media).collect()
     assert len(got) == len(rows)
     by_text = {}
-    for r, row in zip(sorted(got, key=str), sorted(rows, key=lambda x: str(x[0]))):
-        pass
     want = sorted((str(i), len((t or "").encode())) for i, t, *_ in rows)
     assert sorted((str(r.doc_id), r.n_bytes) for r in got) == want
     texts = {i: t for i, t, *_ in rows}
