@@ -26,13 +26,21 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the session's checkpoint folder."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a local session may go without one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
         base = tempfile.mkdtemp(prefix="strandloom-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the session's checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df, name: str):
@@ -48,9 +56,5 @@ def written(df, name: str):
 
 def checkpointed(df):
     """Cut a table's lineage by a checkpoint in the session's shared folder."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-checkpoints-"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import AssemblyConfig, parse_arguments
 from strandloom.functions import sequence as S
-from strandloom.operators import compaction, graph, histogram, kmers, packed, walk, wiring
+from strandloom.operators import compaction, cycles, graph, histogram, kmers, packed, walk, wiring
 from strandloom.plans import assembly
 from strandloom.sources import fasta
 from tests import model
@@ -244,6 +244,22 @@ def test_cycles_and_homopolymers_give_nothing(spark):
     assert contigs(spark, ["A" * 30], k=5, buckets=1, node_limit=None)[0] == []
 
 
+@given(st.text("ab", min_size=1, max_size=30))
+def test_least_rotation(text):
+    assert cycles.least_rotation(text) == min(text[i:] + text[:i] for i in range(len(text)))
+
+
+def test_a_circle_is_a_cycle_of_flow(spark):
+    circle, line = genome(30, 11), genome(60, 12)
+    reads = [circle + circle[:8]] * 3 + [line]
+    config = AssemblyConfig(k=9, minimizer=3, buckets=1, node_limit=None)
+    ext = wiring.balanced(graph.extensions(kmers.kmer_counts(table(spark, reads), config), config))
+    rows = cycles.cycles(ext, config).collect()
+    digits = circle.translate(str.maketrans("ACTG", "0123"))
+    assert [tuple(r) for r in rows] == [(min(digits[i:] + digits[:i] for i in range(30)), 3)]
+    assert [r.seq.translate(str.maketrans("0123", "ACTG")) for r in walk.walk_contigs(ext, config).collect()] == [line]
+
+
 def test_nothing_above_the_cutoff(spark):
     with pytest.raises(histogram.NothingLeft):
         assembly.assemble(table(spark, [genome(60, 2)]), AssemblyConfig(k=15, minimizer=3, buckets=21))
