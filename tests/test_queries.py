@@ -20,7 +20,7 @@ def test_query_equals_its_sql(same, small_limit, name):
 
 @pytest.mark.parametrize("name", ["partial_contigs", "lost_flow", "flow_cycles", "contig_fasta"])
 def test_sql_gives_rows(duck, small_limit, name):
-    assert duck.sql(small_limit(queries.ORACLE_SQL[name])).fetchone()
+    assert duck.sql(small_limit(queries.ORACLE_SQL[name])).fetchall()
 
 
 def test_contraction_statistics_fall(spark, small_limit):
