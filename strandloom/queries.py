@@ -14,7 +14,7 @@ from strandloom.config import AssemblyConfig
 from strandloom.functions import sequence as S
 from strandloom.operators import compaction, cycles, graph, histogram, kmers, packed, walk, wiring
 from strandloom.plans import assembly
-from strandloom.session import checkpointed, shared_path
+from strandloom.session import checkpointed, shared_path, spread
 from strandloom.sources import fasta
 
 CONFIG = AssemblyConfig(k=21, minimizer=8, coverage=1, buckets=3, node_limit=None)
@@ -26,7 +26,7 @@ CHUNK = 64
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fasta.reads_from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").select("read_id", "seq")
+    return spread(fasta.reads_from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").select("read_id", "seq"))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:

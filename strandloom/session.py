@@ -43,6 +43,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df):
+    """A table that has fewer partitions than the session has cores, dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df, name: str):
     """Write a table to the shared folder and read it back.
 
