@@ -578,7 +578,7 @@ ORACLE_SQL: dict[str, str] = {
     "partial_contigs": _contracted_sql(f"SELECT {_LETTERS} AS seq FROM rounds WHERE kind = 1"),
     "ext_contracted": _contracted_sql("SELECT * FROM last_ext"),
     "contigs_final": _contracted_sql(
-        f"""SELECT {_LETTERS} AS seq, len(seq) AS len, origin FROM (
+        f"""SELECT {_LETTERS} AS seq, len(seq)::INT AS len, origin FROM (
              SELECT seq, 'partial' AS origin FROM rounds WHERE kind = 1 UNION ALL SELECT seq, 'walk' FROM walked WHERE node IS NULL)""",
         walk=True,
     ),
