@@ -16,6 +16,7 @@ from strandloom.operators import compaction, cycles, graph, histogram, kmers, pa
 from strandloom.plans import assembly
 from strandloom.session import checkpointed, shared_path, spread
 from strandloom.sources import fasta
+from strandloom.streaming import running_counts
 
 CONFIG = AssemblyConfig(k=21, minimizer=8, coverage=1, buckets=3, node_limit=None)
 #: For queries that contract: nodes at which they stop, at every size.
@@ -23,6 +24,8 @@ NODE_LIMIT = 20_000
 MIN_CONTIG = 100
 #: Letters a chunk of the contigs' files.
 CHUNK = 64
+#: Micro-batches of the registered streams.
+STREAM_FILES = 5
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +269,26 @@ def flow_cycles(spark, sf_dir):
     return cycles.cycles(_balanced(spark, sf_dir), CONFIG).select(S.decode(F.col("seq")).alias("seq"), "flow")
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """The state of a stream that took the reads in STREAM_FILES micro-batches."""
+    source, state = shared_path(spark, "stream-reads"), shared_path(spark, "stream-state")
+    rows = reads(spark, sf_dir)
+    rows.repartition(STREAM_FILES).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    running_counts.updates(stream, CONFIG, state).trigger(availableNow=True).start().awaitTermination()
+    return state
+
+
+def stream_histogram(spark, sf_dir):
+    """The histogram as a stream kept it, by differences."""
+    return running_counts.running_histogram(spark, _streamed(spark, sf_dir), CONFIG)
+
+
+def stream_valid_kmers(spark, sf_dir):
+    """The k-mers that a stream reported to have crossed the moving cut-off and not to have fallen below it again."""
+    return running_counts.running_valid(spark, _streamed(spark, sf_dir), CONFIG)
+
+
 def lost_flow(spark, sf_dir):
     """Flow between two self-loops of a node, which its contraction drops."""
     return assembly.lost_flow(checkpointed(_balanced(spark, sf_dir)), CONFIG)
@@ -320,6 +343,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "histogram_of_21": histogram_of_21,
     "min_bucket_of_21": min_bucket_of_21,
     "valid_kmer_count": valid_kmer_count,
+    "stream_histogram": stream_histogram,
+    "stream_valid_kmers": stream_valid_kmers,
 }
 
 # ---------------------------------------------------------------- SQL
@@ -582,6 +607,8 @@ ORACLE_SQL: dict[str, str] = {
              SELECT seq, 'partial' AS origin FROM rounds WHERE kind = 1 UNION ALL SELECT seq, 'walk' FROM walked WHERE node IS NULL)""",
         walk=True,
     ),
+    "stream_histogram": _plain("count_histogram"),
+    "stream_valid_kmers": _plain("valid_kmers"),
     "begin_nodes": _sql("SELECT node, idx AS p_idx, visit FROM balanced_ext WHERE side = 'P' AND terminal AND visit > 0", "balanced_ext"),
     "walk_contigs": _walk_sql(_HALF, f"SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL"),
     "walk_contigs_full_flow": _walk_sql(_FULL, f"SELECT {_LETTERS} AS seq FROM walked WHERE node IS NULL"),
