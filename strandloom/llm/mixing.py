@@ -4,11 +4,11 @@ Every document gets a hash-random key.  Keys are uniform, so equal slices of the
 key space are a range partition whose bounds are known beforehand: each
 (source, slice) is summed on its own, the sums are scanned in slice order, and
 documents are then placed by a running sum inside their slice.  A hot source is
-thus spread over all slices.  A source's budget is met by whole epochs plus a cut
+thus spread over all slices, and slices grow in number with the documents.  A source's budget is met by whole epochs plus a cut
 in the key order.
 
 Defined results: a null text has size 0; a null source is a source of its own and
-comes last; rows with equal keys are ordered by doc_id and size, and rows that
+comes last; rows without a doc_id are in the order of their texts' hashes; rows with equal keys are ordered by doc_id and size, and rows that
 agree in all of these are interchangeable; sources without words have target 0;
 an empty table gives no rows; other columns are kept, whatever their names; a very
 long text counts by its words like any other.  Reruns agree, whatever the partitioning.
@@ -23,8 +23,17 @@ from .storage import fresh_names, written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def random_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """Uniform in the ids; rows without an id go by their text."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), text), F.lit(""))))
+
+
+def digits_for(rows: int, slice_rows: int) -> int:
+    """Hexadecimal digits of the key that make slices of at most ``slice_rows`` rows on average; at least 3."""
+    digits = 3
+    while rows > slice_rows * 16**digits:
+        digits += 1
+    return digits
 
 
 def word_count(text: Column) -> Column:
@@ -58,12 +67,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit
     return out.select("source", "source_size", target.otherwise(F.col("chosen") * F.col("weight")).alias("target"))
 
 
-def _placed(docs: DataFrame, weights, limit, seed, slice_digits) -> DataFrame:
+def _placed(docs: DataFrame, weights, limit, seed, slice_rows) -> DataFrame:
     """Documents with size, target, epochs, rest of the budget and words before them."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    rows = rows.withColumn("key", random_key(F.col("doc_id"), seed))
-    rows = rows.withColumn("slice", F.substring("key", 1, slice_digits))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
     rows = written(rows, "mixing-sizes")
+    rows = rows.withColumn("slice", F.substring("key", 1, digits_for(rows.count(), slice_rows)))
 
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("n"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, limit)
@@ -84,29 +92,29 @@ def _placed(docs: DataFrame, weights, limit, seed, slice_digits) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, seed: str = "mix", slice_digits: int = 3
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, seed: str = "mix", slice_rows: int = 20_000
 ) -> DataFrame:
     """Words that the mix takes from each document; the last one of a source may be taken in part."""
-    placed = _placed(docs, weights, limit, seed, slice_digits)
+    placed = _placed(docs, weights, limit, seed, slice_rows)
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).alias("taken"))
 
 
 def mixed_documents(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, seed: str = "mix", slice_digits: int = 3
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), limit: int = 3, seed: str = "mix", slice_rows: int = 20_000
 ) -> DataFrame:
     """The mixed documents themselves: each row as often as the mix takes it.
 
     Only whole documents go out, so the cut lies at the document nearest to the
     budget.  Texts are not shuffled: a source's cut is one (key, doc_id, size).
     """
-    placed = _placed(docs, weights, limit, seed, slice_digits)
+    placed = _placed(docs, weights, limit, seed, slice_rows)
     once_more = (F.col("before") < F.col("rest")) & (2 * (F.col("rest") - F.col("before")) >= F.col("size"))
     at = F.struct("key", "doc_id", "size")
     own, epochs, cut, place, copy = fresh_names(docs, "own_source", "epochs", "cut", "place", "copy")
     cuts = placed.groupBy("source").agg(F.max("epochs").alias(epochs), F.max(F.when(once_more, at)).alias(cut))
     cuts = written(cuts.withColumnRenamed("source", own), "mixing-cuts")
-    here = F.struct(random_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id"), word_count(F.col("text")).alias("size"))
+    here = F.struct(random_key(F.col("doc_id"), F.col("text"), seed).alias("key"), F.col("doc_id"), word_count(F.col("text")).alias("size"))
     joined = docs.withColumn(place, here).join(cuts, F.col("source").cast("string").eqNullSafe(F.col(own)))
     copies = F.col(epochs) + F.when(F.col(place) <= F.col(cut), 1).otherwise(0)
     joined = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
@@ -117,7 +125,7 @@ def mixed_documents(
 MIX_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix' || coalesce(doc_id::VARCHAR, '-' || text, '')) AS key
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM sizes),

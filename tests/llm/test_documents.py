@@ -260,6 +260,16 @@ def test_mix(spark):
     assert mixing.mix_sources(table(spark, [])).count() == 0 and mixing.mixed_documents(table(spark, [])).count() == 0
 
 
+def test_slices_grow_and_change_nothing(spark):
+    assert [mixing.digits_for(n, 20_000) for n in (0, 81_920_000, 81_920_001, 10**11)] == [3, 3, 4, 6]
+    rows = [(i, prose(3 + i % 9, i), "en", ["a", "b", None][i % 7 % 3], 1) for i in range(60)] + [(None, prose(4, 300 + i), "en", "a", 1) for i in range(40)]
+    docs = table(spark, rows)
+    few, many = ([sorted(map(str, f(docs, slice_rows=n).collect())) for f in (mixing.mix_sources, mixing.mixed_documents)] for n in (20_000, 0.001))
+    assert few == many and len(few[0]) == 100
+    keys = docs.where("doc_id is null").select(mixing.random_key(docs.doc_id, docs.text, "mix").alias("key"))
+    assert keys.distinct().count() == 40  # rows without an id do not share a key
+
+
 def test_targets_reshare_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
