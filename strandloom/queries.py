@@ -273,8 +273,9 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
     """The state of a stream that took the reads in STREAM_FILES micro-batches."""
     source, state = shared_path(spark, "stream-reads"), shared_path(spark, "stream-state")
     rows = reads(spark, sf_dir)
-    rows.repartition(STREAM_FILES).write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    files = -(-rows.rdd.getNumPartitions() // STREAM_FILES)  # of a batch, so that a task's share does not grow with the table
+    rows.repartition(files * STREAM_FILES).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
     running_counts.updates(stream, CONFIG, state).trigger(availableNow=True).start().awaitTermination()
     return state
 

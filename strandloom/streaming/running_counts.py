@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from strandloom.config import AssemblyConfig
-from strandloom.operators.kmers import extracted
+from strandloom.operators.kmers import spelled_counts
 
 COUNTS = "kmer STRING, cnt BIGINT"
 CHANGES = "kmer STRING, cnt BIGINT, valid BOOLEAN, batch INT"
@@ -48,14 +48,13 @@ class Running:
 
 def updates(reads: DataFrame, config: AssemblyConfig, state: str, parts: int | None = None) -> DataStreamWriter:
     """The stream that keeps ``state``, a folder of its own on shared storage; start it with any trigger."""
-    found = extracted(reads, config.k, "kmer", config.alphabet)
-    return found.writeStream.foreachBatch(lambda batch, number: _update(batch, number, config, state, parts)).option("checkpointLocation", f"{state}/checkpoint")
+    return reads.writeStream.foreachBatch(lambda batch, number: _update(batch, number, config, state, parts)).option("checkpointLocation", f"{state}/checkpoint")
 
 
 def _update(batch: DataFrame, number: int, config: AssemblyConfig, state: str, parts: int | None) -> None:
     spark = batch.sparkSession
     before = _record(spark, state, number - 1) if number else _nothing(config, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = batch.groupBy("kmer").agg(F.count("*").alias("more")).withColumn("old", F.lit(0).cast("long"))
+    met = spelled_counts(batch, config).withColumnRenamed("cnt", "more").withColumn("old", F.lit(0).cast("long"))
     for segment in before.segments:
         earlier = _segment(spark, state, segment, before.parts).withColumnRenamed("cnt", "earlier")
         met = met.join(earlier, "kmer", "left").withColumn("old", F.col("old") + F.coalesce("earlier", F.lit(0))).drop("earlier")
