@@ -24,19 +24,23 @@ def kmer_counts(reads: DataFrame, config: AssemblyConfig) -> DataFrame:
     return extracted(reads, config.k, "kmer", config.alphabet).groupBy("kmer").agg(F.count("*").alias("cnt"))
 
 
-def spelled_counts(reads: DataFrame, config: AssemblyConfig) -> DataFrame:
-    """The rows of ``kmer_counts``, counted as packed keys up to 31 bases."""
+def spelled_counts(reads: DataFrame, config: AssemblyConfig, bases_only: bool = False) -> DataFrame:
+    """The rows of ``kmer_counts``, counted as packed keys up to 31 bases; ``bases_only`` drops other letters of the reads first."""
     if config.k > 31:
-        return kmer_counts(reads, config)
-    return packed.packed_counts(reads, config).select(packed.unpacked(F.col("key"), config.k).alias("kmer"), "cnt")
+        return kmer_counts(_bases(reads) if bases_only else reads, config)
+    return packed.spelled_counts(reads, config, bases_only)
 
 
-def lmer_frequencies(reads: DataFrame, config: AssemblyConfig) -> DataFrame:
+def _bases(reads: DataFrame) -> DataFrame:
+    return reads.withColumn("seq", F.regexp_replace(F.coalesce("seq", F.lit("")), "[^ACGTacgt]+", ""))
+
+
+def lmer_frequencies(reads: DataFrame, config: AssemblyConfig, bases_only: bool = False) -> DataFrame:
     size = config.minimizer
     if size <= packed.LONGEST_MINIMIZER:
-        found = packed.packed_kmers(reads, config, size).groupBy("key").agg(F.sum("times").alias("freq"))
+        found = packed.packed_kmers(reads, config, size, bases_only).groupBy("key").agg(F.sum("times").alias("freq"))
         return found.select(packed.unpacked(F.col("key"), size).alias("lmer"), "freq")
-    return extracted(reads, size, "lmer", config.alphabet).groupBy("lmer").agg(F.count("*").alias("freq"))
+    return extracted(_bases(reads) if bases_only else reads, size, "lmer", config.alphabet).groupBy("lmer").agg(F.count("*").alias("freq"))
 
 
 def minimizers(kmers: DataFrame, lmers: DataFrame, config: AssemblyConfig) -> DataFrame:
@@ -57,8 +61,7 @@ def owner_of_lmer(lmer, owners: int):
     return F.pmod(S.hash31(S.number(lmer)), F.lit(owners))
 
 
-def owner_load(kmers: DataFrame, lmers: DataFrame, config: AssemblyConfig) -> DataFrame:
+def owner_load(owned: DataFrame, config: AssemblyConfig) -> DataFrame:
     """(owner, distinct_kmers, total): what each owner of minimizers holds."""
-    owned = minimizers(kmers, lmers, config)
     owned = owned.withColumn("owner", owner_of_lmer(F.col("minimizer"), config.owners))
     return owned.groupBy("owner").agg(F.count("*").alias("distinct_kmers"), F.sum("cnt").alias("total"))

@@ -25,10 +25,16 @@ LETTERS, ROWS = 1 << 20, 1 << 16
 #: Packed keys are dealt out to 2**SHARE_BITS shares, of which a task holds one at a time.
 SHARE_BITS = 12
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_UNMIX = np.uint64(pow(int(_MIX), -1, 1 << 64))
+#: Windows up to this length are counted in one dense table a task (8 MB at most).
+LONGEST_DENSE = 10
 _BAD = 255
 _STRICT = np.full(256, _BAD, np.uint8)
 for _digit, _bases in enumerate(("Aa", "Cc", "TtUu", "Gg")):
     _STRICT[[ord(b) for b in _bases]] = _digit
+_IS_BASE = np.isin(np.arange(256), np.frombuffer(b"ACGTacgt", np.uint8))
+#: The four digits of a packed byte, as one number.
+_FOUR = np.ascontiguousarray((np.arange(256)[:, None] >> np.array([6, 4, 2, 0]) & 3).astype(np.uint8) + np.uint8(ord("0"))).view(np.uint32).ravel()
 _COMPAT = (np.arange(256) >> 1 & 7).astype(np.uint8)
 
 
@@ -62,7 +68,7 @@ class Bases:
             self.inner = self.last | spill
             ends = np.append(offs[1:], n)
         # The end of the stretch that a window may lie in.
-        self.stretch_end = ends[np.searchsorted(ends, np.arange(n), side="right")] if n else np.zeros(0, np.int64)
+        self.stretch_end = np.repeat(ends, np.diff(ends, prepend=0)) if n else np.zeros(0, np.int64)
         self.stretch_end[self.inner == _BAD] = 0
         self.n = n
 
@@ -122,14 +128,36 @@ def _keys(high: np.ndarray, low: np.ndarray, k: int) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], alphabet: str) -> Iterator[Bases]:
-    """The bases of the batches, about ``LETTERS`` at a time, so that a worker's memory does not follow the batches."""
+def _only_bases(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The base letters of texts, as (bytes, offsets)."""
+    if len(offs) == 2:
+        kept = buf[_IS_BASE[buf]]
+        return kept, np.array([0, len(kept)])
+    at = np.flatnonzero(_IS_BASE[buf])
+    return buf[at], np.searchsorted(at, offs)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], alphabet: str, n: int = 1, bases_only: bool = False) -> Iterator[Bases]:
+    """The bases of the batches, about ``LETTERS`` at a time, so that a worker's memory does not follow the batches.
+
+    Longer reads are cut into pieces that overlap by ``n`` - 1, each window of ``n`` bases whole in one
+    of them.  With ``bases_only`` other letters are dropped before windows are made.
+    """
+    per_slice = LETTERS * 4 if bases_only else LETTERS
     for batch in batches:
         buf, offs = text_bytes(batch.column(0))
         lo = 0
         while lo < len(offs) - 1:
-            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + LETTERS, side="right")) - 1)
-            yield Bases(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], alphabet)
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + per_slice, side="right")) - 1)
+            part, ends = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+            if bases_only:
+                part, ends = _only_bases(part, ends)
+            if hi > lo + 1 or len(part) < LETTERS + n:
+                yield Bases(part, ends, alphabet)
+            else:
+                for at in range(0, len(part) - n + 1, LETTERS):
+                    piece = part[at : at + LETTERS + n - 1]
+                    yield Bases(piece, np.array([0, len(piece)]), alphabet)
             lo = hi
 
 
@@ -138,12 +166,20 @@ def _counted_keys(bases: Bases, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(bases.packed(n)[1][bases.starts(n)], return_counts=True)
 
 
-def packed_kmers(reads: DataFrame, config: AssemblyConfig, size: int | None = None) -> DataFrame:
-    """(key, times): packed windows of ``size`` bases of the reads, k-mers if none is given, counted in each slice."""
+def packed_kmers(reads: DataFrame, config: AssemblyConfig, size: int | None = None, bases_only: bool = False) -> DataFrame:
+    """(key, times): packed windows of ``size`` bases of the reads, k-mers if none is given, counted in each slice; short ones in each task."""
     k, alphabet = size or config.k, config.alphabet
 
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(4**k, np.int64)
+        for bases in _slices(batches, alphabet, k, bases_only):
+            times += np.bincount(bases.packed(k)[1][bases.starts(k)].view(np.int64), minlength=4**k)
+        keys = np.flatnonzero(times)
+        for i in range(0, len(keys), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + ROWS]), pa.array(times[keys[i : i + ROWS]])], ["key", "times"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bases in _slices(batches, alphabet):
+        for bases in _slices(batches, alphabet, k, bases_only):
             if k <= 32:
                 low, times = _counted_keys(bases, k)
                 high = np.zeros(0, np.uint64)
@@ -157,41 +193,67 @@ def packed_kmers(reads: DataFrame, config: AssemblyConfig, size: int | None = No
                 high, low = high[new], low[new]
             yield pa.RecordBatch.from_arrays([_keys(high, low, k), pa.array(times, pa.int64())], ["key", "times"])
 
-    return _pieces(reads, k).mapInArrow(count, f"key {key_type(k)}, times long")
+    return _pieces(reads, k, alphabet).mapInArrow(dense if k <= LONGEST_DENSE else count, f"key {key_type(k)}, times long")
 
 
-def _pieces(reads: DataFrame, n: int) -> DataFrame:
-    """Reads in overlapping pieces, each window of ``n`` bases whole in one of them."""
+def _pieces(reads: DataFrame, n: int, alphabet: str) -> DataFrame:
+    """What ``_slices`` takes: the reads of the strict alphabet; else in overlapping pieces of one-byte letters."""
+    if alphabet == "strict":  # other letters, of however many bytes, only end a stretch
+        return reads.select(F.coalesce(F.col("seq"), F.lit("")).alias("seq"))
     return reads.select(F.explode(S.pieces(clean(F.col("seq")), n, 1 << 13)).alias("seq"))
 
 
-def packed_counts(reads: DataFrame, config: AssemblyConfig) -> DataFrame:
+def _runs_by_share(reads: DataFrame, config: AssemblyConfig, bases_only: bool) -> DataFrame:
+    """(share, keys, times): a slice's distinct LONG keys of one share with their counts, in order of the shares in the task that holds all of one."""
+    k, alphabet = config.k, config.alphabet
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1 << SHARE_BITS, dtype=np.uint64) << np.uint64(64 - SHARE_BITS)
+        for bases in _slices(batches, alphabet, k, bases_only):
+            mixed = bases.packed(k)[1][bases.starts(k)] * _MIX  # in this order the keys of a share lie together
+            mixed.sort()
+            new = np.flatnonzero(np.r_[len(mixed) > 0, mixed[1:] != mixed[:-1]][: len(mixed)])
+            times = np.diff(np.append(new, len(mixed))).astype(np.uint32)
+            mixed = mixed[new]
+            ends = np.append(np.searchsorted(mixed, edges), len(mixed))
+            share = np.flatnonzero(np.diff(ends))
+            ends = np.append(ends[share], len(mixed))
+            binary = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(share), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+            yield pa.RecordBatch.from_arrays([pa.array(share.astype(np.int32)), binary(mixed * _UNMIX), binary(times)], ["share", "keys", "times"])
+
+    runs = _pieces(reads, k, alphabet).mapInArrow(dealt, "share int, keys binary, times binary")
+    return runs.repartition("share").sortWithinPartitions("share")
+
+
+def packed_counts(reads: DataFrame, config: AssemblyConfig, bases_only: bool = False) -> DataFrame:
     """(key, cnt): the packed form of ``kmer_counts``.
 
     LONG keys are exchanged in runs: a slice's distinct keys of one share, with their
     counts.  A share's runs meet in one task and are summed together, share by share.
     """
     if config.k > 31:
-        return packed_kmers(reads, config).groupBy("key").agg(F.sum("times").alias("cnt"))
-    k, alphabet = config.k, config.alphabet
+        return packed_kmers(reads, config, bases_only=bases_only).groupBy("key").agg(F.sum("times").alias("cnt"))
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bases in _slices(batches, alphabet):
-            keys, times = _counted_keys(bases, k)
-            share = ((keys * _MIX) >> np.uint64(64 - SHARE_BITS)).astype(np.uint16)
-            order = np.argsort(share, kind="stable")
-            keys, times, share = keys[order], times[order], share[order]
-            first = np.flatnonzero(np.r_[len(share) > 0, share[1:] != share[:-1]][: len(share)])
-            ends = np.append(first, len(share)).astype(np.int32)
-            binary = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-            yield pa.RecordBatch.from_arrays([pa.array(share[first].astype(np.int32)), binary(keys), binary(times.astype(np.uint32))], ["share", "keys", "times"])
-
-    runs = _pieces(reads, k).mapInArrow(dealt, "share int, keys binary, times binary")
-    return runs.repartition("share").sortWithinPartitions("share").mapInArrow(_summed_runs, "key long, cnt long")
-
-
-def _summed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs in order of their shares: the keys of each share and their sums."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sums in _summed_runs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], ["key", "cnt"])
+
+    return _runs_by_share(reads, config, bases_only).mapInArrow(rows, "key long, cnt long")
+
+
+def spelled_counts(reads: DataFrame, config: AssemblyConfig, bases_only: bool = False) -> DataFrame:
+    """(kmer, cnt): ``packed_counts`` up to 31 bases, spelled in the task that sums them."""
+    k = config.k
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sums in _summed_runs(batches):
+            yield pa.RecordBatch.from_arrays([spelled(keys, k), pa.array(sums)], ["kmer", "cnt"])
+
+    return _runs_by_share(reads, config, bases_only).mapInArrow(rows, "kmer string, cnt long")
+
+
+def _summed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs in order of their shares: the keys of each share and their sums, at most ``ROWS`` at a time."""
     ready: list[tuple[np.ndarray, np.ndarray]] = []
     held: list[tuple[bytes, bytes]] = []
     share = None
@@ -203,13 +265,13 @@ def _summed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys)
         keys, times = keys[order], times[order].astype(np.int64)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        ready.append((keys[first].view(np.int64), np.add.reduceat(times, first)))
+        ready.append((keys[first], np.add.reduceat(times, first)))
 
-    def rows() -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         keys, sums = (np.concatenate(x) for x in zip(*ready))
         ready.clear()
         for i in range(0, len(keys), ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + ROWS]), pa.array(sums[i : i + ROWS])], ["key", "cnt"])
+            yield keys[i : i + ROWS], sums[i : i + ROWS]
 
     for batch in batches:
         for one, keys, times in zip(*(c.to_pylist() for c in batch.columns)):
@@ -225,6 +287,48 @@ def _summed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows()
 
 
+def _strings(digits: np.ndarray) -> pa.Array:
+    """Rows of characters as strings of one length."""
+    n, size = digits.shape
+    offsets = (np.arange(n + 1) * size).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(digits)))
+
+
+def spelled(keys: np.ndarray, k: int) -> pa.Array:
+    """The digit strings of packed keys of up to 32 bases."""
+    return _strings(_FOUR[keys.astype(">u8").view(np.uint8)].view(np.uint8).reshape(-1, 32)[:, 32 - k :])
+
+
+def summed_runs(reads: DataFrame, config: AssemblyConfig, bases_only: bool = False) -> DataFrame:
+    """(keys, cnts, n, total, few): ``packed_counts`` up to 31 bases with at most ``ROWS`` keys in a row, for tables that are written.
+
+    ``few`` is how many of the row's keys occur once, twice, and so on below ``buckets``.
+    """
+    buckets = config.buckets
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sums in _summed_runs(batches):
+            few = np.bincount(sums[sums < buckets], minlength=max(buckets, 1))[1:]
+            columns = [pa.array([keys.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()), pa.array([len(keys)]), pa.array([int(sums.sum())])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([few], pa.list_(pa.int64()))], ["keys", "cnts", "n", "total", "few"])
+
+    return _runs_by_share(reads, config, bases_only).mapInArrow(rows, "keys binary, cnts binary, n long, total long, few array<long>")
+
+
+def spelled_from(runs: DataFrame, least: int, k: int) -> DataFrame:
+    """(kmer, cnt) of the keys in ``summed_runs`` that occur ``least`` times or more."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, sums in zip(batch.column(0), batch.column(1)):
+                keys, sums = np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(sums.as_buffer(), np.int64)
+                at = np.flatnonzero(sums >= least)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([spelled(keys[at], k), pa.array(sums[at])], ["kmer", "cnt"])
+
+    return runs.select("keys", "cnts").mapInArrow(rows, "kmer string, cnt long")
+
+
 def unpacked(key: Column, k: int) -> Column:
     """The digit string of a packed key."""
     digits = lambda hexed, n: F.lpad(F.conv(hexed, 16, 4), n, "0")
@@ -284,6 +388,25 @@ def minimizers(kmers: DataFrame, lmers: DataFrame, config: AssemblyConfig) -> Da
     return kmers.mapInArrow(choose, schema)
 
 
+def counted_minimizers(reads: DataFrame, lmers: DataFrame, config: AssemblyConfig, bases_only: bool = False) -> DataFrame:
+    """(kmer, cnt, minimizer, pos) of the reads' k-mers up to 31 bases, chosen on packed keys in the task that sums them."""
+    k, size = config.k, config.minimizer
+    names = ["kmer", "cnt", "minimizer", "pos"]
+    table = reads.sparkSession.sparkContext.broadcast(rank_table(lmers, size))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, mask = table.value << 6, np.uint64(4**size - 1)  # below 2**24 before, and a place is below 2**6
+        for keys, sums in _summed_runs(batches):
+            best = ranks[keys >> np.uint64(2 * (k - size)) & mask]
+            for j in range(1, k - size + 1):
+                np.minimum(best, ranks[keys >> np.uint64(2 * (k - size - j)) & mask] | np.int32(j), out=best)
+            pos = best & 63
+            chosen = keys >> (2 * (k - size - pos)).astype(np.uint64) & mask
+            yield pa.RecordBatch.from_arrays([spelled(keys, k), pa.array(sums), spelled(chosen, size), pa.array(pos)], names)
+
+    return _runs_by_share(reads, config, bases_only).mapInArrow(rows, "kmer string, cnt long, minimizer string, pos int")
+
+
 def runs_of_one_minimizer(reads: DataFrame, lmers: DataFrame, config: AssemblyConfig) -> DataFrame:
     """(minimizer, run, times): neighbouring k-mers with the same minimizer in the same place as one string of digits.
 
@@ -313,7 +436,8 @@ def runs_of_one_minimizer(reads: DataFrame, lmers: DataFrame, config: AssemblyCo
             rows = rows.select(["minimizer", "run", "count_all"]).rename_columns(["minimizer", "run", "times"])
             yield from rows.set_column(1, "run", rows["run"].cast(pa.string())).to_batches()
 
-    return _pieces(reads, config.k).mapInArrow(split, "minimizer int, run string, times long")
+    pieces = reads.select(F.explode(S.pieces(clean(F.col("seq")), k, 1 << 13)).alias("seq"))
+    return pieces.mapInArrow(split, "minimizer int, run string, times long")
 
 
 def counts_by_runs(reads: DataFrame, lmers: DataFrame, config: AssemblyConfig) -> DataFrame:

@@ -38,28 +38,43 @@ class Assembly:
         return [(i, r.nodes, r.contracted) for i, r in enumerate(self.rounds)]
 
 
-def valid(reads: DataFrame, config: AssemblyConfig) -> tuple[DataFrame, int]:
-    """k-mers at or above the cut-off, and the cut-off; raises if none is left."""
-    kept, cutoff, _ = counted(reads, config)
-    return kept, cutoff
+def valid(reads: DataFrame, config: AssemblyConfig, bases_only: bool = False) -> tuple[DataFrame, int]:
+    """k-mers at or above the cut-off, and the cut-off; raises if none is left.  ``bases_only`` drops other letters of the reads first."""
+    return _kept(_found(reads, config, bases_only), config)
 
 
 def counted(reads: DataFrame, config: AssemblyConfig) -> tuple[DataFrame, int, dict[str, int]]:
     """Valid k-mers, the cut-off, and what was read and counted on the way."""
     read, seen = Observation(), Observation()
     rows = reads.observe(read, F.count("*").alias("reads"), F.coalesce(F.sum(F.length("seq")), F.lit(0)).alias("bases"))
-    short = config.k <= 31  # packed keys are kept, and only valid ones are spelled
-    found = packed.packed_counts(rows, config) if short else kmers.kmer_counts(rows, config)
-    counts = written(found.observe(seen, F.count("*").alias("distinct"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("total")), "kmer-counts")
-    cutoff = histogram.min_bucket(counts, config.buckets)
-    kept = counts.where(F.col("cnt") >= cutoff)
-    if not kept.take(1):
-        raise histogram.NothingLeft(f"no k-mer occurs {cutoff} times")
-    if short:
-        kept = kept.select(packed.unpacked(F.col("key"), config.k).alias("kmer"), "cnt")
+    found = _found(rows, config)
+    n, total = (F.sum("n"), F.sum("total")) if "n" in found.columns else (F.count("*"), F.sum("cnt"))
+    kept, cutoff = _kept(found.observe(seen, F.coalesce(n, F.lit(0)).alias("distinct"), F.coalesce(total, F.lit(0)).alias("total")), config)
     return kept, cutoff, {"reads": read.get["reads"], "bases": read.get["bases"], "kmers": seen.get["total"], "distinct_kmers": seen.get["distinct"]}
 
 
+def _found(reads: DataFrame, config: AssemblyConfig, bases_only: bool = False) -> DataFrame:
+    """Counts of all k-mers; up to 31 bases they stay packed in runs."""
+    return packed.summed_runs(reads, config, bases_only) if config.k <= 31 else kmers.spelled_counts(reads, config, bases_only)
+
+
+def _kept(found: DataFrame, config: AssemblyConfig) -> tuple[DataFrame, int]:
+    """The counts, written once, from the cut-off on; of runs, only these become rows."""
+    counts = written(found, "kmer-counts")
+    if config.k > 31:
+        cutoff = histogram.min_bucket(counts, config.buckets)
+        kept = counts.where(F.col("cnt") >= cutoff)
+        some = kept.take(1)
+    else:
+        cutoff = 1 if config.buckets <= 1 else histogram.least_bucket(histogram.histogram_of_runs(counts, config.buckets))
+        kept = packed.spelled_from(counts, cutoff, config.k)
+        below = F.coalesce(F.aggregate(F.slice("few", 1, cutoff - 1), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0))
+        some = counts.where(F.col("n") > below).take(1)
+    if not some:
+        raise histogram.NothingLeft(f"no k-mer occurs {cutoff} times")
+    return kept, cutoff
+
+
 def assemble(reads: DataFrame, config: AssemblyConfig) -> Assembly:
     """All phases; each has its seconds, and its rows as they are observed."""
     seconds: dict[str, float] = {}

@@ -32,16 +32,25 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(fasta.reads_from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").select("read_id", "seq"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that ``reads`` are made of; counting drops what is no base."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("text").alias("seq")))
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.spelled_counts(reads(spark, sf_dir), CONFIG)
+    return kmers.spelled_counts(_texts(spark, sf_dir), CONFIG, bases_only=True)
+
+
+def _packed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.packed_counts(_texts(spark, sf_dir), CONFIG, bases_only=True)
 
 
 def _lmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmers.lmer_frequencies(reads(spark, sf_dir), CONFIG)
+    return kmers.lmer_frequencies(_texts(spark, sf_dir), CONFIG, bases_only=True)
 
 
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assembly.valid(reads(spark, sf_dir), CONFIG)[0]
+    return assembly.valid(_texts(spark, sf_dir), CONFIG, bases_only=True)[0]
 
 
 def _ext(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +70,7 @@ def base_encode(spark, sf_dir):
 
 
 def kmer_total_distinct(spark, sf_dir):
-    return _counts(spark, sf_dir).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"), F.count("*").alias("distinct_kmers"))
+    return _packed_counts(spark, sf_dir).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"), F.count("*").alias("distinct_kmers"))
 
 
 def minimizer(spark, sf_dir):
@@ -70,7 +79,7 @@ def minimizer(spark, sf_dir):
 
 def kmer_count_packed(spark, sf_dir):
     """The counts by packed keys, unpacked at the end."""
-    return packed.packed_counts(reads(spark, sf_dir), CONFIG).select(packed.unpacked(F.col("key"), CONFIG.k).alias("kmer"), "cnt")
+    return _packed_counts(spark, sf_dir).select(packed.unpacked(F.col("key"), CONFIG.k).alias("kmer"), "cnt")
 
 
 def kmer_count_by_runs(spark, sf_dir):
@@ -84,15 +93,15 @@ def owner_hash(spark, sf_dir):
 
 
 def owner_load(spark, sf_dir):
-    return kmers.owner_load(_counts(spark, sf_dir), _lmers(spark, sf_dir), CONFIG)
+    return kmers.owner_load(kmers.minimizers(_counts(spark, sf_dir), _lmers(spark, sf_dir), CONFIG), CONFIG)
 
 
 def count_histogram(spark, sf_dir):
-    return histogram.count_histogram(_counts(spark, sf_dir), CONFIG.buckets)
+    return histogram.count_histogram(_packed_counts(spark, sf_dir), CONFIG.buckets)
 
 
 def min_bucket(spark, sf_dir):
-    return histogram.count_histogram(_counts(spark, sf_dir), CONFIG.buckets).orderBy("n", "bucket").limit(1).select("bucket")
+    return histogram.count_histogram(_packed_counts(spark, sf_dir), CONFIG.buckets).orderBy("n", "bucket").limit(1).select("bucket")
 
 
 def pred_succ(spark, sf_dir):
@@ -227,7 +236,7 @@ def visits_by_3(spark, sf_dir):
 
 def histogram_of_21(spark, sf_dir):
     """Counts up to 20: buckets that tie and buckets that are empty."""
-    return histogram.count_histogram(_counts(spark, sf_dir), 21)
+    return histogram.count_histogram(_packed_counts(spark, sf_dir), 21)
 
 
 def min_bucket_of_21(spark, sf_dir):
