@@ -43,6 +43,14 @@ def lmer_frequencies(reads: DataFrame, config: AssemblyConfig, bases_only: bool
     return extracted(_bases(reads) if bases_only else reads, size, "lmer", config.alphabet).groupBy("lmer").agg(F.count("*").alias("freq"))
 
 
+def counted_minimizers(reads: DataFrame, config: AssemblyConfig, bases_only: bool = False) -> DataFrame:
+    """(kmer, cnt, minimizer, pos) of the reads' k-mers."""
+    lmers = lmer_frequencies(reads, config, bases_only)
+    if config.k <= 31 and config.minimizer <= packed.LONGEST_MINIMIZER:
+        return packed.counted_minimizers(reads, lmers, config, bases_only)
+    return minimizers(spelled_counts(reads, config, bases_only), lmers, config)
+
+
 def minimizers(kmers: DataFrame, lmers: DataFrame, config: AssemblyConfig) -> DataFrame:
     """``kmers`` with minimizer and pos: leftmost of the rarest l-mers of each k-mer.
 

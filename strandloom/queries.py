@@ -74,7 +74,7 @@ def kmer_total_distinct(spark, sf_dir):
 
 
 def minimizer(spark, sf_dir):
-    return kmers.minimizers(_counts(spark, sf_dir).select("kmer"), _lmers(spark, sf_dir), CONFIG)
+    return kmers.counted_minimizers(_texts(spark, sf_dir), CONFIG, bases_only=True).select("kmer", "minimizer", "pos")
 
 
 def kmer_count_packed(spark, sf_dir):
@@ -93,7 +93,7 @@ def owner_hash(spark, sf_dir):
 
 
 def owner_load(spark, sf_dir):
-    return kmers.owner_load(kmers.minimizers(_counts(spark, sf_dir), _lmers(spark, sf_dir), CONFIG), CONFIG)
+    return kmers.owner_load(kmers.counted_minimizers(_texts(spark, sf_dir), CONFIG, bases_only=True), CONFIG)
 
 
 def count_histogram(spark, sf_dir):
