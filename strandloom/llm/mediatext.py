@@ -27,7 +27,8 @@ from .webp import decode_images, encode_images, image_chunk
 
 WIDTH, ROWS = 64, 64
 ROW_BYTES = 3 * WIDTH
-CHUNK = 1 << 20  # bytes of text stored in one go; twice as much is decoded in one
+CHUNK = 1 << 19  # bytes of text stored in one go
+STORED = 1 << 22  # bytes of stored forms decoded in one go
 
 
 def with_media(docs: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def pixel_arrays(media: DataFrame) -> DataFrame:
 def _decoded(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         _, offs = K.utf8_column(batch.column(2))
-        for lo, hi in K.chunks(offs, 2 * CHUNK):
+        for lo, hi in K.chunks(offs, STORED):
             files = [media_files(m) for m in batch.column(2).slice(lo, hi - lo).to_pylist()]
             images = decode_images([image_chunk(f) for one in files for f in one])
             samples = [np.ascontiguousarray(i[..., 1:]).tobytes() for i in images]

@@ -81,9 +81,9 @@ class _Code:
         if not used:
             used = [(0, 0)]
         if len(used) == 1:
-            self.bits, self.table = 0, [(used[0][1], 0)]
+            self.bits, self.table, self.spelled = 0, [(used[0][1], 0)], {}
             return
-        self.bits = used[-1][0]
+        self.bits, self.spelled = used[-1][0], {}
         if sum(1 << (self.bits - n) for n, _ in used) != 1 << self.bits:
             raise DamagedImage("prefix code is not complete")
         self.table = [(0, 0)] * (1 << self.bits)
@@ -102,21 +102,42 @@ class _Code:
         return symbol
 
 
+def _spelled_lengths(code: _Code, v: int) -> tuple[list[int], int, int, int]:
+    """(lengths, symbols, bits, last length above 0) that 16 bits spell whole, up to a repetition of the last length."""
+    lengths, symbols, used, before = [], 0, 0, 0
+    while True:
+        k, n = code.table[v >> used & ((1 << code.bits) - 1)]
+        least, more = _RUNS.get(k, (1, 0))
+        if k == 16 or not n or used + n + more > 16:
+            return lengths, symbols, used, before
+        if k < 16:
+            lengths.append(k)
+            before = k or before
+        else:
+            lengths += [0] * (least + (v >> used + n & ((1 << more) - 1)))
+        symbols += 1
+        used += n + more
+
+
 def _read_lengths(bits: _Bits, size: int) -> list[int]:
     lengths = [0] * size
-    if bits.read(1):  # simple code: one or two symbols
-        two = bits.read(1)
-        symbols = [bits.read(8) if bits.read(1) else bits.read(1)]
-        if two:
-            symbols.append(bits.read(8))
+    v = bits.peek(62)
+    if v & 1:  # simple code: one or two symbols
+        n = 11 if v & 4 else 4
+        symbols = [v >> 3 & ((1 << n - 3) - 1)]
+        if v & 2:
+            symbols.append(v >> n & 255)
+            n += 8
+        bits.skip(n)
         for s in symbols:
             if s >= size:
                 raise DamagedImage("symbol outside its alphabet")
             lengths[s] = 1
         return lengths
-    inner = [0] * 19
-    for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        inner[k] = bits.read(3)
+    inner, n = [0] * 19, 4 + (v >> 1 & 15)
+    for i, k in enumerate(CODE_LENGTH_ORDER[:n]):
+        inner[k] = v >> 5 + 3 * i & 7
+    bits.skip(5 + 3 * n)
     code = _shared_code(tuple(inner))
     left = size
     if bits.read(1):
@@ -127,7 +148,20 @@ def _read_lengths(bits: _Bits, size: int) -> list[int]:
     byte, used = bits.at >> 3, bits.at & 7
     window = int.from_bytes(bits.data[byte : byte + 2 * size + 8], "little") >> used  # no length takes more than 14 bits
     at, before = 0, 8
+    known = code.spelled
     while at < size and left:
+        found = known.get(window & 0xFFFF)
+        if found is None:
+            found = known[window & 0xFFFF] = _spelled_lengths(code, window & 0xFFFF)
+        many, symbols, n, last = found
+        if symbols and symbols <= left and at + len(many) <= size:
+            lengths[at : at + len(many)] = many
+            at += len(many)
+            left -= symbols
+            window >>= n
+            used += n
+            before = last or before
+            continue
         left -= 1
         k, n = table[window & mask]
         window >>= n
@@ -221,6 +255,11 @@ def _unpack(pixels, width: int) -> np.ndarray:
     return np.array(pixels, ">u4").view(np.uint8).reshape(-1, width, 4)
 
 
+def _summed(channels: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which is short."""
+    return sum(channels[..., k] for k in range(1, channels.shape[-1])) + channels[..., 0]
+
+
 def _average(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b) >> 1
 
@@ -237,7 +276,7 @@ def _predict(mode: int, left, top, top_right, top_left):
     if mode == 10:
         return _average(_average(left, top_left), _average(top, top_right))
     if mode == 11:
-        nearer = np.abs(top - top_left).sum(axis=-1) < np.abs(left - top_left).sum(axis=-1)
+        nearer = _summed(np.abs(top - top_left)) < _summed(np.abs(left - top_left))
         return np.where(nearer[..., None], left, top)
     if mode == 12:
         return np.clip(left + top - top_left, 0, 255)
@@ -411,19 +450,28 @@ def read_head(stream: bytes) -> Head | None:
     return Head(height, coded, todo, cache_bits, lengths, bits.at)
 
 
-def decode_images(streams: list[bytes], lanes: int = 1024) -> list[np.ndarray]:
+#: Pixels that the batch decoder works on at a time, at least one image's.
+PIXELS = 1 << 23
+
+
+def decode_images(streams: list[bytes], lanes: int = 4096) -> list[np.ndarray]:
     """Pixels (height, width, 4) of many streams."""
     out: list[np.ndarray | None] = [None] * len(streams)
     heads = [read_head(s) for s in streams]
+    plain = sorted((i for i, head in enumerate(heads) if head), key=lambda i: (-heads[i].size, i))
+    lo = 0
+    while lo < len(plain):
+        group = plain[lo : lo + min(lanes, max(1, PIXELS // heads[plain[lo]].size))]
+        for i, pixels in zip(group, _lockstep([streams[i] for i in group], [heads[i] for i in group])):
+            if pixels is None:
+                heads[i] = None
+            else:
+                out[i] = _unpack(pixels, heads[i].coded)
+        lo += len(group)
     for i, head in enumerate(heads):
         if head is None:
             out[i] = decode_image(streams[i])
-    plain = sorted((i for i, head in enumerate(heads) if head), key=lambda i: (-heads[i].size, i))
-    for lo in range(0, len(plain), lanes):
-        group = plain[lo : lo + lanes]
-        for i, pixels in zip(group, _lockstep([streams[i] for i in group], [heads[i] for i in group])):
-            out[i] = _unpack(pixels, heads[i].coded)
-    left = {i: list(heads[i].todo) for i in plain if heads[i].todo}
+    left = {i: list(heads[i].todo) for i in plain if heads[i] and heads[i].todo}
     while left:
         predicted = []
         for i in list(left):
@@ -442,92 +490,156 @@ def decode_images(streams: list[bytes], lanes: int = 1024) -> list[np.ndarray]:
 
 
 _NEAR_X, _NEAR_Y = (np.array([p[k] for p in NEAR]) for k in (0, 1))
+#: Entries of the lookup tables: low bits are lengths, so that three of them add up to a pixel and its bits.
+_SIZE_BITS, _SHIFT = 6, {GREEN: 14, RED: 22, BLUE: 6, DISTANCE: 6}
+_STEPS = 32  # between two looks at which streams have ended
+
+
+#: Of length and distance symbols: extra bits, and least value; of cached colours, which are one pixel: none.
+_EXTRA = np.array([max(k - 2, 0) >> 1 if k >= 4 else 0 for k in range(40)], np.uint64)
+_LEAST = np.array([k + 1 if k < 4 else ((2 + (k & 1)) << (k - 2 >> 1)) + 1 for k in range(40)])
+_GREEN_EXTRA, _GREEN_LEAST = np.zeros(280 + 2048, np.uint64), np.ones(280 + 2048, np.int64)
+_GREEN_EXTRA[256:280], _GREEN_LEAST[256:280] = _EXTRA[:24], _LEAST[:24]
+_GREEN_MASK, _MASK = ((np.uint64(1) << x) - np.uint64(1) for x in (_GREEN_EXTRA, _EXTRA))
+
 
+def _lockstep(streams: list[bytes], heads: list[Head]) -> list[np.ndarray | None]:
+    """Packed coded pixels of streams: one symbol of all a step, then copies and cached colours of all together.
 
-def _lockstep(streams: list[bytes], heads: list[Head]) -> list[np.ndarray]:
-    """Packed coded pixels of streams, in descending order of size, one pixel of all a step."""
+    None stands for a stream that asks its cache for a colour that it never held.
+    """
     n = len(streams)
     total = np.array([h.size for h in heads])
-    padded = [s + bytes(24 - len(s) % 8) for s in streams]
-    word_of = np.cumsum([0] + [len(p) // 8 for p in padded])
-    words = np.frombuffer(b"".join(padded), "<u8")
-    at = word_of[:-1] * 64 + np.array([h.at for h in heads])
-    end = word_of[:-1] * 64 + np.array([8 * len(s) for s in streams])
-    flat, masks, rows = {}, {}, {}
+    pad = 8 * _STEPS + 8  # a damaged stream may read on for so many bytes
+    padded = [s + bytes(len(s) & 1) for s in streams]
+    byte_of = np.cumsum([0] + [len(p) for p in padded])
+    halves = np.frombuffer(b"".join(padded) + bytes(pad), "<u2").astype(np.uint64)
+    words = halves[:-3] | halves[1:-2] << np.uint64(16) | halves[2:-1] << np.uint64(32) | halves[3:] << np.uint64(48)
+    at = byte_of[:-1] * 8 + np.array([h.at for h in heads])
+    end = byte_of[:-1] * 8 + np.array([8 * len(s) for s in streams])
+    tables, masks, rows = {}, {}, {}
     for k in (GREEN, RED, BLUE, DISTANCE):
         size = max(len(h.lengths[k]) for h in heads)
         table, bits = _tables(np.array([h.lengths[k] + [0] * (size - len(h.lengths[k])) for h in heads]))
-        flat[k], masks[k], rows[k] = table.ravel(), np.uint64((1 << bits) - 1), np.arange(n, dtype=np.int64) << bits
-    alpha = np.array([next((s for s, x in enumerate(h.lengths[ALPHA]) if x), 0) << 24 for h in heads], np.uint32)
+        table = table.ravel().astype(np.int32)
+        tables[k], masks[k], rows[k] = (table >> 4 << _SHIFT[k]) | (table & 15), np.uint64((1 << bits) - 1), np.arange(n, dtype=np.int64) << bits
     width = np.array([h.coded for h in heads])
-    cache_bits = np.array([h.cache_bits for h in heads])
-    slots = 1 << max(1, int(cache_bits.max()))
-    cache, own = np.zeros(n * slots, np.uint32), np.arange(n) * slots
-    away = np.where(cache_bits > 0, 32 - cache_bits, 31).astype(np.uint32)
-    cached = bool(cache_bits.any())
-    out = np.zeros((int(total[0]), n), np.uint32)  # by pixel, then image: writes of a step lie together
-    until, back = np.zeros(n, np.int64), np.ones(n, np.int64)  # where a back-reference ends, and how far it reaches
-    live = np.searchsorted(-total, -np.arange(int(total[0])), side="left")
+    base = np.cumsum(total + 1) - (total + 1)  # of each stream's pixels; one more place takes what comes after its end
+    stop, to = base + total, base.copy()
+    whole = np.zeros(int((total + 1).sum()) + int(_LEAST[23]) + 1024, np.uint32)  # a damaged stream may copy on for so many pixels
+    out = whole[: int((total + 1).sum())]
+    met = []  # (place, symbol, length, distance symbol, its extra bits and what follows, stream) of all that is no plain pixel
+    odd_from, low = np.int32(256 << _SHIFT[GREEN]), np.int32((1 << _SIZE_BITS) - 1)
+    live, step = np.arange(n), 0
+    green_rows, red_rows, blue_rows, distance_rows = (rows[k] for k in (GREEN, RED, BLUE, DISTANCE))
 
     def window(pos):
-        word, shift = pos >> 6, (pos & 63).view(np.uint64)
-        return (words[word] >> shift) | (words[word + 1] << np.uint64(1) << (np.uint64(63) - shift))
+        """49 bits or more from each place on."""
+        return words[pos >> 4] >> (pos & 15).view(np.uint64)
 
     def look(k, lanes, v):
-        return flat[k][rows[k][lanes] + (v & masks[k]).view(np.int64)].astype(np.int64)
-
-    def prefixed(symbol, v):
-        """(value, bits used) of length or distance symbols."""
-        extra = np.maximum(symbol - 2, 0) >> 1
-        more = (v & ((np.uint64(1) << extra.view(np.uint64)) - np.uint64(1))).view(np.int64)
-        return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + more) + 1, np.where(symbol < 4, 0, extra)
-
-    for step in range(int(total[0])):
-        m = int(live[step])
-        lanes = slice(0, m)
-        v = window(at[:m])
-        green = look(GREEN, lanes, v)
-        used = green & 15
-        v >>= used.view(np.uint64)
-        red = look(RED, lanes, v)
-        v >>= (red & 15).view(np.uint64)
-        blue = look(BLUE, lanes, v)
-        used += (red & 15) + (blue & 15)
-        row = ((red >> 4 << 16) | (green >> 4 << 8) | (blue >> 4)).astype(np.uint32) | alpha[:m]
-        odd = np.flatnonzero((green >= 256 << 4) | (until[:m] > step))
-        if len(odd):
-            busy = until[odd] > step
-            first = green[odd]
-            symbol = first >> 4
-            used[odd] = np.where(busy, 0, first & 15)
-            found = ~busy & (symbol >= 280)
-            held = odd[found]
-            row[held] = cache[own[held] + symbol[found] - 280]
-            new = ~busy & (symbol >= 256) & (symbol < 280)
-            if new.any():
-                who = odd[new]
-                pos = at[who] + used[who]
-                length, n1 = prefixed(symbol[new] - 256, window(pos))
-                pos += n1
-                v = window(pos)
-                far = look(DISTANCE, who, v)
-                pos += far & 15
-                code, n2 = prefixed(far >> 4, window(pos))
-                pos += n2
-                near = np.minimum(code, len(NEAR)) - 1
-                reach = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width[who]))
-                if (reach > step).any() or (step + length > total[who]).any():
-                    raise DamagedImage("back-reference outside the image")
-                used[who], until[who], back[who] = pos - at[who], step + length, reach
-            copying = odd[busy | new]
-            row[copying] = out[step - back[copying], copying]
-        out[step, :m] = row
-        at[:m] += used
-        if (at[:m] > end[:m]).any():
+        return tables[k].take(lanes + (v & masks[k]).view(np.int64))
+
+    while len(live):
+        for _ in range(_STEPS):
+            alive = to < stop
+            v = window(at)
+            green = look(GREEN, green_rows, v)
+            v >>= (green & low).astype(np.uint64)
+            red = look(RED, red_rows, v)
+            v >>= (red & low).astype(np.uint64)
+            row = green + red
+            row += look(BLUE, blue_rows, v)
+            used = row & low
+            whole[to] = row >> _SIZE_BITS
+            odd = np.flatnonzero(green >= odd_from)
+            if len(odd):
+                first, who = green[odd], live[odd]
+                symbol, size = first >> _SHIFT[GREEN], first & low
+                v = window(at[odd] + size)
+                length = _GREEN_LEAST[symbol] + (v & _GREEN_MASK[symbol]).view(np.int64)
+                more = _GREEN_EXTRA[symbol]
+                v >>= more
+                far = look(DISTANCE, distance_rows[who], v)
+                more += (far & low).astype(np.uint64)
+                v >>= (far & low).astype(np.uint64)
+                far >>= _SHIFT[DISTANCE]
+                more += _EXTRA[far]
+                used[odd] = np.where(symbol < 280, size + more.view(np.int64), size)
+                met.append((np.where(alive[odd], to[odd], -1), symbol, length, far, v, who))
+                to[odd] += (length - 1) * alive[odd]
+            used *= alive
+            at += used
+            to += alive
+        if (at > end).any():
             raise DamagedImage("stream ends early")
-        if cached:
-            cache[own[:m] + (row * np.uint32(CACHE_MULTIPLIER) >> away[:m])] = row
-    return [out[: total[i], i] for i in range(n)]
+        if (to > stop).any():
+            raise DamagedImage("back-reference outside the image")
+        on = np.flatnonzero(to < stop)
+        if len(on) < len(live):
+            live, at, to, end, stop, green_rows, red_rows, blue_rows = (x[on] for x in (live, at, to, end, stop, green_rows, red_rows, blue_rows))
+    alpha = np.array([next((s for s, x in enumerate(h.lengths[ALPHA]) if x), 0) << 24 for h in heads], np.uint32)
+    out |= np.repeat(alpha, total + 1)
+    cache_bits = np.array([h.cache_bits for h in heads])
+    place, symbol, length, far, v, who = (np.concatenate(x) for x in zip(*met)) if met else np.zeros((6, 0), np.int64)
+    order = np.argsort(place)
+    order = order[int((place < 0).sum()) :]
+    odd = symbol[order] >= 280
+    held, order = order[odd], order[~odd]
+    held = [place[held], symbol[held] - 280]
+    code = _LEAST[far[order]] + (v[order].astype(np.uint64) & _MASK[far[order]]).astype(np.int64)
+    near = np.minimum(code, len(NEAR)) - 1
+    reach = np.where(code > len(NEAR), code - len(NEAR), np.maximum(1, _NEAR_X[near] + _NEAR_Y[near] * width[who[order]]))
+    copied = [place[order], length[order], reach]
+    if (copied[0] - reach < base[who[order]]).any():
+        raise DamagedImage("back-reference outside the image")
+    lost = np.zeros(n, dtype=bool)
+    lo = 0
+    while lo < n:  # a part of the images at a time, which bounds memory
+        hi = max(lo + 1, int(np.searchsorted(base, base[lo] + PIXELS // 8)))
+        a, z = int(base[lo]), int(base[hi - 1] + total[hi - 1]) + 1
+        mine = [[x[0][i:j] - a, *(y[i:j] for y in x[1:])] for x in (held, copied) for i, j in [np.searchsorted(x[0], (a, z))]]
+        lost[lo:hi] = _filled(out[a:z], base[lo:hi] - a, total[lo:hi], cache_bits[lo:hi], *mine)
+        lo = hi
+    return [None if lost[i] else out[b : b + t] for i, (b, t) in enumerate(zip(base.tolist(), total.tolist()))]
+
+
+def _followed(source: np.ndarray, places: np.ndarray) -> None:
+    """Lead ``places`` to what their sources, which lie before them, have from elsewhere in turn; by doubling."""
+    while len(places):
+        now = source[places]
+        further = source[now]
+        going = further != now
+        places = places[going]
+        source[places] = further[going]
+
+
+def _filled(out: np.ndarray, base: np.ndarray, total: np.ndarray, cache_bits: np.ndarray, held: list, copied: list) -> np.ndarray:
+    """Fill in copies (place, length, distance) and cached colours (place, slot); which images asked an empty cache."""
+    lost = np.zeros(len(base), dtype=bool)
+    source = np.arange(len(out))
+    place, length, reach = copied
+    copies = np.repeat(place - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    source[copies] = copies - np.repeat(reach, length)
+    _followed(source, copies)
+    place, slot = held
+    if len(place):
+        image = np.repeat(np.arange(len(base)), total + 1)
+        among = np.flatnonzero(cache_bits[image] > 0)
+        slots = np.zeros(len(out), np.uint16)
+        slots[among] = out[among] * np.uint32(CACHE_MULTIPLIER) >> (32 - cache_bits[image[among]]).astype(np.uint32)
+        slots[place] = slot
+        order = among[np.argsort(slots[source[among]], kind="stable")]  # a slot's places, in order of images and pixels
+        before = np.full(len(out), -1)
+        before[order[1:]] = order[:-1]
+        last, image = before[place], image[place]
+        none = (last < base[image]) | (slots[source[np.maximum(last, 0)]] != slot)
+        lost[image[none]] = True
+        source[place] = np.where(none, place, last)
+        _followed(source, place)
+        out[place] = out[source[place]]
+    out[copies] = out[source[copies]]
+    return lost
 
 
 # ---------------------------------------------------------------- encoder
@@ -676,7 +788,7 @@ class _Bitstream:
 
     def files(self) -> list[bytes]:
         where, value, count = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(where, kind="stable")
+        order = np.argsort(where.astype(np.uint16) if self.n <= 1 << 16 else where, kind="stable")
         where, value, count = where[order], value[order], count[order]
         per_image = np.bincount(where, count, self.n).astype(np.int64)
         words = (per_image + 63) // 64
@@ -684,9 +796,10 @@ class _Bitstream:
         at = np.cumsum(count) - count - (np.cumsum(per_image) - per_image)[where] + base[where] * 64
         out = np.zeros(int(words.sum()) + 1, np.uint64)
         word, shift = at >> 6, (at & 63).astype(np.uint64)
-        np.bitwise_or.at(out, word, value << shift)
-        over = (at & 63) + count > 64
-        np.bitwise_or.at(out, word[over] + 1, value[over] >> (np.uint64(64) - shift[over]))
+        new = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[new]] = np.bitwise_or.reduceat(value << shift, new)
+        over = np.flatnonzero((at & 63) + count > 64)  # one a word at most
+        out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
         raw = out.astype("<u8").tobytes()
         files = []
         for b, size in zip((base * 8).tolist(), ((per_image + 7) // 8).tolist()):
@@ -701,7 +814,7 @@ def _predicted(rgb: np.ndarray, image: np.ndarray, x: np.ndarray, y: np.ndarray,
     block = (image << 2) | (y >> PREDICTOR_BLOCK << 1) | (x >> PREDICTOR_BLOCK)
     rest = [(rgb - _predict(int(m), *near)) & 255 for m in _FIRST_MODES]
     inner = (x > 0) & (y > 0)  # the others have fixed predictions
-    cost = [np.bincount(block, np.abs(_signed(r)).sum(axis=1) * inner, minlength=4 * (int(image.max()) + 1)) for r in rest]
+    cost = [np.bincount(block, _summed(np.abs(_signed(r))) * inner, minlength=4 * (int(image.max()) + 1)) for r in rest]
     modes = _least(cost)
     out = np.choose(modes[block][:, None], rest)
     out = np.where((y == 0)[:, None], (rgb - near[0]) & 255, np.where((x == 0)[:, None], (rgb - near[1]) & 255, out))
@@ -720,7 +833,12 @@ def _matches(argb: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for k in range(4):
         key = (key ^ wide[k : n - 3 + k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    tie = key[order[1:]] == key[order[:-1]]
+    equal = np.flatnonzero(np.append(tie, False) | np.append(False, tie))  # places of equal keys are put in order
+    ranked = np.cumsum(np.append(True, ~tie))[equal] << 32 | order[equal]
+    ranked.sort()
+    order[equal] = ranked & ((1 << 32) - 1)
     before, after = order[:-1], order[1:]
     same = image[before] == image[np.minimum(after + 3, n - 1)]
     for k in range(4):
@@ -759,7 +877,7 @@ def encode_images(samples: np.ndarray, sizes: np.ndarray, width: int) -> list[by
     image = np.repeat(np.arange(n), n_pixels)
     y, x = np.divmod(np.arange(len(rgb)) - first[image], width)
     colour = rgb[:, 0].astype(np.int64) << 16 | rgb[:, 1].astype(np.int64) << 8 | rgb[:, 2]
-    colours, index = np.unique(image << 24 | colour, return_inverse=True)
+    colours = np.unique(image << 24 | colour)
     n_colours = np.bincount(colours >> 24, minlength=n)
     first_colour = np.cumsum(n_colours) - n_colours
     with_palette = (n_colours <= 16) | ((n_colours <= 256) & (4 * n_colours <= n_pixels))
@@ -838,9 +956,10 @@ def encode_images(samples: np.ndarray, sizes: np.ndarray, width: int) -> list[by
     total = int(coded.sum())
     alpha = np.where(predicted, 0, 255)
     to = start[image] + y * coded_width[image] + (x >> pack[image])
-    local = index - first_colour[image] << (x & (1 << pack[image]) - 1) * (8 >> pack[image])
     mine = with_palette[image]
-    argb = np.bincount(to[mine], local[mine], minlength=total).astype(np.int64) << 8
+    of = image[mine]
+    local = np.searchsorted(colours, of << 24 | colour[mine]) - first_colour[of] << (x[mine] & (1 << pack[of]) - 1) * (8 >> pack[of])
+    argb = np.bincount(to[mine], local, minlength=total).astype(np.int64) << 8
     argb[to[~mine]] = rgb[~mine, 0].astype(np.int64) << 16 | rgb[~mine, 1].astype(np.int64) << 8 | rgb[~mine, 2]
     image = np.repeat(np.arange(n), coded)
     argb |= alpha[image] << 24
@@ -853,7 +972,7 @@ def encode_images(samples: np.ndarray, sizes: np.ndarray, width: int) -> list[by
     free = np.cumsum(inside[:total]) == 0
     slot = (CACHE_MULTIPLIER * argb & 0xFFFFFFFF) >> (32 - CACHE_BITS)
     key = image << CACHE_BITS | slot
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(slot.astype(np.uint8), kind="stable")  # equal slots of an image lie together, as images do
     hit = np.zeros(total, dtype=bool)
     hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
     hit &= free
@@ -903,21 +1022,21 @@ def encode_images(samples: np.ndarray, sizes: np.ndarray, width: int) -> list[by
         lengths[one] = 0
         codes[k] = _canonical(lengths), lengths
 
-    value, count = np.zeros(total, np.uint64), np.zeros(total, np.int64)
-
-    def append(at, more, size):
-        value[at] |= more.astype(np.uint64) << count[at].astype(np.uint64)
-        count[at] += size
-
-    def append_symbol(k, at, symbol):
-        append(at, codes[k][0][image[at], symbol], codes[k][1][image[at], symbol])
-
-    tokens, literals = np.flatnonzero(token), np.flatnonzero(literal)
-    append_symbol(GREEN, tokens, symbols[GREEN][tokens])
-    append_symbol(RED, literals, symbols[RED][literals])
-    append_symbol(BLUE, literals, symbols[BLUE][literals])
-    append(head, length_extra, length_bits)
-    append_symbol(DISTANCE, head, distance_symbol)
-    append(head, distance_extra, distance_bits)
-    put(value[tokens], count[tokens], image[tokens])
+    def spelled_by(k, at, symbol):
+        index = image[at] * codes[k][0].shape[1] + symbol
+        return codes[k][0].ravel()[index], codes[k][1].ravel()[index]
+
+    tokens = np.flatnonzero(token)
+    value, count = spelled_by(GREEN, tokens, symbols[GREEN][tokens])
+    plain = np.flatnonzero(literal[tokens])
+    at, before = tokens[plain], count[plain]
+    (red, red_bits), (blue, blue_bits) = (spelled_by(k, at, symbols[k][at]) for k in (RED, BLUE))
+    value[plain] |= (red | blue << red_bits) << before
+    count[plain] = before + red_bits + blue_bits
+    copied = np.searchsorted(tokens, head)
+    before = count[copied]
+    far_code, far_bits = spelled_by(DISTANCE, head, distance_symbol)
+    value[copied] |= (length_extra | (far_code | distance_extra << far_bits) << length_bits) << before
+    count[copied] = before + length_bits + far_bits + distance_bits
+    put(value, count, image[tokens])
     return bits.files()

@@ -271,3 +271,29 @@ def test_an_image_does_not_depend_on_its_neighbours():
     assert together == [webp.encode_images(p, sizes[i : i + 1], 64)[0] for i, p in enumerate(pay)]
     for f, p in zip(together, pay):
         assert both(webp.image_chunk(f))[..., 1:].tobytes() == p.tobytes()
+
+
+def test_a_step_decodes_a_symbol_of_every_image(monkeypatch):
+    """op1: copied pixels take no steps of their own, and parts of a batch give what single images give."""
+    lines = [bytes([65 + i % 26, 97 + i % 7, 32]) * 64 for i in range(64)]
+    blank = np.full(64 * 64 * 3, 32, np.uint8)
+    samples = [blank, np.frombuffer(b"".join(lines), np.uint8), *(np.frombuffer(np.random.default_rng(i).bytes(192 * rows), np.uint8) for i, rows in enumerate((1, 2, 9)))]
+    streams = [webp.image_chunk(f) for f in webp.encode_images(np.concatenate(samples), np.array([len(s) for s in samples]), 64)]
+    alone = [webp.decode_image(s) for s in streams]
+    assert all((a[..., 1:].ravel() == s).all() for a, s in zip(alone, samples))
+    for pixels in (1, 5000, webp.PIXELS):
+        monkeypatch.setattr(webp, "PIXELS", pixels)
+        assert all((a == b).all() for a, b in zip(alone, webp.decode_images(streams)))
+    asked = []
+    followed = webp._followed
+    monkeypatch.setattr(webp, "_followed", lambda source, places: (asked.append(len(places)), followed(source, places)))
+    webp.decode_images(streams[:2])
+    assert sum(asked) > 4000
+
+
+def test_values_of_prefix_symbols():
+    """op1: the tables of lengths and distances give what the bit reader gives."""
+    for symbol in range(40):
+        extra = int(webp._EXTRA[symbol])
+        for more in {0, (1 << extra) - 1, (1 << extra) // 3}:
+            assert int(webp._LEAST[symbol]) + more == webp._prefixed(webp._Bits(more.to_bytes(8, "little")), symbol)
