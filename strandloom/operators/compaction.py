@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import marshal
+import sys
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, Window, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.config import AssemblyConfig
 from strandloom.functions import sequence as S
-from strandloom.operators import wiring
+from strandloom.operators import shares, wiring
 from strandloom.session import shared_path, written
 
 ARRIVAL = ("src", "p_idx", "off_p")
@@ -65,10 +67,8 @@ def partial_contigs(pairs: DataFrame) -> DataFrame:
 
 #: Where the rows that come together in a round are from.
 ACTIVE, SENT = 0, 2
-#: Rows that a task of a round has about, and tables that are read side by side before the last of them are put together.
-ROWS_A_TASK, SETTLED_TABLES = 25_000, 8
-#: Tables are put together once the rounds have read so many times their rows in vain.
-IN_VAIN = 1.5
+#: Messages that a task of a round has about, and at least; pieces of a share that are read side by side before the later ones are put together.
+ROWS_A_TASK, MESSAGES_AT_LEAST, SETTLED_TABLES = 25_000, 100, 8
 #: A node has one empty prefix, so these rows count nodes.
 ONE_A_NODE = "side = 'P' AND seq = ''"
 
@@ -154,81 +154,51 @@ class Contracted:
         return [(i, r.nodes, r.contracted) for i, r in enumerate(self.rounds)]
 
 
-@dataclass
-class Table:
-    """A parquet table of whole nodes, with its number of rows."""
-
-    path: str
-    rows: int
-
-
 def contract(ext: DataFrame, config: AssemblyConfig) -> Contracted:
     """Rounds until at most ``node_limit`` nodes are left; None contracts nothing.
 
     A round works on the nodes that the one before touched, all nodes at first: only
-    they can have lost their greater neighbours.  It writes the nodes that its transfers
-    reach, whole, with its number and with the flag of those that the next round
-    contracts; all others stay in the tables where they are.  So a node's rows are those
-    of its last version, and it is gone if these are flagged.  A round reads its few
-    targets out of all tables by a semi-join; tables of like size are put together, as
-    digits of a counter that carry, and all of them when reading old versions has cost more.
+    they can have lost their greater neighbours.  Its plan is one exchange of what the
+    contracted nodes tell their neighbours, by the shares of ``operators/shares.py``, where
+    the nodes are; the driver keeps where each share's pieces are, and counts.
     """
     spark = ext.sparkSession
     if config.node_limit is None:
         return Contracted(written(ext.select(*EXT), "graph"), spark.createDataFrame([], "seq string"))
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = lambda condition: F.count(F.when(F.expr(ONE_A_NODE) & condition, 1))
-    state: StructType | None = None
-
-    def kept(rows: DataFrame) -> tuple[Table, dict[str, int]]:
-        nonlocal state
-        seen, path = Observation(), shared_path(spark, "contraction")
-        rows.observe(seen, F.count("*").alias("rows"), one(F.lit(True)).alias("nodes"), one(F.col("chosen")).alias("chosen")).write.parquet(path)
-        state = state or StructType([StructField(f.name, f.dataType) for f in rows.schema])
-        return Table(path, seen.get["rows"]), seen.get
-
-    def read(tables: list[Table]) -> DataFrame:
-        return spark.read.schema(state).parquet(*[t.path for t in tables])
-
-    def together(tables: list[Table], all_of_them: bool) -> Table:
-        """One table of the last versions; a node that is gone leaves one row, which hides older versions, if there may be any."""
-        rows = latest(read(tables))
-        return kept(rows.where("NOT chosen") if all_of_them else rows.where(~F.col("chosen") | F.expr(ONE_A_NODE)))[0]
-
-    flagged = lambda rows, number: chosen_first(rows.select(*EXT), config).withColumn("round", F.lit(number))
-    now, figures = kept(flagged(ext, 0))
-    a_node = figures["rows"] / max(figures["nodes"], 1)
-    left, older, in_vain = figures["nodes"], [], 0.0
-    rounds: list[Round] = []
-    whole: list[str] = []
-
+    context, folder = spark.sparkContext, shared_path(spark, "contraction")
+    most, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism
+    key, text = F.col("node").cast("binary").alias("node"), F.col("seq").cast("binary").alias("seq")
+    share = F.pmod(F.crc32(F.col("node").cast("binary")), F.lit(shares.SHARES)).cast("int").alias("share")
+    dealt = ext.select(share, key, "side", "idx", text, "cnt", "visit", "terminal").repartition(most, "share").sortWithinPartitions("share", "node", "side", "idx")
+    first = written(dealt.mapInArrow(shares.first_round(folder), "share int, told binary"), "contraction-told")
+    index: dict[int, list[tuple[str, int, int]]] = {}
+    partial: list[tuple[str, int, int]] = []
+    waiting: list[tuple[str, int, int]] = []
+
+    def taken(found: list[bytes]) -> dict[str, int]:
+        """Add up the tasks' figures; their shares are where they say from now on."""
+        nonlocal waiting
+        every = [marshal.loads(f) for f in found]
+        for f in every:
+            index.update((s, [(sys.intern(name), at, size) for name, at, size in of]) for s, of in f["index"].items())
+        waiting = [f["partial"] for f in every if f["partial"]]
+        return {c: sum(f[c] for f in every) for c in ("nodes", "rows", "chosen", "told")}
+
+    figures = taken([bytes(r[0]) for r in first.where(F.col("share") == shares.FIGURES).select("told").collect()])
+    sent, before = first.where(F.col("share") >= 0).rdd.map(tuple), None
+    left, rounds = figures["nodes"], []
     while left > config.node_limit:
-        found, path = Observation(), shared_path(spark, "contraction-pairs")
-        pairs = wired_pairs(read([now]).where("chosen").select(*EXT).repartition("node"))
-        pairs.observe(found, F.count(F.when(F.expr("p_end AND s_end"), 1)).alias("n")).write.parquet(path)
-        pair_schema = pairs.schema
-        if found.get["n"]:
-            whole.append(path)
-        sent = transfers(spark.read.schema(pair_schema).parquet(path), config)
-        older.append(now)
-        targets = sent.select(F.col("target").alias("node")).distinct()
-        met = read(older).join(targets, "node", "left_semi").withColumn("origin", F.lit(ACTIVE))
-        contracted, tasks = figures["chosen"], min(most, now.rows // ROWS_A_TASK + 1)
-        now, figures = kept(flagged(edited(met, sent, tasks), len(rounds) + 1))
+        partial += waiting
+        tasks = max(min(cores, figures["told"] // MESSAGES_AT_LEAST + 1), figures["told"] // ROWS_A_TASK + 1)
+        known = context.broadcast(index)
+        told = sent.partitionBy(tasks, int).mapPartitions(shares.next_round(folder, len(rounds) + 1, known, SETTLED_TABLES)).persist(StorageLevel.DISK_ONLY)
+        contracted, figures = figures["chosen"], taken(told.filter(lambda row: row[0] == shares.FIGURES).values().collect())
         rounds.append(Round(left, contracted, figures["nodes"], figures["rows"]))
         left -= contracted
-        if left <= config.node_limit:
-            break
-        stored = sum(t.rows for t in older)
-        in_vain += max(stored - a_node * left, 0)
-        if in_vain > IN_VAIN * stored:
-            older, in_vain = [together(older, True)], 0.0
-        elif len(older) > SETTLED_TABLES:
-            first, rows = len(older) - 1, older[-1].rows
-            while first > 1 and (older[first - 1].rows <= 2 * rows or first == len(older) - 1):
-                first -= 1
-                rows += older[first].rows
-            older[first:] = [together(older[first:], first == 0)]
-    end = latest(read([*older, now])).where((F.col("round") == len(rounds)) | ~F.col("chosen")).select(*EXT)
-    partial = partial_contigs(spark.read.schema(pair_schema).parquet(*whole)) if whole else spark.createDataFrame([], "seq string")
-    return Contracted(written(end, "graph"), partial, rounds)
+        if before is not None:
+            before.unpersist()
+        sent, before = told.filter(lambda row: row[0] != shares.FIGURES), told
+    packed = lambda rows: spark.createDataFrame([(bytearray(marshal.dumps(r, 2)),) for r in rows], "at binary").repartition(max(min(most, len(rows)), 1))
+    end = packed(list(index.values())).mapInArrow(shares.extensions(folder, len(rounds)), "node string, side string, idx int, seq string, cnt long, visit int, terminal boolean")
+    texts = packed(partial).mapInArrow(shares.texts(folder), "seq string") if partial else spark.createDataFrame([], "seq string")
+    return Contracted(written(end, "graph"), texts, rounds)
